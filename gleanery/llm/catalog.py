@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, line_dedup, mixing, secrets
+from gleanery.llm import bpe, line_dedup, mixing, near_dup, secrets
 from gleanery.llm.store import table
 
 
@@ -29,6 +30,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.groups(table(spark, sf_dir, "documents"), k=2, percent=80)
+    return found.select(F.col("k").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -37,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
     "op5_secrets": op5_secrets,
+    "op7_near_dup": op7_near_dup,
     "op10_line_dedup": op10_line_dedup,
 }
 
