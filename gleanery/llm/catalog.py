@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, line_dedup, mixing, near_dup, neighbours, secrets, vector_dedup
+from gleanery.llm import bpe, line_dedup, main_text, mixing, near_dup, neighbours, quality, secrets, vector_dedup
 from gleanery.llm.store import table
 
 
@@ -34,11 +34,20 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.groups(table(spark, sf_dir, "documents"), k=2, percent=80)
     return found.select(F.col("k").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "n_words", F.round("nll", 6).alias("nll"), F.round(F.exp("nll"), 3).alias("perplexity"), F.round("own", 6).alias("own"), "kept")
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.search(vectors, vectors.where("vec_id % 50 = 0"))
@@ -53,7 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_vector_dedup": op4_vector_dedup,
     "op5_secrets": op5_secrets,
+    "op6_main_text": op6_main_text,
     "op7_near_dup": op7_near_dup,
+    "op8_quality": op8_quality,
     "op9_neighbours": op9_neighbours,
     "op10_line_dedup": op10_line_dedup,
 }
