@@ -8,8 +8,10 @@ the threshold are then verified on their full sets.
 
 Documents with equal sets are one node. First, every member of a band's bucket meets the
 bucket's smallest node: as many pairs as rows. What that links forms components. Then
-only pairs of one bucket that lie in different components are left to try, so a large
-group of near copies isn't compared pair by pair, yet no link is lost that the bands show.
+only pairs of one bucket that lie in different components are left to try. They are
+tried inside tasks that hold two blocks of one bucket, where links found make further
+pairs needless; only links leave a task. So a large group of near copies isn't compared
+pair by pair, yet no link is lost that the bands show.
 
 With 25 bands of 5 registers a pair at similarity 0.8 is missed by all bands with a
 chance of about 5e-5, at 0.9 below 1e-9. Pairs estimated more than MARGIN (four standard
@@ -35,6 +37,8 @@ from gleanery.llm.store import written
 BANDS, ROWS, BASE, RATE, STATES = 25, 5, 1.0005, 20.0, 65534
 REGISTERS = BANDS * ROWS
 MARGIN = 0.14
+#: Members of a bucket that one block of it holds.
+TILE = 256
 _rng = np.random.default_rng(20240607)
 FLIP = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint64).astype(np.uint32)
 TIMES = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -161,6 +165,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
+def _links_of(tile: pa.Table, least: float, percent: int) -> list[tuple[int, int]]:
+    """Links between the components of one tile: no pair twice, none that a link found before makes needless."""
+    own, node, c, n = (np.asarray(tile.column(x)) for x in ("own", "node", "c", "n"))
+    a, b = np.flatnonzero(own == tile.column("p")[0].as_py()), np.flatnonzero(own == tile.column("q")[0].as_py())
+    sketch = np.frombuffer(b"".join(tile.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+    band = np.asarray(tile.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+    earlier, sets = band[:, : tile.column("band")[0].as_py()], tile.column("set").combine_chunks()
+    found, ahead = [], {}
+
+    def root(x):
+        while x in ahead:
+            x = ahead[x]
+        return x
+
+    apart = c[a][:, None] != c[b][None, :]
+    if own[a[0]] == own[b[0]]:
+        apart &= node[a][:, None] < node[b][None, :]
+    apart &= np.minimum(n[a][:, None], n[b][None, :]) >= least * np.maximum(n[a][:, None], n[b][None, :])
+    for k in range(earlier.shape[1]):  # a pair that shares an earlier band is tried there
+        apart &= earlier[a, k][:, None] != earlier[b, k][None, :]
+    i, j = np.nonzero(apart)
+    i, j = a[i], b[j]
+    likely = np.concatenate([np.empty(0), *(estimated(sketch[i[k : k + 8192]], sketch[j[k : k + 8192]], n[i[k : k + 8192]].astype(float), n[j[k : k + 8192]].astype(float)) for k in range(0, len(i), 8192))])
+    order = [k for k in np.argsort(-likely, kind="stable") if likely[k] >= least]
+    for k in order:
+        x, y = root(c[i[k]]), root(c[j[k]])
+        if x != y:
+            u, v = (np.frombuffer(sets[int(m)].as_buffer(), dtype=np.uint64) for m in (i[k], j[k]))
+            common = len(np.intersect1d(u, v, assume_unique=True))
+            if 100 * common >= percent * (len(u) + len(v) - common):
+                ahead[x] = y
+                found.append((int(node[i[k]]), int(node[j[k]])))
+    return found
+
+
+def _tiled(tiles: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (x, y) that are left between components, found inside tiles. A tile has the rows of two blocks of a bucket."""
+    keys = ["band", "value", "p", "q"]
+
+    def run(batches):
+        held, at = [], None
+
+        def done():
+            found = _links_of(pa.Table.from_batches(held), least, percent)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["x", "y"])
+
+        for batch in batches:
+            key = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                now = tuple(key[i].tolist())
+                if held and now != at:
+                    yield done()
+                    held = []
+                held.append(batch.slice(i, j - i))
+                at = now
+        if held:
+            yield done()
+
+    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "x long, y long")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Per document: k, h (hash of the text), n_shingles, component_id (smallest key reachable) and kept."""
     least = percent / 100 - MARGIN
@@ -170,7 +238,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     shared = rows.groupBy("band", "value").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("band", "value", "lo")
     members = written(rows.join(shared, ["band", "value"]))
     active = members.select("node").distinct()
-    sketch_of = written(nodes.select("node", "n", "sketch").join(active, "node"))
+    sketch_of = written(nodes.select("node", "n", "sketch", "bands").join(active, "node"))
 
     place = sketches.join(active, "node").groupBy("node").agg(F.min(F.struct("k", "h")).alias("at")).select(F.col("at.k").alias("ak"), F.col("at.h").alias("ah"))
     d = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
@@ -188,13 +256,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     links = written(_verified(_likely(first, sketch_of, least), sets, percent))
     known = components(links)
     at = written(members.join(known, "node", "left").select("band", "value", "node", "lo", F.coalesce("component", "node").alias("c")))
-    mixed = at.groupBy("band", "value").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band", "value")
-    open_ = at.join(mixed, ["band", "value"])
-    a, b = open_.alias("a"), open_.alias("b")
-    same_bucket = (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value"))
-    apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.node") != F.col("a.lo"))
-    rest = a.join(b, same_bucket & apart).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
-    late = written(_verified(_likely(rest, sketch_of, least), sets, percent))
+    mixed = at.groupBy("band", "value").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("band", "value", F.ceil(F.col("m") / F.lit(TILE)).cast("int").alias("blocks"))
+    open_ = at.join(mixed, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    tiles = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = tiles.join(sketch_of, "node").join(sets, "node").select("band", "value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "c", "n", "sketch", "bands", "set")
+    late = written(_tiled(tiles, least, percent))
     whole = components(known.union(late.select("x", "y")))
 
     base = sketches.select("k", "h", "n", "node").join(whole, "node", "left").select("k", "h", "n", F.coalesce("component", "node").alias("c"))
