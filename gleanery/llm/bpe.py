@@ -256,19 +256,24 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return _added(df, T.StructField(out, T.StringType()), make)
 
 
-def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes and decodes each text in one pass; returns key, n_tokens and the digests of ids and decoded text."""
-    schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+def digests(df: DataFrame, path: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), ids_too: bool = False) -> DataFrame:
+    """Encodes and decodes each text in one pass; returns the columns to carry, n_tokens and the digests of ids and decoded text, and ids if asked."""
+    fields = [df.schema[c] for c in carry] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType(), True))] * ids_too)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(len(carry)).to_pylist()
             for a, b in pieces(texts):
+                all_ids = vocabulary(path).encode(texts[a:b])
                 found = []
-                for ids in vocabulary(path).encode(texts[a:b]):
+                for ids in all_ids:
                     whole = vocabulary(path).decode(ids.tolist())
                     found.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(whole.encode()).hexdigest()))
                 n, i, d = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(i), pa.array(d)], names=schema.names)
+                columns = [*[batch.column(c).slice(a, b - a) for c in range(len(carry))], pa.array(n, pa.int64()), pa.array(i), pa.array(d)]
+                if ids_too:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(all_ids), pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(key, F.col(text).cast("string")).mapInArrow(run, schema)
+    return df.select(*carry, F.col(text).cast("string")).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, line_dedup, main_text, mixing, near_dup, neighbours, quality, secrets, vector_dedup
+from gleanery.llm import bpe, chat, line_dedup, main_text, mixing, near_dup, neighbours, quality, secrets, vector_dedup
 from gleanery.llm.store import table
 
 
@@ -26,6 +26,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.groups(table(spark, sf_dir, "embeddings"))
 
@@ -60,6 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op3_chat": op3_chat,
     "op4_vector_dedup": op4_vector_dedup,
     "op5_secrets": op5_secrets,
     "op6_main_text": op6_main_text,

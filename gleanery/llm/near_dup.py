@@ -230,7 +230,7 @@ def _tiled(tiles: DataFrame, least: float, percent: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: k, h (hash of the text), n_shingles, component_id (smallest key reachable) and kept."""
+    """Per document: k, h (hash of the text), n_shingles, c (its group, null without words), component_id (smallest key reachable) and kept."""
     least = percent / 100 - MARGIN
     sketches = written(sketched(docs, key, text, k))
     nodes = sketches.where("node is not null").dropDuplicates(["node"]).select("node", "n", "sketch", "bands")
@@ -265,4 +265,21 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
 
     base = sketches.select("k", "h", "n", "node").join(whole, "node", "left").select("k", "h", "n", F.coalesce("component", "node").alias("c"))
     smallest = base.where("c is not null").groupBy("c").agg(F.min("k").alias("m"))
-    return base.join(smallest, "c", "left").select("k", "h", F.col("n").alias("n_shingles"), F.coalesce("m", "k").alias("component_id")).withColumn("kept", F.col("k").eqNullSafe(F.col("component_id")))
+    return base.join(smallest, "c", "left").select("k", "h", F.col("n").alias("n_shingles"), "c", F.coalesce("m", "k").alias("component_id")).withColumn("kept", F.col("k").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group: the one with the smallest key. Documents without words all stay."""
+    found = groups(docs, key, text, k, percent)
+    order = F.struct(F.col("k").isNull().alias("none"), "k", "h")
+    winners = found.where("c is not null").groupBy("c").agg(F.min(order).alias("w")).select("w.k", "w.h")
+    rows = found.groupBy("k", "h").agg(F.count("*").alias("rows"))
+    w, r = winners.alias("w"), rows.alias("r")
+    winners = written(w.join(r, F.col("w.k").eqNullSafe(F.col("r.k")) & (F.col("w.h") == F.col("r.h"))).select("w.k", "w.h", "r.rows"))
+    words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+    def won(which):
+        return docs.where(words).join(which, docs[key].eqNullSafe(which.k) & (F.xxhash64(docs[text]) == which.h), "left_semi")
+
+    # Rows that are the same in key and text are one document; only they need a second look.
+    return won(winners.where("rows = 1")).union(won(winners.where("rows > 1")).dropDuplicates([key, text])).union(docs.where(~words))
