@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from gleanery.plans import driver_queries
+
+QUERIES: dict = dict(driver_queries.QUERIES)
+ORACLE_SQL: dict = dict(driver_queries.ORACLE_SQL)
