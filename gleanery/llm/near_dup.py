@@ -38,7 +38,7 @@ BANDS, ROWS, BASE, RATE, STATES = 25, 5, 1.0005, 20.0, 65534
 REGISTERS = BANDS * ROWS
 MARGIN = 0.14
 #: Members of a bucket that one block of it holds.
-TILE = 256
+TILE = 1024
 _rng = np.random.default_rng(20240607)
 FLIP = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint64).astype(np.uint32)
 TIMES = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
