@@ -210,8 +210,10 @@ def name_fits_email(name: Column | str, email: Column | str) -> Column:
 def best_inbox(emails: Column | str) -> Column:
     """Of an array: the address of the most wanted inbox (the last of equal ones), else the first that starts like one, else the first."""
     e = _c(emails)
-    exact = [F.try_element_at(F.filter(e, lambda x, b=b: F.split_part(x, F.lit("@"), F.lit(1)) == b), F.lit(-1)) for b in BEST_INBOXES]
-    alike = [F.try_element_at(F.filter(e, lambda x, b=b: x.startswith(b)), F.lit(1)) for b in BEST_INBOXES]
+    named = lambda b: F.filter(e, lambda x: F.split_part(x, F.lit("@"), F.lit(1)) == b)
+    begun = lambda b: F.filter(e, lambda x: x.startswith(b))
+    exact = [F.try_element_at(named(b), F.lit(-1)) for b in BEST_INBOXES]
+    alike = [F.try_element_at(begun(b), F.lit(1)) for b in BEST_INBOXES]
     return F.coalesce(*exact, *alike, F.try_element_at(e, F.lit(1)))
 
 

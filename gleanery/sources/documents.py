@@ -70,8 +70,8 @@ def section(text: Column | str, heading: str) -> Column:
 
 def note_contacts(rows: DataFrame) -> DataFrame:
     """Contacts in the bullets of notes: parts between dashes told apart by what they look like."""
-    bullets = F.filter(F.transform(F.split(section("body", "Contacts"), r"\r?\n"), F.trim), lambda x: x.rlike(r"^[-*]\s+\S"))
-    b = rows.select("slug", F.posexplode(bullets).alias("ord", "b")).withColumn("parts", F.transform(F.split(F.regexp_replace("b", r"^[-*]\s+", ""), r"\s+—\s+"), F.trim))
+    bullets = F.filter(F.transform(F.split(section("body", "Contacts"), r"\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[-*]\s+\S"))
+    b = rows.select("slug", F.posexplode(bullets).alias("ord", "b")).withColumn("parts", F.transform(F.split(F.regexp_replace("b", r"^[-*]\s+", ""), r"\s+—\s+"), lambda x: F.trim(x)))
     first = lambda f: F.try_element_at(F.filter("parts", f), F.lit(1))
     url, mail, call = first(lambda x: x.startswith("http")), first(lambda x: x.contains("@") & ~x.contains(" ")), first(lambda x: phone(x).isNotNull())
     rest = F.filter(F.slice("parts", 2, 9), lambda x: ~x.startswith("http") & ~(x.contains("@") & ~x.contains(" ")) & phone(x).isNull())
