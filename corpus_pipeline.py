@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import bpe, line_dedup, mixing, near_dup, quality
 from gleanery.llm.catalog import vocabulary_path
-from gleanery.llm.store import table, written
+from gleanery.llm.store import sized, table, written
 
 #: Words of a shingle and percent of similarity for near copies.
 SHINGLE, PERCENT = 5, 80
@@ -44,6 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of each document, their number, and the digests of ids and decoded text."""
+    sized(spark)
     return bpe.digests(docs, vocabulary_path(), carry=("doc_id", "lang", "source"), ids_too=True)
 
 

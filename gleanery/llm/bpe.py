@@ -32,7 +32,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 NONE = np.int32(2**31 - 1)
 #: Words kept in a worker's table before it starts anew, and characters of text per batch.
-MOST_WORDS, BATCH_CHARS = 600_000, 6_000_000
+MOST_WORDS, BATCH_CHARS = 150_000, 2_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -75,7 +75,7 @@ class Vocabulary:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.empty(1 << 16, dtype=np.int32)
-        self.begin, self.length, self.filled = [], [], 0
+        self.begin, self.length, self.filled = np.empty(1 << 14, dtype=np.int64), np.empty(1 << 14, dtype=np.int64), 0
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.size + b
@@ -136,12 +136,17 @@ class Vocabulary:
         while self.filled + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.flat[self.filled : self.filled + len(ids)] = ids
-        begin = self.filled + np.cumsum(count) - count
-        self.known.update(zip(words, range(len(self.begin), len(self.begin) + len(words)), strict=True))
-        self.begin.extend(begin.tolist())
-        self.length.extend(count.tolist())
+        self.note(words, self.filled + np.cumsum(count) - count, count)
         self.filled += len(ids)
 
+    def note(self, words: list, begin, count) -> None:
+        """Where the ids of new words lie."""
+        n = len(self.known)
+        while n + len(words) > len(self.begin):
+            self.begin, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.length))
+        self.begin[n : n + len(words)], self.length[n : n + len(words)] = begin, count
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
     def words(self, text: str) -> list[str | int]:
         """The words of a text; a special token is its id."""
         if self.special_re is None or not self.special_re.search(text):
@@ -162,28 +167,25 @@ class Vocabulary:
         fresh = set().union(*split).difference(self.known) if split else set()
         for w in [w for w in fresh if isinstance(w, int)]:
             fresh.discard(w)
-            self.known[w] = len(self.begin)
             self.learn_id(w)
         if fresh:
             self.learn(list(fresh))
-        begin, length = np.array(self.begin, dtype=np.int64), np.array(self.length, dtype=np.int64)
         find, out = self.known.__getitem__, []
         for words in split:
             if not words:
                 out.append(np.empty(0, dtype=np.int32))
                 continue
             w = np.fromiter(map(find, words), dtype=np.int64, count=len(words))
-            n = length[w]
+            n = self.length[w]
             ends = np.cumsum(n)
-            out.append(self.flat[np.arange(ends[-1]) + np.repeat(begin[w] - ends + n, n)])
+            out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.begin[w] - ends + n, n)])
         return out
 
     def learn_id(self, i: int) -> None:
         if self.filled == len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.flat[self.filled] = i
-        self.begin.append(self.filled)
-        self.length.append(1)
+        self.note([i], self.filled, 1)
         self.filled += 1
 
     def decode(self, ids) -> str:

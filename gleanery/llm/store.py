@@ -12,8 +12,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that Spark hands to Python at once, unless the session asks for another number. Texts are long, so the usual 10,000 fill a worker.
+BATCH_ROWS = 1000
+
+
+def sized(spark: SparkSession) -> SparkSession:
+    """The session with batches of texts that fit beside a worker's own tables."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return sized(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back: its lineage ends there and lost executors don't matter."""
-    spark = df.sparkSession
+    spark = sized(df.sparkSession)
     path = f"{shared_dir(spark)}/gleanery-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
