@@ -16,19 +16,21 @@ from gleanery.llm.store import sized, table, written
 
 #: Words of a shingle and percent of similarity for near copies.
 SHINGLE, PERCENT = 5, 80
+#: Begins the names of the stages' own columns, which no table has.
+OWN = "_stage_"
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return quality.judged(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality.judged(docs, table(spark, sf_dir, "labels"), prefix=OWN).where(f"{OWN}kept").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that earlier documents have; their number of characters follows."""
-    out = line_dedup.dedup(docs)
+    out = line_dedup.dedup(docs, prefix=OWN)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(f"{OWN}n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
@@ -39,7 +41,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, whole."""
-    return mixing.mix(docs).where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mixing.mix(docs, prefix=OWN).where(f"{OWN}copies > 0").withColumn(f"{OWN}copy", F.explode(F.sequence(F.lit(1), F.col(f"{OWN}copies")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

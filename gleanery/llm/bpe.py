@@ -29,7 +29,31 @@ from pyspark.sql import types as T
 
 #: White space of the vocabulary's splitting rule (the Unicode property, without U+001C to U+001F).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+
+FAST = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+
+
+def late_characters() -> str:
+    """Letters and digits newer than Python's character table, as ranges of a set. For the vocabulary they are signs."""
+    unassigned = "".join(c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) == "Cn")
+    runs: list[list[int]] = []
+    for c in map(ord, regex.findall(r"[\p{L}\p{N}]", unassigned)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in runs) or r"\U0010ffff"
+
+
+LATE = late_characters()
+HAS_LATE = regex.compile(f"[{LATE}]")
+SLOW = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{LATE}]]+|[\p{{N}}--[{LATE}]]|(?:[^{SPACE}\p{{L}}\p{{N}}]|[{LATE}])+")
+
+
+def split_words(text: str) -> list[str]:
+    """The words of a text as the vocabulary parts them."""
+    text = lowered(text)
+    return (FAST if text.isascii() or not HAS_LATE.search(text) else SLOW).findall(text)
 NONE = np.int32(2**31 - 1)
 #: Words kept in a worker's table before it starts anew, and characters of text per batch.
 MOST_WORDS, BATCH_CHARS = 150_000, 2_000_000
@@ -150,14 +174,14 @@ class Vocabulary:
     def words(self, text: str) -> list[str | int]:
         """The words of a text; a special token is its id."""
         if self.special_re is None or not self.special_re.search(text):
-            return WORDS.findall(lowered(text))
+            return split_words(text)
         out: list[str | int] = []
         begin = 0
         for m in self.special_re.finditer(text):
-            out += WORDS.findall(lowered(text[begin : m.start()]))
+            out += split_words(text[begin : m.start()])
             out.append(self.special[m[0]])
             begin = m.end()
-        return out + WORDS.findall(lowered(text[begin:]))
+        return out + split_words(text[begin:])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""

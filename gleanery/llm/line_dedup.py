@@ -43,8 +43,9 @@ def covered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return later.groupBy("k", "h").agg(F.collect_set("at").alias("at"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the repeated lines gone from column text, and n_lines and n_removed beside it."""
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
+    """docs with the repeated lines gone from column text, and n_lines and n_removed beside it (in place of columns of these names; a prefix keeps those)."""
+    added = (f"{prefix}n_lines", f"{prefix}n_removed")
     gone = covered(docs, key, text)
     d, g = docs.alias("d"), gone.alias("g")
     joined = d.join(g, F.col(f"d.{key}").eqNullSafe(F.col("g.k")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("g.h")), "left")
@@ -53,10 +54,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     starts = F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), lambda back: F.transform(F.col("g.at"), lambda a: a + back))
     hidden = F.flatten(starts)
     kept = F.filter(lines, lambda _, i: ~F.array_contains(hidden, i))
-    out = [F.when(F.col("g.at").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(f"d.`{c}`").alias(c) for c in docs.columns]
+    out = [F.when(F.col("g.at").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in added]
     n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     removed = F.when(F.col("g.at").isNull(), 0).otherwise(F.size(F.array_distinct(hidden))).cast("long")
-    return joined.select(*out, F.when(F.col(f"d.{text}").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"), removed.alias("n_removed"))
+    return joined.select(*out, F.when(F.col(f"d.{text}").isNull(), F.lit(0)).otherwise(n).cast("long").alias(added[0]), removed.alias(added[1]))
 
 
 #: The same in DuckDB. Windows are compared as text there.

@@ -117,8 +117,8 @@ def quotas(rows: list[tuple[str | None, int, int]], seed: int = SEED) -> list[tu
     return out
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target, taken (words, repeats counted) and copies (whole documents nearest to that)."""
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, prefix: str = "") -> DataFrame:
+    """docs with size, source_size, target, taken (words, repeats counted) and copies (whole documents nearest to that), in place of columns of these names; a prefix keeps those."""
     spark = docs.sparkSession
     own = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
     words = F.coalesce(F.size(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0))
@@ -142,4 +142,6 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     middle = begin + F.floor(F.col("n") / 2)
     inside = ((middle >= F.col("a")) & (middle < F.col("b"))) | ((middle + F.col("line") >= F.col("a")) & (middle + F.col("line") < F.col("b")))
     copies = F.when(F.col("n") == 0, 0).otherwise(F.col("laps") + inside.cast("int"))
-    return joined.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("n").alias("size"), "source_size", "target", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    found = {"size": F.col("n"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("long"), "copies": copies.cast("int")}
+    found = {f"{prefix}{c}": x for c, x in found.items()}
+    return joined.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in found], *[x.alias(c) for c, x in found.items()])

@@ -27,7 +27,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # as [0-9a-f]+ with the short runs dropped
 NEAR = re.compile(r"(?:pass|secret|token|api)", re.I | re.A)
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?)(PRIVATE KEY|PUBLIC KEY|CERTIFICATE)-----([A-Za-z0-9+/=\s\\]*?)-----END \1\2-----")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
+SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 #: Kinds in the order that breaks ties of equal starts.
