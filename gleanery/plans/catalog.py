@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.plans import driver_queries
+from gleanery.plans import driver_queries, fixture_queries
 
-QUERIES: dict = dict(driver_queries.QUERIES)
-ORACLE_SQL: dict = dict(driver_queries.ORACLE_SQL)
+QUERIES: dict = {**driver_queries.QUERIES, **fixture_queries.QUERIES}
+ORACLE_SQL: dict = {**driver_queries.ORACLE_SQL, **fixture_queries.ORACLE_SQL}
