@@ -66,8 +66,7 @@ def digits(x: Column | str) -> Column:
 def phone(x: Column | str) -> Column:
     """+1-AAA-EEE-NNNN of a ten-digit number, with or without a leading 1; else null."""
     d = digits(_c(x).cast("string"))
-    d = F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d)
-    return F.when(F.length(d) == 10, F.concat(F.lit("+1-"), F.substring(d, 1, 3), F.lit("-"), F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 4)))
+    return F.when(d.rlike(r"^1?\d{10}$"), F.regexp_replace(d, r"^1?(\d{3})(\d{3})(\d{4})$", "+1-$1-$2-$3"))
 
 
 def area_code(formatted: Column | str) -> Column:
@@ -186,9 +185,9 @@ def name_of_email(local: Column | str, initials: bool = False) -> Column:
 def is_person_name(name: Column | str, firm: Column | str | None = None) -> Column:
     """Two to four words that look like a person's name, and not like the firm's or a topic's."""
     n = squeezed(name)
-    tokens = F.split(n, " ")
-    fine = F.forall(tokens, lambda t: t.rlike(r"^[A-Za-z][A-Za-z'.-]*$") & ~F.regexp_replace(F.lower(t), r"\.+$", "").isin(NAME_STOP_WORDS))
-    ok = F.length(n).between(3, 80) & F.size(tokens).between(2, 4) & fine & ~n.rlike(rf"(?i)\b({NAME_TOPIC_WORDS})\b") & ~n.rlike(rf"(?i)\b({FIRM_WORDS})(\b|$)")
+    stop = "|".join(NAME_STOP_WORDS)
+    ok = F.length(n).between(3, 80) & n.rlike(r"^[A-Za-z][A-Za-z'.-]*( [A-Za-z][A-Za-z'.-]*){1,3}$")
+    ok &= ~n.rlike(rf"(?i)((^| )({stop})\.*( |$)|\b({NAME_TOPIC_WORDS})\b|\b({FIRM_WORDS})(\b|$))")
     if firm is not None:
         ok &= F.lower(n) != F.coalesce(F.lower(F.trim(_c(firm))), F.lit(""))
     return F.coalesce(ok, F.lit(False))
@@ -196,15 +195,17 @@ def is_person_name(name: Column | str, firm: Column | str | None = None) -> Colu
 
 def name_fits_email(name: Column | str, email: Column | str) -> Column:
     """Whether a local part is built from the first and last word of a name."""
-    tokens = F.filter(F.transform(F.regexp_extract_all(_c(name), F.lit("([A-Za-z]+)"), 1), F.lower), lambda t: F.length(t) > 1)
-    first, last = F.try_element_at(tokens, F.lit(1)), F.try_element_at(tokens, F.lit(-1))
-    initial = F.substring(first, 1, 1)
-    dot = F.lit(".")
-    forms = F.array(F.concat(first, last), F.concat(first, dot, last), F.concat(first, F.lit("_"), last), F.concat(initial, last), F.concat(initial, dot, last), F.concat(last, first), F.concat(last, dot, first))
-    local = email_local(email)
-    bare = F.transform(forms, lambda x: F.regexp_replace(x, "[._]", ""))
-    fits = F.array_contains(forms, local) | F.array_contains(bare, F.regexp_replace(local, "-", ""))
-    return F.coalesce((F.size(tokens) >= 2) & _c(email).contains("@") & ~is_role_inbox(email) & fits, F.lit(False))
+    tokens = F.filter(F.transform(F.regexp_extract_all(_c(name), F.lit("([A-Za-z]+)"), 1), lambda t: F.lower(t)), lambda t: F.length(t) > 1)
+    local, dot = email_local(email), F.lit(".")
+
+    def fits(parts):
+        first, last = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(-1))
+        initial = F.substring(first, 1, 1)
+        forms = F.array(F.concat(first, last), F.concat(first, dot, last), F.concat(first, F.lit("_"), last), F.concat(initial, last), F.concat(initial, dot, last), F.concat(last, first), F.concat(last, dot, first))
+        # Without hyphens in the address, dots and underscores of the forms don't count either.
+        return (F.size(parts) >= 2) & (F.array_contains(forms, local) | F.array_contains(F.transform(forms, lambda x: F.regexp_replace(x, "[._]", "")), F.regexp_replace(local, "-", "")))
+
+    return F.coalesce(_c(email).contains("@") & ~is_role_inbox(email) & let(tokens, fits), F.lit(False))
 
 
 def best_inbox(emails: Column | str) -> Column:

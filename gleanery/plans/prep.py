@@ -104,7 +104,8 @@ def prepare(businesses: DataFrame, pages: DataFrame, thresholds: DataFrame, cate
     mine = pages.withColumn("_site", registrable(host("url"))).join(sites, F.col("_site") == F.col("site")).drop("_site")
     found = C.extracted(mine.where("status = 'ok'"))
     found = C.with_board(found, results) if results is not None else found
-    merged = entities.merged_contacts(found)
+    # The merge reads its input several times; kept, it is extracted once and the plan stays small. A lost part is computed anew.
+    merged = entities.merged_contacts(found.persist()).persist()
     best = ranking.best_contact(merged)
     return Prepared(coverage, queue, profiles(queue, mine.select("slug", "url", "html", "status", "ord")), merged, best, ranking.inbox_fallback(merged), ranking.shortlist(best))
 
