@@ -23,7 +23,8 @@ ASSET_ENDINGS = ".png .jpg .jpeg .gif .svg .webp .css .js".split()
 BEST_INBOXES = "info contact office admin hello intake frontdesk".split()
 NAME_STOP_WORDS = "the and of at law firm office offices attorney attorneys lawyer lawyers associate associates partner partners president founder managing".split()
 NAME_TOPIC_WORDS = "accident|injury|truck|car|wrongful|death|practice|areas?|attorneys?|lawyers?|positions?|past|meet|our|team|staff|privacy|policy|contact|about|home|blog|news|results?|testimonials?|faq|services?|free|consultation"
-FIRM_WORDS = "law\\s+firm|law\\s+office|llp|pllc|p\\.?c\\.?|l\\.?l\\.?c\\.?|attorneys?\\s+at\\s+law|associates|group"
+FIRM_WORDS = "law\\s+firm|law\\s+office|pllc|p\\.?c\\.?|llp|llc|associates|group|legal|attorneys?\\s+at\\s+law|company|title|escrow"
+THEME_SKIPPED = "the and for with from that this your our you are was were will can has have had not but all any how who what when where why its into a an of to in on at by or as is be".split()
 WEBSITE_BLANKS = "n/a none na null -".split()
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
@@ -187,7 +188,7 @@ def is_person_name(name: Column | str, firm: Column | str | None = None) -> Colu
     n = squeezed(name)
     stop = "|".join(NAME_STOP_WORDS)
     ok = F.length(n).between(3, 80) & n.rlike(r"^[A-Za-z][A-Za-z'.-]*( [A-Za-z][A-Za-z'.-]*){1,3}$")
-    ok &= ~n.rlike(rf"(?i)((^| )({stop})\.*( |$)|\b({NAME_TOPIC_WORDS})\b|\b({FIRM_WORDS})(\b|$))")
+    ok &= ~n.rlike(rf"(?i)((^| )({stop})\.*( |$)|\b({NAME_TOPIC_WORDS})\b|\b({FIRM_WORDS})\b)")
     if firm is not None:
         ok &= F.lower(n) != F.coalesce(F.lower(F.trim(_c(firm))), F.lit(""))
     return F.coalesce(ok, F.lit(False))
@@ -239,7 +240,7 @@ def website_value(x: Column | str) -> Column:
     return F.when(~F.lower(w).isin(WEBSITE_BLANKS), w)
 
 
-def theme_words(themes: Column | str, stop: list[str], n: int = 8) -> Column:
+def theme_words(themes: Column | str, stop: list[str] = THEME_SKIPPED, n: int = 8) -> Column:
     """Themes without their counts, stop words and short words; the first n."""
     words = F.transform(_c(themes), lambda t: F.trim(F.regexp_replace(t, r"\s*\(\d+\)\s*$", "")))
     return F.slice(F.filter(words, lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(stop)), 1, n)

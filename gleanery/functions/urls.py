@@ -11,7 +11,9 @@ from gleanery.functions.unicode import idna_host, url_join
 # Fixed values.
 TWO_PART_SUFFIXES = "co.uk com.au co.nz co.jp com.br co.za com.mx org.uk net.au".split()
 DIRECTORY_HOSTS = "justia.com findlaw.com lawyers.com avvo.com facebook.com yelp.com linkedin.com superpages.com google.com maps.google yellowpages.com bbb.org wikipedia.org wixsite.com martindale.com usattorneys.com".split()
-PRIORITY = r"(?i)/(contact|about|team|attorney|attorneys|people|staff|our-team|our-firm|lawyers|locations?|offices?|privacy|careers)"
+PRIORITY = r"(?i)/(contact|about|team|our-team|people|staff|attorney|attorneys|bio|bios|lawyer|lawyers|our-firm|meet|leadership|partners?|members?|blog|post|posts|service|services|practice|practices|pricing|faq|case|cases|success|success-stories|case-studies?)(/|$)"
+#: Those of the e-mail crawl.
+MAIL_PRIORITY = r"(?i)/(contact|about|team|our-team|people|staff|attorney|attorneys|bio|bios|lawyer|lawyers|our-firm|meet|leadership|partners?|members?)(/|$)"
 
 
 def with_scheme(url: Column | str) -> Column:
@@ -87,8 +89,8 @@ def is_directory(url: Column | str, exact: bool = False) -> Column:
     return F.coalesce(hit, F.lit(True))
 
 
-def is_priority(url: Column | str) -> Column:
-    return path(url).rlike(PRIORITY)
+def is_priority(url: Column | str, mail: bool = False) -> Column:
+    return path(url).rlike(MAIL_PRIORITY if mail else PRIORITY)
 
 
 def query_value(url: Column | str, key: str) -> Column:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from gleanery.functions.text import clean_email, filled, first_filled, is_person_name, phone, squeezed
 from gleanery.functions.urls import is_directory
 from gleanery.operators.filters import is_masked, validated
-from gleanery.operators.ranking import OWNER_TITLES
 from gleanery.streaming.archive import exploded
 
 OPERATIONS = ("UserTweets", "UserTweetsAndReplies", "UserOriginalsTimeline")
-#: The flags of the tabs of a post search.
-TABS = {"top": "", "latest": "live", "people": "user", "photos": "image", "videos": "video"}
+# Titles of owners as imports see them; the flags of the tabs of a post search.
+OWNERS = r"(?i)\b(owner|founder|co-?founder|ceo|president|managing\s+partner|principal)\b"
+TABS = {"top": "", "latest": "live", "people": "user", "media": "image"}
 
 
 def with_notes(rows: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +38,7 @@ def one_contact(c: Column, fields: list[str]) -> Column:
 
 def owner(contacts: Column, explicit: Column) -> Column:
     """The owner stated, else the first contact with an owner's title."""
-    titled = F.filter(contacts, lambda c: filled(c["name"]).isNotNull() & F.coalesce(c["title"].rlike(OWNER_TITLES), F.lit(False)))
+    titled = F.filter(contacts, lambda c: filled(c["name"]).isNotNull() & F.coalesce(c["title"].rlike(OWNERS), F.lit(False)))
     return F.coalesce(squeezed(filled(explicit)), F.try_element_at(titled, F.lit(1))["name"])
 
 

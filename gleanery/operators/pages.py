@@ -9,7 +9,7 @@ from gleanery.functions.html import LINKS, hrefs, page_record, robots_sitemaps,
 from gleanery.functions.urls import crawl_key, host, is_priority, normalized, origin, registrable
 from gleanery.operators.dedup import first_wins
 
-COMMON_PATHS = ["", "/contact", "/contact-us", "/about", "/about-us", "/team", "/our-team", "/attorneys", "/people", "/staff"]
+COMMON_PATHS = ["", "/contact", "/contact-us", "/about", "/about-us", "/team", "/our-team", "/people", "/attorneys", "/staff", "/our-firm", "/attorneys-staff"]
 
 
 def same_site_links(pages: DataFrame, key: str, most: int = LINKS) -> DataFrame:

@@ -13,7 +13,7 @@ FIRST_TITLES = r"(?i)\b(owner|founder|founding\s+partner|managing\s+partner|mana
 SECOND_TITLES = r"(?i)\b(partner|principal|president|shareholder)\b"
 OWNER_TITLES = r"(?i)\b(owner|founder|founding\s+partner|managing\s+partner|managing\s+attorney|partner|principal|president|shareholder|co-?founder|of\s+counsel|senior\s+partner|name\s+partner)\b"
 FOUNDER_TITLES = r"(?i)\b(founder|founding|owner|managing)\b"
-BIO_PATH = r"(?i)/(attorneys?|lawyers?|people|team|staff|our-team|our-attorneys|bio|profile|about)/[^/]+"
+BIO_PATH = r"(?i)/(attorney|attorneys|lawyer|lawyers|team|our-team|people|staff|bio|bios|professionals?|our-attorneys)/[^/]+/?$|/(attorney-profile|attorney-bio|lawyer-profile)/?$"
 
 
 def top(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, place: str = "place") -> DataFrame:
@@ -104,15 +104,16 @@ def key_pages(pages: DataFrame, key: str, labels: list[tuple[str, str]], ord_: s
 
 
 def firm_phone(phones: DataFrame, local: list[str], key: str = "slug", ord_: str = "ord") -> DataFrame:
-    """Per firm the number to call: a local one from a contact page first."""
+    """Per firm the number to call: of local ones if there are any, one from a contact page first."""
     near = area_code("phone").isin(local) if local else F.lit(False)
-    order = [F.desc(near & F.col("contactish")), F.desc(near), F.desc("contactish"), F.asc(ord_)]
+    order = [F.desc(near), F.desc("contactish"), F.asc(ord_)]
     return top(phones.where(filled("phone").isNotNull()), [key], order).select(key, "phone", "source_url")
 
 
-def poc_phone(phones: DataFrame, key: str = "slug", ord_: str = "ord") -> DataFrame:
-    """Per firm the number of the contact: from their own page first, else from a page that names them."""
-    order = [F.desc(F.col("is_bio") & F.col("mentions_poc")), F.asc(ord_)]
+def poc_phone(phones: DataFrame, local: list[str] | None = None, key: str = "slug", ord_: str = "ord") -> DataFrame:
+    """Per firm the number of the contact: from their own page first, else from a page that names them; local ones first."""
+    near = area_code("phone").isin(local) if local else F.lit(False)
+    order = [F.desc(F.col("is_bio") & F.col("mentions_poc")), F.desc(near), F.asc(ord_)]
     return top(phones.where(filled("phone").isNotNull() & F.col("mentions_poc")), [key], order).select(key, "phone", "source_url")
 
 

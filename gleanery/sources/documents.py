@@ -10,7 +10,7 @@ from gleanery.functions.urls import query_value, template
 from gleanery.operators.dedup import first_wins, latest_by
 from gleanery.sources import schemas
 
-SENSITIVE = ("cookie", "authorization", "x-csrf-token", "x-client-transaction-id", "set-cookie")
+SENSITIVE = ("cookie", "authorization", "csrf-token", "x-csrf-token", "set-cookie", "x-li-identity")
 
 
 def notes(spark: SparkSession, path: str) -> DataFrame:

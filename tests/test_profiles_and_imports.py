@@ -86,3 +86,24 @@ def test_small_functions(spark):
     assert [(p.id, p.text, p.favorite_count) for p in I.posts_of_hits(hits).collect()] == [("1", "x", 1)]
     want = spark.createDataFrame([(1, "Vale Trial", "+1 512 555 0133"), (2, "ACME LAW", "512-555-0133"), (3, "Birch Roofing LLC", None), (4, "Nobody", None)], "i int, name string, phone string")
     assert {r.i: r.slug for r in I.found_business(want, fixtures.businesses(spark)).collect()} == {1: "acme-law", 2: "acme-law", 3: "birch", 4: None}
+
+
+def test_classifiers_of_rows(spark):
+    from gleanery.operators import filters as K
+    from gleanery.operators import ranking
+
+    each = lambda vs, f: [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "i int, x string").select(f(F.col("x")).alias("y"), "i").orderBy("i").collect()]
+    assert each(["a/.git/x", "b.md", "c.tmp", "~$d.docx", "e.md~", ".DS_Store", "gita/x"], K.skipped_file) == [True, False, True, True, True, True, False]
+    assert each(["https://x.com/login", "https://x.com/account/access", "https://x.com/a"], lambda u: K.page_status(u, F.lit("t"), F.lit("b"))) == ["wall", "soft_block", "ok"]
+    assert each(["Rate limit exceeded", "fine"], lambda b: K.page_status(F.lit("https://x.com/a"), F.lit(""), b)) == ["soft_block", "ok"]
+    assert each(["https://a.b/careers", "https://a.b/privacy/", "https://a.b/mycareers"], K.is_careers_page) == [True, True, False]
+    assert each(["https://a.b/our-team", "https://a.b/x"], K.is_people_page) == [True, False]
+    assert each(["[[Law]]", "Law", "Lawn", None], lambda c: K.in_category(c, "Law")) == [True, True, False, False]
+    assert each(["Law", None, "Roofing"], lambda c: K.category_fits(c, "law")) == [True, True, False] and each(["x"], lambda c: K.category_fits(c, "*")) == [True]
+    assert each(["", "LinkedIn Member", "Dana"], K.is_masked) == [True, True, False]
+    assert each(["## Contacts\n- a", "## Contacts\n\n## Other\n- b", None], K.has_contacts) == [True, False, False]
+    phones = spark.createDataFrame([("s", "+1-800-555-0100", "u0", False, False, True, 0), ("s", "+1-512-555-0101", "u1", True, True, False, 1), ("s", "+1-512-555-0102", "u2", False, True, True, 2)], "slug string, phone string, source_url string, is_bio boolean, mentions_poc boolean, contactish boolean, ord int")
+    assert ranking.firm_phone(phones, ["512"]).first().phone == "+1-512-555-0102" and ranking.firm_phone(phones, []).first().phone == "+1-800-555-0100"
+    assert ranking.poc_phone(phones).first().phone == "+1-512-555-0101"
+    urls = spark.createDataFrame([("s", "https://a.b/zzz"), ("s", "https://a.b/contact"), ("s", "https://a.b/")], "site string, url string")
+    assert [r.url for r in ranking.prioritized(urls, "site", 2).orderBy("place").collect()] == ["https://a.b/", "https://a.b/contact"]
