@@ -349,12 +349,12 @@ def containment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER w AS previous,
   last_value(CASE WHEN event_type IN ('purchase', 'signup') THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_success
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, event_id, event_type, previous, last_success FROM s WHERE event_type = 'error'""")
+SELECT user_id, event_id, event_type, coalesce(previous, '') AS previous, coalesce(last_success, -1) AS last_success FROM s WHERE event_type = 'error'""")
 def status_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.operators.hiring import with_history
 
     e = with_history(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type"), F.col("event_type").isin("purchase", "signup"), F.col("event_id"))
-    return e.where("event_type = 'error'").select("user_id", "event_id", "event_type", F.col("previous_status").alias("previous"), "last_success")
+    return e.where("event_type = 'error'").select("user_id", "event_id", "event_type", F.coalesce("previous_status", F.lit("")).alias("previous"), F.coalesce("last_success", F.lit(-1)).alias("last_success"))
 
 
 @query("""
