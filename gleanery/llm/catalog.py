@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_vector_dedup": vector_dedup.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_vector_dedup": vector_dedup.ORACLE_SQL, "op7_near_dup": near_dup.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}

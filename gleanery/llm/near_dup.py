@@ -283,3 +283,22 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
 
     # Rows that are the same in key and text are one document; only they need a second look.
     return won(winners.where("rows = 1")).union(won(winners.where("rows > 1")).dropDuplicates([key, text])).union(docs.where(~words))
+
+
+#: The same in DuckDB for two-word shingles, pair by pair.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 2 THEN list_distinct([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) ELSE ws END AS sh FROM w
+), e AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), links AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+low AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) AS kept
+FROM s LEFT JOIN low ON low.x = s.doc_id
+"""
