@@ -38,7 +38,7 @@ ALIKE = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td"
 CUT = frozenset("head script style noscript textarea iframe template svg math object select option form button input label fieldset nav footer aside menu dialog canvas audio video map".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|comment|comments|commentlist|respond|disqus|reply|replies|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|"
-    r"sidebar\w*|side|aside|widget\w*|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|footer\w*|copyright|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|trending|newsletter|subscribe\w*|signup|login|search|skip|tags|hidden)(?=$|[\s_-])",
+    r"sidebar\w*|aside|widget\w*|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|footer\w*|copyright|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|trending|newsletter|subscribe\w*|signup|login|search|skip|tags|hidden)(?=$|[\s_-])",
     re.I,
 )
 HEADER = re.compile(r"^header$|(?:^|\s)(?:site|global|main|top|page)[-_]?header(?=$|\s)", re.I)
@@ -50,7 +50,7 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(text)}
 
 
-def noise(tag: str, attrs: str, inside: bool) -> bool:
+def noise(tag: str, attrs: str, inside: bool, by_name: bool = True) -> bool:
     """Whether an element is cut. inside: it stands in an article, whose own header holds its headline."""
     if tag in CUT or tag == "header" and not inside:
         return True
@@ -59,6 +59,8 @@ def noise(tag: str, attrs: str, inside: bool) -> bool:
     found = attributes(attrs)
     if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
+    if not by_name:
+        return False
     if not inside and any(HEADER.search(found.get(x, "")) for x in ("class", "id")):
         return True
     return bool(NAMES.search(found.get("class", "")) or NAMES.search(found.get("id", "")))
@@ -67,8 +69,8 @@ def noise(tag: str, attrs: str, inside: bool) -> bool:
 class Tree:
     """Nodes in page order as parallel lists; texts hang on their nodes."""
 
-    def __init__(self, html: str):
-        self.tag, self.up, self.cut = ["#page"], [-1], [False]
+    def __init__(self, html: str, by_name: bool = True):
+        self.tag, self.up, self.cut, self.by_name = ["#page"], [-1], [False], by_name
         #: What follows in page order: (node, text), text None where a block begins or ends.
         self.flow: list[tuple[int, str | None]] = []
         self.read(html)
@@ -119,7 +121,7 @@ class Tree:
                     node = up[node]
                 if node > 0 and tag[node] in alike:
                     at = up[node]
-            node = self.open(name, at, cut[at] or noise(name, attrs, inside > 0))
+            node = self.open(name, at, cut[at] or noise(name, attrs, inside > 0, self.by_name))
             if name in RAW and not attrs.endswith("/"):
                 end = RAW[name].search(html, place)
                 if name == "title" or name == "textarea":
@@ -196,9 +198,12 @@ def extract(html: str | None) -> str:
     """The main text of a page."""
     if not html:
         return ""
-    tree = Tree(html)
-    take = tree.chosen()
-    return " ".join("".join(" " if text is None else text for node, text in tree.flow if text is None or take[node]).split())
+    for by_name in (True, False):  # names of a wrapper around everything say nothing: where all is cut, only tags count
+        tree = Tree(html, by_name)
+        take = tree.chosen()
+        if found := " ".join("".join(" " if text is None else text for node, text in tree.flow if text is None or take[node]).split()):
+            return found
+    return ""
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

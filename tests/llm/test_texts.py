@@ -52,6 +52,7 @@ PAGES = [
     (f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href=/>Home</a></nav><header><h1>Site</h1></header><!-- c --><div class='ad'>Buy</div><article><h1>Head &amp; line</h1><p>{LONG}<p>Second<br>line <b>bo</b>ld <script>var x='<p>'</script></p><section class='comments'><p>reader says</p></section><form><input value=x>go</form></article><aside>side</aside><footer>foot</footer></body></html>", f"Head & line {LONG.strip()} Second line bold"),
     (f"<body><div id='menu'><a href=a>one</a><a href=b>two</a></div><div id='content'><p>{LONG}</p><p>{LONG}</p></div><div class='cookie-notice'>We use cookies</div><div class=sidebar><p>{LONG}</p></div></body>", f"{LONG.strip()} {LONG.strip()}"),
     (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div><div><a href=a>n</a> <a href=b>m</a></div></body>", " ".join([LONG.strip()] * 3)),
+    (f"<div class='widget-wrap'><p>{LONG}</p><nav>n</nav></div>", LONG.strip()), (f"<div class='content side-by-side'><p>{LONG}</p></div>", LONG.strip()),
     ("plain text &lt;only&gt;", "plain text <only>"), ("", ""), (None, ""), ("<div hidden>x</div>", ""), ("<p>never closed <a href='x>y'>link</a> and <i>more", "never closed link and more"), ("<article>" + "<div>" * 3000 + "deep" + "</article>", "deep"),
 ]
 
