@@ -131,7 +131,7 @@ def transcripts(rows: DataFrame) -> DataFrame:
     known = F.lower(F.trim("role"))
     known = F.when(known.isin(*ROLES), known)
     single = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
-    turns = rows.select("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / SEGMENT).cast("long").alias("segment"), single.alias("single"), F.struct("turn", known.alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    turns = rows.select("conv_id", _segment().alias("segment"), single.alias("single"), F.struct("turn", known.alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     grouped = turns.groupBy("conv_id", "segment", "single").agg(F.array_sort(F.collect_list("t")).alias("t"))
     style = F.pmod(F.xxhash64("conv_id", F.lit(1)), F.lit(len(STYLES)))
     spoken = lambda role: F.when(role == "system", "System").when(role == "user", "User").when(role == "assistant", "Assistant")
@@ -160,11 +160,17 @@ def labelled(transcript: str, texts: list[str]) -> tuple[list[str], list[int]]:
     return lines[: len(out)], out
 
 
-def trained(made: DataFrame, sample: int = SAMPLE) -> Hmm:
-    """The model of a bounded sample of transcripts whose roles are all known, picked by hash."""
-    picked = made.where(F.forall("roles", lambda r: r.isNotNull())).orderBy(F.xxhash64("conv_id", "segment", F.lit(2)), "transcript").limit(sample).select("roles", "texts", "transcript").collect()
+def _segment():
+    return F.floor(F.coalesce("turn", F.lit(0)) / SEGMENT).cast("long")
+
+
+def trained(rows: DataFrame, sample: int = SAMPLE) -> Hmm:
+    """The model of a bounded sample of transcripts, picked by hash, whose roles are all known. Only keys are ordered, so no task sends texts for nothing."""
+    keys = rows.where("conv_id is not null").select(F.col("conv_id").alias("_c"), _segment().alias("_s")).distinct()
+    few = F.broadcast(keys.orderBy(F.xxhash64("_c", "_s", F.lit(2)), "_c", "_s").limit(sample))
+    picked = transcripts(rows.join(few, (rows.conv_id == F.col("_c")) & (_segment() == F.col("_s")), "left_semi")).where(F.forall("roles", lambda r: r.isNotNull()))
     told = []
-    for r in picked:
+    for r in picked.select("roles", "texts", "transcript").collect():
         lines, turn = labelled(r["transcript"], list(r["texts"]))
         role = [ROLES.index(x) for x in r["roles"]]
         told.append((lines, [2 * role[t // 2] + t % 2 for t in turn]))
@@ -174,7 +180,7 @@ def trained(made: DataFrame, sample: int = SAMPLE) -> Hmm:
 def formatted(rows: DataFrame, model: Hmm | None = None) -> DataFrame:
     """Per segment of a conversation: conv_id, segment, n_turns, n_found, n_right (turns found with role and text) and rendered."""
     made = transcripts(rows)
-    model = model or trained(made)
+    model = model or trained(rows)
     kind = rows.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
