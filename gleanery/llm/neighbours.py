@@ -67,14 +67,22 @@ class Index:
         self.codes = codes
         self.order = [np.argsort(codes[:, m], kind="stable") for m in range(codes.shape[1])]
         self.begin = [np.searchsorted(codes[o, m], np.arange((1 << BITS) + 1)) for m, o in enumerate(self.order)]
+        #: The buckets that hold a code, and how many each holds.
+        self.held = [np.unique(codes[:, m], return_counts=True) for m in range(codes.shape[1])]
 
     def within(self, query: np.ndarray, radius: int, inner: int = -1) -> np.ndarray:
         """Places of all codes at a distance above inner and up to radius."""
         seen = np.zeros(len(self.codes), dtype=bool)
         part = min(BITS, radius // len(query))
         for m, q in enumerate(query):
-            buckets = MASKS[: ENDS[part]] ^ q
-            a, b = self.begin[m][buckets], self.begin[m][buckets.astype(np.int64) + 1]
+            values, counts = self.held[m]
+            if ENDS[part] >= len(values):
+                # More buckets lie within the radius than hold a code: the directory tells which of those do.
+                near = np.bitwise_count(values ^ q) <= part
+                seen[self.order[m][np.repeat(near, counts)]] = True
+                continue
+            buckets = (MASKS[: ENDS[part]] ^ q).astype(np.int64)
+            a, b = self.begin[m][buckets], self.begin[m][buckets + 1]
             full = b > a
             a, n = a[full], (b - a)[full]
             if len(n):
@@ -113,8 +121,9 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", embeddin
     """For each row of queries its k nearest rows of vectors: query_id, rank, vec_id (named after key), score."""
     rows = vectors.select(F.col(key).alias("id"), _valid(embedding).alias("v")).where("v is not null").select("id", "v", F.size("v").alias("dim"))
     asked = queries.select(F.col(key).alias("id"), _valid(embedding).alias("v")).where("v is not null").select("id", "v", F.size("v").alias("dim"))
-    # A bounded sample by hash, the same in each run.
-    picked = rows.orderBy(F.xxhash64("id", "v")).limit(SAMPLE).select("v", "dim").toArrow()
+    # A bounded sample by hash, the same in each run; only hashes are ordered. Equal rows come along, so it is cut to size again.
+    few = F.broadcast(rows.select(F.xxhash64("id", "v").alias("_h")).distinct().orderBy("_h").limit(SAMPLE))
+    picked = rows.join(few, F.xxhash64("id", "v") == F.col("_h"), "left_semi").select("v", "dim").dropDuplicates(["v"]).orderBy("v").toArrow()
     dims = np.asarray(picked.column("dim"))
     rotations = {int(d): learned(units(np.array(picked.column("v").filter(pa.array(dims == d)).to_pylist()))) for d in np.unique(dims)}
     sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
