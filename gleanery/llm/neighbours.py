@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.llm.store import spread
 from gleanery.llm.vector_dedup import _matrix, _valid, units
 
 #: Rows of the sample the rotation is learned on, rounds of learning, bits of a substring.
@@ -153,7 +154,7 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", embeddin
             out_s += score[best].tolist()
         return pa.table({"query_row": pa.array([hash_of(v[q]) for q in out_q], pa.int64()), "query_id": pa.array(ids[out_q], found.schema.field("id").type), "id": pa.array(ids_d[out_d], found.schema.field("id").type), "score": pa.array(out_s, pa.float64())})
 
-    some = data.unionByName(ask).groupBy("dim", "block", "chunk").applyInArrow(run, f"query_row long, query_id {kind}, id {kind}, score double")
+    some = spread(data.unionByName(ask), "dim", "block", "chunk").groupBy("dim", "block", "chunk").applyInArrow(run, f"query_row long, query_id {kind}, id {kind}, score double")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "id")
     return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 

@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: White space of the word rule used throughout: blank and U+0009 to U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows that Spark hands to Python at once, unless the session asks for another number. Texts are long, so the usual 10,000 fill a worker.
@@ -59,5 +55,6 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over as many tasks as the session shuffles to. Few bytes can mean much work, so small partitions aren't put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
