@@ -240,7 +240,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     active = members.select("node").distinct()
     sketch_of = written(nodes.select("node", "n", "sketch", "bands").join(active, "node"))
 
-    place = sketches.join(active, "node").groupBy("node").agg(F.min(F.struct("k", "h")).alias("at")).select(F.col("at.k").alias("ak"), F.col("at.h").alias("ah"))
+    # Copies of one set are summed up before anything is joined by it.
+    firsts = sketches.where("node is not null").groupBy("node").agg(F.min(F.struct("k", "h")).alias("at"))
+    place = firsts.join(active, "node").select(F.col("at.k").alias("ak"), F.col("at.h").alias("ah"))
     d = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
 
     def set_of(batches):
@@ -261,10 +263,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     tiles = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.join(sketch_of, "node").join(sets, "node").select("band", "value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "c", "n", "sketch", "bands", "set")
     late = written(_tiled(tiles, least, percent))
-    whole = components(known.union(late.select("x", "y")))
+    # Written, these tables meet the documents in plain joins, whose hot keys Spark splits.
+    whole = written(components(known.union(late.select("x", "y"))))
 
     base = sketches.select("k", "h", "n", "node").join(whole, "node", "left").select("k", "h", "n", F.coalesce("component", "node").alias("c"))
-    smallest = base.where("c is not null").groupBy("c").agg(F.min("k").alias("m"))
+    smallest = written(base.where("c is not null").groupBy("c").agg(F.min("k").alias("m")))
     return base.join(smallest, "c", "left").select("k", "h", F.col("n").alias("n_shingles"), "c", F.coalesce("m", "k").alias("component_id")).withColumn("kept", F.col("k").eqNullSafe(F.col("component_id")))
 
 
