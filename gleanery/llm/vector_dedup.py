@@ -129,9 +129,11 @@ def groups(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding"
     found = written(tasks.groupBy("label", "dim", "p", "q").applyInArrow(run, "node long, partners long, root long"))
     linked_to = found.groupBy("node").agg(F.sum("partners").alias("partners"))
     whole = components(found.select("node", "root"))
-    base = members.join(counts, "node", "left").join(linked_to, "node", "left").join(whole, "node", "left")
+    # Written, these tables meet the vectors in plain joins, whose hot keys Spark splits.
+    known = written(counts.join(linked_to, "node", "left").join(whole, "node", "left"))
+    base = members.join(known, "node", "left")
     base = base.select("k", (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("partners", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "node").alias("c"))
-    smallest = base.where("c is not null").groupBy("c").agg(F.min("k").alias("m"))
+    smallest = written(base.where("c is not null").groupBy("c").agg(F.min("k").alias("m")))
     out = base.join(smallest, "c", "left").select(F.col("k").alias(key), "n_links", F.coalesce("m", "k").alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
