@@ -1,12 +1,17 @@
 """Quality classifier: an interpolated modified Kneser-Ney language model of trusted text.
 
-Trusted are the rows labelled good. The most frequent words of a bounded sample of them
-keep names of their own, VOCABULARY in all; every other word is one of the unknown ones,
-which share their probability evenly. Bigrams are counted over all other trusted rows by
-shard: texts become packed numbers, labels meet those, a task counts its own, the shards
-(hashes of the pairs) add them up, and joins with the totals of histories and
-continuations give discounts and back-off weights. So the model has at most VOCABULARY squared numbers whatever the input, 17 MB, and that bound is what
-is broadcast; documents are scored where they lie and never move.
+Trusted are the rows labelled good. Words are known by 64-bit hashes and all of them have
+names of their own: bigrams are counted over all trusted rows that are not held out. A task
+counts its own, the shards (hashes of the pairs) add them up, and joins with the totals of
+histories and continuations give discounts and back-off weights. Unseen words share the
+place of one more word.
+
+The logarithm of a word's probability is a sum of three numbers: the back-off weight of the
+history, the share of the word among continuations, and for pairs that were counted what the
+pair adds to those. So a document's score is a sum over its distinct words and pairs, and
+these meet the sharded model in a join. What makes up FREQUENT or more of the counts is
+looked up before that where the document lies; it is at most 1 / FREQUENT words and as many
+pairs at any input. The model itself grows with the input and is never in one place.
 
 A document's perplexity is that of its words. It is rejected where its perplexity lies
 above the quantile that trusted documents of its language have; those are held out of
@@ -26,10 +31,10 @@ language; extra columns are kept and never read.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,14 +42,14 @@ from pyspark.sql import types as T
 
 from gleanery.llm.store import written
 
-#: Words with names of their own, and the numbers of the unknown word and of the start of a text.
-VOCABULARY, UNKNOWN, START = 2048, 0, 1
+#: Stands for the start of a text; and what tells the last word of a text, which is nobody's history, from the word itself.
+START, LAST = 0x5354415254, 0x1F83D9ABFB41BD6B
+#: Share of all counts from which on a word or pair is looked up without a join.
+FREQUENT = 2e-6
 #: Quantiles of trusted documents' own entropies and perplexities within which documents stay, the room above (as a factor of perplexity), and trusted documents a language needs.
 LOW, HIGH, ROOM, LEAST = 0.001, 0.995, 1.08, 50
 #: Words a trusted document needs to take part in quantiles; room in nats for a document of one word, falling with the square root of words.
 SHORT, ROOM_SHORT = 40, 12.0
-#: Trusted documents, picked by hash, whose words give the vocabulary. Counts and quantiles cover all.
-SAMPLE = 20_000
 #: One trusted document of so many is held out of the counts.
 HELD = 4
 #: The share of the lower quantile that a document's own entropy must reach.
@@ -63,23 +68,48 @@ def own(text: str) -> float:
     return float(1 - (count * np.log(count)).sum() / total / np.log(total)) if total > 1 else 1.0
 
 
-class Model:
-    """log p(word | history) of all pairs of named words, as one matrix."""
+def mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes."""
+    x = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
 
-    def __init__(self, names: list[str], logs: np.ndarray):
-        self.number = {w: i + 2 for i, w in enumerate(names)}
-        self.logs = logs
+def hashed(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, w, at) of all words of lists of words: history, word and the place of the list."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    flat = np.array([w for t in texts for w in t], dtype=object)
+    w = pd.util.hash_array(flat, categorize=True).view(np.int64) if len(flat) else np.empty(0, np.int64)
+    h = np.empty_like(w)
+    h[1:] = w[:-1]
+    h[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+    return h, w, np.repeat(np.arange(len(texts)), sizes)
 
-    def numbers(self, text: str) -> np.ndarray:
-        get = self.number.get
-        return np.array([START, *[get(w, UNKNOWN) for w in words_of(text)]], dtype=np.int32)
 
-    def score(self, text: str | None) -> tuple[float | None, int, float | None]:
-        """Mean negative log-likelihood of a word, the number of words, and the entropy of the text's own words (see own())."""
-        n = self.numbers(text or "")
-        if len(n) < 2:
-            return None, 0, None
-        return -float(self.logs[n[:-1], n[1:]].mean(dtype=np.float64)), len(n) - 1, own(text)
+class Model:
+    """What words and pairs add to log p, by their hash: frequent ones as sorted arrays, all as a table of f and v."""
+
+    def __init__(self, table: DataFrame, frequent: tuple[np.ndarray, np.ndarray], unseen: float, start: float, parts: tuple[DataFrame, DataFrame]):
+        self.table, self.frequent, self.unseen, self.start, self.parts = table, frequent, unseen, start, parts
+
+    @property
+    def number(self) -> dict[int, int]:
+        """Numbers of the words, from 2; for looking at small models."""
+        return {r["w"]: i + 2 for i, r in enumerate(self.parts[0].select("w").orderBy("w").collect())}
+
+    @property
+    def logs(self) -> np.ndarray:
+        """log p(word | history) as one matrix, column 0 for unseen words; for looking at small models."""
+        number = self.number
+        low, weight = np.full(len(number) + 2, self.unseen), np.zeros(len(number) + 2)
+        for r in self.parts[0].collect():
+            low[number[r["w"]]], weight[number[r["w"]]] = r["low"], r["weight"]
+        weight[1] = self.start
+        out = (weight[:, None] + low[None, :]).astype(np.float32)
+        for r in self.parts[1].collect():
+            out[number.get(r["h"], 1), number[r["w"]]] += r["v"]
+        return out
 
 
 def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
@@ -104,59 +134,36 @@ def trusted(labels: DataFrame, key: str = "doc_id", quality: str = "quality") ->
     return labels.groupBy(F.col(key).alias("lk")).agg(F.min(F.coalesce(F.col(quality), F.lit(0))).alias("q")).where("q = 1 and lk is not null").select("lk")
 
 
-def _counted(good: DataFrame, text: str) -> DataFrame:
-    """word, n over the texts. A task's table of words empties itself before it grows large."""
-
-    def run(batches):
-        found: dict[str, int] = {}
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for t in batch.column(0):
-                for w in words_of(t.as_py() or ""):
-                    found[w] = found.get(w, 0) + 1
-            if len(found) > 500_000:
-                yield out()
-                found = {}
-        if found:
-            yield out()
-
-    return good.select(F.col(text).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _packed(docs: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
-    """key, ids: the numbers of each text's words, packed, so that labels meet them instead of the texts."""
-    kind = docs.schema[key].dataType.simpleString()
+def _pairs(good: DataFrame, text: str) -> DataFrame:
+    """f, h, w, c: bigrams of all texts, with the hash of the pair. A task's table empties itself before it grows large."""
 
     def run(batches):
-        model = Model(names, None)
-        for batch in batches:
-            ids = [zlib.compress(model.numbers(t.as_py() or "").astype(np.uint16).tobytes(), 1) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["k", "ids"])
+        held, size = [], 0
 
-    return docs.where(F.col(key).isNotNull()).select(key, F.col(text).cast("string")).mapInArrow(run, f"k {kind}, ids binary")
+        def summed():
+            f, h, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, first, back = np.unique(f, return_index=True, return_inverse=True)
+            return keys, h[first], w[first], np.bincount(back, weights=c, minlength=len(keys)).astype(np.int64)
 
+        def out(found):
+            for i in range(0, len(found[0]), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000], pa.int64()) for x in found], names=["f", "h", "w", "c"])
 
-def _pairs(packed: DataFrame) -> DataFrame:
-    """h, w, c: bigrams of all packed texts."""
-
-    def run(batches):
-        total: dict[int, int] = {}
         for batch in batches:
-            some = [np.frombuffer(zlib.decompress(b.as_py()), dtype=np.uint16).astype(np.int64) for b in batch.column(0)]
-            if not some:
-                continue
-            keys, count = np.unique(np.concatenate([n[:-1] * VOCABULARY + n[1:] for n in some]), return_counts=True)
-            for k, c in zip(keys.tolist(), count.tolist(), strict=True):
-                total[k] = total.get(k, 0) + c
-        keys = np.fromiter(total.keys(), dtype=np.int64, count=len(total))
-        for i in range(0, len(keys), 200_000):
-            k = keys[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array((k // VOCABULARY).astype(np.int32)), pa.array((k % VOCABULARY).astype(np.int32)), pa.array([total[x] for x in k.tolist()], pa.int64())], names=["h", "w", "c"])
-
-    return packed.select("ids").mapInArrow(run, "h int, w int, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
+            h, w, _ = hashed([words_of(t.as_py() or "") for t in batch.column(0)])
+            held.append((mixed(h, w), h, w, np.ones(len(h), dtype=np.int64)))
+            size += len(h)
+            if size > 3_000_000:
+                found = summed()
+                held, size = [found], len(found[0])
+                if size > 1_500_000:
+                    yield from out(found)
+                    held, size = [], 0
+        if held:
+            yield from out(summed())
+
+    found = good.select(F.col(text).cast("string")).mapInArrow(run, "f long, h long, w long, c long")
+    return found.groupBy("f", "h", "w").agg(F.sum("c").alias("c"))
 
 
 def held_out(key):
@@ -165,53 +172,83 @@ def held_out(key):
 
 
 def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
-    """The model of all trusted texts; None without any."""
-    good = trusted(labels, key)
-    # At most SAMPLE keys; the texts stay where they are.
-    few = F.broadcast(good.where(~held_out("lk")).orderBy(F.xxhash64("lk", F.lit(4)), "lk").limit(SAMPLE))
-    counted = written(_counted(docs.join(few, docs[key] == few.lk, "left_semi"), text))
-    named = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(VOCABULARY - 2).collect()]
-    if not named:
-        return None
-    unknown = max(1, counted.count() - len(named))
-    packed = _packed(docs, key, text, named)
-    pairs = written(_pairs(packed.join(good.where(~held_out("lk")).hint("merge"), packed.k == good.lk, "left_semi")))
+    """The model of all trusted texts but those held out; None without any."""
+    good = trusted(labels, key).where(~held_out("lk"))
+    pairs = written(_pairs(docs.select(key, text).join(good.hint("merge"), F.col(key) == good.lk, "left_semi"), text))
     of = lambda column: {int(r["c"]): int(r["m"]) for r in column.where("c <= 4").groupBy("c").agg(F.count("*").alias("m")).collect()}
     d2 = discounts(of(pairs.select("c")))
-    continued = pairs.groupBy("w").agg(F.count("*").cast("long").alias("c"))
+    continued = written(pairs.groupBy("w").agg(F.count("*").cast("long").alias("c"), F.sum("c").alias("n")))
     d1 = discounts(of(continued.select("c")))
-    # Joins by history give each pair its discounted share and each history its back-off weight.
-    totals = pairs.groupBy("h").agg(F.sum("c").alias("total"), F.sum(discounted(F.col("c"), d2)).alias("left"))
-    shares = pairs.join(totals, "h").select("h", "w", ((F.col("c") - discounted(F.col("c"), d2)) / F.col("total")).alias("share"))
-    # At most VOCABULARY rows of each of these, and at most their square of shares.
-    back, seen = totals.select("h", (F.col("left") / F.col("total")).alias("weight")).toArrow(), shares.toArrow()
-    once = continued.select("w", "c", discounted(F.col("c"), d1).alias("d")).toArrow()
-    c, d = (np.asarray(once.column(x)).astype(float) for x in ("c", "d"))
-    lower = np.full(VOCABULARY, d.sum() / c.sum() / VOCABULARY)
-    np.add.at(lower, np.asarray(once.column("w")), (c - d) / c.sum())
-    weight = np.ones(VOCABULARY)
-    weight[np.asarray(back.column("h"))] = np.asarray(back.column("weight"))
-    p = weight[:, None] * lower[None, :]
-    np.add.at(p, (np.asarray(seen.column("h")), np.asarray(seen.column("w"))), np.asarray(seen.column("share")))
-    p[:, UNKNOWN] /= unknown
-    return Model(named, np.log(p).astype(np.float32))
-
-
-def scored(docs: DataFrame, model: Model | None, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with nll (mean negative log-likelihood of a word), n_words and own (entropy of its own words), in place of columns of these names; a prefix keeps those."""
-    added = [T.StructField(f"{prefix}nll", T.DoubleType()), T.StructField(f"{prefix}n_words", T.LongType()), T.StructField(f"{prefix}own", T.DoubleType())]
-    names = [c for c in docs.columns if c not in [f.name for f in added]]
-    schema = T.StructType([*[docs.schema[c] for c in names], *added])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    d = discounted(F.col("c"), d1)
+    all_ = continued.agg(F.count("*").alias("words"), F.sum("c").alias("c"), F.sum(d).alias("d"), F.sum("n").alias("n")).first()
+    if not all_["words"]:
+        return None
+    # Joins by history give each pair its discounted share and each history its back-off weight; unseen words have the place of one.
+    unseen = all_["d"] / all_["c"] / (all_["words"] + 1)
+    totals = written(pairs.groupBy("h").agg(F.sum("c").alias("total"), (F.sum(discounted(F.col("c"), d2)) / F.sum("c")).alias("weight")))
+    start = totals.where(F.col("h") == START).first()["weight"]
+    lower = continued.select("w", "n", ((F.col("c") - d) / F.lit(float(all_["c"])) + F.lit(unseen)).alias("low"))
+    single = lower.join(totals.select(F.col("h").alias("w"), "weight"), "w", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    share = (F.col("c") - discounted(F.col("c"), d2)) / F.col("total")
+    both = pairs.join(totals, "h").join(lower.drop("n"), "w").select("f", "h", "w", F.col("c").alias("n"), F.log1p(share / (F.col("weight") * F.col("low"))).alias("v"))
+    words = single.select(F.col("w").alias("f"), "n", (F.log("weight") + F.log("low") - F.lit(math.log(unseen))).alias("v"))
+    last = single.select(F.col("w").bitwiseXOR(F.lit(LAST)).alias("f"), "n", (-F.log("weight")).alias("v"))
+    table = written(words.unionByName(last).unionByName(both.select("f", "n", "v")))
+    often = table.where(F.col("n") >= FREQUENT * all_["n"]).select("f", "v").toArrow()
+    f, v = (np.asarray(often.column(x)) for x in ("f", "v"))
+    order = np.argsort(f)
+    parts = single.select("w", F.log("weight").alias("weight"), F.log("low").alias("low")), both.select("h", "w", "v")
+    return Model(table.select("f", "v"), (f[order], v[order]), math.log(unseen), math.log(start), parts)
+
+
+def _features(docs: DataFrame, model: Model | None, text: str) -> DataFrame:
+    """Rows of id, f, n, v, own for docs (id, text). A row a text, with f = id: minus the words as n, what needs no join as v. A row for each other word and pair: f and how often."""
+    sent = docs.sparkSession.sparkContext.broadcast(None if model is None else (*model.frequent, model.unseen, model.start))
 
     def run(batches):
-        known = sent.value
         for batch in batches:
-            found = [known.score(t.as_py()) if known else (None, 0, None) for t in batch.column(batch.schema.get_field_index(text))]
-            nll, n, self_ = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(nll, pa.float64()), pa.array(n, pa.int64()), pa.array(self_, pa.float64())], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+            ids, texts = np.asarray(batch.column(0)), [t.as_py() or "" for t in batch.column(1)]
+            h, w, at = hashed([words_of(t) for t in texts])
+            sizes = np.bincount(at, minlength=len(texts))
+            known, found = np.zeros(len(texts)), ([], [])
+            if sent.value:
+                keys, values, unseen, start = sent.value
+                known += sizes * unseen + (sizes > 0) * start
+                ends = np.cumsum(sizes)[sizes > 0] - 1
+                f, at = np.concatenate([w, mixed(h, w), w[ends] ^ LAST]), np.concatenate([at, at, at[ends]])
+                place = np.minimum(np.searchsorted(keys, f), max(0, len(keys) - 1))
+                hit = keys[place] == f if len(keys) else np.zeros(len(f), dtype=bool)
+                # In order of the text, so that equal texts add up alike.
+                known += np.bincount(at[hit], weights=values[place[hit]] if len(keys) else None, minlength=len(texts))
+                f, at = f[~hit], at[~hit]
+                order = np.lexsort((f, at))
+                f, at = f[order], at[order]
+                first = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (at[1:] != at[:-1])]) if len(f) else np.empty(0, np.int64)
+                found = at[first], f[first], np.diff(np.r_[first, len(f)])
+            own_ = [own(t) if n else None for t, n in zip(texts, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(-sizes, pa.int64()), pa.array(known), pa.array(own_, pa.float64())], names=names)
+            for i in range(0, len(found[0]), 100_000):
+                d, x, n = (y[i : i + 100_000] for y in found)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(x), pa.array(n, pa.int64()), pa.nulls(len(d), pa.float64()), pa.nulls(len(d), pa.float64())], names=names)
+
+    names = ["id", "f", "n", "v", "own"]
+    return docs.select("id", F.col(text).cast("string")).mapInArrow(run, "id long, f long, n long, v double, own double")
+
+
+def scored(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """id, nll (mean negative log-likelihood of a word), n_words and own (entropy of its own words) of docs (id, text). Rows of one id count as one."""
+    rows = _features(docs, model, text)
+    if model is None:
+        rows = rows.withColumn("mv", F.lit(None).cast("double"))
+    else:
+        rows = rows.join(model.table.select("f", F.col("v").alias("mv")), "f", "left")
+    words = F.when(F.col("n") <= 0, -F.col("n"))
+    add = F.coalesce("v", F.col("n") * F.col("mv"))
+    summed = rows.groupBy("id").agg(F.sum(add).alias("logs"), F.sum(words).alias("all_words"), F.max(words).alias("n_words"), F.max("own").alias("own"))
+    nll = F.when((F.col("all_words") > 0) & F.lit(model is not None), -F.col("logs") / F.col("all_words"))
+    if model is None:  # without a model there is nothing to tell of a text
+        return summed.select("id", nll.cast("double").alias("nll"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("double").alias("own"))
+    return summed.select("id", nll.alias("nll"), "n_words", "own")
 
 
 def room(n_words):
@@ -230,10 +267,12 @@ def thresholds(scores: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", prefix: str = "") -> DataFrame:
     """docs with nll, n_words, own and kept, in place of columns of these names; a prefix keeps those."""
     model = trained(docs, labels, key, text)
-    # Scores meet the labels without their texts.
-    scores = written(scored(docs.select(key, F.col(lang).cast("string").alias("lang"), text), model, text).drop(text))
+    own_id = F.xxhash64(F.col(key), F.col(text)).alias("id")
+    scores = written(scored(docs.select(own_id, text), model, text))
+    # Scores meet the labels and the documents by hashes of key and text.
     good = trusted(labels, key).where(held_out("lk"))
-    known = scores.join(good.hint("merge"), scores[key] == good.lk, "left_semi").where(F.col("n_words") >= SHORT)
+    ids = docs.select(key, F.col(lang).cast("string").alias("lang"), own_id).join(good.hint("merge"), F.col(key) == good.lk, "left_semi")
+    known = ids.join(scores, "id").where(F.col("n_words") >= SHORT)
     cuts = thresholds(known.select("lang", "nll", "own")).collect()  # one row a language
     every = next((r for r in cuts if r["every"]), None)
     limit = {x: F.lit(None if every is None else every[x]).cast("double") for x in ("high", "own")}
@@ -242,4 +281,8 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             limit = {x: F.when(F.col(lang).cast("string").eqNullSafe(F.lit(r["lang"])), F.lit(r[x])).otherwise(rest) for x, rest in limit.items()}
     nll, n_words, own_ = (F.col(f"{prefix}{c}") for c in ("nll", "n_words", "own"))
     inside = (nll <= limit["high"] + room(n_words)) & (own_ >= OWN_ROOM * limit["own"])
-    return scored(docs, model, text, prefix).withColumn(f"{prefix}kept", F.coalesce(inside, F.lit(True)))
+    added = [f"{prefix}{c}" for c in ("nll", "n_words", "own")]
+    names = [c for c in docs.columns if c not in added]
+    s = scores.select(F.col("id").alias("_score_id"), *[F.col(c).alias(a) for c, a in zip(("nll", "n_words", "own"), added, strict=True)])
+    joined = docs.select(*names, F.xxhash64(F.col(key), F.col(text)).alias("_row_id")).join(s, F.col("_row_id") == F.col("_score_id"), "left").select(*names, *added)
+    return joined.withColumn(f"{prefix}kept", F.coalesce(inside, F.lit(True)))

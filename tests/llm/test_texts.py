@@ -145,3 +145,20 @@ def test_discounts_and_sums(spark, documents, tables):
     d = quality.discounts({1: 100, 2: 40, 3: 20, 4: 10})
     assert 0 < d[0] < 1 < d[1] + 1 and d[0] <= d[1] <= d[2]
     assert junk(random.Random(1), 0) != clean(random.Random(1))
+
+
+def test_quality_tells_rare_words_apart(spark):
+    # More words than any bounded vocabulary of the most frequent ones would hold, each in few texts.
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{w}{j}" for j in rng.sample(range(6000), 60) for w in ("ab", "cd")), "en") for i in range(400)]
+    rows += [(1000, " ".join(f"ab{j} cd{j}" for j in range(5000, 5040)), "en"), (1001, " ".join(f"zz{j} yy{j}" for j in range(5000, 5040)), "en"), (1001, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
+    got = {(r.doc_id, r.n_words): r for r in quality.judged(docs, labels).collect()}
+    assert len(got) == len(rows) and got[1000, 80].nll + 1 < got[1001, 80].nll and got[1001, 0].nll is None
+    model = quality.trained(docs, labels)
+    assert len(model.number) > 2048
+    number, logs = model.number, model.logs
+    h, w, _ = quality.hashed([quality.words_of(rows[-3][1])])
+    want = -sum(logs[1 if a == quality.START else number.get(a, 0), number.get(b, 0)] for a, b in zip(h.tolist(), w.tolist())) / len(w)
+    assert abs(got[1000, 80].nll - want) < 1e-3
