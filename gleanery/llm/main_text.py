@@ -8,7 +8,9 @@ siblings along that path belong to the article as well.
 
 What is never part of an article (scripts, styles, forms, menus, site headers and
 footers, and elements whose class, id or role names a menu, advert, notice, sidebar or
-comment list) is cut first.
+comment list) is cut first. A name doesn't cut what holds the longest article or a main
+element; where a page has no article, a name that is only a part of a class ("has-sidebar")
+doesn't cut what holds the core of the page as it is without cuts by name.
 
 White space inside a block becomes one blank, blocks are joined by one blank, nothing
 else is dropped. Defined results: a null or empty page, or one without text, gives the
@@ -50,8 +52,8 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(text)}
 
 
-def noise(tag: str, attrs: str, inside: bool, by_name: bool = True) -> bool:
-    """Whether an element is cut. inside: it stands in an article, whose own header holds its headline."""
+def noise(tag: str, attrs: str, inside: bool, by_name: bool = True, holds: int = 0) -> bool:
+    """Whether an element is cut. inside: it stands in an article, whose own header holds its headline. holds: see Tree.holders()."""
     if tag in CUT or tag == "header" and not inside:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
@@ -59,18 +61,20 @@ def noise(tag: str, attrs: str, inside: bool, by_name: bool = True) -> bool:
     found = attributes(attrs)
     if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
-    if not by_name:
+    if not by_name or holds == 2:
         return False
     if not inside and any(HEADER.search(found.get(x, "")) for x in ("class", "id")):
         return True
+    if holds:
+        return any(NAMES.fullmatch(name) for x in ("class", "id") for name in found.get(x, "").split())
     return bool(NAMES.search(found.get("class", "")) or NAMES.search(found.get("id", "")))
 
 
 class Tree:
     """Nodes in page order as parallel lists; texts hang on their nodes."""
 
-    def __init__(self, html: str, by_name: bool = True):
-        self.tag, self.up, self.cut, self.by_name = ["#page"], [-1], [False], by_name
+    def __init__(self, html: str, by_name: bool = True, holds: dict[int, int] | None = None):
+        self.tag, self.up, self.cut, self.by_name, self.holds = ["#page"], [-1], [False], by_name, holds or {}
         #: What follows in page order: (node, text), text None where a block begins or ends.
         self.flow: list[tuple[int, str | None]] = []
         self.read(html)
@@ -121,7 +125,7 @@ class Tree:
                     node = up[node]
                 if node > 0 and tag[node] in alike:
                     at = up[node]
-            node = self.open(name, at, cut[at] or noise(name, attrs, inside > 0, self.by_name))
+            node = self.open(name, at, cut[at] or noise(name, attrs, inside > 0, self.by_name, self.holds.get(len(tag), 0)))
             if name in RAW and not attrs.endswith("/"):
                 end = RAW[name].search(html, place)
                 if name == "title" or name == "textarea":
@@ -169,6 +173,27 @@ class Tree:
                 sums[self.up[i]] += density[i]
         return density, sums, body
 
+    def holders(self) -> dict[int, int]:
+        """Of a tree without cuts by name: 2 for nodes around main elements and the longest article; else, without articles, 1 for those around the core."""
+        size = [0] * len(self.tag)
+        for node, text in self.flow:
+            size[node] += len(text or "")
+        for i in range(len(size) - 1, 0, -1):
+            size[self.up[i]] += size[i]
+        there = [i for i in range(len(size)) if not self.cut[i] and size[i]]
+        articles = [i for i in there if self.tag[i] == "article"]
+        found = dict.fromkeys([i for i in there if self.tag[i] == "main"] + ([max(articles, key=size.__getitem__)] if articles else []), 2)
+        if not articles:
+            _, sums, _ = self.densities()
+            core = max(there, key=lambda i: (sums[i], -i), default=0)
+            found[core] = found.get(core, 1)
+        out = {}
+        for i, how in found.items():
+            while i > 0 and out.get(i, 0) < how:
+                out[i] = how
+                i = self.up[i]
+        return out
+
     def chosen(self) -> list[bool]:
         """Which nodes belong to the main text."""
         density, sums, body = self.densities()
@@ -199,7 +224,7 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     for by_name in (True, False):  # names of a wrapper around everything say nothing: where all is cut, only tags count
-        tree = Tree(html, by_name)
+        tree = Tree(html, by_name, Tree(html, False).holders() if by_name else None)
         take = tree.chosen()
         if found := " ".join("".join(" " if text is None else text for node, text in tree.flow if text is None or take[node]).split()):
             return found

@@ -162,3 +162,12 @@ def test_quality_tells_rare_words_apart(spark):
     h, w, _ = quality.hashed([quality.words_of(rows[-3][1])])
     want = -sum(logs[1 if a == quality.START else number.get(a, 0), number.get(b, 0)] for a, b in zip(h.tolist(), w.tolist())) / len(w)
     assert abs(got[1000, 80].nll - want) < 1e-3
+
+
+def test_main_text_keeps_wrappers_of_the_article():
+    rest = "<p class=tagline>A tagline</p><div class='comment-list'><p>reader</p></div>"
+    for name in ("content has-sidebar", "site no-sidebar", "layout-sidebar-right", "wrap nav-fixed", "post tags-news"):
+        for inner in (f"<article><p>{LONG}</p><p>{LONG}</p></article>", f"<main><p>{LONG}</p><p>{LONG}</p></main>", f"<p>{LONG}</p><p>{LONG}</p>"):
+            assert f"{LONG.strip()} {LONG.strip()}" in main_text.extract(f"<body><div class='{name}'>{inner}</div>{rest}</body>"), (name, inner)
+    assert main_text.extract(f"<body><article><p>{LONG}</p></article><section class='post-comments'><article><p>reader</p></article></section></body>") == LONG.strip()
+    assert main_text.extract(f"<body><div><p>{LONG}</p></div><div id=comments><p>{LONG}</p><p>{LONG}</p></div></body>") == LONG.strip()
