@@ -19,6 +19,9 @@ VERTICALS = {
     "family": ("Law", "family", "Justia"), "immigration": ("Law", "immigration", "Justia"),
 }
 
+#: Characters at the start of a name by which names that contain it are found.
+START = 5
+
 
 def screened(candidates: DataFrame, vertical: str = "") -> tuple[DataFrame, DataFrame]:
     """Candidates that stay, without directories as sites, and those that don't, with reason."""
@@ -36,9 +39,10 @@ def unique_candidates(candidates: DataFrame, ord_: str = "ord", limit: int = 0)
 def contained_match(wanted: DataFrame, known: DataFrame, key: str, name_key: str, keys: list[str], ord_: str = "ord", blocked: bool = False) -> DataFrame:
     """Per wanted row the first known row whose name contains its own, or is contained in it.
 
-    Substrings may begin inside words, so the exact form compares all names; the wanted names are
-    reduced to distinct ones first. blocked: names must share a word of four letters or more,
-    which makes it an equi-join that holds at any size but misses matches that cut through words.
+    Substrings may begin inside words. The wanted names are reduced to distinct ones first. Of two names
+    one of which contains the other, the longer has the first five characters of the shorter (all of
+    it, where it has fewer) somewhere, so equi-joins with the substrings of that length find all pairs.
+    blocked: names must share a word of four letters or more, which misses matches that cut through words.
     """
     w = wanted.select(key).where(F.length(key) >= 5).distinct()
     n = known.groupBy(name_key).agg(F.min(ord_).alias(ord_)).where(F.col(name_key) != "")
@@ -47,12 +51,20 @@ def contained_match(wanted: DataFrame, known: DataFrame, key: str, name_key: str
         word = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.col(c), " "), lambda x: F.length(x) >= 4)))
         pairs = w.withColumn("_w", word(key)).join(n.withColumn("_w", word(name_key)), "_w").where(hit)
     else:
-        pairs = w.join(n, hit)
+        # One join for both directions: an "h" before the heads of keys and the pieces of names, an "n" before the heads of names and the pieces of keys.
+        head = lambda c: F.substring(c, 1, START)
+        pieces = lambda c, size: F.when(F.length(c) >= size, F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(F.col(c), i, size))).otherwise(F.array().cast("array<string>"))
+        marked = lambda mark, found: F.transform(found, lambda x: F.concat(F.lit(mark), x))
+        every = F.concat(*[pieces(key, size) for size in range(1, START + 1)])
+        of_key = F.concat(marked("h", F.array(head(key))), marked("n", every))
+        of_name = F.concat(marked("n", F.array(head(name_key))), marked("h", pieces(name_key, START)))
+        word = lambda found: F.explode(F.array_distinct(found))
+        pairs = w.withColumn("_w", word(of_key)).join(n.withColumn("_w", word(of_name)), "_w").where(hit)
     first = pairs.groupBy(key).agg(F.min(ord_).alias(ord_))
     return wanted.join(first, key).select(*keys, key, ord_)
 
 
-def matched(candidates: DataFrame, businesses: DataFrame, ord_: str = "ord", blocked: bool = True) -> DataFrame:
+def matched(candidates: DataFrame, businesses: DataFrame, ord_: str = "ord", blocked: bool = False) -> DataFrame:
     """Candidates with the slug of the business they are, or null.
 
     In order: equal phone with a fitting name, equal name, a name that contains the other.
@@ -78,7 +90,7 @@ def unique_slugs(rows: DataFrame, base: str, order: list[str], taken: DataFrame
     return rows.withColumn("unique_slug", F.when(place == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), place))).drop("_t")
 
 
-def upserted(candidates: DataFrame, businesses: DataFrame, vertical: str, ord_: str = "ord", default_city: str = "Texas", blocked: bool = True) -> DataFrame:
+def upserted(candidates: DataFrame, businesses: DataFrame, vertical: str, ord_: str = "ord", default_city: str = "Texas", blocked: bool = False) -> DataFrame:
     """businesses after an ingest: known ones get what they lack, others are new. change tells which: created, updated or same."""
     category, practice, label = VERTICALS[vertical]
     m = matched(candidates, businesses, ord_, blocked)

@@ -124,6 +124,17 @@ def test_exact_and_blocked_containment(spark):
     assert exact == {1: 10, 2: 10} and blocked == {1: 10}
 
 
+def test_containment_of_short_words_and_inside_words(spark):
+    names = [("s1", "LEE KIM DDS"), ("s2", "ABC"), ("s3", "OVALE TRIALS"), ("s4", "OAK")]
+    b = spark.createDataFrame([(s, n, None) for s, n in names], "slug string, name string, phone string")
+    wanted = ["LEE KIM", "XX ABCD", "VALE TRIAL", "PIN OAK CO", "NOBODY ELSE"]
+    c = spark.createDataFrame([(i, n, None) for i, n in enumerate(wanted)], "ord int, firm string, phone string")
+    assert [r.slug for r in entities.matched(c, b).orderBy("ord").collect()] == ["s1", "s2", "s3", "s4", None]
+    w = c.select("ord", F.col("firm").alias("key"))
+    plan = entities.contained_match(w.withColumnRenamed("ord", "i"), b.selectExpr("slug as ord", "name as name_key"), "key", "name_key", ["i"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_contact_merge_and_rank(spark):
     m = entities.merged_contacts(fixtures.contacts(spark))
     got = {(r.slug, r.name or r.email): r for r in m.collect()}
