@@ -28,7 +28,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # as [0-9a-f]+ with the short runs dropped
 NEAR = re.compile(r"(?:pass|secret|token|api)", re.I | re.A)
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?)(PRIVATE KEY|PUBLIC KEY|CERTIFICATE)-----([A-Za-z0-9+/=\s\\]*?)-----END \1\2-----")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Where in a run a key may begin after a separator: the first bytes of a DER sequence, of an SSH blob or of a private SSH container.
+INNER = re.compile(r"(?<=[/_-])(?=M[A-P]|AAAA[B-J]|b3Bl)")
+#: Characters of the shortest token SIGNED finds.
+SHORTEST = 13
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 #: Kinds in the order that breaks ties of equal starts.
 KINDS = ("assign", "access", "hex", "pem", "signed", "der", "ssh")
@@ -98,6 +102,30 @@ def ssh_key(data: bytes) -> bool:
     return len(parts) >= 2 and re.match(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-[a-z0-9-]+|sk-[a-z0-9@.-]+)$", parts[0]) is not None
 
 
+def begins_key(run: str) -> bool:
+    """Whether the first bytes of a run can begin a key: the name of an SSH key, or a DER length that is that of the run. Cheap, to be asked at many places."""
+    head = decoded(run[:64].rstrip("="))
+    if not head or head[0] != 0x30:
+        return head is not None and (head.startswith(b"openssh-key-v1\0") or re.match(rb"\0\0\0.(ssh-|ecdsa-|sk-)", head, re.S) is not None)
+    size = len(run.rstrip("=")) * 3 // 4
+    top = der_item(head + bytes(8), 0, size)
+    return top is not None and top[2] == size
+
+
+def inner_key(run: str) -> tuple[int, int] | None:
+    """Offset and kind of a key that begins after a separator inside a run."""
+    for m in INNER.finditer(run):
+        part = run[m.start() :]
+        if len(part.rstrip("=")) < 40:
+            return None
+        if begins_key(part):
+            data = decoded(part)
+            kind = None if data is None else 5 if der_key(data) else 6 if ssh_key(data) else None
+            if kind is not None:
+                return m.start(), kind
+    return None
+
+
 def signed_header(run: str) -> bool:
     """Whether a run decodes to the header of a signed token: a JSON object that names its algorithm."""
     data = decoded(run)
@@ -129,7 +157,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
             if data is not None and (der_key(data) or ssh_key(data)):
                 found.append((m.start(), 3, m.end()))
                 taken.append((m.start(), m.end()))
-    words = [w for w in text.split() if len(w) >= 30]
+    words = [w for w in text.split() if len(w) >= SHORTEST]
     if not words:
         return found
     if any(w.count(".") >= 2 for w in words):
@@ -137,6 +165,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
             if signed_header(m[1]):
                 found.append((m.start(), 4, m.end()))
                 taken.append((m.start(), m.end()))
+    if all(len(w) < 40 for w in words):
+        return found
     for pattern, turn in ((BASE64, decoded), (HEX_KEY, bytes.fromhex)):
         for m in pattern.finditer(text):
             if any(a <= m.start() < b for a, b in taken):
@@ -145,6 +175,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
             kind = None if data is None else 5 if der_key(data) else 6 if ssh_key(data) else None
             if kind is not None:
                 found.append((m.start(), kind, m.end()))
+            elif pattern is BASE64 and (inner := inner_key(m[0])):
+                found.append((m.start() + inner[0], inner[1], m.end()))
     return found
 
 

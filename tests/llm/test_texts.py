@@ -171,3 +171,11 @@ def test_main_text_keeps_wrappers_of_the_article():
             assert f"{LONG.strip()} {LONG.strip()}" in main_text.extract(f"<body><div class='{name}'>{inner}</div>{rest}</body>"), (name, inner)
     assert main_text.extract(f"<body><article><p>{LONG}</p></article><section class='post-comments'><article><p>reader</p></article></section></body>") == LONG.strip()
     assert main_text.extract(f"<body><div><p>{LONG}</p></div><div id=comments><p>{LONG}</p><p>{LONG}</p></div></body>") == LONG.strip()
+
+
+def test_keys_after_separators():
+    for key, kind in ((KEY, "der"), (SSH, "ssh")):
+        for before in ("x KEY=", "x a_path/", "x name-", "x name_", "x KEY=some/path_"):
+            text = f"{before}{key} y"
+            assert secrets.joined(secrets.confirmed_spans(text)) == f"{kind}:{len(before)}:{len(before) + len(key)}", before
+    assert secrets.joined(secrets.confirmed_spans("a eyJhbGciOiJub25lIn0.e30. b")) == "signed:2:26"
