@@ -49,7 +49,7 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "lang", "n_words", F.round("nll", 6).alias("nll"), F.round(F.exp("nll"), 3).alias("perplexity"), F.round("own", 6).alias("own"), "kept")
+    return found.select("doc_id", "lang", F.round("nll", 6).alias("nll"), F.round(F.exp("nll"), 4).alias("perplexity"), F.round("own", 6).alias("own"), "fluent", "kept")
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,31 +1,32 @@
-"""Quality classifier: an interpolated modified Kneser-Ney language model of trusted text.
-
-Trusted are the rows labelled good. Words are known by 64-bit hashes and all of them have
-names of their own: bigrams are counted over all trusted rows that are not held out. A task
-counts its own, the shards (hashes of the pairs) add them up, and joins with the totals of
-histories and continuations give discounts and back-off weights. Unseen words share the
-place of one more word.
-
-The logarithm of a word's probability is a sum of three numbers: the back-off weight of the
-history, the share of the word among continuations, and for pairs that were counted what the
-pair adds to those. So a document's score is a sum over its distinct words and pairs, and
-these meet the sharded model in a join. What makes up FREQUENT or more of the counts is
-looked up before that where the document lies; it is at most 1 / FREQUENT words and as many
-pairs at any input. The model itself grows with the input and is never in one place.
-
-A document's perplexity is that of its words. It is rejected where its perplexity lies
-above the quantile that trusted documents of its language have; those are held out of
-the counts, so they score as new texts do (for a language with fewer than LEAST of them
-the quantile is that of all languages). The quantile leaves room, more
-for fewer words, so that clean documents stay. A model of other texts can't see that a
-text repeats itself, so a second perplexity, that of the document under the word shares
-of the document itself, has a lower quantile of its kind (as its entropy against the
-logarithm of the number of words).
-
-Defined results: null and empty texts and texts without words have no perplexity and
-stay; without trusted rows everything stays; a document labelled twice is trusted if
-every label says so; repeated rows get equal results; null languages count as one
-language; extra columns are kept and never read.
+"""Quality classifier: an interpolated modified Kneser-Ney model of the characters of trusted text.
+
+Trusted are the rows labelled good. The model's units are characters, so there are no
+unknown words: every run of ORDER characters of every trusted text that is not held out is
+counted, whatever their number. A task counts its own, the shards (hashes of the runs) add
+them up. Lower orders hold continuation counts, and joins of each order with the totals of
+its histories and with the order below give discounts, back-off weights and probabilities.
+The model is a set of tables that grow with the input; it is never in one place.
+
+A document's score is the sum of log p over its characters, so a sum over its distinct runs.
+Runs that make up FREQUENT or more of all counts are looked up where the document lies; these
+are at most 1 / FREQUENT at any input. Every other run of a document is a row that meets the
+sharded tables in joins, first its own order's, then, where it was never seen, the back-off
+weights and the orders below. Joins happen once for each distinct run of the corpus; runs in
+COMMON or more of the rows (at most 1 / COMMON) reach their rows by a broadcast, the others by
+a join in which no key is hot.
+
+A document's perplexity is that of a character. It is rejected where its perplexity lies above
+the quantile that trusted documents of its language have; those are held out of the counts,
+so they score as new texts do (a language with fewer than LEAST of them, or less than a share
+LEAST_SHARE, has the quantile of all languages). The quantile leaves room, more for shorter
+texts, so that clean documents stay. A model of other texts can't see that a text repeats
+itself, so the perplexity of a document under its own word shares (as its entropy against that
+of as many words that are all different) has a lower quantile of its kind beside it.
+
+Defined results: null and empty texts and texts without words have no perplexity and stay; without trusted rows
+everything stays; a document labelled twice is trusted if every label says so; repeated rows
+get equal results; null languages count as one language; the character NUL counts as the
+replacement character; extra columns are kept and never read.
 """
 
 from __future__ import annotations
@@ -34,82 +35,78 @@ import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from gleanery.llm.store import written
-
-#: Stands for the start of a text; and what tells the last word of a text, which is nobody's history, from the word itself.
-START, LAST = 0x5354415254, 0x1F83D9ABFB41BD6B
-#: Share of all counts from which on a word or pair is looked up without a join.
-FREQUENT = 2e-6
-#: Quantiles of trusted documents' own entropies and perplexities within which documents stay, the room above (as a factor of perplexity), and trusted documents a language needs.
-LOW, HIGH, ROOM, LEAST = 0.001, 0.995, 1.08, 50
-#: Words a trusted document needs to take part in quantiles; room in nats for a document of one word, falling with the square root of words.
-SHORT, ROOM_SHORT = 40, 12.0
+
+from gleanery.llm.store import dropped, written
+
+#: Characters of a run, and what stands before a text.
+ORDER, START = 4, "\x02"
+#: Share of all counts from which on a run is looked up without a join, and share of the rows to be joined from which on a run's score is broadcast.
+FREQUENT, COMMON = 5e-7, 2e-5
+#: Quantile of trusted documents' perplexities below which documents stay, the room above (as a factor of perplexity), trusted documents a language needs, and their share.
+HIGH, ROOM, LEAST, LEAST_SHARE = 0.999, 1.03, 50, 1e-4
+#: Quantile of trusted documents' own entropies, and the part of it that a document's own entropy must reach.
+LOW, OWN_ROOM = 0.001, 0.8
+#: Characters a trusted document needs to take part in quantiles; room in nats for a document of one character, falling with the square root of characters.
+SHORT, ROOM_SHORT = 200, 6.0
 #: One trusted document of so many is held out of the counts.
 HELD = 4
-#: The share of the lower quantile that a document's own entropy must reach.
-OWN_ROOM = 0.8
+#: Characters that are looked at at once.
+PIECE = 1 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str) -> list[str]:
-    """Words as white space parts them, without letter case at the start of a sentence: Titlecase counts as lower case."""
-    return [w.lower() if w[1:].islower() or len(w) == 1 else w for w in text.split()]
+def cleaned(text: str | None) -> str:
+    return (text or "").replace("\0", "�")
 
 
-def own(text: str) -> float:
+def own(text: str) -> float | None:
     """Entropy of a text's word shares, as a part of what as many words that are all different have."""
     count = np.fromiter(Counter(text.split()).values(), dtype=float)
     total = count.sum()
-    return float(1 - (count * np.log(count)).sum() / total / np.log(total)) if total > 1 else 1.0
+    return None if not total else 1.0 if total == 1 else float(1 - (count * np.log(count)).sum() / total / np.log(total))
 
 
-def mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Hashes of pairs of hashes."""
-    x = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
-    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-    return (x ^ (x >> np.uint64(31))).view(np.int64)
+def pieces(texts: list[str]):
+    """(codes, places, owners): code points of some texts, where runs begin in them, and which text each run is of. Long texts come in parts, so memory is bounded."""
+    parts, owners, size = [], [], 0
+    for k, text in enumerate(texts):
+        padded = START * (ORDER - 1) + text
+        for a in range(0, len(text), PIECE):
+            part = padded[a : a + PIECE + ORDER - 1]
+            if size and size + len(part) > PIECE:
+                yield _runs(parts, owners)
+                parts, owners, size = [], [], 0
+            parts.append(part)
+            owners.append(k)
+            size += len(part)
+    if parts:
+        yield _runs(parts, owners)
 
 
-def hashed(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(h, w, at) of all words of lists of words: history, word and the place of the list."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    flat = np.array([w for t in texts for w in t], dtype=object)
-    w = pd.util.hash_array(flat, categorize=True).view(np.int64) if len(flat) else np.empty(0, np.int64)
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    h[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
-    return h, w, np.repeat(np.arange(len(texts)), sizes)
+def _runs(parts: list[str], owners: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes = np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32)
+    sizes = np.array([len(p) for p in parts])
+    runs = sizes - ORDER + 1
+    shift = np.repeat((np.cumsum(sizes) - sizes) - (np.cumsum(runs) - runs), runs)
+    return codes, np.arange(runs.sum()) + shift, np.repeat(np.array(owners), runs)
 
 
-class Model:
-    """What words and pairs add to log p, by their hash: frequent ones as sorted arrays, all as a table of f and v."""
-
-    def __init__(self, table: DataFrame, frequent: tuple[np.ndarray, np.ndarray], unseen: float, start: float, parts: tuple[DataFrame, DataFrame]):
-        self.table, self.frequent, self.unseen, self.start, self.parts = table, frequent, unseen, start, parts
-
-    @property
-    def number(self) -> dict[int, int]:
-        """Numbers of the words, from 2; for looking at small models."""
-        return {r["w"]: i + 2 for i, r in enumerate(self.parts[0].select("w").orderBy("w").collect())}
-
-    @property
-    def logs(self) -> np.ndarray:
-        """log p(word | history) as one matrix, column 0 for unseen words; for looking at small models."""
-        number = self.number
-        low, weight = np.full(len(number) + 2, self.unseen), np.zeros(len(number) + 2)
-        for r in self.parts[0].collect():
-            low[number[r["w"]]], weight[number[r["w"]]] = r["low"], r["weight"]
-        weight[1] = self.start
-        out = (weight[:, None] + low[None, :]).astype(np.float32)
-        for r in self.parts[1].collect():
-            out[number.get(r["h"], 1), number[r["w"]]] += r["v"]
-        return out
+def keys(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """64-bit names of runs."""
+    h = np.zeros(len(codes) - ORDER + 1, dtype=np.uint64)
+    for k in range(ORDER):
+        h = (h ^ codes[k : k + len(h)]) * _MIX
+        h ^= h >> np.uint64(29)
+    return h[places]
+
+
+def strings(codes: np.ndarray, places: np.ndarray) -> list[str]:
+    """The runs themselves."""
+    window = np.stack([codes[places + k] for k in range(ORDER)], axis=1) if len(places) else np.empty((0, ORDER), np.uint32)
+    return np.ascontiguousarray(window).view(f"<U{ORDER}").ravel().tolist()
 
 
 def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
@@ -124,9 +121,9 @@ def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.1), i + 0.95) for i, d in enumerate((d1, d2, d3)))
 
 
-def discounted(count, d: tuple[float, float, float]):
+def discounted(d: tuple[float, float, float]):
     """The discount of a count, as a column."""
-    return F.when(count == 1, d[0]).when(count == 2, d[1]).otherwise(d[2])
+    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
 
 def trusted(labels: DataFrame, key: str = "doc_id", quality: str = "quality") -> DataFrame:
@@ -134,155 +131,183 @@ def trusted(labels: DataFrame, key: str = "doc_id", quality: str = "quality") ->
     return labels.groupBy(F.col(key).alias("lk")).agg(F.min(F.coalesce(F.col(quality), F.lit(0))).alias("q")).where("q = 1 and lk is not null").select("lk")
 
 
-def _pairs(good: DataFrame, text: str) -> DataFrame:
-    """f, h, w, c: bigrams of all texts, with the hash of the pair. A task's table empties itself before it grows large."""
+def held_out(key):
+    """Which trusted documents the model doesn't count: those whose scores give the quantiles, as new texts score."""
+    return F.pmod(F.xxhash64(key, F.lit(9)), F.lit(HELD)) == 0
 
-    def run(batches):
-        held, size = [], 0
 
-        def summed():
-            f, h, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, first, back = np.unique(f, return_index=True, return_inverse=True)
-            return keys, h[first], w[first], np.bincount(back, weights=c, minlength=len(keys)).astype(np.int64)
+def counted(texts: DataFrame, text: str = "text") -> DataFrame:
+    """g, c: every run of the texts and how often it occurs. A task's table empties itself before it grows large."""
 
-        def out(found):
-            for i in range(0, len(found[0]), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000], pa.int64()) for x in found], names=["f", "h", "w", "c"])
+    def run(batches):
+        held = {}
+
+        def out():
+            found = list(held.items())
+            for i in range(0, len(found), 100_000):
+                g, c = zip(*found[i : i + 100_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(c, pa.int64())], names=["g", "c"])
 
         for batch in batches:
-            h, w, _ = hashed([words_of(t.as_py() or "") for t in batch.column(0)])
-            held.append((mixed(h, w), h, w, np.ones(len(h), dtype=np.int64)))
-            size += len(h)
-            if size > 3_000_000:
-                found = summed()
-                held, size = [found], len(found[0])
-                if size > 1_500_000:
-                    yield from out(found)
-                    held, size = [], 0
-        if held:
-            yield from out(summed())
-
-    found = good.select(F.col(text).cast("string")).mapInArrow(run, "f long, h long, w long, c long")
-    return found.groupBy("f", "h", "w").agg(F.sum("c").alias("c"))
+            for codes, places, _ in pieces([cleaned(t.as_py()) for t in batch.column(0)]):
+                _, first, n = np.unique(keys(codes, places), return_index=True, return_counts=True)
+                for g, c in zip(strings(codes, places[first]), n.tolist(), strict=True):
+                    held[g] = held.get(g, 0) + c
+                if len(held) > 1_000_000:
+                    yield from out()
+                    held = {}
+        yield from out()
 
+    return texts.select(F.col(text).cast("string")).mapInArrow(run, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
-def held_out(key):
-    """Which trusted documents the model doesn't count: those whose scores give the quantiles, as new texts score."""
-    return F.pmod(F.xxhash64(key, F.lit(9)), F.lit(HELD)) == 0
+
+class Model:
+    """Tables by order n: p[n] with g and lp (log p of its last character after the others), weight[n] with h and lw (log of the back-off weight)."""
+
+    def __init__(self, p: dict[int, DataFrame], weight: dict[int, DataFrame], unseen: float, frequent: tuple[np.ndarray, np.ndarray], tables: list[DataFrame]):
+        self.p, self.weight, self.unseen, self.frequent, self.tables = p, weight, unseen, frequent, tables
+
+    def valued(self, runs: DataFrame) -> DataFrame:
+        """runs (g and more) with v, log p: of the run where it was seen, else by back-off through the orders below."""
+        v = F.lit(self.unseen)
+        for n in range(1, ORDER + 1):
+            lower = v if n == 1 else F.coalesce(F.col(f"lw{n}"), F.lit(0.0)) + v
+            v = F.coalesce(F.col(f"lp{n}"), lower)
+            tail = F.substring("g", ORDER - n + 1, n)
+            table = self.p[n].select(F.col("g").alias("_g"), F.col("lp").alias(f"lp{n}"))
+            # One row a character, so Unicode bounds these.
+            runs = runs.join(F.broadcast(table) if n == 1 else table, tail == F.col("_g"), "left").drop("_g")
+            if n > 1:
+                table = self.weight[n].select(F.col("h").alias("_h"), F.col("lw").alias(f"lw{n}"))
+                runs = runs.join(F.broadcast(table) if n == 2 else table, F.substring("g", ORDER - n + 1, n - 1) == F.col("_h"), "left").drop("_h")
+        made = [f"lp{n}" for n in range(1, ORDER + 1)] + [f"lw{n}" for n in range(2, ORDER + 1)]
+        return runs.withColumn("v", v).drop(*made)
+
+    def drop(self) -> None:
+        for t in self.tables:
+            dropped(t)
 
 
 def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
     """The model of all trusted texts but those held out; None without any."""
     good = trusted(labels, key).where(~held_out("lk"))
-    pairs = written(_pairs(docs.select(key, text).join(good.hint("merge"), F.col(key) == good.lk, "left_semi"), text))
-    of = lambda column: {int(r["c"]): int(r["m"]) for r in column.where("c <= 4").groupBy("c").agg(F.count("*").alias("m")).collect()}
-    d2 = discounts(of(pairs.select("c")))
-    continued = written(pairs.groupBy("w").agg(F.count("*").cast("long").alias("c"), F.sum("c").alias("n")))
-    d1 = discounts(of(continued.select("c")))
-    d = discounted(F.col("c"), d1)
-    all_ = continued.agg(F.count("*").alias("words"), F.sum("c").alias("c"), F.sum(d).alias("d"), F.sum("n").alias("n")).first()
-    if not all_["words"]:
-        return None
-    # Joins by history give each pair its discounted share and each history its back-off weight; unseen words have the place of one.
-    unseen = all_["d"] / all_["c"] / (all_["words"] + 1)
-    totals = written(pairs.groupBy("h").agg(F.sum("c").alias("total"), (F.sum(discounted(F.col("c"), d2)) / F.sum("c")).alias("weight")))
-    start = totals.where(F.col("h") == START).first()["weight"]
-    lower = continued.select("w", "n", ((F.col("c") - d) / F.lit(float(all_["c"])) + F.lit(unseen)).alias("low"))
-    single = lower.join(totals.select(F.col("h").alias("w"), "weight"), "w", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    share = (F.col("c") - discounted(F.col("c"), d2)) / F.col("total")
-    both = pairs.join(totals, "h").join(lower.drop("n"), "w").select("f", "h", "w", F.col("c").alias("n"), F.log1p(share / (F.col("weight") * F.col("low"))).alias("v"))
-    words = single.select(F.col("w").alias("f"), "n", (F.log("weight") + F.log("low") - F.lit(math.log(unseen))).alias("v"))
-    last = single.select(F.col("w").bitwiseXOR(F.lit(LAST)).alias("f"), "n", (-F.log("weight")).alias("v"))
-    table = written(words.unionByName(last).unionByName(both.select("f", "n", "v")))
-    often = table.where(F.col("n") >= FREQUENT * all_["n"]).select("f", "v").toArrow()
-    f, v = (np.asarray(often.column(x)) for x in ("f", "v"))
-    order = np.argsort(f)
-    parts = single.select("w", F.log("weight").alias("weight"), F.log("low").alias("low")), both.select("h", "w", "v")
-    return Model(table.select("f", "v"), (f[order], v[order]), math.log(unseen), math.log(start), parts)
-
-
-def _features(docs: DataFrame, model: Model | None, text: str) -> DataFrame:
-    """Rows of id, f, n, v, own for docs (id, text). A row a text, with f = id: minus the words as n, what needs no join as v. A row for each other word and pair: f and how often."""
-    sent = docs.sparkSession.sparkContext.broadcast(None if model is None else (*model.frequent, model.unseen, model.start))
+    counts = {ORDER: written(counted(docs.select(key, text).join(good.hint("merge"), F.col(key) == good.lk, "left_semi"), text))}
+    for n in range(ORDER - 1, 0, -1):  # in how many ways a run of n characters is preceded
+        counts[n] = written(counts[n + 1].groupBy(F.substring("g", 2, n).alias("g")).agg(F.count("*").alias("c")))
+    tables, p, weight = list(counts.values()), {}, {}
+    for n in range(1, ORDER + 1):
+        d = discounted(discounts({r["c"]: r["m"] for r in counts[n].where("c <= 4").groupBy("c").agg(F.count("*").alias("m")).collect()}))
+        if n == 1:
+            all_ = counts[1].agg(F.sum("c").alias("c"), F.sum(d).alias("d"), F.count("*").alias("m")).first()
+            if not all_["m"]:
+                for t in tables:
+                    dropped(t)
+                return None
+            # A character that no trusted text has takes the place of one more.
+            unseen = all_["d"] / all_["c"] / (all_["m"] + 1)
+            p[1] = written(counts[1].select("g", F.log((F.col("c") - d) / F.lit(float(all_["c"])) + F.lit(unseen)).alias("lp")))
+        else:
+            by = counts[n].groupBy(F.substring("g", 1, n - 1).alias("h")).agg(F.sum("c").alias("total"), F.log(F.sum(d) / F.sum("c")).alias("lw"))
+            weight[n] = written(by)
+            lower = p[n - 1].select(F.col("g").alias("_g"), F.col("lp").alias("_lp"))
+            both = counts[n].join(weight[n], F.substring("g", 1, n - 1) == F.col("h")).join(lower, F.substring("g", 2, n - 1) == F.col("_g"))
+            p[n] = written(both.select("g", "c", F.log((F.col("c") - d) / F.col("total") + F.exp(F.col("lw") + F.col("_lp"))).alias("lp")))
+            tables.append(weight[n])
+        tables.append(p[n])
+    total = counts[ORDER].agg(F.sum("c")).first()[0]
+    often = p[ORDER].where(F.col("c") >= FREQUENT * total).select("g", "lp").toArrow()
+    runs = np.frombuffer("".join(often.column("g").to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+    name = keys(runs, np.arange(0, len(runs), ORDER)) if len(runs) else np.empty(0, np.uint64)
+    order = np.argsort(name)
+    return Model(p, weight, math.log(unseen), (name[order], np.asarray(often.column("lp"), dtype=float)[order]), tables)
+
+
+def features(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """Rows of id, g, n, v, own for docs (id, text). A row a text, without g: its characters as n, what needs no join as v. A row for each other run: how often it occurs as n."""
+    sent = docs.sparkSession.sparkContext.broadcast(model.frequent)
 
     def run(batches):
+        known, value = sent.value
         for batch in batches:
-            ids, texts = np.asarray(batch.column(0)), [t.as_py() or "" for t in batch.column(1)]
-            h, w, at = hashed([words_of(t) for t in texts])
-            sizes = np.bincount(at, minlength=len(texts))
-            known, found = np.zeros(len(texts)), ([], [])
-            if sent.value:
-                keys, values, unseen, start = sent.value
-                known += sizes * unseen + (sizes > 0) * start
-                ends = np.cumsum(sizes)[sizes > 0] - 1
-                f, at = np.concatenate([w, mixed(h, w), w[ends] ^ LAST]), np.concatenate([at, at, at[ends]])
-                place = np.minimum(np.searchsorted(keys, f), max(0, len(keys) - 1))
-                hit = keys[place] == f if len(keys) else np.zeros(len(f), dtype=bool)
+            ids, texts = np.asarray(batch.column(0)), [cleaned(t.as_py()) for t in batch.column(1)]
+            sums = np.zeros(len(texts))
+            for codes, places, at in pieces(texts):
+                f = keys(codes, places)
+                place = np.minimum(np.searchsorted(known, f), max(0, len(known) - 1))
+                hit = known[place] == f if len(known) else np.zeros(len(f), dtype=bool)
                 # In order of the text, so that equal texts add up alike.
-                known += np.bincount(at[hit], weights=values[place[hit]] if len(keys) else None, minlength=len(texts))
-                f, at = f[~hit], at[~hit]
+                sums += np.bincount(at[hit], weights=value[place[hit]] if len(known) else None, minlength=len(texts))
+                f, at, places = f[~hit], at[~hit], places[~hit]
                 order = np.lexsort((f, at))
-                f, at = f[order], at[order]
+                f, at, places = f[order], at[order], places[order]
                 first = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (at[1:] != at[:-1])]) if len(f) else np.empty(0, np.int64)
-                found = at[first], f[first], np.diff(np.r_[first, len(f)])
-            own_ = [own(t) if n else None for t, n in zip(texts, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(-sizes, pa.int64()), pa.array(known), pa.array(own_, pa.float64())], names=names)
-            for i in range(0, len(found[0]), 100_000):
-                d, x, n = (y[i : i + 100_000] for y in found)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(x), pa.array(n, pa.int64()), pa.nulls(len(d), pa.float64()), pa.nulls(len(d), pa.float64())], names=names)
+                n = np.diff(np.r_[first, len(f)])
+                for i in range(0, len(first), 100_000):
+                    some = first[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at[some]]), pa.array(strings(codes, places[some]), pa.string()), pa.array(n[i : i + 100_000], pa.int64()), pa.nulls(len(some), pa.float64()), pa.nulls(len(some), pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sums), pa.array([own(t) for t in texts], pa.float64())], names=names)
 
-    names = ["id", "f", "n", "v", "own"]
-    return docs.select("id", F.col(text).cast("string")).mapInArrow(run, "id long, f long, n long, v double, own double")
+    names = ["id", "g", "n", "v", "own"]
+    return docs.select("id", F.col(text).cast("string")).mapInArrow(run, "id long, g string, n long, v double, own double")
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """id, nll (mean negative log-likelihood of a word), n_words and own (entropy of its own words) of docs (id, text). Rows of one id count as one."""
-    rows = _features(docs, model, text)
-    if model is None:
-        rows = rows.withColumn("mv", F.lit(None).cast("double"))
-    else:
-        rows = rows.join(model.table.select("f", F.col("v").alias("mv")), "f", "left")
-    words = F.when(F.col("n") <= 0, -F.col("n"))
-    add = F.coalesce("v", F.col("n") * F.col("mv"))
-    summed = rows.groupBy("id").agg(F.sum(add).alias("logs"), F.sum(words).alias("all_words"), F.max(words).alias("n_words"), F.max("own").alias("own"))
-    nll = F.when((F.col("all_words") > 0) & F.lit(model is not None), -F.col("logs") / F.col("all_words"))
+    """id, nll (mean negative log-likelihood of a character), n_chars and own of docs (id, text). Rows of one id count as one."""
     if model is None:  # without a model there is nothing to tell of a text
-        return summed.select("id", nll.cast("double").alias("nll"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("double").alias("own"))
-    return summed.select("id", nll.alias("nll"), "n_words", "own")
-
-
-def room(n_words):
-    """More room for documents of few words, whose mean varies more."""
-    return F.lit(math.log(ROOM)) + F.lit(ROOM_SHORT) / F.sqrt(F.greatest(n_words, F.lit(1)))
+        return docs.select("id", F.lit(None).cast("double").alias("nll"), F.length(text).cast("long").alias("n_chars"), F.lit(None).cast("double").alias("own")).dropDuplicates(["id"])
+    rows = written(features(docs, model, text))
+    open_ = rows.where("g is not null").select("id", "g", "n")
+    runs = open_.groupBy("g").agg(F.count("*").alias("m"))
+    values = written(model.valued(runs))
+    all_ = values.agg(F.sum("m")).first()[0] or 0
+    near = F.broadcast(values.where(F.col("m") >= COMMON * all_).select("g", F.col("v").alias("near")))
+    far = values.where(F.col("m") < COMMON * all_).select("g", F.col("v").alias("far"))
+    looked_up = open_.join(near, "g", "left")
+    tail = looked_up.where("near is null").drop("near").join(far.hint("merge"), "g").select("id", (F.col("n") * F.col("far")).alias("v"))
+    # What a task finds of a document adds up before the shuffle.
+    parts = rows.where("g is null").select("id", "v", "n", "own").unionByName(looked_up.where("near is not null").select("id", (F.col("n") * F.col("near")).alias("v")), allowMissingColumns=True)
+    parts = parts.groupBy("id").agg(F.sum("v").alias("v"), F.sum("n").alias("all_n"), F.max("n").alias("n"), F.max("own").alias("own")).unionByName(tail.groupBy("id").agg(F.sum("v").alias("v")), allowMissingColumns=True)
+    out = parts.groupBy("id").agg(F.sum("v").alias("v"), F.sum("all_n").alias("all_n"), F.max("n").alias("n"), F.max("own").alias("own"))
+    scores = written(out.select("id", F.when((F.col("all_n") > 0) & F.col("own").isNotNull(), -F.col("v") / F.col("all_n")).alias("nll"), F.col("n").alias("n_chars"), "own"))
+    dropped(rows)
+    dropped(values)
+    return scores
+
+
+def room(n_chars):
+    """More room for short documents, whose mean varies more."""
+    return F.lit(math.log(ROOM)) + F.lit(ROOM_SHORT) / F.sqrt(F.greatest(n_chars, F.lit(1)))
 
 
 def thresholds(scores: DataFrame) -> DataFrame:
-    """lang, every, high, own: quantiles of the trusted scores (lang, nll, own) of each language; the row with every = true holds those of all."""
-    cuts = [F.percentile_approx("nll", HIGH, 20000).alias("high"), F.percentile_approx("own", LOW, 20000).alias("own")]
-    by = scores.groupBy("lang").agg(*cuts, F.count("*").alias("m")).where(F.col("m") >= LEAST).select("lang", F.lit(False).alias("every"), "high", "own")
-    every = scores.agg(*cuts).select(F.lit(None).cast("string"), F.lit(True), "high", "own")
-    return by.union(every)
+    """lang, every, high, low: quantiles of the trusted scores (lang, nll, own) of each language; the row with every = true holds those of all."""
+    cuts = F.percentile_approx("nll", HIGH, 20000).alias("high"), F.percentile_approx("own", LOW, 20000).alias("low")
+    every = scores.agg(*cuts, F.count("*").alias("m"))
+    by = scores.groupBy("lang").agg(*cuts, F.count("*").alias("m")).crossJoin(F.broadcast(every.select(F.col("m").alias("all_m")))).where((F.col("m") >= LEAST) & (F.col("m") >= LEAST_SHARE * F.col("all_m")))
+    return by.select("lang", F.lit(False).alias("every"), "high", "low").union(every.select(F.lit(None).cast("string"), F.lit(True), "high", "low"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", prefix: str = "") -> DataFrame:
-    """docs with nll, n_words, own and kept, in place of columns of these names; a prefix keeps those."""
+    """docs with nll, own, fluent (by perplexity alone) and kept, in place of columns of these names; a prefix keeps those."""
     model = trained(docs, labels, key, text)
     own_id = F.xxhash64(F.col(key), F.col(text)).alias("id")
-    scores = written(scored(docs.select(own_id, text), model, text))
+    scores = scored(docs.select(own_id, text), model, text)
+    if model is not None:
+        model.drop()
     # Scores meet the labels and the documents by hashes of key and text.
     good = trusted(labels, key).where(held_out("lk"))
     ids = docs.select(key, F.col(lang).cast("string").alias("lang"), own_id).join(good.hint("merge"), F.col(key) == good.lk, "left_semi")
-    known = ids.join(scores, "id").where(F.col("n_words") >= SHORT)
-    cuts = thresholds(known.select("lang", "nll", "own")).collect()  # one row a language
-    every = next((r for r in cuts if r["every"]), None)
-    limit = {x: F.lit(None if every is None else every[x]).cast("double") for x in ("high", "own")}
-    for r in cuts:
-        if not r["every"]:
-            limit = {x: F.when(F.col(lang).cast("string").eqNullSafe(F.lit(r["lang"])), F.lit(r[x])).otherwise(rest) for x, rest in limit.items()}
-    nll, n_words, own_ = (F.col(f"{prefix}{c}") for c in ("nll", "n_words", "own"))
-    inside = (nll <= limit["high"] + room(n_words)) & (own_ >= OWN_ROOM * limit["own"])
-    added = [f"{prefix}{c}" for c in ("nll", "n_words", "own")]
+    known = ids.join(scores, "id").where((F.col("n_chars") >= SHORT) & F.col("nll").isNotNull())
+    cuts = written(thresholds(known.select("lang", "nll", "own")))
+    # A row of every language with LEAST_SHARE or more of the trusted rows: at most 1 / LEAST_SHARE.
+    of_lang = F.broadcast(cuts.where("not every").select(F.col("lang").alias("_lang"), F.col("high").alias("_high"), F.col("low").alias("_low")))
+    every = cuts.where("every").first()
+    added = [f"{prefix}{c}" for c in ("nll", "own", "fluent", "kept")]
     names = [c for c in docs.columns if c not in added]
-    s = scores.select(F.col("id").alias("_score_id"), *[F.col(c).alias(a) for c, a in zip(("nll", "n_words", "own"), added, strict=True)])
-    joined = docs.select(*names, F.xxhash64(F.col(key), F.col(text)).alias("_row_id")).join(s, F.col("_row_id") == F.col("_score_id"), "left").select(*names, *added)
-    return joined.withColumn(f"{prefix}kept", F.coalesce(inside, F.lit(True)))
+    s = scores.select(F.col("id").alias("_score_id"), F.col("nll").alias("_nll"), F.col("n_chars").alias("_n"), F.col("own").alias("_own"))
+    joined = docs.select(*names, F.xxhash64(F.col(key), F.col(text)).alias("_row_id")).join(s, F.col("_row_id") == F.col("_score_id"), "left")
+    joined = joined.join(of_lang, F.col(lang).cast("string").eqNullSafe(F.col("_lang")), "left")
+    limit = {c: F.coalesce(F.col(f"_{c}"), F.lit(every[c]).cast("double")) for c in ("high", "low")}
+    fluent = F.coalesce(F.col("_nll") <= limit["high"] + room(F.col("_n")), F.lit(True))
+    kept = fluent & F.coalesce(F.col("_own") >= OWN_ROOM * limit["low"], F.lit(True))
+    return joined.select(*names, *[x.alias(c) for c, x in zip(added, (F.col("_nll"), F.col("_own"), fluent, kept), strict=True)])
