@@ -25,15 +25,19 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.split(F.col(text), "\n", -1).alias("lines"))
 
 
+def _once(value, use):
+    """use(value), with value worked out once for a row: a lambda's body is worked out for each element, and with it all that it names from outside."""
+    return F.transform(F.array(value), use)[0]
+
+
 def covered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """k, h (hash of the text) and at: starts, from 0, of the windows to remove. Only documents that lose lines."""
     trimmed = F.transform("lines", lambda x: F.trim(x))
-    window = lambda i: F.concat_ws("\n", F.slice("trimmed", i + 1, SIZE))
+    threes = _once(trimmed, lambda ls: F.transform(F.sequence(F.lit(0), F.size(ls) - SIZE), lambda i: F.concat_ws("\n", *[F.get(ls, i + j) for j in range(SIZE)])))
     windows = (
         _keyed(docs, key, text)
         .where(F.size("lines") >= SIZE)
-        .select("k", "h", trimmed.alias("trimmed"))
-        .select("k", "h", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("trimmed") - SIZE), lambda i: window(i))).alias("at", "three"))
+        .select("k", "h", F.posexplode(threes).alias("at", "three"))
         .where(F.length("three") > SIZE - 1)
         .select("k", "h", "at", F.xxhash64("three").alias("w1"), F.xxhash64(F.lit("second"), F.col("three")).alias("w2"))
     )
@@ -50,10 +54,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: str
     d, g = docs.alias("d"), gone.alias("g")
     joined = d.join(g, F.col(f"d.{key}").eqNullSafe(F.col("g.k")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("g.h")), "left")
     lines = F.split(F.col(f"d.{text}"), "\n", -1)
-    # A set per position would be searched once a line; a line is covered if a window starts at it or up to two before.
-    starts = F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), lambda back: F.transform(F.col("g.at"), lambda a: a + back))
-    hidden = F.flatten(starts)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(hidden, i))
+    # The lines that stay are those whose positions are in no window: a difference of sets, so a document costs its length.
+    hidden = F.flatten(F.transform("g.at", lambda a: F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), lambda on: a + on)))
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x["ls"]) - 1), x["gone"])
+    kept = _once(F.struct(lines.alias("ls"), hidden.alias("gone")), lambda x: F.transform(stay(x), lambda i: F.get(x["ls"], i)))
     out = [F.when(F.col("g.at").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in added]
     n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     removed = F.when(F.col("g.at").isNull(), 0).otherwise(F.size(F.array_distinct(hidden))).cast("long")

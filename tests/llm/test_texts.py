@@ -212,3 +212,16 @@ def test_keys_after_separators():
             text = f"{before}{key} y"
             assert secrets.joined(secrets.confirmed_spans(text)) == f"{kind}:{len(before)}:{len(before) + len(key)}", before
     assert secrets.joined(secrets.confirmed_spans("a eyJhbGciOiJub25lIn0.e30. b")) == "signed:2:26"
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    import time
+
+    text = "\n".join(f"line {i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "own\n" + text + "\nend"), (3, "\n".join(["same"] * 50_000))], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in line_dedup.dedup(docs).collect()}
+    assert time.time() - began < 60
+    assert got[1].text == text and got[2].text == "own\nend" and got[2].n_removed == 100_000
+    # Of one document's equal windows the first stays and the next one covers its last two lines, as the SQL has it.
+    assert got[3].n_removed == 49_999 and got[3].text == "same"
