@@ -1,9 +1,11 @@
 """Secret scans with structural confirmation.
 
 Three base patterns (assignments, access keys, hex runs) report spans as they stand.
-Further candidates, base64 and hex runs, are decoded and reported only when what they
-decode to has the structure of a key: DER sequences whose nested lengths add up, SSH
-key blobs, or the header of a signed token. PEM blocks are confirmed through their body.
+Further candidates, base64 and hex runs (with colons too), are decoded and reported only
+when what they decode to has the structure of a key: DER sequences whose nested lengths add
+up, SSH key blobs, or the header of a signed token. PEM blocks are confirmed through their
+body. A key may begin after a separator inside a run, and a DER key may go on over lines.
+A run is only decoded where a look at its first bytes and lengths fits.
 
 Works on whole texts. Defined results: a null or empty text has no spans; repeated rows
 give equal results; offsets count code points, ends are exclusive.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -34,6 +37,9 @@ INNER = re.compile(r"(?<=[/_-])(?=M[A-P]|AAAA[B-J]|b3Bl)")
 #: Characters of the shortest token SIGNED finds.
 SHORTEST = 13
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
+COLONS = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:\s{0,80}){31,}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])")
+#: A line of base64 that goes on another one, as keys are wrapped.
+NEXT_LINE = re.compile(r"\r?\n[ \t]{0,80}([A-Za-z0-9+/_-]+={0,2})")
 #: Kinds in the order that breaks ties of equal starts.
 KINDS = ("assign", "access", "hex", "pem", "signed", "der", "ssh")
 
@@ -102,36 +108,77 @@ def ssh_key(data: bytes) -> bool:
     return len(parts) >= 2 and re.match(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-[a-z0-9-]+|sk-[a-z0-9@.-]+)$", parts[0]) is not None
 
 
-def begins_key(run: str) -> bool:
-    """Whether the first bytes of a run can begin a key: the name of an SSH key, or a DER length that is that of the run. Cheap, to be asked at many places."""
-    head = decoded(run[:64].rstrip("="))
-    if not head or head[0] != 0x30:
-        return head is not None and (head.startswith(b"openssh-key-v1\0") or re.match(rb"\0\0\0.(ssh-|ecdsa-|sk-)", head, re.S) is not None)
-    size = len(run.rstrip("=")) * 3 // 4
-    top = der_item(head + bytes(8), 0, size)
-    return top is not None and top[2] == size
+def peek(run: str, start: int, at: int, n: int) -> bytes:
+    """Bytes at to at + n of what a run decodes to from its character start on, without decoding the rest; fewer at its end."""
+    first = start + at // 3 * 4
+    found = decoded(run[first : first + (at % 3 + n + 2) // 3 * 4].rstrip("="))
+    return (found or b"")[at % 3 : at % 3 + n]
+
+
+def der_size(head: bytes) -> int | None:
+    """Length of the DER sequence that begins with these bytes, header included."""
+    top = der_item(head + bytes(8), 0, 1 << 40) if head[:1] == b"0" and len(head) > 5 else None
+    return None if top is None else top[2]
+
+
+def begins_key(run: str, start: int = 0) -> bool:
+    """Whether what a run decodes to from a character on has the outer lengths of a key, as far as these can be read without decoding it all."""
+    size = (len(run) - start) * 3 // 4
+    head = peek(run, start, 0, 48)
+    if head.startswith(b"openssh-key-v1\0"):
+        return True
+    if head[:1] == b"0":
+        return der_size(head) == size
+    if not re.match(rb"\0\0\0.(ssh-|ecdsa-|sk-)", head, re.S):
+        return False
+    at, parts = 0, 0
+    while at < size and parts < 64:
+        length = peek(run, start, at, 4)
+        at, parts = at + 4 + int.from_bytes(length, "big"), parts + 1
+        if len(length) < 4:
+            return False
+    return at == size
+
+
+def key_kind(data: bytes | None) -> int | None:
+    """The place in KINDS of the key that these bytes are."""
+    return None if data is None else 5 if der_key(data) else 6 if ssh_key(data) else None
 
 
 def inner_key(run: str) -> tuple[int, int] | None:
     """Offset and kind of a key that begins after a separator inside a run."""
-    for m in INNER.finditer(run):
-        part = run[m.start() :]
-        if len(part.rstrip("=")) < 40:
+    body = run.rstrip("=")
+    for m in INNER.finditer(body):
+        if len(body) - m.start() < 40:
             return None
-        if begins_key(part):
-            data = decoded(part)
-            kind = None if data is None else 5 if der_key(data) else 6 if ssh_key(data) else None
-            if kind is not None:
-                return m.start(), kind
+        if begins_key(body, m.start()) and (kind := key_kind(decoded(body[m.start() :]))) is not None:
+            return m.start(), kind
     return None
 
 
+def wrapped_key(text: str, start: int, end: int) -> int | None:
+    """Where a DER key ends that begins at a run and goes on over the next lines; its outer length says how much belongs to it."""
+    size = der_size(peek(text[start:end], 0, 0, 8))
+    if size is None:
+        return None
+    want, parts, held = -(-size * 4 // 3), [text[start:end]], end - start
+    while held < want:
+        m = NEXT_LINE.match(text, end)
+        if not m or parts[-1].endswith("="):
+            return None
+        parts.append(m[1])
+        held, end = held + len(m[1]), m.end()
+    body = "".join(parts)
+    extra = len(body.rstrip("=")) - want
+    return end if extra == 0 and len(parts) > 1 and der_key(decoded(body) or b"") else None
+
+
 def signed_header(run: str) -> bool:
     """Whether a run decodes to the header of a signed token: a JSON object that names its algorithm."""
     data = decoded(run)
     try:
         head = json.loads(data) if data and data[:1] == b"{" else None
-    except ValueError:
+    except (ValueError, RecursionError):  # what nests without end is no header
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
@@ -150,32 +197,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the candidates that decode to a key, an SSH blob or a signed token."""
-    found, taken = [], []
+    found, taken = [], []  # taken: spans that hold no further candidates, by start
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = decoded(re.sub(r"\\n|\\r|\s", "", m[3]))
-            if data is not None and (der_key(data) or ssh_key(data)):
+            if key_kind(decoded(re.sub(r"\\n|\\r|\s", "", m[3]))) is not None:
                 found.append((m.start(), 3, m.end()))
                 taken.append((m.start(), m.end()))
     words = [w for w in text.split() if len(w) >= SHORTEST]
-    if not words:
-        return found
     if any(w.count(".") >= 2 for w in words):
-        for m in SIGNED.finditer(text):
-            if signed_header(m[1]):
-                found.append((m.start(), 4, m.end()))
-                taken.append((m.start(), m.end()))
+        tokens = [(m.start(), m.end()) for m in SIGNED.finditer(text) if signed_header(m[1])]
+        found += [(a, 4, b) for a, b in tokens]
+        taken = sorted(taken + tokens)
+    if any(w.count(":") >= 31 for w in words) or text.count(":") >= 31 and COLONS.search(text):
+        found += [(m.start(), kind, m.end()) for m in COLONS.finditer(text) if (kind := key_kind(bytes.fromhex(re.sub(r"[:\s]", "", m[0])))) is not None]
     if all(len(w) < 40 for w in words):
         return found
-    for pattern, turn in ((BASE64, decoded), (HEX_KEY, bytes.fromhex)):
+    for pattern in (BASE64, HEX_KEY):
+        place = 0
         for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in taken):
+            i = bisect.bisect_right(taken, (m.start(), len(text) + 1)) - 1
+            if m.start() < place or i >= 0 and taken[i][1] > m.start():
                 continue
-            data = turn(m[0])
-            kind = None if data is None else 5 if der_key(data) else 6 if ssh_key(data) else None
-            if kind is not None:
+            if pattern is HEX_KEY:
+                if m[0][:2] == "30" and (kind := key_kind(bytes.fromhex(m[0]))) is not None or m[0][:6] == "000000" and (kind := key_kind(bytes.fromhex(m[0]))) is not None:
+                    found.append((m.start(), kind, m.end()))
+            elif begins_key(m[0].rstrip("=")) and (kind := key_kind(decoded(m[0]))) is not None:
                 found.append((m.start(), kind, m.end()))
-            elif pattern is BASE64 and (inner := inner_key(m[0])):
+            elif end := wrapped_key(text, m.start(), m.end()):
+                found.append((m.start(), 5, end))
+                place = end
+            elif inner := inner_key(m[0]):
                 found.append((m.start() + inner[0], inner[1], m.end()))
     return found
 
