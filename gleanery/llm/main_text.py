@@ -8,20 +8,22 @@ siblings along that path belong to the article as well.
 
 What is never part of an article (scripts, styles, forms, menus, site headers and
 footers, and elements whose class, id or role names a menu, advert, notice, sidebar or
-comment list) is cut first. A name doesn't cut what holds the longest article or a main
-element; where a page has no article, a name that is only a part of a class ("has-sidebar")
-doesn't cut what holds the core of the page as it is without cuts by name.
+comment list) is cut first. A name cuts only as a whole ("related-posts", not "has-sidebar"
+or "share-price"), and never what holds the longest article, a main element or, where a page
+has none of these, the core of the page as it is without cuts by name.
 
 White space inside a block becomes one blank, blocks are joined by one blank, nothing
 else is dropped. Defined results: a null or empty page, or one without text, gives the
-empty text; markup that is never closed ends with the page; repeated rows give equal
-results.
+empty text; tags and blocks that are never closed end with the page, an element that is cut
+by its tag and never closed (a stray <svg> or <select>) holds nothing; repeated rows give
+equal results. A page costs its length, whatever its markup.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -29,8 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
-RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "select", "object")}
+#: What may begin at a "<": a tag with its name, or something that isn't text (a comment, a declaration).
+BEGIN = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|!--|[!?])")
+#: The rest of a tag, in which ">" may stand between quotes.
+REST = re.compile(r"""([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>""")
+#: Tags whose quotes are never closed after which quotes mean nothing on a page any more.
+BROKEN = 3
+RAW = frozenset("script style textarea title noscript iframe template svg math select object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose start closes an open paragraph, and elements that close an open one of their own kind.
@@ -38,12 +45,15 @@ ENDS_P = BLOCK - frozenset("body br caption html option summary tbody td tfoot t
 OWN_END = {"li": ("ul", "ol"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "tbody": ("table",), "thead": ("table",)}
 ALIKE = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot"), "thead": ("tbody", "thead")}
 CUT = frozenset("head script style noscript textarea iframe template svg math object select option form button input label fieldset nav footer aside menu dialog canvas audio video map".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|comment|comments|commentlist|respond|disqus|reply|replies|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|"
-    r"sidebar\w*|aside|widget\w*|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|footer\w*|copyright|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|trending|newsletter|subscribe\w*|signup|login|search|skip|tags|hidden)(?=$|[\s_-])",
-    re.I,
+#: Parts of class names and ids that name what is cut, and parts that only say where or how it stands. A name cuts if it has nothing else.
+NOISE = re.compile(
+    r"(?:ads?|advert\w*|adsense|banners?|sponsor\w*|promos?|promotions?|comments?|commentlist|respond|disqus|reply|replies|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|"
+    r"sidebars?|aside|widgets?|nav|navs|navbar|navigation|menus?|navmenu|breadcrumbs?|pagination|pager|footers?|copyright|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations?|trending|newsletters?|subscribe|subscription|signup|login|search|skip|tags|hidden)"
 )
+PLACE = frozenset("area bar block bottom box btn button buttons center col column container content count div element form global group head holder icon icons id inner item items js left level link links list main media message middle mobile module outer page panel post posts primary right row secondary section site slot small sticky sub text title to top unit wrap wrapper".split())
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 HEADER = re.compile(r"^header$|(?:^|\s)(?:site|global|main|top|page)[-_]?header(?=$|\s)", re.I)
+CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW | CUT}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
@@ -52,6 +62,13 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(text)}
 
 
+def names_noise(name: str) -> bool:
+    """Whether a class name or id as a whole, by all of its parts, names what is cut: "related-posts" does, "has-sidebar" and "share-price" don't."""
+    parts = [p.lower() for p in PARTS.findall(name)]
+    found = [NOISE.fullmatch(p) is not None for p in parts]
+    return any(found) and all(f or p in PLACE or p.isdigit() for f, p in zip(found, parts, strict=True))
+
+
 def noise(tag: str, attrs: str, inside: bool, by_name: bool = True, holds: int = 0) -> bool:
     """Whether an element is cut. inside: it stands in an article, whose own header holds its headline. holds: see Tree.holders()."""
     if tag in CUT or tag == "header" and not inside:
@@ -66,8 +83,8 @@ def noise(tag: str, attrs: str, inside: bool, by_name: bool = True, holds: int =
     if not inside and any(HEADER.search(found.get(x, "")) for x in ("class", "id")):
         return True
     if holds:
-        return any(NAMES.fullmatch(name) for x in ("class", "id") for name in found.get(x, "").split())
-    return bool(NAMES.search(found.get("class", "")) or NAMES.search(found.get("id", "")))
+        return False
+    return any(names_noise(name) for x in ("class", "id") for name in found.get(x, "").split())
 
 
 class Tree:
@@ -79,62 +96,81 @@ class Tree:
         self.flow: list[tuple[int, str | None]] = []
         self.read(html)
 
-    def open(self, tag: str, at: int, cut: bool) -> int:
-        self.tag.append(tag)
-        self.up.append(at)
-        self.cut.append(cut)
-        return len(self.tag) - 1
-
     def read(self, html: str) -> None:
+        """One pass from left to right. Open elements lie on a stack, and each name knows where on it its own lie, so no tag costs a walk."""
         tag, up, flow, cut = self.tag, self.up, self.flow, self.cut
-        at, place, inside = 0, 0, 0
+        stack, lies, blocks = [0], defaultdict(list), []  # nodes; depths of the open ones by name, and of blocks
+        place, broken, last, ends = 0, 0, html.rfind(">"), {}
 
         def text(raw: str) -> None:
-            if raw and not cut[at]:
-                flow.append((at, unescape(raw) if "&" in raw else raw))
+            if raw and not cut[stack[-1]]:
+                flow.append((stack[-1], unescape(raw) if "&" in raw else raw))
 
-        while m := TOKEN.search(html, place):
-            text(html[place : m.start()])
-            place = m.end()
-            name = m[2] or m[5]
+        def close(depth: int) -> None:
+            while len(stack) > depth:
+                name = tag[stack.pop()]
+                lies[name].pop()
+                if name in BLOCK:
+                    blocks.pop()
+
+        def deepest(names) -> int:
+            return max((lies[x][-1] for x in names if lies[x]), default=0)
+
+        begun = 0
+        while m := BEGIN.search(html, place):
+            start, name = m.start(), m[2]
             if name is None:
+                end = html.find("-->", m.end()) if m[0] == "<!--" else html.find(">", m.end())
+                text(html[begun:start])
+                place = begun = len(html) if end < 0 else end + (3 if m[0] == "<!--" else 1)
                 continue
-            name, attrs = name.lower(), m[3] or m[6] or ""
-            if m[1] or m[4]:
-                node = at
-                while node > 0 and tag[node] != name:
-                    # An inline end tag doesn't close blocks around it.
-                    node = 0 if name not in BLOCK and tag[node] in BLOCK else up[node]
+            if start > last:
+                break
+            rest = REST.match(html, m.end()) if broken < BROKEN else None
+            if rest is None:
+                broken += broken < BROKEN
+                end = html.find(">", m.end())
+                attrs, place = html[m.end() : end], end + 1
+            else:
+                attrs, place = rest[1], rest.end()
+            text(html[begun:start])
+            begun, name = place, name.lower()
+            if m[1]:
                 if name in BLOCK:
-                    flow.append((at, None))
-                if node > 0:
-                    at = up[node]
-                    inside -= name in ("article", "main")
+                    flow.append((stack[-1], None))
+                # An inline end tag doesn't close blocks around it.
+                if lies[name] and (name in BLOCK or not blocks or lies[name][-1] > blocks[-1]):
+                    close(lies[name][-1])
                 continue
             if name in BLOCK:
-                flow.append((at, None))
-            if name in ENDS_P:
-                node = at
-                while node > 0 and tag[node] != "p" and tag[node] not in BLOCK:
-                    node = up[node]
-                if node > 0 and tag[node] == "p":
-                    at = up[node]
-            if name in OWN_END:
-                node, alike = at, ALIKE.get(name, (name,))
-                while node > 0 and tag[node] not in alike and tag[node] not in OWN_END[name]:
-                    node = up[node]
-                if node > 0 and tag[node] in alike:
-                    at = up[node]
-            node = self.open(name, at, cut[at] or noise(name, attrs, inside > 0, self.by_name, self.holds.get(len(tag), 0)))
-            if name in RAW and not attrs.endswith("/"):
-                end = RAW[name].search(html, place)
-                if name == "title" or name == "textarea":
-                    cut[node] = True
-                place = end.end() if end else len(html)
-            elif name not in VOID and not attrs.endswith("/"):
-                at = node
-                inside += name in ("article", "main")
-        text(html[place:])
+                flow.append((stack[-1], None))
+            if name in ENDS_P and lies["p"] and blocks[-1] == lies["p"][-1]:
+                close(blocks[-1])
+            if name in OWN_END and (mine := deepest(ALIKE.get(name, (name,)))) > deepest(OWN_END[name]):
+                close(mine)
+            inside = bool(lies["article"] or lies["main"])
+            node, at = len(tag), stack[-1]
+            cuts = cut[at] or noise(name, attrs, inside, self.by_name, self.holds.get(node, 0))
+            void = name in VOID or attrs.endswith("/")
+            if not void and (name in RAW or name in CUT):
+                # What is never closed holds nothing, but for scripts and styles, whose text is none.
+                if name not in ends:
+                    ends[name] = max((e.start() for e in CLOSE[name].finditer(html, place)), default=-1)
+                if ends[name] < place:
+                    void = name not in ("script", "style")
+                    if not void:
+                        place = begun = len(html)
+                elif name in RAW:
+                    place = begun = CLOSE[name].search(html, place).end()
+            tag.append(name)
+            up.append(at)
+            cut.append(cuts or name in ("title", "textarea"))
+            if not void and name not in RAW:
+                lies[name].append(len(stack))
+                if name in BLOCK:
+                    blocks.append(len(stack))
+                stack.append(node)
+        text(html[begun:])
 
     def densities(self) -> tuple[list[float], list[float], int]:
         """Composite density of each node, sums of the densities of children and direct texts, and the body."""

@@ -225,3 +225,100 @@ def test_line_dedup_of_very_many_lines(spark):
     assert got[1].text == text and got[2].text == "own\nend" and got[2].n_removed == 100_000
     # Of one document's equal windows the first stays and the next one covers its last two lines, as the SQL has it.
     assert got[3].n_removed == 49_999 and got[3].text == "same"
+
+
+def test_secrets_in_odd_texts(spark):
+    import time
+
+    # A header that nests without end is no token and stops nothing.
+    deep = base64.urlsafe_b64encode(b'{"a":' * 50_000 + b"1" + b"}" * 50_000).decode().rstrip("=")
+    texts = [f"x {deep}.e30.sig y", "/".join(["MIIB"] * 200_000), "-".join([SSH[:40]] * 20_000), "eyJhbGciOiJub25lIn0.e30. " * 20_000, "AB:" * 200_000, "x " + KEY[:64] + "\n" * 3 + "q" * 300_000]
+    began = time.time()
+    got = [secrets.joined(secrets.confirmed_spans(t)) for t in texts]
+    assert time.time() - began < 30
+    assert got[:3] == ["", "", ""] and got[3].count("signed") == 20_000 and got[4:] == ["", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert secrets.scan(df).count() == len(texts)
+
+
+def test_keys_over_lines_and_with_colons():
+    wrapped = "\n".join(KEY[i : i + 64] for i in range(0, len(KEY), 64))
+    for after in ("", "\nnext words", " and"):
+        assert secrets.joined(secrets.confirmed_spans(f"key: {wrapped}{after}")) == f"der:5:{5 + len(wrapped)}", after
+    colons = ":".join(f"{b:02X}" for b in base64.b64decode(KEY))
+    assert secrets.joined(secrets.confirmed_spans(f"k {colons} z")) == f"der:2:{2 + len(colons)}"
+    folded = ":\n    ".join(":".join(f"{b:02x}" for b in base64.b64decode(KEY)[i : i + 15]) for i in range(0, len(base64.b64decode(KEY)), 15))
+    assert secrets.joined(secrets.confirmed_spans(f"k {folded} z")) == f"der:2:{2 + len(folded)}"
+    plain = base64.b64decode(KEY).hex()
+    assert "der:" in secrets.joined(secrets.confirmed_spans(f"k {plain} z"))
+
+
+def test_main_text_of_broken_and_hostile_markup():
+    import time
+
+    began = time.time()
+    article = f"<article><p>{LONG}</p></article>"
+    for bad in ("<a ", '<p class="x ', "a<b ", "</i>", "<svg>", "<nav>", "<p title='x\">", "<!-- ", "<hr>", "<i><div><span><span>"):
+        for tail in ("", ">", "'>", "</nav>"):
+            assert main_text.extract(article + bad * (200_000 // len(bad)) + tail).startswith(LONG.strip()), (bad, tail)
+    main_text.extract("<i>" * 30_000 + "<hr>" * 30_000 + "</b>" * 30_000 + "<div>" + "<b>" * 30_000 + "</i>" * 30_000)
+    assert time.time() - began < 60
+    for name in ("share-price", "tags-explained", "related-work", "no-sidebar", "side-by-side"):
+        assert main_text.extract(f"<article><p>{LONG}</p><p class='{name}'>more</p></article>") == f"{LONG.strip()} more", name
+    for name in ("share-buttons", "related-posts", "post-tags", "relatedPosts", "comment-list", "sidebar_2", "social"):
+        assert main_text.extract(f"<article><p>{LONG}</p><p class='{name}'>more</p></article>") == LONG.strip(), name
+    for tag in ("svg", "select", "noscript", "nav", "form", "title"):
+        assert main_text.extract(f"<body><{tag}><article><p>{LONG}</p></article>") == LONG.strip(), tag
+
+
+def test_density_equals_brute_force():
+    import math
+
+    rng = random.Random(6)
+
+    def made(depth):
+        """(tag, children), a child being a text or such a pair."""
+        tag = rng.choice(["div", "p", "a", "b", "section"]) if depth else "body"
+        kids = [made(depth + 1) if depth < 4 and tag in ("body", "div", "section") and rng.random() < 0.7 else "w" * rng.randint(1, 60) for _ in range(rng.randint(1, 4))]
+        return tag, kids
+
+    def html(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(html, node[1]))}</{node[0]}>"
+
+    def counts(node, linked=False):
+        """Characters, tags, characters and tags of links below a node."""
+        linked, out = linked or node[0] == "a", [0, 0, 0, 0]
+        texts = [k for k in node[1] if isinstance(k, str)]
+        out[0] += sum(map(len, texts))
+        out[2] += sum(map(len, texts)) if linked else 0
+        for k in node[1]:
+            if not isinstance(k, str):
+                sub = counts(k, linked)
+                out = [x + y for x, y in zip(out, sub, strict=True)]
+                out[1] += k[0] != "b"
+                out[3] += k[0] == "a"
+        return out
+
+    for _ in range(200):
+        body = made(0)
+        tree = main_text.Tree(html(body))
+        density, sums, at = tree.densities()
+        share = counts(body)[2] / max(1, counts(body)[0])
+        want = []
+
+        def one(node, linked=False):
+            linked = linked or node[0] == "a"
+            c, t, lc, lt = counts(node, linked)
+            t = max(1, t)
+            d = c / t
+            if share and c:
+                d *= math.log(max(1.0, c / max(1, lc) * (t / max(1, lt))), math.log(c / max(1, c - lc) * lc + share * c + math.e))
+            place = len(want)
+            want.append(None)
+            below = sum(one(k, linked) for k in node[1] if not isinstance(k, str))
+            want[place] = (d, below + (0 if linked else sum(len(k) for k in node[1] if isinstance(k, str))))
+            return d
+
+        one(body)
+        got = list(zip(density[at:], sums[at:], strict=True))
+        assert len(got) == len(want) and all(math.isclose(x, y, abs_tol=1e-9) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
