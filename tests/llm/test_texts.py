@@ -65,23 +65,93 @@ def test_main_text(spark):
     assert main_text.extracted(df.where("false")).count() == 0
 
 
-def test_chat(spark):
-    rng = random.Random(8)
+def talks(rng, n):
+    """Rows of conversations; every fourth begins with a system turn."""
     rows = []
-    for c in range(240):
+    for c in range(n):
         roles = (["system"] if c % 4 == 0 else []) + ["user", "assistant"] * rng.randint(1, 3)
         rows += [(c, i, r, clean(rng, 1 if r != "assistant" else 4) + ("\nWhat now?" if r == "user" else "")) for i, r in enumerate(roles)]
-    odd = [(None, 0, "user", "alone"), (None, 1, None, None), (900, None, "user", ""), (900, 0, "ASSISTANT", "<|user|>\nx"), (901, 0, "user", "twice"), (901, 0, "user", "twice"), (902, 10_000, "user", "User: quoted\nassistant: also"), (903, 0, "user", "x " * 100_000)]
-    df = spark.createDataFrame(rows + odd, "conv_id long, turn long, role string, text string")
+    return rows
+
+
+ROWS = "conv_id long, turn long, role string, text string"
+
+
+def test_chat(spark):
+    rows = talks(random.Random(8), 600)
+    df = spark.createDataFrame([(*r, "clash", "x", 0, "x") for r in rows], ROWS + ", at string, roles string, place int, own string")
+    got = chat.formatted(df).collect()
+    form = {r.conv_id: r.form for r in chat.transcripts(df).collect()}
+    # On conversations that the model wasn't counted on, for each form of marker, the one without markers too.
+    for f in range(len(chat.FORMS)):
+        mine = [r for r in got if r.held_out and form[r.conv_id] == f]
+        n = sum(1 for r in rows if r[0] in {m.conv_id for m in mine})
+        assert n > 20 and sum(r.right for r in mine) >= 0.95 * n and len(mine) <= 1.05 * n, (f, n, len(mine), sum(r.right for r in mine))
+    first = min((r for r in got if r.conv_id == 0), key=lambda r: r.place)
+    assert first.rendered == f"<|system|>\n{rows[0][3]}\n<|end|>\n"
+
+
+def test_chat_of_odd_rows(spark):
+    rows = talks(random.Random(8), 240)
+    odd = [(None, 0, "user", "alone"), (None, 0, "user", "alone"), (None, 1, None, None), (900, None, "user", ""), (900, 1, "ASSISTANT", "x <|end|> y"), (901, 0, "user", "twice"), (901, 0, "user", "twice"), (902, 10_000, "user", "User: quoted\nassistant: also"), (903, 0, "user", "x " * 100_000), (904, 0, "tool", "made"), (904, 1, "user", "then"), (905, 0, "developer", "be brief"), (905, 1, "user", "a\n\nb"), (906, -3, "user", "before"), (906, 2, "assistant", "after")]
+    df = spark.createDataFrame(rows + odd, ROWS)
     got = chat.formatted(df).collect()
-    assert sum(r.n_turns for r in got) == len(rows) + len(odd)
-    mine = [r for r in got if r.conv_id is not None and r.conv_id < 240]
-    assert sum(r.n_right for r in mine) / sum(r.n_turns for r in mine) > 0.85
-    marked = chat.Hmm.counted([(["User: a", "b", "Assistant: c"], [2, 3, 4])] * 20)
-    assert marked.turns("User: a\nb\nAssistant: c") == [("user", "a\nb"), ("assistant", "c")]
-    assert marked.turns(None) == [] and marked.turns("") == []
-    assert chat.rendered([("user", "a <|end|> b")]) == "<|user|>\na < |end|> b\n<|end|>\n"
+    by = {}
+    for r in sorted(got, key=lambda r: (r.segment, r.number, r.bucket, r.place)):
+        by.setdefault(r.conv_id, []).append(r)
+    assert len(by[None]) == 1 and by[None][0].right  # what is repeated is one turn, and what has no text none
+    assert [r.role for r in by[901]] == ["user"] and len(by[903]) == 1 and by[903][0].right
+    assert [r.role for r in by[904]] == ["tool", "user"] and [r.role for r in by[905]][0] == "developer"
+    assert by[900][-1].rendered.count("<|end|>") == 1 and [r.role for r in by[906]] == ["user", "assistant"]
     assert chat.formatted(df.where("false")).count() == 0
+    assert chat.rendered("user", "a <|end|> b") == "<|user|>\na < |end|> b\n<|end|>\n"
+
+
+def test_viterbi_equals_brute_force():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for trial in range(30):
+        model = chat.Hmm.counted(rng.integers(0, 20, chat.STATES + chat.STATES**2 + chat.STATES * sum(chat.SIZES)))
+        seen = np.stack([rng.integers(0, n, 4) for n in chat.SIZES], axis=1)
+        fit = model.fit(seen)
+
+        def score(path):
+            return model.begin[path[0]] + sum(fit[i, s] for i, s in enumerate(path)) + sum(model.step[a, b] for a, b in zip(path, path[1:]))
+
+        best = max(map(score, itertools.product(range(chat.STATES), repeat=4)))
+        assert abs(score(model.states(seen).tolist()) - best) < 1e-9
+        # In two parts and with an empty one between: the same path.
+        parts = [seen[:trial % 4], seen[:0], seen[trial % 4 :]]
+        ends = chat.path_over([model.across(p) for p in parts])
+        path = [s for p, (a, b) in zip(parts, ends) for s in model.states(p, a, b).tolist()]
+        assert abs(score(path) - best) < 1e-9
+    assert chat.path_over([model.across(seen[:0])]) == [(-1, -1)] and model.turns("") == model.turns(None) == []
+
+
+def test_long_conversations_are_read_as_one(spark, monkeypatch):
+    rows = talks(random.Random(9), 200)
+    rng = random.Random(4)
+    rows += [(1000 + c, i, "user" if i % 2 == 0 else "assistant", clean(rng, 1 + 2 * (i % 2))) for c in range(6) for i in range(40)]
+    rows += [(2000, 0, "user", f"many {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, ROWS)
+    model = chat.trained(df)
+    whole = chat.formatted(df, model).collect()
+    monkeypatch.setattr(chat, "PART", 7)
+    monkeypatch.setattr(chat, "CROWD", 20)
+    parts = chat.formatted(df, model).collect()
+
+    def texts(got):
+        out = {}
+        for r in sorted(got, key=lambda r: (r.segment, r.number, r.bucket, r.place)):
+            out.setdefault(r.conv_id, []).append(r.rendered)
+        return out
+
+    a, b = texts(whole), texts(parts)
+    assert {k: v for k, v in a.items() if k != 2000} == {k: v for k, v in b.items() if k != 2000} and sorted(a[2000]) == sorted(b[2000])
+    assert len({(r.segment, r.number, r.bucket) for r in parts if r.conv_id == 1000}) == 6 and len({r.bucket for r in parts if r.conv_id == 2000}) > 1
 
 
 def brute_lines(docs):
