@@ -2,13 +2,16 @@
 
 Sizes are words. Every source gets a target from its weight and its size. Targets turn
 into integer numbers of equal-token blocks by the Sainte-Laguë rule (seats go to the
-highest quotients votes / (2 seats + 1)), first among sources, then among the shards of
-each source. In a shard documents stand in a seeded order on one line of words, cut into
-blocks; quotas beyond the shard's blocks repeat the whole line, the rest is a seeded run
-of blocks. A document's words on chosen blocks are what the mix takes of it.
+highest quotients votes / (2 seats + 1)), first among sources, then among the sections of
+each source, then among the shards of each section. In a shard documents stand in a seeded
+order on one line of words, cut into blocks; quotas beyond the shard's blocks repeat the
+whole line, the rest is a seeded run of blocks. A document's words on chosen blocks are what
+the mix takes of it.
 
-Only one row per shard reaches the driver, at most SHARDS of each source; the quotas go
-back by a broadcast of that same bound.
+A shard has about SHARD_DOCS documents at any input, so no line is long; there are as many
+shards as that takes. Only one row per section reaches the driver, at most SECTIONS of each
+source (the number of sources is that of given weights); the shards of a section get their
+quotas in a task, and these meet the documents in a join that needs no second shuffle.
 
 Defined results: null text has size 0; a source of size 0 has target 0; the null source
 is a source like others, last in order; repeated rows are separate rows (equal rows may
@@ -17,15 +20,19 @@ swap places); an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 import zlib
+from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Weights of sources in code point order, repeating; how often a source may be used; shards of a source at most; documents of a shard at least.
-WEIGHTS, MOST, SHARDS, SHARD_DOCS = (5, 2, 1), 3, 1024, 400
+from gleanery.llm.store import written
+
+#: Weights of sources in code point order, repeating; how often a source may be used; sections of a source at most; documents of a shard.
+WEIGHTS, MOST, SECTIONS, SHARD_DOCS = (5, 2, 1), 3, 1024, 400
 #: Words of a block at most, and blocks that the smallest target has at least.
 BLOCK, LEAST_BLOCKS, SEED = 512, 200, 17
 
@@ -60,18 +67,22 @@ def seats(votes: np.ndarray, n: int, most: np.ndarray | None = None) -> np.ndarr
     n = int(min(n, most.sum()))
     if n <= 0 or not len(votes):
         return np.zeros(len(votes), dtype=np.int64)
+    if (votes > 0).sum() == 1:
+        return np.where(votes > 0, n, 0).astype(np.int64)
     given = lambda d: np.minimum(np.ceil(votes / d - 0.5).clip(0), most)  # noqa: E731  seats whose quotient is above d * 2
     low, high = votes[votes > 0].min() / (4.0 * n + 4), 4.0 * votes.max()
     for _ in range(200):
         mid = (low * high) ** 0.5
         low, high = (mid, high) if given(mid).sum() > n else (low, mid)
     out = given(high).astype(np.int64)
-    while (left := n - int(out.sum())) > 0:
-        quotient = np.where(out < most, votes / (2 * out + 1), -1)
-        for i in np.argsort(-quotient, kind="stable")[:left]:
-            if quotient[i] >= 0:
-                out[i] += 1
-                break
+    # By now seats are left only for quotients that are as good as equal.
+    ahead = [(-votes[i] / (2 * out[i] + 1), i) for i in np.flatnonzero(out < most).tolist()]
+    heapq.heapify(ahead)
+    for _ in range(n - int(out.sum())):
+        _, i = heapq.heappop(ahead)
+        out[i] += 1
+        if out[i] < most[i]:
+            heapq.heappush(ahead, (-votes[i] / (2 * out[i] + 1), i))
     return out
 
 
@@ -80,13 +91,33 @@ def _drawn(source: str | None, shard: int, blocks: int, seed: int) -> int:
     return int(np.random.default_rng([seed, zlib.crc32(repr(source).encode()), shard]).integers(blocks))
 
 
-def quotas(rows: list[tuple[str | None, int, int]], seed: int = SEED) -> list[tuple]:
-    """From (source, shard, size) to (source, shard, source_size, target, size, laps, begin, end).
+def shares(have: np.ndarray, n: int, target: float, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of each part of a line of words, and how many of them it gives: n in all by Sainte-Laguë, then evened out until the words come nearest to the target."""
+    blocks = np.maximum(1, np.rint(have / block)).astype(np.int64)
+    quota = seats(have, n, MOST * blocks)
+    # Blocks of a part are equal but not all of the nominal size; the next quotients even out what that has shifted.
+    each = have / blocks
+    gap = target - float((quota * each).sum())
+    for _ in range(len(have)):
+        step = 1 if gap > 0 else -1
+        open_ = (quota < MOST * blocks) & (have > 0) if step > 0 else quota > 0
+        if abs(gap) < block / 2 or not open_.any():
+            break
+        quotient = have / (2 * quota + step)
+        i = int(np.argmax(np.where(open_, quotient, -np.inf)) if step > 0 else np.argmin(np.where(open_, quotient, np.inf)))
+        if abs(gap - step * each[i]) >= abs(gap):
+            break
+        quota[i] += step
+        gap -= step * each[i]
+    return blocks, quota
 
-    laps: how often the whole shard is taken; [begin, end) is the run of words taken once more, which may pass the shard's end.
-    """
-    names = sorted({r[0] for r in rows}, key=lambda s: (s is None, s or ""))
-    of = {s: sorted((r[1], r[2]) for r in rows if r[0] == s) for s in names}
+
+def quotas(rows: list[tuple[str | None, int, int]]) -> list[tuple]:
+    """From (source, section, size) to (source, section, source_size, target, block, words): what the sections give, in words."""
+    of = defaultdict(list)
+    for source, section, size in rows:
+        of[source].append((section, size))
+    names = sorted(of, key=lambda s: (s is None, s or ""))
     sizes = [sum(n for _, n in of[s]) for s in names]
     goal = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))])
     positive = [t for t in goal if t > 0]
@@ -94,26 +125,21 @@ def quotas(rows: list[tuple[str | None, int, int]], seed: int = SEED) -> list[tu
     number = seats(np.array(goal), round(sum(goal) / block), np.array([MOST * s / block for s in sizes]).round())
     out = []
     for s, size, target, n in zip(names, sizes, goal, number, strict=True):
-        have = np.array([x for _, x in of[s]], dtype=np.int64)
-        blocks = np.maximum(1, np.rint(have / block)).astype(np.int64)
-        quota = seats(have, int(n), MOST * blocks)
-        # Blocks of a shard are equal but not all of the nominal size; the next quotients even out what that has shifted.
-        each = have / blocks
-        for _ in range(len(have)):
-            gap = target - float((quota * each).sum())
-            step = 1 if gap > 0 else -1
-            open_ = (quota < MOST * blocks) & (have > 0) if step > 0 else quota > 0
-            if abs(gap) < block / 2 or not open_.any():
-                break
-            quotient = have / (2 * quota + step)
-            i = int(np.argmax(np.where(open_, quotient, -np.inf)) if step > 0 else np.argmin(np.where(open_, quotient, np.inf)))
-            if abs(gap - step * each[i]) >= abs(gap):
-                break
-            quota[i] += step
-        for (shard, x), k, q in zip(of[s], blocks.tolist(), quota.tolist(), strict=True):
-            laps, rest = divmod(q, k)
-            first = _drawn(s, shard, k, seed)
-            out.append((s, shard, size, target, x, laps, first * x // k, (first + rest) * x // k if first + rest <= k else x + (first + rest - k) * x // k))
+        parts = sorted(of[s])
+        have = np.array([x for _, x in parts], dtype=np.int64)
+        blocks, quota = shares(have, int(n), target, block)
+        out += [(s, section, size, target, block, float(q * x / k)) for (section, x), k, q in zip(parts, blocks.tolist(), quota.tolist(), strict=True)]
+    return out
+
+
+def drawn(source: str | None, shards: list[int], sizes: list[int], words: float, block: int, seed: int = SEED) -> list[tuple]:
+    """Of the shards of a section: (laps, begin, end). laps: how often the whole shard is taken; [begin, end) is the run of words taken once more, which may pass the shard's end."""
+    blocks, quota = shares(np.array(sizes, dtype=np.int64), round(words / block), words, block)
+    out = []
+    for shard, x, k, q in zip(shards, sizes, blocks.tolist(), quota.tolist(), strict=True):
+        laps, rest = divmod(q, k)
+        first = _drawn(source, shard, k, seed)
+        out.append((laps, first * x // k, (first + rest) * x // k if first + rest <= k else x + (first + rest - k) * x // k))
     return out
 
 
@@ -123,16 +149,32 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     own = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
     words = F.coalesce(F.size(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0))
     size = F.when(F.col(text).isNull(), 0).otherwise(words).cast("long")
-    place = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(source).cast("string"))
+    place = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(source).cast("string"), F.col(text).cast("string"))
     base = docs.select(*own, F.col(source).cast("string").alias("s"), size.alias("n"), place.alias("place"))
-    rows = {r["s"]: r["m"] for r in docs.groupBy(F.col(source).cast("string").alias("s")).agg(F.count("*").alias("m")).collect()}
-    shards = spark.createDataFrame([(s, min(SHARDS, max(1, -(-m // SHARD_DOCS)))) for s, m in rows.items()], "s string, shards int")
-    base = base.join(F.broadcast(shards), base.s.eqNullSafe(shards.s)).drop(shards.s).withColumn("shard", F.pmod(F.xxhash64("place"), F.col("shards")).cast("int"))
-    found = [(r["s"], r["shard"], r["n"]) for r in base.groupBy("s", "shard").agg(F.sum("n").alias("n")).collect()]
-    quota = spark.createDataFrame(quotas(found, seed), "qs string, qshard int, source_size long, target double, line long, laps long, a long, b long")
-    order = Window.partitionBy("s", "shard").orderBy("place", f"c{docs.columns.index(key)}", "n")
+    # The null source has a key like others, so that joins and windows share one partitioning.
+    sk = F.coalesce(F.concat(F.lit("+"), "s"), F.lit(""))
+    shards = F.ceil(F.count("*") / F.lit(SHARD_DOCS)).cast("long")
+    counts = written(docs.groupBy(F.col(source).cast("string").alias("s")).agg(shards.alias("shards")).select(sk.alias("sk"), "shards"))
+    base = base.withColumn("sk", sk).join(counts, "sk").withColumn("shard", F.pmod(F.xxhash64("place"), F.col("shards")))
+    section = F.pmod("shard", F.least("shards", F.lit(SECTIONS).cast("long"))).alias("section")
+    lines = written(base.groupBy("sk", "s", section, "shard").agg(F.sum("n").alias("line")))
+    found = [(r["s"], r["section"], r["n"]) for r in lines.groupBy("s", "section").agg(F.sum("line").alias("n")).collect()]
+    quota = spark.createDataFrame(quotas(found), "qs string, qsection long, source_size long, target double, block long, words double")
+    asked = lines.join(quota, lines.s.eqNullSafe(quota.qs) & (lines.section == quota.qsection)).select("sk", "s", "section", "shard", "line", "source_size", "target", "block", "words")
+
+    def run(found: pa.Table) -> pa.Table:
+        found = found.sort_by("shard")
+        first = {c: found.column(c)[0].as_py() for c in ("s", "block", "words")}
+        runs = drawn(first["s"], found.column("shard").to_pylist(), found.column("line").to_pylist(), first["words"], first["block"], seed)
+        out = found.select(["sk", "shard", "source_size", "target", "line"])
+        for name, values in zip(("laps", "a", "b"), zip(*runs, strict=True), strict=True):
+            out = out.append_column(name, pa.array(values, pa.int64()))
+        return out
+
+    given = written(asked.groupBy("sk", "section").applyInArrow(run, "sk string, shard long, source_size long, target double, line long, laps long, a long, b long"))
+    order = Window.partitionBy("sk", "shard").orderBy("place", f"c{docs.columns.index(key)}", "n")
     with_line = base.withColumn("end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = with_line.join(F.broadcast(quota), with_line.s.eqNullSafe(quota.qs) & (with_line.shard == quota.qshard))
+    joined = with_line.join(given, ["sk", "shard"])
     begin = F.col("end") - F.col("n")
 
     def shared(lo, hi):

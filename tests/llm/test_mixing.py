@@ -51,6 +51,29 @@ def test_mix_against_brute_force(spark, documents):
     assert key(got) == key(again)
 
 
+def test_sections_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SECTIONS", 3)
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 20)
+    # Half of the rows have no id; they lie in many shards as others do.
+    df = spark.range(4000).selectExpr("if(id % 2 = 0, id, null) as doc_id", "concat(id, repeat(' w', cast(id % 50 as int))) as text", "case when id % 5 < 3 then 'a' when id % 5 = 3 then null else concat('s', id % 40) end as source")
+    rows = mixing.mix(df).selectExpr("source", "size", "taken", "target", "source_size").collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    assert len(rows) == 4000 and all(0 <= r.taken <= 3 * r.size for r in rows)
+    want = mixing.targets([by[s][0].source_size for s in sorted(by, key=lambda s: (s is None, s or ""))], [(5, 2, 1)[i % 3] for i in range(len(by))])
+    for s, t in zip(sorted(by, key=lambda s: (s is None, s or "")), want, strict=True):
+        assert abs(by[s][0].target - t) < 1e-6 and abs(sum(r.taken for r in by[s]) - t) <= max(5, 0.01 * t), (s, t)
+
+
+def test_quotas_of_many_sources():
+    import time
+
+    began = time.time()
+    out = mixing.quotas([(f"s{i:05}", 0, 100 + i % 7) for i in range(20_000)])
+    assert len(out) == 20_000 and time.time() - began < 20
+
+
 def test_many_shards_and_empty(spark):
     df = spark.range(3000).selectExpr("id as doc_id", "repeat('w ', cast(id % 50 as int)) as text", "if(id % 3 = 0, 'a', 'b') as source")
     got = mixing.mix(df).selectExpr("source", "taken", "target").collect()
