@@ -75,7 +75,7 @@ class Index:
     """Bucket directories of one block of codes, one for each substring."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.whole = codes, np.ascontiguousarray(codes).view(np.uint64)
+        self.whole, self.columns = np.ascontiguousarray(codes).view(np.uint64), np.ascontiguousarray(codes.T)
         self.order = [np.argsort(codes[:, m], kind="stable") for m in range(codes.shape[1])]
         #: The buckets that hold a code, how many each holds, and where each begins.
         self.held = [np.unique(codes[:, m], return_counts=True) for m in range(codes.shape[1])]
@@ -83,14 +83,13 @@ class Index:
 
     def within(self, query: np.ndarray, radius: int, inner: int = -1) -> np.ndarray:
         """Places of all codes at a distance above inner and up to radius."""
-        seen = np.zeros(len(self.codes), dtype=bool)
+        seen = np.zeros(len(self.whole), dtype=bool)
         part = min(BITS, radius // len(query))
         for m, q in enumerate(query):
             values, counts = self.held[m]
             if ENDS[part] >= len(values):
-                # More buckets lie within the radius than hold a code: the directory tells which of those do.
-                near = np.bitwise_count(values ^ q) <= part
-                seen[self.order[m][np.repeat(near, counts)]] = True
+                # More buckets lie within the radius than hold a code: what lies in near ones is told from the codes' own substrings.
+                seen |= np.bitwise_count(self.columns[m] ^ q) <= part
                 continue
             buckets = np.sort(MASKS[: ENDS[part]] ^ q)
             at = np.minimum(np.searchsorted(values, buckets), len(values) - 1)
