@@ -102,9 +102,11 @@ def query_value(url: Column | str, key: str) -> Column:
 
 def board_url(url: Column | str, kind: str = "company") -> Column:
     """The canonical address of a company (or person: kind "in") on the first board; null for deceptive hosts, ports and credentials."""
-    u = filled(url)
-    name = F.regexp_extract(u, rf"(?i)^https?://(?:[a-z]{{2,3}}\.)?(?:www\.)?linkedin\.com/{kind}/([A-Za-z0-9%_.-]+)/?(?:[?#].*)?$", 1)
-    return F.when(name != "", F.concat(F.lit(f"https://www.linkedin.com/{kind}/"), F.lower(name)))
+    u = F.trim(filled(url))
+    tail = {"company": "(?:/(?:jobs/?)?)?", "in": "/?"}[kind]
+    path = F.try_url_decode(F.regexp_replace(F.regexp_extract(u, r"(?i)^https://(?:www\.|[a-z]{2,3}\.)?linkedin\.com(?::443)?(/[^?#\s]*)", 1), r"\+", "%2B"))
+    name = F.regexp_extract(path, rf"^/{kind}/([\p{{L}}\p{{N}}_-]+){tail}$", 1)
+    return F.when((name != "") & ~u.rlike(r"[\x00-\x20\x7f\\]"), F.concat(F.lit(f"https://www.linkedin.com/{kind}/"), F.lower(name), F.lit("/")))
 
 
 def second_board_url(url: Column | str) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.board_links import SHARED_HOSTS
 from gleanery.functions.text import _c, filled, word_key
 from gleanery.functions.urls import company_ref, official_host
 
 # Fixed values.
 POLICY = "official-company-identity-v1"
-SHARED_HOSTS = "linkedin.com indeed.com facebook.com instagram.com twitter.com x.com google.com sites.google.com github.io wixsite.com wordpress.com blogspot.com linktr.ee yelp.com".split()
 REFUSED = ("blocked", "rate_limited")
 MOST_CANDIDATES = 5
 

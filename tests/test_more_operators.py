@@ -48,7 +48,7 @@ def test_identity_and_hiring_parts(spark):
     keep, out = identity.retired(contacts, spark.createDataFrame([("s", False), ("t", True)], "slug string, same boolean"))
     assert sorted(r.name for r in keep.collect()) == ["B", "C"] and [r.name for r in out.collect()] == ["A"]
     jobs = spark.createDataFrame([([("1", "https://www.linkedin.com/company/vale/"), ("2", "https://www.linkedin.com/company/other/"), ("3", None)],)], "j array<struct<id:string,company_url:string>>")
-    s = jobs.select(identity.split_jobs(F.col("j"), F.array(F.lit("https://www.linkedin.com/company/vale")), F.lit("linkedin")).alias("s")).first().s
+    s = jobs.select(identity.split_jobs(F.col("j"), F.array(F.lit("https://www.linkedin.com/company/vale/")), F.lit("linkedin")).alias("s")).first().s
     assert [j.id for j in s.good] == ["1"] and [j.id for j in s.bad] == ["2", "3"]
     new = spark.createDataFrame([("s", "b", "1", None), ("s", "b", "2", "now")], "slug string, board string, job_id string, description string")
     old = spark.createDataFrame([("s", "b", "1", "before"), ("s", "b", "2", "older")], "slug string, board string, job_id string, description string")

@@ -4,6 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from gleanery.functions import board_links as L
+from gleanery.functions import urls as U
 from gleanery.functions.dom import Dom
 from gleanery.operators import imports as I
 from gleanery.operators import profiles as P
@@ -16,28 +18,53 @@ SITE = f"""<script type="application/ld+json">{json.dumps({"@graph": [{"@type":
 <footer><a href="https://www.linkedin.com/company/vale-two">in</a></footer><section class="testimonials"><a href="https://www.linkedin.com/company/client">LinkedIn</a></section><a href="/about-us#x">About</a><a href="https://www.linkedin.com/company/plain">text</a>"""
 
 
+def profile(spark, page, url=C, source="linkedin"):
+    df = spark.createDataFrame([(page, url, source)], "html string, url string, source string")
+    return P.company_profiles(df).first()
+
+
 def test_company_facts(spark):
-    r = spark.createDataFrame([(BOARD, C, "linkedin")], "h string, u string, s string").select(P.profile_facts("h", "u", "s").alias("f")).first().f
+    r = profile(spark, BOARD)
     assert (r.company_url, r.display_name, r.hosts, r.industries, r.locations, r.canonical_conflict) == (C, "Vale & Co", ["vale.example"], ["Law"], ["Austin"], False)
-    assert r.observed_keys == ["vale and co"] and r.requested_url == C
-    two = P.facts(BOARD + f'<link rel="canonical" href="{C}x">'.replace("vale/x", "other"), C, "linkedin")
-    assert two["canonical_conflict"]
+    assert r.observed_keys == ["vale and co"] and r.requested_url == C and r.websites == ["https://www.vale.example/"] and r.company_id is None
+    assert profile(spark, BOARD + f'<link rel="canonical" href="{C}x">'.replace("vale/x", "other")).canonical_conflict
+    org = {"@type": ["Thing", "http://schema.org/LegalService"], "name": "Vale Trial", "legalName": "Vale & Co LLC", "sameAs": [C, "https://vale.example/"], "address": {"city": "Austin"}}
+    ld = lambda *x: f'<script type="application/ld+json">{json.dumps(list(x))}</script>'
+    r = profile(spark, "<h1>Vale Careers and Employment</h1>" + ld({"@type": "Review", "author": org}) + ld({"mainEntity": org}, {"@type": "Organization", "name": "Other", "url": "https://other.example"}))
+    assert (r.display_name, r.observed_keys, r.hosts, r.locations) == ("Vale", ["vale", "vale trial", "vale and co llc"], ["vale.example"], ['{"city": "Austin"}'])
+    r = profile(spark, ld(org) + '<a href="https://www.vale.example/x">Visit website</a><a aria-label="Vale Trial website" href="https://two.example">w</a><a data-testid="a-companyInfo-companyLink" href="https://three.example">w</a><aside><a href="https://no.example">Website</a></aside><a href="https://www.linkedin.com/jobs/search?f_C=7">See jobs</a>')
+    assert r.hosts == ["three.example", "two.example", "vale.example"] and r.display_name == "Vale Trial" and r.company_id == "7"
+    r = profile(spark, "", "https://www.indeed.com/cmp/Vale", "indeed")
+    assert (r.requested_url, r.company_url, r.display_name, r.hosts) == ("https://www.indeed.com/cmp/vale", "https://www.indeed.com/cmp/vale", "", [])
 
 
 def test_official_links(spark):
-    df = spark.createDataFrame([(SITE, "https://vale.example/", "linkedin", "vale.example", ["vale and co"])], "h string, u string, s string, o string, n array<string>")
-    r = df.select(P.official_candidates("h", "u", "s", "o", "n").alias("c")).first().c
+    df = spark.createDataFrame([(SITE, "https://vale.example/", "linkedin", "vale.example", ["vale and co"])], "html string, url string, source string, official_host string, names array<string>")
+    r = P.official_candidates(df).first()
     assert {(x.company_url, x.kind) for x in r.found} == {(C, "official_same_as"), ("https://www.linkedin.com/company/vale-two/", "official_link")}
     assert r.pages == ["https://vale.example/about-us"]
 
 
 def test_hosts_and_links():
-    assert [P.site_host(x) for x in ("https://www.Vale.example/x", "https://sites.google.com/x", "http://10.1.2.3", "https://vale.example:8443", "ftp://a.b", None)] == ["vale.example", "", "", "", "", ""]
+    assert [L.site_host(x) for x in ("https://www.Vale.example/x", "https://sites.google.com/x", "http://10.1.2.3", "https://vale.example:8443", "ftp://a.b", None)] == ["vale.example", "", "", "", "", ""]
     assert P.application_link("https://www.linkedin.com/jobs/view/externalApply?jobId=7&url=https%3A%2F%2Fats.example%2Fa", "7") == "https://ats.example/a"
     assert P.application_link("https://www.linkedin.com/jobs/view/externalApply?jobId=8&url=https%3A%2F%2Fats.example", "7") == ""
     assert P.application_link("https://ats.example/x", "7") == "https://ats.example/x" and P.application_link(C, "7") == ""
 
 
+def test_company_addresses(spark):
+    good = {f"{C}": "vale", f" {C} ": "vale", "https://de.linkedin.com/company/Vale-Co/jobs/": "vale-co", "https://linkedin.com/company/vale/jobs": "vale", "https://www.linkedin.com:443/company/vale?x=1#y": "vale"}
+    bad = [C + "posts", "https://www.linkedin.com/company/a%20b/", "http://www.linkedin.com/company/vale", "https://www.linkedin.com.evil.example/company/vale", "https://u:p@www.linkedin.com/company/vale", "https://www.linkedin.com:8443/company/vale", "https://www.linkedin.com/company/", "https://www.linkedin.com/company/a b", "", None]
+    for x, name in good.items():
+        assert L.company_of(x) == f"https://www.linkedin.com/company/{name}/", x
+    assert [x for x in bad if L.company_of(x)] == []
+    df = spark.createDataFrame([(x,) for x in [*good, *bad]], "x string").select("x", U.board_url("x").alias("u"))
+    assert {r.x: r.u for r in df.collect() if r.u} == {x: L.company_of(x) for x in good}
+    # Only links of the board itself tell a company's number.
+    assert L.company_number("https://www.linkedin.com/jobs/search?f_C=42") == "42" and L.company_number("/jobs/?f_C=42") == "42"
+    assert [L.company_number(x) for x in ("https://evil.example/jobs/?f_C=42", "https://de.linkedin.com/jobs/?f_C=42", "/jobs/?f_C=4&f_C=2", "/jobs/?f_C=x", "/x?f_C=1")] == [""] * 5
+
+
 KEY = "0123456789abcdef"
 DETAIL = f"""<link rel="canonical" href="https://www.indeed.com/viewjob?jk={KEY}"><h1 class="jobsearch-JobInfoHeader-title">Cook</h1><div data-testid="inlineHeader-companyName"><a href="https://www.indeed.com/cmp/Vale">Vale</a></div>
 <div id="jobDescriptionText"><p>Cook food</p></div><div id="salaryInfoAndJobType">$20 an hour</div><a id="applyButtonLink" href="https://ats.example/1">Apply</a>

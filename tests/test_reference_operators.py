@@ -9,7 +9,7 @@ from gleanery.functions.dom import DomNodes, safe_description
 from gleanery.functions.json import schema_people, schema_types
 from gleanery.operators import contacts as C
 from gleanery.operators import entities, filters, hiring, identity, merge, metrics, pages, ranking
-from gleanery.operators.boards import company_facts, detail_facts, jobs_on_page, second_jobs_on_page
+from gleanery.operators.boards import company_pages, detail_facts, jobs_on_page, second_jobs_on_page
 from gleanery.plans import fixtures, prep
 from gleanery.sources import directories, documents, sinks
 
@@ -55,7 +55,7 @@ def test_urls(spark):
     assert each(spark, ["HTTP://A.b/x?y#z", "a.b"], U.normalized) == ["http://a.b/x", "https://a.b/"]
     assert each(spark, ["https://notyelp.com", "https://ok.example", None], U.is_directory) == [True, False, True]
     assert each(spark, ["https://notyelp.com", "https://m.yelp.com/x"], lambda u: U.is_directory(u, exact=True)) == [False, True]
-    assert each(spark, ["https://www.linkedin.com/company/Vale/?x", "https://linkedin.com.evil/company/vale", "https://linkedin.com/in/dana"], U.board_url) == ["https://www.linkedin.com/company/vale", None, None]
+    assert each(spark, ["https://www.linkedin.com/company/Vale/?x", "https://linkedin.com.evil/company/vale", "https://linkedin.com/in/dana"], U.board_url) == ["https://www.linkedin.com/company/vale/", None, None]
     assert each(spark, ["https://www.indeed.com/viewjob?jk=0123456789abcdef", "https://www.indeed.com/viewjob?jk=0123456789abcdef&jk=0123456789abcdef"], lambda u: U.job_identity(u, "indeed")["job_id"]) == ["0123456789abcdef", None]
     assert each(spark, ["https://www.vale.example/x", "http://10.0.0.1", "https://a@b.example", "https://x.linkedin.com", "https://b.example:8443"], U.official_host) == ["vale.example", None, None, None, None]
     assert each(spark, ["https://b.example/go?url=https%3A%2F%2Fvale.example", "https://v.example"], U.outbound) == ["https://vale.example", "https://v.example"]
@@ -224,7 +224,12 @@ DETAIL = f"""<link rel="canonical" href="https://www.linkedin.com/jobs/view/1234
 
 
 def test_boards(spark):
-    r = one(spark, {"h": BOARD, "c": COMPANY}, company_facts("h", "c").alias("f")).f
+    pages_ = {"own": (BOARD, COMPANY), "number": (BOARD, "https://www.linkedin.com/company/42/"), "other": (BOARD, "https://www.linkedin.com/company/other/"), "none": ("<p>x</p>", COMPANY), "hidden": (BOARD.replace("Dana Vale Dana Vale is an Influencer", "LinkedIn Member 1"), COMPANY)}
+    df = spark.createDataFrame([(k, h, c) for k, (h, c) in pages_.items()], "k string, html string, company string")
+    got = {r.k: r for r in company_pages(df).collect()}
+    assert {k: r.status for k, r in got.items()} == {"own": "found", "number": "found", "other": "company_mismatch", "none": "parse_error", "hidden": "names_masked"}
+    assert got["number"].company_url == COMPANY and got["other"].contacts == [] and got["hidden"].masked == 2
+    r = got["own"]
     assert (r.status, r.company_id, r.masked, [(c.name, c.title, c.profile_url) for c in r.contacts]) == ("found", "42", 1, [("Dana Vale", "Owner", "https://www.linkedin.com/in/dana/")])
     jobs = one(spark, {"h": LISTING, "c": COMPANY, "i": "42"}, jobs_on_page("h", "c", "i").alias("j")).j
     assert [(j.job_id, j.title, j.date_posted) for j in jobs] == [("123456", "Clerk", "2024-01-02")]
