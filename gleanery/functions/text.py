@@ -16,7 +16,7 @@ from gleanery.functions.unicode import ascii_fold, html_unescape, nfkc_casefold
 # Fixed values.
 ENTITY_WORDS = "INCORPORATED|INC|LLC|L\\.L\\.C|CO|COMPANY|CORP|CORPORATION|LTD|LP|PLLC|PC|P\\.C|PA|P\\.A|THE|FOUNDATION|CHURCH|MINISTRIES|DBA|ATTORNEY|ATTORNEYS|LAW|FIRM|OFFICE|OFFICES"
 ROLE_INBOXES = (
-    "info contact office admin hello marketing intake intakes team support frontdesk reception noreply no-reply donotreply webmaster media press hr billing accounting careers jobs help service services general mail email enquiries inquiry inquiries labinotiteam"
+    "info contact office admin hello marketing intake intakes team support frontdesk reception noreply no-reply donotreply webmaster media press hr billing accounting careers jobs help service services general mail email enquiries inquiry inquiries"
 ).split()
 FREE_MAIL = "gmail.com yahoo.com yahoo.co.uk hotmail.com outlook.com live.com msn.com aol.com icloud.com me.com mac.com protonmail.com proton.me gmx.com mail.com ymail.com googlemail.com".split()
 ASSET_ENDINGS = ".png .jpg .jpeg .gif .svg .webp .css .js".split()

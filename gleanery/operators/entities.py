@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions.text import company_key, email_local, filled, first_filled, is_person_name, is_personal_email, is_role_inbox, name_fits_email, name_of_email, phone, slug
 from gleanery.functions.urls import is_directory
@@ -81,13 +83,30 @@ def matched(candidates: DataFrame, businesses: DataFrame, ord_: str = "ord", blo
 
 
 def unique_slugs(rows: DataFrame, base: str, order: list[str], taken: DataFrame | None = None) -> DataFrame:
-    """rows with unique_slug: the base, then base-2, base-3, ... in order; after those already taken."""
-    place = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    if taken is not None:
-        t = taken.select(F.regexp_replace("slug", r"-\d+$", "").alias("_b")).groupBy("_b").agg(F.count("*").alias("_t"))
-        rows = rows.join(t, rows[base] == t["_b"], "left").drop("_b")
-        place = place + F.coalesce("_t", F.lit(0))
-    return rows.withColumn("unique_slug", F.when(place == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), place))).drop("_t")
+    """rows with unique_slug: in order, the first of base, base-2, base-3, ... that neither an earlier row has nor taken (slug).
+
+    "acme" and "acme-2" can want the same slug, so bases that differ by numbers at the end only are
+    told apart in one task. It holds slugs and order, nothing else of the rows that isn't given here.
+    """
+    root = lambda c: F.regexp_replace(c, r"(-\d+)+$", "")
+    schema = T.StructType([*rows.schema.fields, T.StructField("unique_slug", T.StringType())])
+    old = (taken.select("slug") if taken is not None else rows.sparkSession.createDataFrame([], "slug string")).withColumn("_root", root("slug"))
+
+    columns = rows.columns
+
+    def run(found: pa.Table, known: pa.Table) -> pa.Table:
+        held, last, out = set(known.column("slug").to_pylist()), {}, []
+        found = found.sort_by([(c, "ascending") for c in order])
+        for x in found.column(base).to_pylist():
+            n, one = last.get(x, 0), x
+            while x is not None and (n == 0 or one in held):
+                n, one = n + 1, x if n == 0 else f"{x}-{n + 1}"
+            last[x] = n
+            held.add(one)
+            out.append(one)
+        return found.select(columns).append_column("unique_slug", pa.array(out, pa.string()))
+
+    return rows.withColumn("_root", root(base)).groupBy("_root").cogroup(old.groupBy("_root")).applyInArrow(run, schema)
 
 
 def upserted(candidates: DataFrame, businesses: DataFrame, vertical: str, ord_: str = "ord", default_city: str = "Texas", blocked: bool = False) -> DataFrame:

@@ -41,7 +41,7 @@ def scorecard(businesses: DataFrame, practice: str | None = None) -> DataFrame:
 def verdicts(scores: DataFrame, thresholds: DataFrame, practice: bool = False) -> DataFrame:
     """Per category: COVERED or not, why not, and what to run next. Thresholds are one row a category."""
     t = thresholds.select(F.lower("category").alias("_key"), *[c for c in thresholds.columns if c != "category"])
-    j = scores.join(F.broadcast(t), F.lower("category") == F.col("_key"), "left")
+    j = scores.join(t, F.lower("category") == F.col("_key"), "left")
     n, fill, least_n, least_fill = F.col("notes"), F.round("site_fill", 6), F.col("min_notes"), F.col("min_site_fill")
     if practice:
         special = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit(0)), d) if c in j.columns else d

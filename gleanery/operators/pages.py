@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.html import LINKS, hrefs, page_record, robots_sitemaps, sitemap_locations
 from gleanery.functions.urls import crawl_key, host, is_priority, normalized, origin, registrable
 from gleanery.operators.dedup import first_wins
+from gleanery.sources.tables import cut
 
 COMMON_PATHS = ["", "/contact", "/contact-us", "/about", "/about-us", "/team", "/our-team", "/people", "/attorneys", "/staff", "/our-firm", "/attorneys-staff"]
 
@@ -42,27 +43,46 @@ def seeds(firms: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return first_wins(rows, ["slug", crawl_key("url")], ["ord"])
 
 
-def frontier(start: DataFrame, robots: DataFrame, sitemaps: DataFrame, levels: int = 3, most_sitemaps: int = 25, large: int = 500) -> DataFrame:
-    """site, url: pages that a site's sitemaps list, by levels of nested sitemaps over landed files.
+def frontier(start: DataFrame, robots: DataFrame, sitemaps: DataFrame, most_sitemaps: int = 25, large: int = 500) -> DataFrame:
+    """site, url: pages that a site's sitemaps list, over landed files.
 
-    start: site, url of sitemaps tried anyway; robots: site, body; sitemaps: url, body. Sites with
-    very many pages keep those on wanted paths. The number of levels is bounded, so is the plan.
+    start: site, url of sitemaps tried anyway; robots: site, body; sitemaps: url, body. Sitemaps of
+    robots come first, nested ones in the order met, to any depth; a site has most_sitemaps in all,
+    those that didn't land included. Sites with very many pages keep those on wanted paths.
     """
-    todo = start.select("site", "url").union(robots.select("site", F.explode(robots_sitemaps("body")).alias("url"))).distinct()
-    seen, pages = todo, None
+    listed = robots.select("site", F.posexplode(robots_sitemaps("body")).alias("_b", "url")).withColumn("_a", F.lit(0))
+    tried = start.select("site", F.row_number().over(Window.partitionBy("site").orderBy("url")).alias("_b"), "url").withColumn("_a", F.lit(1))
     parsed = sitemaps.select(F.col("url").alias("_u"), sitemap_locations("body").alias("s"))
-    for _ in range(levels):
-        hit = todo.join(parsed, F.col("url") == F.col("_u"))
+    met, seen, pages = listed.unionByName(tried), None, None
+    while True:
+        # One level: what is new, in the order met, as far as the site's number goes.
+        first = met.groupBy("site", "url").agg(F.min(F.struct("_a", "_b")).alias("_at"))
+        if seen is not None:
+            before = seen.groupBy("site").agg(F.count("*").alias("_before"))
+            first = first.join(seen, ["site", "url"], "left_anti").join(before, "site", "left")
+        place = F.row_number().over(Window.partitionBy("site").orderBy("_at")) + (F.coalesce("_before", F.lit(0)) if seen is not None else F.lit(0))
+        level = cut(first.withColumn("_place", place).where(F.col("_place") <= most_sitemaps).select("site", "url", "_place"))
+        if level.isEmpty():
+            break
+        hit = cut(level.join(parsed, F.col("url") == F.col("_u")))
         found = hit.select("site", F.explode("s.pages").alias("url"))
         pages = found if pages is None else pages.union(found)
-        todo = hit.select("site", F.explode("s.nested").alias("url")).distinct().join(seen, ["site", "url"], "left_anti")
-        todo = todo.withColumn("_n", F.row_number().over(Window.partitionBy("site").orderBy("url"))).where(F.col("_n") < most_sitemaps).drop("_n")
-        seen = seen.union(todo)
+        met = hit.select("site", F.col("_place").alias("_a"), F.posexplode("s.nested").alias("_b", "url"))
+        seen = level.select("site", "url") if seen is None else seen.union(level.select("site", "url"))
+    if pages is None:
+        return start.select("site", "url").where("false")
     unique = pages.where(registrable(host("url")) == F.col("site")).withColumn("url", normalized("url")).distinct()
     n = F.count("*").over(Window.partitionBy("site"))
     return unique.withColumn("_n", n).where((F.col("_n") <= large) | is_priority("url")).drop("_n")
 
 
+def fetch_order(pages: DataFrame, key: str = "site", most: int = 60, ord_: str = "ord") -> DataFrame:
+    """Landed pages as a crawl of a site would have met them: wanted paths first, then in the given order, each page once, at most so many a site. Adds place."""
+    once = first_wins(pages.withColumn("_key", crawl_key("url")), [key, "_key"], [ord_])
+    order = Window.partitionBy(key).orderBy(is_priority("url").desc(), ord_, "_key")
+    return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("_key")
+
+
 def robot_rules(robots: DataFrame, bots: list[str], grouped: bool = True) -> DataFrame:
     """Per site and bot: its allow and disallow lines and what they amount to.
 

@@ -93,6 +93,13 @@ class Prepared:
     best: DataFrame
     inboxes: DataFrame
     shortlist: DataFrame
+    #: What is kept in memory and on disk until release().
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Let go of what the stages share, once they are read."""
+        for df in self.held:
+            df.unpersist()
 
 
 def prepare(businesses: DataFrame, pages: DataFrame, thresholds: DataFrame, category: str, practice: str | None = None, results: DataFrame | None = None, max_firms: int = 0) -> Prepared:
@@ -105,9 +112,10 @@ def prepare(businesses: DataFrame, pages: DataFrame, thresholds: DataFrame, cate
     found = C.extracted(mine.where("status = 'ok'"))
     found = C.with_board(found, results) if results is not None else found
     # The merge reads its input several times; kept, it is extracted once and the plan stays small. A lost part is computed anew.
-    merged = entities.merged_contacts(found.persist()).persist()
+    found = found.persist()
+    merged = entities.merged_contacts(found).persist()
     best = ranking.best_contact(merged)
-    return Prepared(coverage, queue, profiles(queue, mine.select("slug", "url", "html", "status", "ord")), merged, best, ranking.inbox_fallback(merged), ranking.shortlist(best))
+    return Prepared(coverage, queue, profiles(queue, mine.select("slug", "url", "html", "status", "ord")), merged, best, ranking.inbox_fallback(merged), ranking.shortlist(best), (found, merged))
 
 
 def merged_profile(profile: DataFrame, rows: DataFrame) -> DataFrame:

@@ -7,3 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the folder of spark.checkpoint.dir; df itself where none is set, as in tests."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df

@@ -22,7 +22,14 @@ def test_sites_and_queue(spark):
     s = [r.url for r in pages.seeds(b.where("slug = 'vale'"), known).orderBy("ord").collect()]
     assert s[0] == "https://vale.example/" and s[-1] == "https://vale.example/people/lee" and len(s) == len(pages.COMMON_PATHS) + 1
     assert [r.slug for r in filters.selected(b, from_slug="l").orderBy("slug").collect()] == ["lawn", "vale"] and filters.selected(b, "Law", limit=1).count() == 1
-    assert entities.unique_slugs(spark.createDataFrame([("a", 0), ("a", 1)], "base string, o int"), "base", ["o"], spark.createDataFrame([("a",), ("a-2",)], "slug string")).agg(F.array_sort(F.collect_list("unique_slug"))).first()[0] == ["a-3", "a-4"]
+    def slugs(rows, taken):
+        df = entities.unique_slugs(spark.createDataFrame(rows, "base string, o int"), "base", ["o"], spark.createDataFrame([(t,) for t in taken], "slug string"))
+        return [r.unique_slug for r in df.orderBy("o").collect()]
+
+    assert slugs([("a", 0), ("a", 1)], ["a", "a-2"]) == ["a-3", "a-4"]
+    assert slugs([("acme", 0), ("acme", 1), ("acme-2", 2)], []) == ["acme", "acme-2", "acme-2-2"]
+    assert slugs([("acme-2", 0), ("acme", 1), ("acme", 2), (None, 3), ("b", 4)], []) == ["acme-2", "acme", "acme-3", None, "b"]
+    assert slugs([("acme", 0), ("acme", 1)], ["acme", "acme-3"]) == ["acme-2", "acme-4"]
 
 
 def test_profiles_and_pages(spark):
@@ -115,3 +122,22 @@ def test_readers_and_writers(spark, tmp_path):
     assert ph.select(X.preferred_phone("p", ["512"]), X.preferred_phone("p", [])).first() == ("+1-512-555-0101", "+1-800-555-0100")
     assert spark.createDataFrame([("@dana_v",), ("a-b",)], "h string").select(X.handle("h")).collect() == [("dana_v",), (None,)]
     assert spark.createDataFrame([("3.9",), ("x",)], "h string").select(X.lenient_int("h")).collect() == [(3,), (None,)]
+
+
+def test_sitemaps_in_the_order_met(spark):
+    from gleanery.operators import pages
+
+    site = "https://a.example"
+    nested = lambda *x: "<sitemapindex>" + "".join(f"<sitemap><loc>{site}/{u}.xml</loc></sitemap>" for u in x) + "</sitemapindex>"
+    maps = [(f"{site}/sitemap.xml", nested("z1", "a1")), (f"{site}/z1.xml", nested("deep1"))] + [(f"{site}/deep{i}.xml", nested(f"deep{i + 1}", "z1").replace("</sitemapindex>", f"<url><loc>{site}/p{i}</loc></url></sitemapindex>")) for i in range(1, 9)]
+    maps = [(u, b if "<url>" not in b else b) for u, b in maps] + [(f"{site}/a1.xml", f"<urlset><url><loc>{site}/last</loc></url></urlset>")]
+    maps += [(f"{site}/only{i}.xml", f"<urlset><url><loc>{site}/o{i}</loc></url></urlset>") for i in range(1, 9)]
+    start = spark.createDataFrame([("a.example", f"{site}/sitemap.xml")], "site string, url string")
+    robots = spark.createDataFrame([("a.example", f"Sitemap: {site}/only3.xml\nSitemap: {site}/only1.xml")], "site string, body string")
+    df = spark.createDataFrame(maps, "url string, body string")
+    got = lambda most: sorted(r.url.removeprefix(site) for r in pages.frontier(start, robots, df, most).collect())
+    # Two of robots, then the one tried anyway, z1 and a1 in their order, then deeper ones, to any depth.
+    assert got(1) == ["/o3"] and got(2) == ["/o1", "/o3"] and got(4) == ["/o1", "/o3"] and got(5) == ["/last", "/o1", "/o3"]
+    assert {"/last", "/o1", "/o3"} <= set(got(25)) and len(got(25)) >= 3
+    landed = spark.createDataFrame([("a.example", f"{site}/zzz", 0), ("a.example", f"{site}/contact", 1), ("a.example", f"{site}/CONTACT/", 2), ("a.example", f"{site}/b", 3)], "site string, url string, ord int")
+    assert [r.url for r in pages.fetch_order(landed, most=2).orderBy("place").collect()] == [f"{site}/contact", f"{site}/zzz"]
