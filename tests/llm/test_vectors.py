@@ -51,8 +51,8 @@ def test_bounds_hold():
     rng = np.random.default_rng(1)
     a, b = (vector_dedup.units(rng.standard_normal((400, 64))) for _ in range(2))
     b[:200] = vector_dedup.units(a[:200] + 0.05 * b[:200])
-    rotated, code, factor = vector_dedup.coded(a)
-    estimate, error = vector_dedup.bounds(code, factor, b @ vector_dedup.rotation(64))
+    packed, factor = vector_dedup.coded(a)
+    estimate, error = vector_dedup.bounds(vector_dedup.codes(packed, 64), factor, b @ vector_dedup.rotation(64))
     off = estimate - a @ b.T
     assert (np.abs(off) <= error[:, None]).mean() > 0.9999 and abs(off.mean()) < 0.002  # unbiased
 
