@@ -57,7 +57,9 @@ def components(links: DataFrame) -> DataFrame:
         ends = edges.select(F.col("x").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("y"), F.lit(0), F.lit(1)))
         seen = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         if seen.where("up > 1 or (up > 0 and down > 0)").isEmpty():
-            return edges.select(F.col("x").alias("node"), F.col("y").alias("component")).union(edges.select("y", "y").distinct())
+            found = edges.select(F.col("x").alias("node"), F.col("y").alias("component")).union(edges.select("y", "y").distinct())
+            found._gleanery_path = edges._gleanery_path  # for dropped()
+            return found
         both = edges.union(edges.select("y", "x")).toDF("u", "v")
         large = both.join(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
         small = large.join(large.groupBy("x").agg(F.min("y").alias("m")), "x")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.components import components
-from gleanery.llm.store import written
+from gleanery.llm.store import dropped, written
 
 #: Registers are BANDS x ROWS; their spacing BASE, rate RATE and number of states are those of 16-bit registers.
 BANDS, ROWS, BASE, RATE, STATES = 25, 5, 1.0005, 20.0, 65534
@@ -169,6 +169,8 @@ def _links_of(tile: pa.Table, least: float, percent: int) -> list[tuple[int, int
     """Links between the components of one tile: no pair twice, none that a link found before makes needless."""
     own, node, c, n = (np.asarray(tile.column(x)) for x in ("own", "node", "c", "n"))
     a, b = np.flatnonzero(own == tile.column("p")[0].as_py()), np.flatnonzero(own == tile.column("q")[0].as_py())
+    if not len(a) or not len(b):
+        return []
     sketch = np.frombuffer(b"".join(tile.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
     band = np.asarray(tile.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
     earlier, sets = band[:, : tile.column("band")[0].as_py()], tile.column("set").combine_chunks()
@@ -264,11 +266,18 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     tiles = tiles.join(sketch_of, "node").join(sets, "node").select("band", "value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "c", "n", "sketch", "bands", "set")
     late = written(_tiled(tiles, least, percent))
     # Written, these tables meet the documents in plain joins, whose hot keys Spark splits.
-    whole = written(components(known.union(late.select("x", "y"))))
+    all_ = components(known.union(late.select("x", "y")))
+    whole = written(all_)
+    for t in (members, sketch_of, sets, links, known, at, late, all_):
+        dropped(t)
 
     base = sketches.select("k", "h", "n", "node").join(whole, "node", "left").select("k", "h", "n", F.coalesce("component", "node").alias("c"))
     smallest = written(base.where("c is not null").groupBy("c").agg(F.min("k").alias("m")))
-    return base.join(smallest, "c", "left").select("k", "h", F.col("n").alias("n_shingles"), "c", F.coalesce("m", "k").alias("component_id")).withColumn("kept", F.col("k").eqNullSafe(F.col("component_id")))
+    found = base.join(smallest, "c", "left").select("k", "h", F.col("n").alias("n_shingles"), "c", F.coalesce("m", "k").alias("component_id")).withColumn("kept", F.col("k").eqNullSafe(F.col("component_id")))
+    found = written(found)
+    for t in (sketches, whole, smallest):
+        dropped(t)
+    return found
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
