@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.plans import driver_queries, fixture_queries
+from gleanery.plans import driver_queries, landed_queries
 
-QUERIES: dict = {**driver_queries.QUERIES, **fixture_queries.QUERIES}
-ORACLE_SQL: dict = {**driver_queries.ORACLE_SQL, **fixture_queries.ORACLE_SQL}
+QUERIES: dict = {**driver_queries.QUERIES, **landed_queries.QUERIES}
+ORACLE_SQL: dict = {**driver_queries.ORACLE_SQL, **landed_queries.ORACLE_SQL}

@@ -1,8 +1,4 @@
-"""Operators that need landed payloads, applied to the invented fixtures.
-
-The driver's tables have no registries, crawls of firms or post payloads, so these queries read
-the fixtures instead. Their SQL states the expected rows, worked out by hand from the rules.
-"""
+"""Operators applied to the invented fixtures, with the rows expected of them, worked out by hand from the rules."""
 
 from __future__ import annotations
 
@@ -19,14 +15,12 @@ from gleanery.plans import fixtures, prep
 from gleanery.sources import directories
 from gleanery.streaming import archive
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+CASES: dict[str, tuple[Callable[[SparkSession], DataFrame], str]] = {}
 
 
 def query(columns: str, values: str):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark)
-        ORACLE_SQL[f.__name__] = f"SELECT * FROM (VALUES {values}) AS t({columns})"
+        CASES[f.__name__] = f, f"SELECT * FROM (VALUES {values}) AS t({columns})"
         return f
 
     return add

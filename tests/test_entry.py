@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from gleanery.plans import catalog
+from tests.fixture_cases import CASES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -39,6 +40,9 @@ def test_queries_equal_their_sql(spark):
     for file in os.listdir(FOLDER):
         con.sql(f"create view {file.split('.')[0]} as select * from '{FOLDER}/{file}'")
     for name, query in catalog.QUERIES.items():
-        if name in ("weekly_preparation", "directory_ingest"):
-            continue  # tested on their own
         assert normal(query(spark, FOLDER).toPandas()) == normal(con.sql(catalog.ORACLE_SQL[name]).df()), name
+
+
+def test_fixtures(spark):
+    for name, (run, expected) in CASES.items():
+        assert normal(run(spark).toPandas()) == normal(duckdb.sql(expected).df()), name
