@@ -126,10 +126,11 @@ _LINES = "regexp_replace(regexp_replace(" + _UNESCAPE.format(f"regexp_replace(re
 _TEXT = f"regexp_replace(regexp_replace({_LINES}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
-@query(f"SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars, len(regexp_extract_all(t, '\\S+')) AS n_words FROM (SELECT page_id, {_TEXT} AS t FROM pages)")
+@query(f"SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars, len(regexp_extract_all(t, '\\S+')) AS n_words, length(t) > {H.TEXT_CHARS} AS cut_when_stored FROM (SELECT page_id, {_TEXT} AS t FROM pages)")
 def page_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", H.stored_text(H.page_text("html"))["full_text"].alias("t"))
-    return p.select("page_id", F.md5(F.col("t").cast("binary")).alias("text_md5"), F.length("t").cast("long").alias("n_chars"), H.word_count(F.col("t")).cast("long").alias("n_words"))
+    """The whole text of each page, and whether a record of it, which has a limit, holds only its beginning."""
+    p = table(spark, sf_dir, "pages").select("page_id", H.page_text("html").alias("t"))
+    return p.select("page_id", F.md5(F.col("t").cast("binary")).alias("text_md5"), F.length("t").cast("long").alias("n_chars"), H.word_count(F.col("t")).cast("long").alias("n_words"), H.stored_text(F.col("t"))["full_text_truncated"].alias("cut_when_stored"))
 
 
 _STOP = ", ".join(f"'{x}'" for x in H.THEME_STOP_WORDS)
@@ -295,17 +296,18 @@ def shortlist_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH old AS (SELECT event_id AS id, event_type AS text, value AS favorite_count FROM events WHERE event_id % 3 <> 0),
-new AS (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS text, CASE WHEN event_id % 5 = 0 THEN value + 1 ELSE value END AS favorite_count FROM events WHERE event_id % 2 = 0)
+WITH old AS (SELECT event_id AS id, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS text, value AS favorite_count FROM events),
+new AS (SELECT CASE WHEN event_type = 'click' THEN -1 - event_id ELSE event_id END AS id, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS text, CASE WHEN value < 10 THEN value + 1 ELSE value END AS favorite_count FROM events)
 SELECT coalesce(o.id, n.id) AS id, coalesce(nullif(o.text, ''), n.text, o.text) AS text, coalesce(n.favorite_count, o.favorite_count) AS favorite_count,
   CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NOT NULL AND (n.favorite_count IS DISTINCT FROM o.favorite_count OR (o.text = '' AND n.text <> '')) THEN 'updated' ELSE 'same' END AS change
 FROM old o FULL JOIN new n ON o.id = n.id""")
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events are known posts; all come again, clicks as posts of their own, some with other numbers or texts."""
     from gleanery.operators.merge import upsert_posts
 
-    e, i = table(spark, sf_dir, "events"), F.col("event_id")
-    old = e.where(i % 3 != 0).select(i.alias("id"), F.col("event_type").alias("text"), F.col("value").alias("favorite_count"))
-    new = e.where(i % 2 == 0).select(i.alias("id"), F.when(i % 4 == 0, "").otherwise(F.col("event_type")).alias("text"), F.when(i % 5 == 0, F.col("value") + 1).otherwise(F.col("value")).alias("favorite_count"))
+    e, i, kind, value = table(spark, sf_dir, "events"), F.col("event_id"), F.col("event_type"), F.col("value")
+    old = e.select(i.alias("id"), F.when(kind == "view", "").otherwise(kind).alias("text"), value.alias("favorite_count"))
+    new = e.select(F.when(kind == "click", -1 - i).otherwise(i).alias("id"), F.when(kind == "error", "").otherwise(kind).alias("text"), F.when(value < 10, value + 1).otherwise(value).alias("favorite_count"))
     return upsert_posts(old, new, ["id"], fill=["text"], metrics=["favorite_count"]).select("id", "text", "favorite_count", "change")
 
 
@@ -404,24 +406,29 @@ def same_site_links_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT s_suppkey AS slug, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier)
-SELECT slug, 'n-' || s_nationkey || CASE WHEN rn > 1 THEN '-' || rn ELSE '' END AS file FROM p""")
+WITH p AS (SELECT s_suppkey AS slug, s_nationkey, n_regionkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+f AS (SELECT *, CASE WHEN rn >= n_regionkey + 1 THEN rn + 1 ELSE rn END AS free FROM p)
+SELECT slug, 'n' || s_nationkey || CASE WHEN free > 1 THEN '-' || free ELSE '' END AS file FROM f""")
 def slug_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers are named after their nation; the name with the region's number plus one is taken already."""
     from gleanery.operators.entities import unique_slugs
 
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("slug"), F.concat(F.lit("n-"), F.col("s_nationkey")).alias("base"))
-    return unique_slugs(s, "base", ["slug"]).select("slug", F.col("unique_slug").alias("file"))
+    n = table(spark, sf_dir, "nation")
+    taken = n.select(F.concat(F.lit("n"), F.col("n_nationkey"), F.when(F.col("n_regionkey") > 0, F.concat(F.lit("-"), F.col("n_regionkey") + 1)).otherwise("")).alias("slug"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("slug"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("base"))
+    return unique_slugs(s, "base", ["slug"], taken).select("slug", F.col("unique_slug").alias("file"))
 
 
 @query("""
-WITH a AS (SELECT p_partkey AS path, md5(p_name) AS h FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey AS path, md5(CASE WHEN p_partkey % 7 = 0 THEN p_name || '!' ELSE p_name END) AS h FROM part WHERE p_partkey % 3 <> 0)
+WITH a AS (SELECT p_partkey::VARCHAR AS path, md5(p_name) AS h FROM part), b AS (SELECT CASE WHEN p_type = 'ECONOMY' THEN 'old-' ELSE '' END || p_partkey AS path, md5(CASE WHEN p_size > 25 THEN p_name || '!' ELSE p_name END) AS h FROM part)
 SELECT count(*) FILTER (a.path IS NOT NULL AND a.h IS DISTINCT FROM b.h) AS copied, count(*) FILTER (a.path IS NULL) AS removed, count(*) FILTER (a.path IS NOT NULL) AS total FROM a FULL JOIN b ON a.path = b.path""")
 def mirror_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copy of all parts has some under old names, others with another content."""
     from gleanery.operators.merge import mirror_counts
 
-    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
-    a = p.where(k % 5 != 0).select(k.alias("path"), F.col("p_name").cast("binary").alias("content"))
-    b = p.where(k % 3 != 0).select(k.alias("path"), F.when(k % 7 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).cast("binary").alias("content"))
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    a = p.select(k.alias("path"), F.col("p_name").cast("binary").alias("content"))
+    b = p.select(F.concat(F.when(F.col("p_type") == "ECONOMY", "old-").otherwise(""), k).alias("path"), F.when(F.col("p_size") > 25, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).cast("binary").alias("content"))
     return mirror_counts(a, b)
 
 
