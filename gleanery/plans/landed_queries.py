@@ -18,7 +18,7 @@ from gleanery.functions.json import schema_people, schema_types
 from gleanery.operators import boards, contacts, entities, hiring, identity, imports, merge, pages, profiles, ranking
 from gleanery.plans import prep
 from gleanery.sources import directories, documents, sinks
-from gleanery.sources.tables import table
+from gleanery.sources.tables import scratch, table
 from gleanery.streaming import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -586,6 +586,19 @@ def captured_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.posts_of_hits(documents.hits(hits)).select("archive_id", "id", "text", "favorite_count")
 
 
+@query("""
+SELECT user_id::VARCHAR AS archive_id, event_id::VARCHAR AS id, 'added' AS change, 0 AS seq, floor(value)::BIGINT AS favorite_count FROM events
+UNION ALL SELECT user_id::VARCHAR, event_id::VARCHAR, 'updated', seq, floor(value)::BIGINT + (seq = 1)::BIGINT FROM events, (VALUES (1), (3)) AS s(seq) WHERE event_type = 'click'""")
+def archive_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes that a stream over the landed pages writes; the pages and its sink lie in the folder that all share."""
+    folder = scratch(spark)
+    pages_ = _post_pages(spark, sf_dir)
+    pages_.write.parquet(f"{folder}/pages")
+    stream = archive.streamed(spark.readStream.schema(pages_.schema).parquet(f"{folder}/pages"), "append")
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/changes").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/changes").select("archive_id", "id", "change", "seq", "favorite_count")
+
+
 # The weekly preparation: suppliers not in debt are law firms with a site, a page and a partner on it.
 
 

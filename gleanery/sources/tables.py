@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -12,3 +15,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut in the folder of spark.checkpoint.dir; df itself where none is set, as in tests."""
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under the one that driver and executors share: spark.checkpoint.dir, else the warehouse; on a local master without either, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and spark.sparkContext.master.startswith("local"):
+        return f"file://{tempfile.mkdtemp(prefix='gleanery-')}"
+    return f"{shared or spark.conf.get('spark.sql.warehouse.dir')}/gleanery-{uuid.uuid4().hex}"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gleanery.functions.json import page_of, timeline
+from gleanery.functions.json import timeline
 from gleanery.functions.text import lenient_int
 from gleanery.operators.merge import METRICS
 
@@ -108,45 +108,32 @@ def stopped(pages: DataFrame, max_posts: int = 0, max_pages: int = 0, retries: i
     return every.join(first, "archive_id", "left").select("archive_id", F.coalesce("s", "e").alias("x")).select("archive_id", "x.*")
 
 
-STATE = "posts array<struct<id:string,text:string,created_at:string,favorite_count:bigint,retweet_count:bigint,reply_count:bigint,quote_count:bigint,bookmark_count:bigint,view_count:bigint,seq:bigint,pos:int>>, idle int, pages int"
-CHANGE = "archive_id string, id string, text string, created_at string, favorite_count bigint, retweet_count bigint, reply_count bigint, quote_count bigint, bookmark_count bigint, view_count bigint, change string, pages int, exhausted boolean"
-_FIELDS = ["id", "text", "created_at", *METRICS]
+_FIELDS = ["text", "created_at", *METRICS]
+STATE = "text string, created_at string, " + ", ".join(f"{m} bigint" for m in METRICS)
+CHANGE = f"archive_id string, id string, {STATE}, change string, seq bigint, pos int"
 
 
-def streamed(pages: DataFrame) -> DataFrame:
+def streamed(pages: DataFrame, mode: str = "update") -> DataFrame:
     """The same archive from a stream of landed pages: a row for every post that is added or changes.
 
-    State is kept per archive; the last row of each post is what archived() gives. Pages of one
-    micro-batch apply in order of their number.
+    State is one post, so no archive gathers in one place; the last row of each post (by seq and
+    pos) is what archived() gives. What one micro-batch has of a post applies in order of seq and
+    pos; micro-batches apply as they come. Why a walk stops is stopped()'s to say, over the pages.
     """
 
     def run(key, batches, state: GroupState):
-        posts, idle, done = ({}, 0, 0) if not state.exists else ({p[0]: list(p) for p in map(tuple, state.get[0])}, state.get[1], state.get[2])
-        rows = pd.concat(list(batches)).sort_values("seq")
+        known = list(state.get) if state.exists else None
         out = []
-        for seq, status, body in zip(rows["seq"], rows["status"], rows["body"], strict=True):
-            if status != 200:
-                continue
-            done += 1
-            moved = False
-            for pos, post in enumerate(page_of(body)["posts"]):
-                old = posts.get(post["id"])
-                new = [post.get(f) for f in _FIELDS]
-                if old is None:
-                    posts[post["id"]] = [*new, int(seq), pos]
-                    change = "added"
-                else:
-                    merged = [old[0], old[1] or new[1], old[2] or new[2], *[o if n is None else n for o, n in zip(old[3:9], new[3:], strict=True)]]
-                    change = "updated" if merged != old[:9] else None
-                    old[:9] = merged
-                if change:
-                    moved = True
-                    out.append([*posts[post["id"]][:9], change])
-            idle = 0 if moved else idle + 1
-        state.update(([tuple(p) for p in posts.values()], idle, done))
-        frame = pd.DataFrame(out, columns=[*_FIELDS, "change"]).assign(pages=done, exhausted=idle >= STREAK)
-        frame.insert(0, "archive_id", key[0])
-        yield frame
-
-    columns = pages.select("archive_id", F.col("seq").cast("long").alias("seq"), F.col("status").cast("int").alias("status"), "body")
-    return columns.groupBy("archive_id").applyInPandasWithState(run, CHANGE, STATE, "update", GroupStateTimeout.NoTimeout)
+        rows = [r for b in batches for r in b[["seq", "pos", *_FIELDS]].astype(object).itertuples(index=False)]
+        for r in sorted(rows, key=lambda r: (r[0], r[1])):
+            new = [None if x is None or x != x else x for x in r[2:]]
+            now = new if known is None else [known[0] or new[0], known[1] or new[1], *[o if n is None else n for o, n in zip(known[2:], new[2:], strict=True)]]
+            now = [now[0] or "", now[1] or "", *[None if x is None else int(x) for x in now[2:]]]
+            if now != known:
+                out.append([*key, *now, "added" if known is None else "updated", int(r[0]), int(r[1])])
+            known = now
+        state.update(tuple(known))
+        yield pd.DataFrame(out, columns=["archive_id", "id", *_FIELDS, "change", "seq", "pos"]).astype({m: "Int64" for m in METRICS})
+
+    posts = exploded(pages.select("archive_id", F.col("seq").cast("long").alias("seq"), F.col("status").cast("int").alias("status"), "body"))
+    return posts.groupBy("archive_id", "id").applyInPandasWithState(run, CHANGE, STATE, mode, GroupStateTimeout.NoTimeout)
