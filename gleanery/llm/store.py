@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/_gleanery"
 
 
+#: Tables written inside temporary(), innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Drops all tables that are written inside, but for those given to kept()."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for table_ in _scopes.pop():
+            dropped(table_)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A written table that outlives temporary()."""
+    if _scopes:
+        _scopes[-1] = [t for t in _scopes[-1] if t is not df]
+    return df
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back: its lineage ends there and lost executors don't matter."""
     spark = sized(df.sparkSession)
@@ -45,6 +69,8 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gleanery_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 

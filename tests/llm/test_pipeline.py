@@ -70,3 +70,11 @@ def test_run(spark, tables, steps):
     got = corpus_pipeline.run(spark, tables)
     assert got.columns == steps[-1].columns
     assert sorted(r.ids_sha256 for r in got.collect()) == sorted(r.ids_sha256 for r in steps[-1].collect())
+
+
+def test_run_leaves_only_its_result(spark, tables, tmp_path, monkeypatch):
+    from gleanery.llm import store
+
+    monkeypatch.setattr(store, "shared_dir", lambda spark: f"file://{tmp_path}")
+    got = corpus_pipeline.run(spark, tables)
+    assert [str(p) for p in tmp_path.iterdir()] == [got._gleanery_path.removeprefix("file://")] and got.count() > 0
