@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import bpe, line_dedup, mixing, near_dup, quality
 from gleanery.llm.catalog import vocabulary_path
-from gleanery.llm.store import sized, table, written
+from gleanery.llm.store import dropped, kept, sized, table, temporary, written
 
 #: Words of a shingle and percent of similarity for near copies.
 SHINGLE, PERCENT = 5, 80
@@ -57,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        # A stage's own tables go when its result is written, and that when the next one's is.
+        with temporary():
+            docs = kept(written(stage(spark, docs, sf_dir)))
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
