@@ -4,12 +4,16 @@ Consecutive lines of a document are hashed three at a time. A window that occurs
 than once anywhere keeps its first occurrence; every later one covers its three lines,
 covered lines of overlapping windows merge, and covered lines go.
 
+A line of more than LONG words is a paragraph, in which a passage can repeat without any whole
+line doing so; such lines count as their sentences (up to a full stop, question or exclamation
+mark with a blank behind it), so that windows see passages of three sentences there.
+
 "First" is the smallest (doc_id, hash of the text, position), null doc_ids last. Lines
 are compared without the blanks at their ends; a window of blank lines only counts for
 nothing. Two 64-bit hashes stand for a window.
 
-Defined results: texts of fewer than three lines stay as they are, null texts stay
-null; a document all of whose lines go has the empty text; rows that are equal in key
+Defined results: texts of fewer than three lines (so counted) stay as they are, null texts
+stay null; a document all of whose lines go has the empty text; rows that are equal in key
 and text count as one document and all get its result; other columns stay untouched.
 """
 
@@ -18,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIZE = 3
+#: Lines of a window, and words of a line beyond which it counts as its sentences.
+SIZE, LONG = 3, 50
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.split(F.col(text), "\n", -1).alias("lines"))
+def units(text):
+    """Lines of a text, each with the line break behind it; long ones as their sentences, each with the blank behind it."""
+    return F.flatten(F.transform(F.split(text, r"(?<=\n)", -1), lambda x: F.when(F.size(F.split(x, " ")) > LONG, F.split(x, r"(?<=[.!?] )", -1)).otherwise(F.array(x))))
 
 
 def _once(value, use):
@@ -32,12 +38,11 @@ def _once(value, use):
 
 def covered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """k, h (hash of the text) and at: starts, from 0, of the windows to remove. Only documents that lose lines."""
-    trimmed = F.transform("lines", lambda x: F.trim(x))
-    threes = _once(trimmed, lambda ls: F.transform(F.sequence(F.lit(0), F.size(ls) - SIZE), lambda i: F.concat_ws("\n", *[F.get(ls, i + j) for j in range(SIZE)])))
+    trimmed = F.transform(units(F.col(text)), lambda x: F.trim(F.translate(x, "\n", "")))
+    starts = lambda ls: F.when(F.size(ls) >= SIZE, F.sequence(F.lit(0), F.size(ls) - SIZE)).otherwise(F.array().cast("array<int>"))
+    threes = _once(trimmed, lambda ls: F.transform(starts(ls), lambda i: F.concat_ws("\n", *[F.get(ls, i + j) for j in range(SIZE)])))
     windows = (
-        _keyed(docs, key, text)
-        .where(F.size("lines") >= SIZE)
-        .select("k", "h", F.posexplode(threes).alias("at", "three"))
+        docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.posexplode(threes).alias("at", "three"))
         .where(F.length("three") > SIZE - 1)
         .select("k", "h", "at", F.xxhash64("three").alias("w1"), F.xxhash64(F.lit("second"), F.col("three")).alias("w2"))
     )
@@ -48,17 +53,20 @@ def covered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with the repeated lines gone from column text, and n_lines and n_removed beside it (in place of columns of these names; a prefix keeps those)."""
+    """docs with the repeated lines gone from column text, and n_lines and n_removed (long lines counted as their sentences) beside it (in place of columns of these names; a prefix keeps those)."""
     added = (f"{prefix}n_lines", f"{prefix}n_removed")
     gone = covered(docs, key, text)
     d, g = docs.alias("d"), gone.alias("g")
     joined = d.join(g, F.col(f"d.{key}").eqNullSafe(F.col("g.k")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("g.h")), "left")
-    lines = F.split(F.col(f"d.{text}"), "\n", -1)
+    lines = units(F.col(f"d.{text}"))
     # The lines that stay are those whose positions are in no window: a difference of sets, so a document costs its length.
     hidden = F.flatten(F.transform("g.at", lambda a: F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), lambda on: a + on)))
     stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x["ls"]) - 1), x["gone"])
-    kept = _once(F.struct(lines.alias("ls"), hidden.alias("gone")), lambda x: F.transform(stay(x), lambda i: F.get(x["ls"], i)))
-    out = [F.when(F.col("g.at").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in added]
+    joined_up = lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x["ls"], i)), "")
+    # What is behind the last line that stays goes with the last line.
+    ended = lambda x: F.when(F.array_contains(x["gone"], F.size(x["ls"]) - 1), F.regexp_replace(joined_up(x), r"[\n ]\z", "")).otherwise(joined_up(x))
+    kept = _once(F.struct(lines.alias("ls"), hidden.alias("gone")), ended)
+    out = [F.when(F.col("g.at").isNull(), F.col(f"d.{text}")).otherwise(kept).alias(text) if c == text else F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in added]
     n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     removed = F.when(F.col("g.at").isNull(), 0).otherwise(F.size(F.array_distinct(hidden))).cast("long")
     return joined.select(*out, F.when(F.col(f"d.{text}").isNull(), F.lit(0)).otherwise(n).cast("long").alias(added[0]), removed.alias(added[1]))
@@ -66,11 +74,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: str
 
 #: The same in DuckDB. Windows are compared as text there.
 ORACLE_SQL = """
-WITH lines AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+WITH broken AS (
+  SELECT doc_id, text, string_split(replace(text, chr(10), chr(10) || chr(1)), chr(1)) AS ps FROM documents
+), lines AS (
+  SELECT doc_id, text, flatten(list_transform(ps, lambda p: CASE WHEN len(string_split(p, ' ')) > 50 THEN string_split(regexp_replace(p, '([.!?]) ', '\\1 ' || chr(1), 'g'), chr(1)) ELSE [p] END)) AS ls FROM broken
 ), windows AS (
   SELECT doc_id, text, i AS pos,
-         trim(ls[i + 1], ' ') || chr(10) || trim(ls[i + 2], ' ') || chr(10) || trim(ls[i + 3], ' ') AS three
+         trim(replace(ls[i + 1], chr(10), ''), ' ') || chr(10) || trim(replace(ls[i + 2], chr(10), ''), ' ') || chr(10) || trim(replace(ls[i + 3], chr(10), ''), ' ') AS three
   FROM lines, unnest(range(len(ls) - 2)) AS r(i) WHERE len(ls) >= 3
 ), firsts AS (
   SELECT three, min(row(doc_id, pos)) AS first FROM windows WHERE length(three) > 2 GROUP BY three HAVING count(*) > 1
@@ -81,7 +91,7 @@ WITH lines AS (
   FROM lines l LEFT JOIN later USING (doc_id)
 )
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END AS n_lines, coalesce(len(gone), 0) AS n_removed,
-       CASE WHEN gone IS NULL THEN text ELSE
-         coalesce(array_to_string([ls[i + 1] FOR i IN range(len(ls)) IF NOT list_contains(gone, i)], chr(10)), '') END AS text
+       CASE WHEN gone IS NULL THEN text ELSE regexp_replace(
+         coalesce(array_to_string([ls[i + 1] FOR i IN range(len(ls)) IF NOT list_contains(gone, i)], ''), ''), CASE WHEN list_contains(gone, len(ls) - 1) THEN '[\\n ]$' ELSE '$^' END, '') END AS text
 FROM marked
 """

@@ -154,27 +154,25 @@ def test_long_conversations_are_read_as_one(spark, monkeypatch):
     assert len({(r.segment, r.number, r.bucket) for r in parts if r.conv_id == 1000}) == 6 and len({r.bucket for r in parts if r.conv_id == 2000}) > 1
 
 
-def brute_lines(docs):
-    """By key and text: the text without later windows."""
-    unique = {}
-    for i, t, *_ in docs:
-        unique.setdefault((i, t), None)
+def brute_units(text):
+    """Lines with their breaks; those of more than 50 words as sentences with the blank behind them."""
+    out = []
+    for line in re.split(r"(?<=\n)", text):
+        out += re.split(r"(?<=[.!?] )", line) if len(line.split(" ")) > 50 else [line]
+    return out
+
+
+def brute_dedup(docs):
+    """By key and text: the text without later windows, and how many lines went."""
     from collections import defaultdict
 
     where = defaultdict(list)
-    lines = {k: k[1].split("\n") for k in unique if k[1] is not None}
+    lines = {(d[0], d[1]): brute_units(d[1]) for d in docs if d[1] is not None}
     for k, ls in lines.items():
         for at in range(len(ls) - 2):
-            w = "\n".join(x.strip(" ") for x in ls[at : at + 3])
+            w = "\n".join(x.replace("\n", "").strip(" ") for x in ls[at : at + 3])
             if len(w) > 2:
                 where[w].append((k, at))
-    return lines, where
-
-
-def test_line_dedup(spark, corpus, documents):
-    got = line_dedup.dedup(documents).collect()
-    assert len(got) == len(corpus[0]) and all(r.k == "clash" for r in got)
-    lines, where = brute_lines(corpus[0])
     gone = {k: set() for k in lines}
     for places in where.values():
         # The first place has the smallest key, null last; among equal keys (the text's hash decides) any may be first.
@@ -182,12 +180,37 @@ def test_line_dedup(spark, corpus, documents):
         for k, at in places:
             if (k, at) != first:
                 gone[k] |= {at, at + 1, at + 2}
-    want = sorted((k[0] is None, k[0] or 0, "\n".join(x for i, x in enumerate(lines[k]) if i not in gone[k]), len(gone[k])) for k in [(d[0], d[1]) for d in corpus[0] if d[1] is not None])
+    out = {}
+    for k, ls in lines.items():
+        text = "".join(x for i, x in enumerate(ls) if i not in gone[k])
+        out[k] = (re.sub(r"[\n ]\Z", "", text) if len(ls) - 1 in gone[k] else text, len(gone[k]))
+    return out
+
+
+def test_line_dedup(spark, corpus, documents):
+    got = line_dedup.dedup(documents).collect()
+    assert len(got) == len(corpus[0]) and all(r.k == "clash" for r in got)
+    brute = brute_dedup(corpus[0])
+    want = sorted((d[0] is None, d[0] or 0, *brute[d[0], d[1]]) for d in corpus[0] if d[1] is not None)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text, r.n_removed) for r in got if r.text is not None) == want
     assert [r.n_lines for r in got if r.doc_id == 700] == [0]
     assert line_dedup.dedup(documents.where("false")).count() == 0
 
 
+def test_passages_inside_long_lines(spark):
+    from tests.llm.conftest import sentence
+
+    rng = random.Random(12)
+    text = lambda n: " ".join(sentence(rng) for _ in range(n))
+    passage = text(6)
+    docs = [(1, text(4) + " " + passage + " " + text(4)), (2, text(5) + " " + passage), (3, passage + " " + text(3) + "\n" + text(2)), (4, text(9)), (5, "One two. Three. Four. " + text(2)), (6, "One two. Three. Four.\nmore"), (7, text(4) + "\n" + text(5) + " \n"), (8, "a. . b! c? " * 20)]
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    brute = brute_dedup(docs)
+    for d in docs:
+        assert (got[d[0]].text, got[d[0]].n_removed) == brute[d], d[0]
+    assert passage in got[1].text and passage not in got[2].text and got[2].n_removed == 6 and got[3].text == docs[2][1][len(passage) + 1 :] and got[4].text == docs[3][1] and got[6].text == docs[5][1]
+
+
 def test_quality(spark, corpus, documents, tables):
     labels = spark.read.parquet(f"{tables}/labels.parquet")
     got = quality.judged(documents, labels)
