@@ -95,7 +95,8 @@ def board_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     employer = F.when(F.col("other"), f"{BOARD}/company/other/").otherwise(_company("o_custkey"))
     card = _tag("li", _tag("a", "x", href=F.concat(F.lit("/jobs/view/clerk-"), F.col("job"))), _tag("h3", F.col("o_orderpriority"), class_="base-search-card__title"), _tag("a", "Firm", href=employer), _tag("time", "then", datetime=F.col("day")), F.when(F.col("o_orderstatus") == "F", " No longer accepting applications").otherwise(""), class_="base-search-card")
     listing = o.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(card)), "").alias("html"))
-    jobs = listing.select("o_custkey", F.explode(boards.jobs_on_page("html", _company("o_custkey"), F.col("o_custkey").cast("string"))).alias("j"))
+    listing = listing.withColumns({"company": _company("o_custkey"), "company_id": F.col("o_custkey").cast("string")})
+    jobs = boards.listed_jobs(listing).select("o_custkey", F.explode("jobs").alias("j"))
     return jobs.select(F.col("o_custkey").alias("firm"), "j.job_id", "j.title", "j.date_posted")
 
 
@@ -112,8 +113,8 @@ def board_job_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _tag("div", _tag("div", _tag("p", F.concat(F.lit("Work "), F.col("o_custkey").cast("string"))), _tag("ul", _tag("li", F.col("o_orderpriority"))), class_="show-more-less-html__markup"), class_="description")
     level = _tag("li", _tag("h3", "Seniority level"), _tag("span", F.col("o_orderpriority"), class_="description__job-criteria-text"), class_="description__job-criteria-item")
     html = F.concat(F.lit(f'<link rel="canonical" href="{BOARD}/jobs/view/'), named, F.lit('/">'), top, text, level)
-    d = o.select("job", boards.detail_facts(html, F.col("job"), _company("o_custkey"), F.col("o_custkey").cast("string")).alias("d"))
-    return d.select(F.col("job").alias("job_id"), "d.detail_status", "d.description", "d.seniority_level", "d.listing_status")
+    p = o.select(F.col("job").alias("job_id"), html.alias("html"), _company("o_custkey").alias("company"), F.col("o_custkey").cast("string").alias("company_id"))
+    return boards.job_details(p).select("job_id", "detail_status", "description", "seniority_level", "listing_status")
 
 
 @query("""
@@ -123,8 +124,8 @@ def second_board_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("other"), "Somebody Else").otherwise(F.concat(F.lit("Firm "), F.col("o_custkey").cast("string")))
     card = _tag("li", _tag("h2", _tag("a", F.col("o_orderpriority"), href=F.concat(F.lit("/viewjob?jk="), F.col("jk")))), _tag("span", name, data_testid="company-name"), data_jk=F.col("jk"))
     listing = o.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(card)), "").alias("html"))
-    s = listing.select("o_custkey", boards.second_jobs_on_page("html", F.lit("https://www.indeed.com/jobs?q=x"), F.concat(F.lit("FIRM "), F.col("o_custkey").cast("string")), F.lit("")).alias("s"))
-    return s.select(F.col("o_custkey").alias("firm"), F.explode("s.jobs").alias("j")).select("firm", "j.job_id", "j.title", "j.url")
+    p = listing.withColumns({"url": F.lit("https://www.indeed.com/jobs?q=x"), "firm": F.concat(F.lit("FIRM "), F.col("o_custkey").cast("string")), "company": F.lit("")})
+    return boards.second_listed_jobs(p).select("o_custkey", F.explode("jobs").alias("j")).select(F.col("o_custkey").alias("firm"), "j.job_id", "j.title", "j.url")
 
 
 @query("""
@@ -142,8 +143,8 @@ def second_board_details(spark: SparkSession, sf_dir: str) -> DataFrame:
         _tag("div", _tag("p", F.concat(F.lit("Work "), F.col("o_custkey").cast("string"))), id="jobDescriptionText"), _tag("a", "Apply", id="applyButtonLink", href=F.concat(F.lit("https://apply.example/"), F.col("o_orderkey").cast("string"))), _tag("script", schema, type="application/ld+json"),
     )
     own = F.concat(F.lit("https://www.indeed.com/cmp/co-"), F.col("o_custkey").cast("string"))
-    d = o.select("jk", profiles.second_detail_facts(html, F.col("jk"), F.lit("Firm"), own, F.lit("1997-01-01T00:00:00")).alias("d"))
-    return d.select(F.col("jk").alias("job_id"), "d.detail_status", "d.title", "d.description", "d.pay_basis", "d.listing_status", "d.apply_url")
+    p = o.select(F.col("jk").alias("job_id"), html.alias("html"), F.lit("Firm").alias("firm"), own.alias("company"), F.lit("1997-01-01T00:00:00").alias("now"))
+    return boards.second_job_details(p).select("job_id", "detail_status", "title", "description", "pay_basis", "listing_status", "apply_url")
 
 
 @query("""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import board_links as L
 from gleanery.functions import urls as U
 from gleanery.functions.dom import Dom
+from gleanery.operators import boards
 from gleanery.operators import imports as I
 from gleanery.operators import profiles as P
 from gleanery.plans import fixtures
@@ -72,13 +73,13 @@ DETAIL = f"""<link rel="canonical" href="https://www.indeed.com/viewjob?jk={KEY}
 
 
 def test_second_details(spark):
-    df = spark.createDataFrame([(DETAIL, KEY, "Vale", None, "2024-01-15T00:00:00")], "h string, j string, f string, c string, n string")
-    d = df.select(P.second_detail_facts("h", "j", "f", "c", "n").alias("d")).first().d
-    assert (d.detail_status, d.title, d.description, d.pay_text, d.pay_basis, d.listing_status, d.apply_url, d.employment_type) == ("ok", "Cook", "Cook food", "$20 an hour", "base_salary", "observed", "https://ats.example/1", "FULL_TIME")
-    assert P.second_detail(DETAIL, KEY, "Vale", "", "2024-02-02T00:00:00")["listing_status"] == "closed"
-    assert P.second_detail(DETAIL, "f" * 16, "Vale", "", "2024-01-01T00:00:00")["detail_status"] == "job_mismatch"
-    assert P.second_detail(DETAIL, KEY, "Vale", "https://www.indeed.com/cmp/other", "2024-01-01T00:00:00")["detail_status"] == "company_mismatch"
-    assert P.second_detail("<title>Just a moment...</title>", KEY, "Vale", "", "2024-01-01T00:00:00")["detail_status"] == "blocked"
+    asked = {"own": (DETAIL, KEY, None, "2024-01-15T00:00:00"), "late": (DETAIL, KEY, None, "2024-02-02T00:00:00"), "job": (DETAIL, "f" * 16, None, "2024-01-01T00:00:00"), "firm": (DETAIL, KEY, "https://www.indeed.com/cmp/other", "2024-01-01T00:00:00"), "wall": ("<title>Just a moment...</title>", KEY, None, "2024-01-01T00:00:00"), "none": ("<p>x</p>", KEY, None, "2024-01-01T00:00:00")}
+    rows = spark.createDataFrame([(k, h, j, "Vale", c, n) for k, (h, j, c, n) in asked.items()], "k string, html string, job_id string, firm string, company string, now string")
+    got = {r.k: r for r in boards.second_job_details(rows).collect()}
+    assert {k: r.detail_status for k, r in got.items()} == {"own": "ok", "late": "ok", "job": "job_mismatch", "firm": "company_mismatch", "wall": "blocked", "none": "parse_error"}
+    d = got["own"]
+    assert (d.title, d.description, d.pay_text, d.pay_basis, d.listing_status, d.apply_url, d.employment_type) == ("Cook", "Cook food", "$20 an hour", "base_salary", "observed", "https://ats.example/1", "FULL_TIME")
+    assert got["late"].listing_status == "closed"
     page = f'<script type="application/json">{json.dumps({"a": [{"jobkey": KEY, "title": "T", "company": {"name": "V"}}, {"jk": "no", "title": "x"}]})}</script><script>window._initialData = {json.dumps({"jk": "f" * 16, "jobTitle": "U"})}; more()</script>'
     assert [(x["job_id"], x["title"], x["company"]) for x in P.embedded(Dom(page))] == [(KEY, "T", "V"), ("f" * 16, "U", "")]
 

@@ -9,7 +9,7 @@ from gleanery.functions.dom import DomNodes, safe_description
 from gleanery.functions.json import schema_people, schema_types
 from gleanery.operators import contacts as C
 from gleanery.operators import entities, filters, hiring, identity, merge, metrics, pages, ranking
-from gleanery.operators.boards import company_pages, detail_facts, jobs_on_page, second_jobs_on_page
+from gleanery.operators.boards import company_pages, job_details, listed_jobs, second_listed_jobs
 from gleanery.plans import fixtures, prep
 from gleanery.sources import directories, documents, sinks
 
@@ -231,15 +231,21 @@ def test_boards(spark):
     assert got["number"].company_url == COMPANY and got["other"].contacts == [] and got["hidden"].masked == 2
     r = got["own"]
     assert (r.status, r.company_id, r.masked, [(c.name, c.title, c.profile_url) for c in r.contacts]) == ("found", "42", 1, [("Dana Vale", "Owner", "https://www.linkedin.com/in/dana/")])
-    jobs = one(spark, {"h": LISTING, "c": COMPANY, "i": "42"}, jobs_on_page("h", "c", "i").alias("j")).j
+    jobs = listed_jobs(spark.createDataFrame([(LISTING, COMPANY, "42")], "html string, company string, company_id string")).first().jobs
     assert [(j.job_id, j.title, j.date_posted) for j in jobs] == [("123456", "Clerk", "2024-01-02")]
-    d = one(spark, {"h": DETAIL, "j": "123456", "c": COMPANY, "i": "42"}, detail_facts("h", "j", "c", "i").alias("d")).d
-    assert (d.detail_status, d.description, d.seniority_level, d.listing_status) == ("ok", "Do work\n\n- one", "Entry", "observed") and "bad" not in d.description_html
-    assert one(spark, {"h": DETAIL, "j": "999999", "c": COMPANY, "i": "42"}, detail_facts("h", "j", "c", "i").alias("d")).d.detail_status == "job_mismatch"
-    assert one(spark, {"h": DETAIL, "j": "123456", "c": "https://www.linkedin.com/company/other/", "i": "42"}, detail_facts("h", "j", "c", "i").alias("d")).d.detail_status == "company_mismatch"
+    asked = {"own": ("123456", COMPANY, DETAIL), "job": ("999999", COMPANY, DETAIL), "firm": ("123456", "https://www.linkedin.com/company/other/", DETAIL), "wall": ("123456", COMPANY, "<title>Sign in | LinkedIn</title>" + DETAIL), "urn": ("123456", COMPANY, DETAIL.replace('class="top-card-layout"', 'class="top-card-layout" data-entity-urn="urn:li:jobPosting:7"')), "none": ("123456", COMPANY, "<p>x</p>"), "elsewhere": ("123456", COMPANY, DETAIL.replace('class="description"', 'class="about"'))}
+    got = {r.k: r for r in job_details(spark.createDataFrame([(k, j, c, h, "42") for k, (j, c, h) in asked.items()], "k string, job_id string, company string, html string, company_id string")).collect()}
+    assert {k: r.detail_status for k, r in got.items()} == {"own": "ok", "job": "job_mismatch", "firm": "company_mismatch", "wall": "blocked", "urn": "job_mismatch", "none": "parse_error", "elsewhere": "partial"}
+    d = got["own"]
+    assert (d.description, d.description_source, d.seniority_level, d.title, d.listing_status) == ("Do work\n\n- one", "html", "Entry", "Clerk", "observed") and "bad" not in d.description_html and got["job"].title is None
+    ld = '<script type="application/ld+json">{"@type": "JobPosting", "url": "https://www.linkedin.com/jobs/view/123456", "title": "T", "description": "<p>From <b>it</b></p>", "datePosted": "2024-01-02", "hiringOrganization": {"sameAs": "' + COMPANY + '"}}</script>'
+    r = job_details(spark.createDataFrame([("123456", COMPANY, ld, "42")], "job_id string, company string, html string, company_id string")).first()
+    assert (r.detail_status, r.description, r.description_source, r.title, r.date_posted) == ("ok", "From it", "json_ld", "T", "2024-01-02")
     page = '<ul><li data-jk="0123456789abcdef"><h2><a href="/viewjob?jk=0123456789abcdef">Cook</a></h2><span data-testid="company-name">Vale</span></li><li><a href="/viewjob?jk=1123456789abcdef">Spy</a><span data-testid="company-name">Other</span></li></ul><a rel="next" href="/jobs?start=10">Next</a>'
-    s = one(spark, {"h": page, "u": "https://www.indeed.com/jobs?q=x", "f": "VALE", "c": ""}, second_jobs_on_page("h", "u", "f", "c").alias("s")).s
-    assert (s.status, [(j.job_id, j.title) for j in s.jobs], s.next_url) == ("ok", [("0123456789abcdef", "Cook")], "https://www.indeed.com/jobs?start=10")
+    more = '<script type="application/ld+json">{"@type": "JobPosting", "url": "/viewjob?jk=2123456789abcdef", "title": "Baker", "hiringOrganization": {"name": "vale"}}</script>'
+    cases = {"name": (page + more, ""), "own": ('<link rel="canonical" href="https://www.indeed.com/cmp/vale"><ul><li><a href="/viewjob?jk=3123456789abcdef">Server</a></li></ul>', "https://www.indeed.com/cmp/vale"), "other": ('<link rel="canonical" href="https://www.indeed.com/cmp/other">' + page, "https://www.indeed.com/cmp/vale"), "wall": ("<title>Just a moment...</title>", "")}
+    got = {r.k: r for r in second_listed_jobs(spark.createDataFrame([(k, h, "https://www.indeed.com/jobs?q=x", "VALE", c) for k, (h, c) in cases.items()], "k string, html string, url string, firm string, company string")).collect()}
+    assert {k: (r.status, [(j.job_id, j.title) for j in r.jobs], r.next_url) for k, r in got.items()} == {"name": ("ok", [("0123456789abcdef", "Cook"), ("2123456789abcdef", "Baker")], "https://www.indeed.com/jobs?start=10"), "own": ("ok", [("3123456789abcdef", "Server")], ""), "other": ("company_mismatch", [], ""), "wall": ("blocked", [], "")}
 
 
 def test_dom_rows(spark):
