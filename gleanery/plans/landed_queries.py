@@ -156,13 +156,27 @@ def board_job_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     o = _orders(spark, sf_dir)
     link = F.concat(F.lit(f"{BOARD}/jobs/view/externalApply?jobId="), F.when(F.col("other"), "1").otherwise(F.col("job")), F.lit("&url=https%3A%2F%2Fapply.example%2F"), F.col("o_orderkey").cast("string"))
-    unwrapped = F.udf(profiles.application_link)(link, F.col("job"))
+    unwrapped = profiles.application_link(link, F.col("job"))
     first = U.job_identity(F.concat(F.when(F.col("o_orderstatus") == "F", "https://linkedin.com.evil.example/jobs/view/").otherwise(f"{BOARD}/jobs/view/clerk-"), F.col("job")), "linkedin")
     again = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("&jk="), F.col("jk"))).otherwise("")
     second = U.job_identity(F.concat(F.lit("https://www.indeed.com/viewjob?jk="), F.col("jk"), again), "indeed")
     return o.select(F.col("o_orderkey").alias("k"), unwrapped.alias("apply_url"), first["url"].alias("job_url"), second["job_id"].alias("second_job"))
 
 
+@query("""
+SELECT o_custkey AS k, lower(printf('%016x', o_orderkey)) AS job_id, o_orderpriority AS title, CASE WHEN o_orderstatus = 'F' THEN 'Firm' ELSE 'Co' END AS company, o_orderstatus = 'P' AS expired FROM orders""")
+def board_embedded_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job records in scripts of a page: in JSON documents and in assignments; records without a proper key aren't any."""
+    o = _orders(spark, sf_dir)
+    done = F.col("o_orderstatus") == "F"
+    first = F.to_json(F.struct(F.col("jk").alias("jobkey"), F.col("o_orderpriority").alias("title"), F.struct(F.lit("Firm").alias("name")).alias("company")))
+    second = F.to_json(F.struct(F.col("jk"), F.col("o_orderpriority").alias("jobTitle"), F.lit("Co").alias("company"), (F.col("o_orderstatus") == "P").alias("isExpired")))
+    part = o.groupBy(F.col("o_custkey").alias("k"), done.alias("done")).agg(F.array_join(F.collect_list(F.when(done, first).otherwise(second)), ",").alias("records"))
+    script = F.when(F.col("done"), F.concat(F.lit('<script type="application/json">{"a": ['), "records", F.lit(', {"jk": "no", "title": "x"}]}</script>'))).otherwise(F.concat(F.lit("<script>window._initialData = ["), "records", F.lit("]; more()</script>")))
+    pages_ = part.groupBy("k").agg(F.array_join(F.collect_list(script), "").alias("html"))
+    return pages_.select("k", F.explode(profiles.embedded_jobs("html")).alias("j")).select("k", "j.job_id", "j.title", "j.company", "j.expired")
+
+
 # Identity: suppliers are firms; the region of a supplier's nation says what its board page gets wrong.
 
 _FIRMS = f"SELECT s_suppkey AS k, n_regionkey AS r, {_sql_letters('s_suppkey')} AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey"
@@ -279,6 +293,63 @@ def hiring_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hiring.aggregated(boards_, jobs).select(F.col("slug").alias("k"), "status", "observed_job_count", F.array_join("checked_sources", "|").alias("checked_sources"))
 
 
+@query("""
+WITH p AS (SELECT o_custkey AS k, row_number() OVER w AS n, o_orderstatus = 'P' AS bad, lead(o_orderkey) OVER w IS NULL AS last FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+u AS (SELECT *, coalesce(sum(bad::INT) OVER (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+g AS (SELECT k, count(*) FILTER (NOT bad) AS jobs, max_by(bad, n) AS bad, max_by(last, n) AS last, max(n) AS n FROM u WHERE before = 0 AND n <= 3 GROUP BY k)
+SELECT k, jobs AS observed_job_count, CASE WHEN jobs > 0 THEN 'hiring' WHEN bad THEN 'unknown' ELSE 'no_public_jobs_found' END AS status, CASE WHEN bad THEN 'blocked' WHEN last THEN 'exhausted' WHEN n >= 3 THEN 'max_pages' ELSE 'exhausted' END AS stop_reason FROM g""")
+def listing_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders are listing pages of one job each; a pending one is a page that was refused."""
+    from pyspark.sql import Window
+
+    o = table(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    pages_ = o.select(F.col("o_custkey").alias("slug"), F.lit("linkedin").alias("board"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "P", "blocked").otherwise("ok").alias("status"), F.array(F.struct(F.col("o_orderkey").cast("string").alias("job_id"))).alias("jobs"), F.when(F.lead("o_orderkey").over(w).isNotNull(), "https://next.example").alias("next_url"))
+    return hiring.listing_walk(pages_).select(F.col("slug").alias("k"), "observed_job_count", "status", "stop_reason")
+
+
+@query("""
+SELECT o_orderkey AS k, coalesce(max((o_orderstatus = 'P')::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS stopped FROM orders""")
+def refusal_latches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return hiring.refusal_latch(o, ["o_custkey"], "o_orderkey", F.col("o_orderstatus") == "P").select(F.col("o_orderkey").alias("k"), "stopped")
+
+
+@query("""
+SELECT o_custkey AS k, coalesce(min_by(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'F'), '') AS description, CASE WHEN max(o_orderstatus = 'F') THEN 'ok' ELSE 'partial' END AS status, count(*) AS attempts FROM orders GROUP BY 1""")
+def detail_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders are attempts to read one job; filled ones have a description, of which the first counts."""
+    done = F.col("o_orderstatus") == "F"
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.when(done, F.col("o_orderpriority")).alias("description"), F.when(done, "ok").otherwise("partial").alias("status"))
+    return hiring.detail_attempts(a, ["k"], "o_orderkey").select("k", F.coalesce("description", F.lit("")).alias("description"), "status", "attempts")
+
+
+@query("""
+SELECT page_id, CASE WHEN url LIKE '%.org%' THEN 'ok' WHEN url LIKE 'https%' THEN 'ok' ELSE 'timeout' END AS status, CASE WHEN url LIKE '%.org%' THEN 'old' WHEN url LIKE 'https%' THEN 'new' ELSE '' END AS title FROM pages""")
+def page_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of .org sites were read at once; of the others those by https are on a second try."""
+    p = table(spark, sf_dir, "pages")
+    first, again = F.col("url").contains(".org"), F.col("url").startswith("https")
+    prior = p.select("page_id", F.concat("url", F.lit("?p="), F.col("page_id")).alias("url"), F.when(first, "ok").otherwise("timeout").alias("status"), F.when(first, "old").otherwise("").alias("title"), F.col("page_id").alias("ord"))
+    retry = p.select(F.concat("url", F.lit("?p="), F.col("page_id")).alias("url"), F.when(again, "ok").otherwise("timeout").alias("status"), F.when(again, "new").otherwise("").alias("title"), F.col("page_id").alias("ord"))
+    return merge.retried_pages(prior, retry).select("page_id", "status", "title")
+
+
+@query(f"""
+SELECT c_custkey AS k, CASE WHEN c_nationkey = 0 THEN 'not_linked_yet' WHEN c_acctbal >= 0 THEN 'linked' ELSE 'names_masked' END AS status, CASE WHEN c_nationkey <> 0 AND c_acctbal >= 0 THEN 2 ELSE 0 END AS named, CASE WHEN c_nationkey <> 0 AND c_acctbal < 0 THEN 2 ELSE 0 END AS masked,
+  CASE WHEN c_nationkey <> 0 AND c_acctbal >= 0 THEN 'Ann ' || upper(left(w, 1)) || substr(w, 2) END AS owner FROM (SELECT *, {_sql_letters("c_custkey")} AS w FROM customer)""")
+def board_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of a board: people by name or hidden, and who of them owns the firm by title."""
+    c = table(spark, sf_dir, "customer")
+    none, known = F.lit(None).cast("string"), F.col("c_acctbal") >= 0
+    person = lambda name, title: F.struct(F.when(known, name).otherwise("LinkedIn Member").alias("name"), F.lit(title).alias("title"), none.alias("email"), none.alias("profile_url"))
+    people = F.array(person(F.lit("Bob Clerk"), "Clerk"), person(F.concat(F.lit("Ann "), F.initcap(letters("c_custkey"))), "Owner"))
+    rows = c.select(F.col("c_custkey").alias("slug"), F.when(F.col("c_nationkey") != 0, _company("c_custkey")).alias("linkedin_company"), F.when(F.col("c_nationkey") != 0, people).otherwise(F.array().cast("array<struct<name:string,title:string,email:string,profile_url:string>>")).alias("contacts"), none.alias("owner"))
+    states = imports.board_states(rows)
+    who = rows.select(F.col("slug").alias("_s"), imports.owner(F.filter("contacts", lambda x: x["name"] != "LinkedIn Member"), F.col("owner")).alias("owner"))
+    return states.join(who, F.col("slug") == F.col("_s")).select(F.col("slug").alias("k"), "status", F.col("contacts_named").alias("named"), F.col("contacts_masked").alias("masked"), "owner")
+
+
 # Notes: customers are businesses, their orders contacts in a section.
 
 
@@ -544,6 +615,17 @@ def har_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.regexp_extract(op, r"(\d+)$", 1).cast("long").alias("page_id"), "method", op.alias("operation"), F.regexp_extract("path", r"/graphql/([^/]+)/", 1).alias("query_id"), F.array_join("header_names", "|").alias("header_names"), "bytes")
 
 
+@query("""
+SELECT page_id, 'Op' || page_id AS operation, 'Q7' AS query_id, 'GET' AS method, 'https://h.example/i/graphql/Q7/Op' || page_id AS template, page_id::VARCHAR AS id, 'next' AS cursor, 'accept|cookie' AS header_names FROM pages""")
+def request_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured requests as templates, without cursor and header values, and the request of the next page as data."""
+    p, none = table(spark, sf_dir, "pages"), F.lit(None).cast("string")
+    url = F.concat(F.lit("https://h.example/i/graphql/Q7/Op"), F.col("page_id").cast("string"), F.lit("?variables=%7B%22id%22%3A%22"), F.col("page_id").cast("string"), F.lit("%22%2C%22cursor%22%3A%22old%22%7D&features=%7B%7D"))
+    r = p.select(url.alias("url"), none.alias("method"), F.create_map(F.lit("Cookie"), F.lit("s3cr3t"), F.lit("Accept"), F.lit("x")).alias("headers"), none.alias("body"))
+    t = imports.next_request(imports.request_template(r).withColumn("cursor", F.lit("next")))
+    return t.select(F.regexp_extract("operation", r"(\d+)$", 1).try_cast("long").alias("page_id"), "operation", "query_id", "method", "template", F.col("variables")["id"].alias("id"), F.col("variables")["cursor"].alias("cursor"), F.array_join("header_names", "|").alias("header_names"))
+
+
 def _post_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two pages a user: all events, then the clicks again with other numbers. An error has a page of its own, with status 500, at the end."""
     e = table(spark, sf_dir, "events")
