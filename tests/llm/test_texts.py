@@ -155,10 +155,10 @@ def test_long_conversations_are_read_as_one(spark, monkeypatch):
 
 
 def brute_units(text):
-    """Lines with their breaks; those of more than 50 words as sentences with the blank behind them."""
+    """Lines with their breaks; those of more than 300 characters as sentences with the blank behind them."""
     out = []
     for line in re.split(r"(?<=\n)", text):
-        out += re.split(r"(?<=[.!?] )", line) if len(line.split(" ")) > 50 else [line]
+        out += re.split(r"(?<=[.!?] )", line) if len(line.rstrip("\n")) > 300 else [(line,)]
     return out
 
 
@@ -167,8 +167,13 @@ def brute_dedup(docs):
     from collections import defaultdict
 
     where = defaultdict(list)
-    lines = {(d[0], d[1]): brute_units(d[1]) for d in docs if d[1] is not None}
-    for k, ls in lines.items():
+    lines, told = {}, {}
+    for key, text in ((d[0], d[1]) for d in docs if d[1] is not None):
+        parts = brute_units(text)
+        # A whole line is in a tuple; a sentence is compared without its mark.
+        lines[key, text] = [x if isinstance(x, str) else x[0] for x in parts]
+        told[key, text] = [x.replace("\n", "").strip(" .!?") if isinstance(x, str) else x[0] for x in parts]
+    for k, ls in told.items():
         for at in range(len(ls) - 2):
             w = "\n".join(x.replace("\n", "").strip(" ") for x in ls[at : at + 3])
             if len(w) > 2:
