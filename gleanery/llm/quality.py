@@ -36,7 +36,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from gleanery.llm.store import dropped, written
@@ -279,12 +279,11 @@ def room(n_chars):
     return F.lit(math.log(ROOM)) + F.lit(ROOM_SHORT) / F.sqrt(F.greatest(n_chars, F.lit(1)))
 
 
-def thresholds(scores: DataFrame) -> DataFrame:
-    """lang, every, high, low: quantiles of the trusted scores (lang, nll, own) of each language; the row with every = true holds those of all."""
-    cuts = F.percentile_approx("nll", HIGH, 20000).alias("high"), F.percentile_approx("own", LOW, 20000).alias("low")
-    every = scores.agg(*cuts, F.count("*").alias("m"))
-    by = scores.groupBy("lang").agg(*cuts, F.count("*").alias("m")).crossJoin(F.broadcast(every.select(F.col("m").alias("all_m")))).where((F.col("m") >= LEAST) & (F.col("m") >= LEAST_SHARE * F.col("all_m")))
-    return by.select("lang", F.lit(False).alias("every"), "high", "low").union(every.select(F.lit(None).cast("string"), F.lit(True), "high", "low"))
+def thresholds(scores: DataFrame) -> tuple[DataFrame, Row]:
+    """lang, high, low: quantiles of the trusted scores (lang, nll, own) of each language that has enough; and those of all."""
+    cuts = F.percentile_approx("nll", HIGH, 20000).alias("high"), F.percentile_approx("own", LOW, 20000).alias("low"), F.count("*").alias("m")
+    every = scores.agg(*cuts).first()
+    return scores.groupBy("lang").agg(*cuts).where((F.col("m") >= LEAST) & (F.col("m") >= LEAST_SHARE * every["m"])).select("lang", "high", "low"), every
 
 
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", prefix: str = "") -> DataFrame:
@@ -298,10 +297,11 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     good = trusted(labels, key).where(held_out("lk"))
     ids = docs.select(key, F.col(lang).cast("string").alias("lang"), own_id).join(good.hint("merge"), F.col(key) == good.lk, "left_semi")
     known = ids.join(scores, "id").where((F.col("n_chars") >= SHORT) & F.col("nll").isNotNull())
-    cuts = written(thresholds(known.select("lang", "nll", "own")))
+    known = written(known.select("lang", "nll", "own"))
+    by_lang, every = thresholds(known)
     # A row of every language with LEAST_SHARE or more of the trusted rows: at most 1 / LEAST_SHARE.
-    of_lang = F.broadcast(cuts.where("not every").select(F.col("lang").alias("_lang"), F.col("high").alias("_high"), F.col("low").alias("_low")))
-    every = cuts.where("every").first()
+    of_lang = F.broadcast(written(by_lang.select(F.col("lang").alias("_lang"), F.col("high").alias("_high"), F.col("low").alias("_low"))))
+    dropped(known)
     added = [f"{prefix}{c}" for c in ("nll", "own", "fluent", "kept")]
     names = [c for c in docs.columns if c not in added]
     s = scores.select(F.col("id").alias("_score_id"), F.col("nll").alias("_nll"), F.col("n_chars").alias("_n"), F.col("own").alias("_own"))
