@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,18 +28,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return sized(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of our own, one for each application on a local master that names none; they go when Python ends.
+_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset.
 
-    Unset on a local master a temporary folder serves; on a cluster the warehouse does.
+    Unset on a local master a temporary folder serves; on a cluster the warehouse does. The setting is a
+    core one, which a running session refuses, so it is only read.
     """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if spark.sparkContext.master.startswith("local"):
-        found = f"file://{tempfile.mkdtemp(prefix='gleanery-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+    context = spark.sparkContext
+    if found := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
         return found
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_gleanery"
+    if not context.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/_gleanery"
+    if context.applicationId not in _folders:
+        folder = tempfile.mkdtemp(prefix="gleanery-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _folders[context.applicationId] = f"file://{folder}"
+    return _folders[context.applicationId]
 
 
 #: Tables written inside temporary(), innermost last.
