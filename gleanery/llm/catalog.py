@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, chat, line_dedup, main_text, mixing, near_dup, neighbours, quality, secrets, vector_dedup
+from gleanery.llm import bpe, chat, compression, line_dedup, main_text, mixing, near_dup, neighbours, quality, secrets, vector_dedup, whitening
 from gleanery.llm.store import table
 
 
@@ -61,6 +61,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op12_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_neighbours": op9_neighbours,
     "op10_line_dedup": op10_line_dedup,
+    "op12_compression": op12_compression,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_vector_dedup": vector_dedup.ORACLE_SQL, "op7_near_dup": near_dup.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_vector_dedup": vector_dedup.ORACLE_SQL, "op7_near_dup": near_dup.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL, "op12_compression": compression.ORACLE_SQL}

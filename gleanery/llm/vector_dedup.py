@@ -99,7 +99,8 @@ def _valid(embedding):
 
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten()).reshape(len(column), -1)
+    flat = np.asarray(column.flatten())
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
 def _named(rows: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
