@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, chat, compression, line_dedup, main_text, mixing, near_dup, neighbours, quality, secrets, vector_dedup, whitening
+from gleanery.llm import bpe, chat, compression, line_dedup, main_text, media, mixing, near_dup, neighbours, quality, secrets, vector_dedup, whitening
 from gleanery.llm.store import table
 
 
@@ -61,6 +61,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op12_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compressed(table(spark, sf_dir, "embeddings"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_neighbours": op9_neighbours,
     "op10_line_dedup": op10_line_dedup,
+    "op11_media": op11_media,
     "op12_compression": op12_compression,
     "op13_whitening": op13_whitening,
 }
