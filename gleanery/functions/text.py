@@ -194,19 +194,31 @@ def is_person_name(name: Column | str, firm: Column | str | None = None) -> Colu
     return F.coalesce(ok, F.lit(False))
 
 
-def name_fits_email(name: Column | str, email: Column | str) -> Column:
-    """Whether a local part is built from the first and last word of a name."""
+def name_forms(name: Column | str) -> Column:
+    """The local parts that the first and last word of a name can make: as they are behind "=", without dots and underscores behind "~"."""
     tokens = F.filter(F.transform(F.regexp_extract_all(_c(name), F.lit("([A-Za-z]+)"), 1), lambda t: F.lower(t)), lambda t: F.length(t) > 1)
-    local, dot = email_local(email), F.lit(".")
+    dot = F.lit(".")
 
-    def fits(parts):
+    def forms(parts):
         first, last = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(-1))
         initial = F.substring(first, 1, 1)
-        forms = F.array(F.concat(first, last), F.concat(first, dot, last), F.concat(first, F.lit("_"), last), F.concat(initial, last), F.concat(initial, dot, last), F.concat(last, first), F.concat(last, dot, first))
-        # Without hyphens in the address, dots and underscores of the forms don't count either.
-        return (F.size(parts) >= 2) & (F.array_contains(forms, local) | F.array_contains(F.transform(forms, lambda x: F.regexp_replace(x, "[._]", "")), F.regexp_replace(local, "-", "")))
+        made = F.array(F.concat(first, last), F.concat(first, dot, last), F.concat(first, F.lit("_"), last), F.concat(initial, last), F.concat(initial, dot, last), F.concat(last, first), F.concat(last, dot, first))
+        every = let(made, lambda x: F.concat(F.transform(x, lambda y: F.concat(F.lit("="), y)), F.transform(x, lambda y: F.concat(F.lit("~"), F.regexp_replace(y, "[._]", "")))))
+        return F.when(F.size(parts) >= 2, F.array_distinct(every))
+
+    return F.coalesce(let(tokens, forms), F.array().cast("array<string>"))
 
-    return F.coalesce(_c(email).contains("@") & ~is_role_inbox(email) & let(tokens, fits), F.lit(False))
+
+def address_forms(email: Column | str) -> Column:
+    """The forms of a name that an address fits: its local part, and, behind "~", that without hyphens. None for shared inboxes."""
+    local = email_local(email)
+    every = F.array(F.concat(F.lit("="), local), F.concat(F.lit("~"), F.regexp_replace(local, "-", "")))
+    return F.when(F.coalesce(_c(email).contains("@") & ~is_role_inbox(email), F.lit(False)), every).otherwise(F.array().cast("array<string>"))
+
+
+def name_fits_email(name: Column | str, email: Column | str) -> Column:
+    """Whether a local part is built from the first and last word of a name."""
+    return F.coalesce(F.arrays_overlap(name_forms(name), address_forms(email)), F.lit(False))
 
 
 def best_inbox(emails: Column | str) -> Column:

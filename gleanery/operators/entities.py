@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gleanery.functions.text import company_key, email_local, filled, first_filled, is_person_name, is_personal_email, is_role_inbox, name_fits_email, name_of_email, phone, slug
+from gleanery.functions.text import address_forms, company_key, email_local, filled, first_filled, is_person_name, is_personal_email, is_role_inbox, name_forms, name_of_email, phone, slug
 from gleanery.functions.urls import is_directory
 from gleanery.operators.dedup import first_wins
 from gleanery.operators.filters import reject_reason
 from gleanery.operators.ranking import BIO_PATH, contact_score
+from gleanery.sources.tables import cut
 
 # Verticals and what businesses of each are filed as.
 VERTICALS = {
@@ -21,8 +22,8 @@ VERTICALS = {
     "family": ("Law", "family", "Justia"), "immigration": ("Law", "immigration", "Justia"),
 }
 
-#: Characters at the start of a name by which names that contain it are found.
-START = 5
+#: Characters of the runs by which names that contain another are found, and of the shortest wanted name.
+GRAM = 5
 
 
 def screened(candidates: DataFrame, vertical: str = "") -> tuple[DataFrame, DataFrame]:
@@ -38,35 +39,45 @@ def unique_candidates(candidates: DataFrame, ord_: str = "ord", limit: int = 0)
     return out.orderBy(ord_).limit(limit) if limit else out
 
 
-def contained_match(wanted: DataFrame, known: DataFrame, key: str, name_key: str, keys: list[str], ord_: str = "ord", blocked: bool = False) -> DataFrame:
+def _runs(c: str, size: int) -> Column:
+    """The distinct runs of so many characters in a name."""
+    every = F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(F.col(c), i, size))
+    return F.array_distinct(F.when(F.length(c) >= size, every).otherwise(F.array().cast("array<string>")))
+
+
+def containing(short: DataFrame, long: DataFrame, part: str, whole: str) -> DataFrame:
+    """Pairs of distinct names part (of GRAM characters or more) and whole that have the rarest run of part in common.
+
+    Whatever contains part has all of its runs, so one of them is enough to find it. The one is that which
+    the fewest wholes have; where a run occurs in no whole, nothing contains the part. Only candidates:
+    the caller tests them. A beginning or ending that all names share costs nothing.
+    """
+    of_long = long.select(whole, F.explode(_runs(whole, GRAM)).alias("_gram"))
+    counts = of_long.groupBy("_gram").agg(F.count("*").alias("_gram_count"))
+    of_short = short.select(part, F.explode(_runs(part, GRAM)).alias("_gram")).join(counts, "_gram", "left")
+    rarest = of_short.groupBy(part).agg(F.min(F.struct(F.coalesce("_gram_count", F.lit(0)).alias("n"), F.col("_gram"))).alias("_rare")).where("_rare.n > 0")
+    return rarest.select(part, F.col("_rare._gram").alias("_gram")).join(of_long, "_gram").select(part, whole)
+
+
+def contained_match(wanted: DataFrame, known: DataFrame, key: str, name_key: str, keys: list[str], ord_: str = "ord") -> DataFrame:
     """Per wanted row the first known row whose name contains its own, or is contained in it.
 
-    Substrings may begin inside words. The wanted names are reduced to distinct ones first. Of two names
-    one of which contains the other, the longer has the first five characters of the shorter (all of
-    it, where it has fewer) somewhere, so equi-joins with the substrings of that length find all pairs.
-    blocked: names must share a word of four letters or more, which misses matches that cut through words.
+    Substrings may begin inside words. Names are reduced to distinct ones first. Wanted names have GRAM
+    characters or more, so they, and known ones as long, are found by their rarest runs; shorter known names
+    are equal to a run of their length.
     """
-    w = wanted.select(key).where(F.length(key) >= 5).distinct()
+    w = wanted.select(key).where(F.length(key) >= GRAM).distinct()
     n = known.groupBy(name_key).agg(F.min(ord_).alias(ord_)).where(F.col(name_key) != "")
-    hit = F.contains(F.col(name_key), F.col(key)) | F.contains(F.col(key), F.col(name_key))
-    if blocked:
-        word = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.col(c), " "), lambda x: F.length(x) >= 4)))
-        pairs = w.withColumn("_w", word(key)).join(n.withColumn("_w", word(name_key)), "_w").where(hit)
-    else:
-        # One join for both directions: an "h" before the heads of keys and the pieces of names, an "n" before the heads of names and the pieces of keys.
-        head = lambda c: F.substring(c, 1, START)
-        pieces = lambda c, size: F.when(F.length(c) >= size, F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(F.col(c), i, size))).otherwise(F.array().cast("array<string>"))
-        marked = lambda mark, found: F.transform(found, lambda x: F.concat(F.lit(mark), x))
-        every = F.concat(*[pieces(key, size) for size in range(1, START + 1)])
-        of_key = F.concat(marked("h", F.array(head(key))), marked("n", every))
-        of_name = F.concat(marked("n", F.array(head(name_key))), marked("h", pieces(name_key, START)))
-        word = lambda found: F.explode(F.array_distinct(found))
-        pairs = w.withColumn("_w", word(of_key)).join(n.withColumn("_w", word(of_name)), "_w").where(hit)
-    first = pairs.groupBy(key).agg(F.min(ord_).alias(ord_))
+    up = containing(w, n, key, name_key).where(F.contains(F.col(name_key), F.col(key)))
+    down = containing(n.where(F.length(name_key) >= GRAM), w, name_key, key).where(F.contains(F.col(key), F.col(name_key)))
+    pieces = F.explode(F.concat(*[_runs(key, size) for size in range(1, GRAM)])).alias(name_key)
+    few = w.select(key, pieces).join(n.where(F.length(name_key) < GRAM).select(name_key), name_key)
+    pairs = reduce(DataFrame.unionByName, [x.select(key, name_key) for x in (up, down, few)])
+    first = pairs.join(n, name_key).groupBy(key).agg(F.min(ord_).alias(ord_))
     return wanted.join(first, key).select(*keys, key, ord_)
 
 
-def matched(candidates: DataFrame, businesses: DataFrame, ord_: str = "ord", blocked: bool = False) -> DataFrame:
+def matched(candidates: DataFrame, businesses: DataFrame, ord_: str = "ord") -> DataFrame:
     """Candidates with the slug of the business they are, or null.
 
     In order: equal phone with a fitting name, equal name, a name that contains the other.
@@ -78,41 +89,103 @@ def matched(candidates: DataFrame, businesses: DataFrame, ord_: str = "ord", blo
     j = c.join(by_phone, F.col("_p") == F.col("_bp"), "left").join(by_name, F.col("_n") == by_name["_bn"], "left")
     fits = (F.col("_n") == F.col("p._bn")) | F.contains("p._bn", "_n") | F.contains("_n", "p._bn")
     j = j.withColumn("slug", F.coalesce(F.when(fits, F.col("p.slug")), "_name_slug"))
-    part = contained_match(c.select(ord_, "_n"), b.select(F.col("slug").alias("_ps"), "_bn"), "_n", "_bn", [ord_], "_ps", blocked).select(F.col(ord_).alias("_o"), "_ps")
+    part = contained_match(c.select(ord_, "_n"), b.select(F.col("slug").alias("_ps"), "_bn"), "_n", "_bn", [ord_], "_ps").select(F.col(ord_).alias("_o"), "_ps")
     return j.join(part, F.col(ord_) == F.col("_o"), "left").withColumn("slug", F.coalesce("slug", "_ps")).select(*candidates.columns, "slug")
 
 
-def unique_slugs(rows: DataFrame, base: str, order: list[str], taken: DataFrame | None = None) -> DataFrame:
-    """rows with unique_slug: in order, the first of base, base-2, base-3, ... that neither an earlier row has nor taken (slug).
+def _numbered(c: str) -> tuple[Column, Column]:
+    """A slug's parts where it is another one with a number behind it, of 2 or more as slugs are numbered; else nulls."""
+    number = F.regexp_extract(c, r"^.*-([1-9]\d{0,17})$", 1)
+    n = F.when(number != "", number.cast("long"))
+    return F.when(n >= 2, F.regexp_replace(c, r"-\d+$", "")), F.when(n >= 2, n)
+
 
-    "acme" and "acme-2" can want the same slug, so bases that differ by numbers at the end only are
-    told apart in one task. It holds slugs and order, nothing else of the rows that isn't given here.
+def _ranked(rows: DataFrame, base: str, order: list[str], counts: Column) -> DataFrame:
+    """rows with _rank: how many rows of the same base, up to and with this one, count. A base may hold any share of all rows.
+
+    Rows are dealt by ranges of base and order and written as they were dealt; a range counts its own, and
+    each base's counts of the ranges before are added. So a base that fills many ranges is many groups.
     """
-    root = lambda c: F.regexp_replace(c, r"(-\d+)+$", "")
-    schema = T.StructType([*rows.schema.fields, T.StructField("unique_slug", T.StringType())])
-    old = (taken.select("slug") if taken is not None else rows.sparkSession.createDataFrame([], "slug string")).withColumn("_root", root("slug"))
+    dealt = cut(rows.repartitionByRange(base, *order).withColumns({"_range": F.spark_partition_id(), "_one": counts.cast("long")}))
+    sums = dealt.groupBy(base, "_range").agg(F.sum("_one").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(base).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col(base).alias("_b"), F.col("_range").alias("_r"), before.alias("_before"))
+    # Rows that don't count come first among equals, so they see what is really before them.
+    own = F.sum("_one").over(Window.partitionBy(base, "_range").orderBy(*order, "_one").rowsBetween(Window.unboundedPreceding, 0))
+    at = dealt.withColumn("_own", own).join(sums, F.col(base).eqNullSafe(F.col("_b")) & (F.col("_range") == F.col("_r")))
+    return at.withColumn("_rank", F.col("_own") + F.col("_before")).drop("_range", "_one", "_own", "_b", "_r", "_before")
 
-    columns = rows.columns
 
-    def run(found: pa.Table, known: pa.Table) -> pa.Table:
-        held, last, out = set(known.column("slug").to_pylist()), {}, []
-        found = found.sort_by([(c, "ascending") for c in order])
-        for x in found.column(base).to_pylist():
-            n, one = last.get(x, 0), x
-            while x is not None and (n == 0 or one in held):
-                n, one = n + 1, x if n == 0 else f"{x}-{n + 1}"
-            last[x] = n
-            held.add(one)
-            out.append(one)
-        return found.select(columns).append_column("unique_slug", pa.array(out, pa.string()))
+#: Ranks that are matched with free numbers at once.
+STRETCH = 4096
 
-    return rows.withColumn("_root", root(base)).groupBy("_root").cogroup(old.groupBy("_root")).applyInArrow(run, schema)
 
+def unique_slugs(rows: DataFrame, base: str, order: list[str], taken: DataFrame | None = None) -> DataFrame:
+    """rows with unique_slug: in order, the first of base, base-2, base-3, ... that neither an earlier row has nor taken (slug).
 
-def upserted(candidates: DataFrame, businesses: DataFrame, vertical: str, ord_: str = "ord", default_city: str = "Texas", blocked: bool = False) -> DataFrame:
+    The k-th row of a base gets its k-th free number. Numbers that are taken cut the numbers into stretches in
+    which rank and number differ by a constant, so rows meet stretches, not numbers. "acme" and "acme-2" can
+    want the same slug: it is the one's that comes to it first. Of acme's rows before the first row of
+    "acme-2", more must be there than free numbers below 2; so every number that is also a base is won or
+    lost by counts, base after base, and bases that are numbers of numbers ("acme-2-3") a round later.
+    Equal orders count in any order; null bases stay null.
+    """
+    columns = rows.columns
+    firsts = rows.where(F.col(base).isNotNull()).groupBy(F.col(base).alias("_slug")).agg(F.min(F.struct(*order)).alias("_first"))
+    firsts = cut(firsts.withColumns(dict(zip(("_parent", "_n"), _numbered("_slug"), strict=True))))
+    names = firsts.select(F.col("_slug").alias("_parent"))
+    if taken is None:
+        taken = rows.sparkSession.createDataFrame([], "slug string")
+    old = taken.select("slug").where("slug is not null").distinct()
+    parent, number = _numbered("slug")
+    used = old.select(F.explode(F.array(F.struct(F.col("slug").alias("_owner"), F.lit(1).cast("long").alias("_n")), F.struct(parent.alias("_owner"), number.alias("_n")))).alias("u")).select("u.*")
+    used = cut(used.where("_owner is not null").join(names, F.col("_owner") == F.col("_parent"), "left_semi"))
+    # Numbers that are bases as well, and free when all begins.
+    rivals = firsts.where("_parent is not null").join(names, "_parent", "left_semi").join(old, F.col("_slug") == F.col("slug"), "left_anti")
+    rivals = cut(rivals.select(F.col("_parent").alias("_owner"), "_n", "_slug", "_first"))
+    marks = rivals.select(F.col("_owner").alias(base), *[F.col(f"_first.{c}").alias(c) for c in order], F.col("_n").alias("_mark"))
+    marked = _ranked(rows.withColumn("_mark", F.lit(None).cast("long")).unionByName(marks, allowMissingColumns=True), base, order, F.col("_mark").isNull())
+    ranked = cut(marked)
+    before = ranked.where("_mark is not null").select(F.col(base).alias("_owner"), F.col("_mark").alias("_n"), F.col("_rank").alias("_come"))
+    # What is below each rival's number: taken numbers, and rivals, in the order of numbers.
+    lines = used.select("_owner", "_n", F.lit(1).alias("_taken"), F.lit(None).cast("long").alias("_come"), F.lit(None).cast("string").alias("_slug"))
+    lines = lines.unionByName(rivals.join(before, ["_owner", "_n"]).select("_owner", "_n", F.lit(0).alias("_taken"), "_come", "_slug"))
+    below = Window.partitionBy("_owner").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    free = F.col("_n") - 1 - F.coalesce(F.sum("_taken").over(below), F.lit(0)) - F.coalesce(F.sum(1 - F.col("_taken")).over(below), F.lit(0))
+    open_ = cut(lines.withColumn("_free", free).where("_taken = 0").select("_owner", "_n", "_slug", (F.col("_come") - F.col("_free")).alias("_lead")))
+    lost = names.where("false").select(F.col("_parent").alias("_owner"))
+    depth = rivals.agg(F.max(F.size(F.regexp_extract_all("_slug", F.lit(r"-\d+"), 0)))).first()[0] or 0
+    won = None
+    for _ in range(depth):
+        # A base whose own name is lost has one free number less. Numbers it can't come to even so are left out of the fold.
+        led = open_.join(lost.withColumn("_less", F.lit(1)), "_owner", "left").withColumn("_lead", F.col("_lead") + F.coalesce("_less", F.lit(0)))
+        each = led.where("_lead > 0").groupBy("_owner").agg(F.array_sort(F.collect_list(F.struct("_n", "_lead", "_slug"))).alias("a"))
+        fold = F.aggregate("a", F.struct(F.lit(0).cast("long").alias("w"), F.array().cast("array<struct<_n:bigint,_slug:string>>").alias("won")), lambda s, x: F.when(x["_lead"] > s["w"], F.struct((s["w"] + 1).alias("w"), F.concat(s["won"], F.array(F.struct(x["_n"].alias("_n"), x["_slug"].alias("_slug")))).alias("won"))).otherwise(s), lambda s: s["won"])
+        won = cut(each.select("_owner", F.explode(fold).alias("x")).select("_owner", "x.*"))
+        lost = won.select(F.col("_slug").alias("_owner"))
+    gone = used.unionByName(lost.select("_owner", F.lit(1).cast("long").alias("_n")))
+    if won is not None:
+        gone = gone.unionByName(open_.join(won, ["_owner", "_n"], "left_anti").select("_owner", "_n"))
+    # Stretches between numbers that are gone: ranks from _low to _high have the number rank + _add.
+    at = Window.partitionBy("_owner").orderBy("_n")
+    most = ranked.where(f"_mark is null and `{base}` is not null").groupBy(F.col(base).alias("_owner")).agg(F.max("_rank").alias("_most"))
+    cuts = gone.distinct().unionByName(names.select(F.col("_parent").alias("_owner"), F.lit(0).cast("long").alias("_n")))
+    cuts = cuts.select("_owner", (F.row_number().over(at) - 1).cast("long").alias("_add"), "_n", F.lead("_n").over(at).alias("_next")).join(most, "_owner")
+    high = F.least(F.coalesce(F.col("_next") - 1 - F.col("_add"), F.col("_most")), F.col("_most"))
+    stretches = cuts.select("_owner", "_add", (F.col("_n") - F.col("_add") + 1).alias("_low"), high.alias("_high")).where("_low <= _high")
+    part = lambda x: F.floor(F.col(x) / F.lit(STRETCH))
+    stretches = stretches.withColumn("_part", F.explode(F.sequence(part("_low"), part("_high"))))
+    numbered = ranked.where("_mark is null").withColumn("_at", part("_rank"))
+    on = (F.col(base) == F.col("_owner")) & (F.col("_at") == F.col("_part")) & F.col("_rank").between(F.col("_low"), F.col("_high"))
+    n = F.col("_rank") + F.col("_add")
+    name = F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), n.cast("string")))
+    return numbered.join(stretches, on, "left").select(*columns, name.alias("unique_slug"))
+
+
+def upserted(candidates: DataFrame, businesses: DataFrame, vertical: str, ord_: str = "ord", default_city: str = "Texas") -> DataFrame:
     """businesses after an ingest: known ones get what they lack, others are new. change tells which: created, updated or same."""
     category, practice, label = VERTICALS[vertical]
-    m = matched(candidates, businesses, ord_, blocked)
+    m = matched(candidates, businesses, ord_)
     hits = m.where("slug is not null").groupBy("slug").agg(
         F.min_by(F.when(filled("phone").isNotNull(), F.coalesce(phone("phone"), "phone")), F.when(filled("phone").isNotNull(), F.col(ord_))).alias("c_phone"),
         F.min_by("address", F.when(filled("address").isNotNull(), F.col(ord_))).alias("c_address"),
@@ -176,9 +249,11 @@ def merged_contacts(contacts: DataFrame, key: str = "slug", ord_: str = "ord", i
     once = _merged_contacts(c, [key, "_g"], ord_)
     people = once.where("_g like 'name:%'")
     mails = once.where("_g like 'email:%'")
-    p, m = people.alias("p"), mails.alias("m")
-    fits = name_fits_email("p.name", "m.email") | (F.lower("p.email") == F.lower("m.email"))
-    to = m.join(p, (F.col(f"m.{key}") == F.col(f"p.{key}")) & fits).groupBy(F.col(f"m.{key}").alias("_k"), F.col("m._g").alias("_mg")).agg(F.min_by("p._g", f"p.{ord_}").alias("_to"))
+    # An index of the forms of address that a name can have, with the first person of each, so an address meets a few rows whatever the firm's size.
+    index = people.select(key, "_g", ord_, F.explode(F.array_compact(F.concat(name_forms("name"), F.array(F.concat(F.lit("@"), F.lower("email")))))).alias("_form"))
+    index = index.groupBy(F.col(key).alias("_k"), "_form").agg(F.min_by("_g", ord_).alias("_to"), F.min(ord_).alias("_first"))
+    asked = mails.select(F.col(key).alias("_k"), F.col("_g").alias("_mg"), F.explode(F.array_compact(F.concat(address_forms("email"), F.array(F.concat(F.lit("@"), F.lower("email")))))).alias("_form"))
+    to = asked.join(index, ["_k", "_form"]).groupBy("_k", "_mg").agg(F.min_by("_to", "_first").alias("_to"))
     moved = once.join(to, (F.col(key) == F.col("_k")) & (F.col("_g") == F.col("_mg")), "left").withColumn("_g", F.coalesce("_to", "_g")).drop("_k", "_mg", "_to")
     shared = people.where(is_role_inbox("email") & filled("email").isNotNull()).select(
         key, F.concat(F.lit("inbox:"), F.lower("email")).alias("_g"), *[F.col(x) if x in ("email", "source_pages") else F.lit(None).cast(people.schema[x].dataType).alias(x) for x in CONTACT], ord_

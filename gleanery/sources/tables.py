@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,14 +14,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Temporary folders of this process, by application; they go with it.
+_folders: dict[str, str] = {}
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse; on a local master without it, a temporary one."""
+    context = spark.sparkContext
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not context.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/_gleanery"
+    if context.applicationId not in _folders:
+        folder = tempfile.mkdtemp(prefix="gleanery-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _folders[context.applicationId] = f"file://{folder}"
+    return _folders[context.applicationId]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the folder of spark.checkpoint.dir; df itself where none is set, as in tests."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+    """df with its lineage cut by a checkpoint in the shared folder. A session that names no folder for them gets one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared(df.sparkSession))
+    return df.checkpoint()
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share: spark.checkpoint.dir, else the warehouse; on a local master without either, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and spark.sparkContext.master.startswith("local"):
-        return f"file://{tempfile.mkdtemp(prefix='gleanery-')}"
-    return f"{shared or spark.conf.get('spark.sql.warehouse.dir')}/gleanery-{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return f"{shared(spark)}/gleanery-{uuid.uuid4().hex}"

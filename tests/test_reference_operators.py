@@ -1,5 +1,7 @@
 """The reference's operators on invented fixtures; expected values follow from the rules, by hand."""
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleanery.functions import html as H
@@ -116,12 +118,65 @@ def test_ingest_matches_and_inserts(spark):
     assert {r.change for r in again.collect()} == {"same"}  # a second ingest changes nothing
 
 
-def test_exact_and_blocked_containment(spark):
-    w = spark.createDataFrame([(1, "VALE TRIAL"), (2, "ALE TRI"), (3, "VALE")], "i int, key string")
-    n = spark.createDataFrame([(10, "VALE TRIAL GROUP"), (11, "TRIAL")], "ord int, name_key string")
-    exact = {r.i: r.ord for r in entities.contained_match(w, n, "key", "name_key", ["i"]).collect()}
-    blocked = {r.i: r.ord for r in entities.contained_match(w, n, "key", "name_key", ["i"], blocked=True).collect()}
-    assert exact == {1: 10, 2: 10} and blocked == {1: 10}
+def test_containment_is_exact_and_its_candidates_few(spark):
+    w = spark.createDataFrame([(1, "VALE TRIAL"), (2, "ALE TRI"), (3, "VALE"), (4, "ALE TRX"), (5, "A TRIAL B")], "i int, key string")
+    n = spark.createDataFrame([(10, "VALE TRIAL GROUP"), (11, "TRIAL"), (12, ""), (13, None)], "ord int, name_key string")
+    assert {r.i: r.ord for r in entities.contained_match(w, n, "key", "name_key", ["i"]).collect()} == {1: 10, 2: 10, 5: 11}
+    # Names that all begin and end alike, as in a registry of one city.
+    names = spark.range(3000).select(F.concat(F.lit("AUSTIN TEXAS FAMILY "), F.lpad(F.hex("id"), 7, "0"), F.lit(" HOLDINGS LLC")).alias("whole"), "id")
+    parts = names.where("id % 3 = 0").select(F.substring("whole", 1, 29).alias("part"))
+    found = entities.containing(parts, names.select("whole"), "part", "whole")
+    matches = found.where(F.contains("whole", "part")).count()
+    assert matches == 1000 and found.count() < 10 * matches
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.text("AB ", max_size=9), max_size=12), st.lists(st.text("AB ", max_size=9), max_size=12))
+def test_containment_equals_the_plain_scan(spark, wanted, known):
+    w = spark.createDataFrame(list(enumerate(wanted)), "i int, key string")
+    n = spark.createDataFrame(list(enumerate(known)), "ord int, name_key string")
+    want = {i: min(o for o, y in enumerate(known) if y and (y in x or x in y)) for i, x in enumerate(wanted) if len(x) >= 5 and any(y and (y in x or x in y) for y in known)}
+    assert {r.i: r.ord for r in entities.contained_match(w, n, "key", "name_key", ["i"]).collect()} == want
+
+
+def plain_slugs(bases, taken):
+    held, out = set(taken), []
+    for b in bases:
+        n, one = 1, b
+        while one in held:
+            n += 1
+            one = f"{b}-{n}"
+        held.add(one)
+        out.append(one)
+    return out
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.sampled_from(["a", "a", "a-2", "a-3", "a-2-2", "a-2-3", "b", "b-2", "a-02", "a-1"]), max_size=30), st.sets(st.sampled_from(["a", "a-2", "a-4", "a-5", "a-2-2", "b-3", "c"])))
+def test_unique_slugs_equal_the_sequential_rule(spark, bases, taken):
+    rows = spark.createDataFrame(list(enumerate(bases)), "o int, base string").repartition(3)
+    got = entities.unique_slugs(rows, "base", ["o"], spark.createDataFrame([(t,) for t in taken], "slug string")).orderBy("o").collect()
+    assert [r.unique_slug for r in got] == plain_slugs(bases, taken)
+
+
+def test_unique_slugs_of_a_hot_base_and_nulls(spark):
+    bases = ["acme"] * 20_000 + [f"acme-{i}" for i in range(2, 3000, 7)] + ["acme"] * 5 + ["zeta"]
+    taken = [f"acme-{i}" for i in range(5, 9000, 3)]
+    rows = spark.createDataFrame([*enumerate(bases), (-1, None)], "o int, base string").repartition(6)
+    frame = entities.unique_slugs(rows, "base", ["o"], spark.createDataFrame([(t,) for t in taken], "slug string"))
+    got = {r.o: r.unique_slug for r in frame.collect()}
+    assert got.pop(-1) is None and [got[i] for i in range(len(bases))] == plain_slugs(bases, taken)
+    assert "Arrow" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_addresses_join_people_by_an_index(spark):
+    none = spark.range(30_000).select(F.lit("f").alias("slug"), F.col("id").alias("n"))
+    w = F.translate(F.col("n").cast("string"), "0123456789", "abcdefghij")
+    blank = [F.lit(None).cast("string").alias(c) for c in ("title", "phone", "profile_url")] + [F.array().cast("array<string>").alias(c) for c in ("source_pages", "sources")] + [F.lit(False).alias(c) for c in ("schema_person", "from_attorney_bio", "from_careers_privacy", "from_linkedin")]
+    people = none.select("slug", F.concat(F.lit("Dana Vale"), w).alias("name"), F.lit(None).cast("string").alias("email"), *blank, F.col("n").alias("ord"))
+    mails = none.select("slug", F.lit(None).cast("string").alias("name"), F.concat(F.lit("d.vale"), w, F.lit("@f.example")).alias("email"), *blank, (F.col("n") + 100_000).alias("ord"))
+    got = entities.merged_contacts(people.unionByName(mails)).agg(F.count("*").alias("n"), F.count("name").alias("named"), F.count("email").alias("mailed")).first()
+    assert tuple(got) == (30_000, 30_000, 30_000)
 
 
 def test_containment_of_short_words_and_inside_words(spark):
