@@ -130,7 +130,7 @@ def unique_slugs(rows: DataFrame, base: str, order: list[str], taken: DataFrame
     lost by counts, base after base, and bases that are numbers of numbers ("acme-2-3") a round later.
     Equal orders count in any order; null bases stay null.
     """
-    columns = rows.columns
+    columns, rows = rows.columns, cut(rows)
     firsts = rows.where(F.col(base).isNotNull()).groupBy(F.col(base).alias("_slug")).agg(F.min(F.struct(*order)).alias("_first"))
     firsts = cut(firsts.withColumns(dict(zip(("_parent", "_n"), _numbered("_slug"), strict=True))))
     names = firsts.select(F.col("_slug").alias("_parent"))
@@ -185,7 +185,7 @@ def unique_slugs(rows: DataFrame, base: str, order: list[str], taken: DataFrame
 def upserted(candidates: DataFrame, businesses: DataFrame, vertical: str, ord_: str = "ord", default_city: str = "Texas") -> DataFrame:
     """businesses after an ingest: known ones get what they lack, others are new. change tells which: created, updated or same."""
     category, practice, label = VERTICALS[vertical]
-    m = matched(candidates, businesses, ord_)
+    m = cut(matched(candidates, businesses, ord_))
     hits = m.where("slug is not null").groupBy("slug").agg(
         F.min_by(F.when(filled("phone").isNotNull(), F.coalesce(phone("phone"), "phone")), F.when(filled("phone").isNotNull(), F.col(ord_))).alias("c_phone"),
         F.min_by("address", F.when(filled("address").isNotNull(), F.col(ord_))).alias("c_address"),

@@ -17,7 +17,7 @@ from gleanery.functions import html as H
 from gleanery.functions.json import schema_people, schema_types
 from gleanery.operators import boards, contacts, entities, hiring, identity, imports, merge, pages, profiles, ranking
 from gleanery.plans import prep
-from gleanery.sources import directories, documents, sinks
+from gleanery.sources import archives, directories, documents, sinks
 from gleanery.sources.tables import scratch, table
 from gleanery.streaming import archive
 
@@ -419,11 +419,16 @@ def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Directories: customers are permits, suppliers contractors, parts places on a map, nations brokers.
 
 
+def bucket(key: str) -> Column:
+    """About 1,000 rows have the same: a payload's size doesn't grow with its table."""
+    return F.floor(F.col(key) / 1000).cast("string")
+
+
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s, p = (table(spark, sf_dir, x) for x in ("customer", "supplier", "part"))
     none = F.lit(None).cast("array<string>")
     body = lambda *x: F.to_json(F.collect_list(F.struct(*x)))
-    row = lambda df, by, recipe, kind, hints, text: df.groupBy(F.col(by).cast("string").alias("_g")).agg(text.alias("body")).select(F.lit(recipe).alias("recipe"), F.lit(kind).alias("kind"), hints.alias("parse"), F.concat(F.lit(f"https://{kind}.example/"), "_g").alias("source_url"), "body")
+    row = lambda df, by, recipe, kind, hints, text: df.groupBy(F.concat_ws("-", F.col(by).cast("string"), bucket(df.columns[0])).alias("_g")).agg(text.alias("body")).select(F.lit(recipe).alias("recipe"), F.lit(kind).alias("kind"), hints.alias("parse"), F.concat(F.lit(f"https://{kind}.example/"), "_g").alias("source_url"), "body")
     permits = row(c.unionByName(c), "c_nationkey", "comptroller_x", "soda", none, body(F.concat(F.lit("Firm "), letters("c_custkey")).alias("outlet_name"), F.lit("AUSTIN").alias("outlet_city"), F.concat(F.col("c_custkey").cast("string"), F.lit(" Oak St")).alias("outlet_address"), F.lit("78701").alias("outlet_zip_code")))
     kind = F.when(F.col("s_acctbal") < 0, "A/C Technician").otherwise("A/C Contractor")
     licences = row(s, "s_nationkey", "tdlr_all", "soda", F.array(F.lit("tdlr")), body(kind.alias("license_type"), F.concat(F.lit("Cool "), letters("s_suppkey")).alias("business_name"), F.concat(F.lit("512555"), F.lpad((F.col("s_suppkey") % 10000).cast("string"), 4, "0")).alias("business_telephone"), F.lit("WACO, TX 76701").alias("business_city_state_zip")))
@@ -443,6 +448,47 @@ def directory_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directories.parsed(_payloads(spark, sf_dir)).select("firm", "source", "phone", "city", "address", F.col("candidate_website").alias("site"))
 
 
+@query("""
+SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'Filled' ELSE 'Open' END AS member, o_orderpriority AS name, CASE WHEN o_orderstatus = 'F' THEN 'a "quoted", field' ELSE o_orderkey || chr(10) || 'over lines' END AS note FROM orders WHERE o_orderstatus <> 'P'""")
+def archive_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rosters in zip archives: filled orders lie in the member that their recipe names, behind another one, open ones in the only CSV; those in progress are of a recipe that nobody asks for."""
+    folder = scratch(spark)
+    o = table(spark, sf_dir, "orders").withColumn("recipe", F.when(F.col("o_orderstatus") == "F", "tbpe_filled").when(F.col("o_orderstatus") == "O", "tbpe_open").otherwise("tbpe_other"))
+    note = F.when(F.col("o_orderstatus") == "F", '"a ""quoted"", field"').otherwise(F.concat(F.lit('"'), F.col("o_orderkey").cast("string"), F.lit('\nover lines"')))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority", note)
+    # About 1,000 orders an archive, whatever their number.
+    text = F.concat(F.lit("\ufeffKey, Name ,Note\r\n"), F.array_join(F.collect_list(line), "\r\n"), F.lit("\r\n"))
+    every = o.groupBy("recipe", F.floor(F.col("o_orderkey") / 4000).alias("n")).agg(text.alias("text"))
+    other = F.lit("key,name\r\n1,wrong\r\n")
+    members = F.when(F.col("recipe") == "tbpe_filled", F.create_map(F.lit("a/First.CSV"), other, F.lit("Filled.csv"), F.col("text"))).otherwise(F.create_map(F.lit("readme.txt"), F.lit("no roster"), F.lit("Open.csv"), F.col("text")))
+    archives.write(every.select("recipe", F.concat(F.lit("part-"), F.col("n").cast("string"), F.lit(".zip")).alias("archive"), members.alias("members")), folder)
+    found = archives.read(spark, folder, {"tbpe_filled": "Filled.csv", "tbpe_open": "Missing.csv"}).where(F.col("recipe").isin("tbpe_filled", "tbpe_open"))
+    return found.select(F.col("fields")["key"].cast("long").alias("k"), F.regexp_replace("member", r"\.csv$", "").alias("member"), F.col("fields")["name"].alias("name"), F.col("fields")["note"].alias("note"))
+
+
+@query(f"""
+SELECT 'Smile ' || {_sql_letters("s_suppkey")} AS firm, '+1-512-555-' || lpad((s_suppkey % 10000)::VARCHAR, 4, '0') AS phone, s_suppkey || ' Elm, Suite 2, Austin, TX, 78701' AS address FROM supplier WHERE s_acctbal >= 0
+UNION ALL SELECT 'Dr. Ann ' || {_sql_letters("s_suppkey")}, '', 'Texas, TX' FROM supplier WHERE s_acctbal < 0""")
+def directory_dentists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV payloads through the dispatcher, each with a header of its own; the second has no practice names, and rows that are short, too long or empty."""
+    s, w = table(spark, sf_dir, "supplier"), letters("s_suppkey")
+    tel = F.concat(F.lit("(512) 555-"), F.lpad((F.col("s_suppkey") % 10000).cast("string"), 4, "0"))
+    first = F.concat(F.lit('"Smile '), w, F.lit('",'), tel, F.lit(',"'), F.col("s_suppkey").cast("string"), F.lit(' Elm, Suite 2",AUSTIN,78701'))
+    second = F.concat(F.lit("Ann,"), w, F.when(F.col("s_suppkey") % 2 == 0, "").otherwise(",,,,surplus"), F.lit("\n"))
+    half = lambda where, head, line, name: s.where(where).groupBy(F.floor(F.col("s_suppkey") / 1000).alias("n")).agg(F.concat(F.lit(head), F.array_join(F.collect_list(line), "\n")).alias("body")).select(F.lit("tsbde_x").alias("recipe"), F.lit("csv").alias("kind"), F.lit(None).cast("array<string>").alias("parse"), F.concat(F.lit(f"https://{name}.example/"), F.col("n").cast("string")).alias("source_url"), "body")
+    p = half("s_acctbal >= 0", "Practice Name,PHONE,Practice Address,city,Zip Code\n", first, "names").unionByName(half("s_acctbal < 0", "first name,Last Name,Phone,City\n", second, "people"))
+    return directories.parsed(p).select("firm", "phone", "address")
+
+
+@query("""
+SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 'empty_payload' ELSE 'roster_without_places' END AS reason FROM orders WHERE o_orderstatus <> 'O'""")
+def payload_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads that no reader takes come back with a reason."""
+    o, open_ = table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "O"
+    p = o.select(F.when(F.col("o_orderstatus") == "F", "tbpe_x").otherwise("comptroller_x").alias("recipe"), F.when(F.col("o_orderstatus") == "F", "zip_csv").otherwise("soda").alias("kind"), F.lit(None).cast("array<string>").alias("parse"), F.col("o_orderkey").cast("string").alias("source_url"), F.when(F.col("o_orderstatus") == "P", " ").when(open_, "[]").otherwise("name\n").alias("body"))
+    return directories.rejected(p).select(F.col("source_url").cast("long").alias("k"), "reason")
+
+
 @query(f"""
 SELECT r.n_nationkey AS k, 'Clinic ' || {_sql_letters("r.n_nationkey")} AS firm, '+1-512-555-' || lpad(r.n_nationkey::VARCHAR, 4, '0') AS phone, 'Austin' AS city FROM nation r WHERE n_regionkey <> 1""")
 def directory_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,7 +512,7 @@ def directory_attorneys(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = F.struct(F.lit("LegalService").alias("@type"), F.concat(F.lit("Firm "), letters("s_suppkey")).alias("name"), F.concat(F.lit("512.555."), F.lpad((F.col("s_suppkey") % 10000).cast("string"), 4, "0")).alias("telephone"), F.struct(F.array(F.lit("3 Law Way"), F.lit("Ste 2")).alias("streetAddress"), F.lit("Austin").alias("addressLocality")).alias("address"))
     person = F.struct(F.lit("Person").alias("@type"), F.concat(F.lit("O&#39;Hara "), letters("s_suppkey")).alias("name"), F.concat(F.lit("https://dir.example/"), F.col("s_suppkey").cast("string")).alias("url"), work.alias("workLocation"))
     body = F.concat(F.lit('<html><script type="application/ld+json">{"@type":"WebSite"}</script><script type="application/ld+json">'), F.to_json(F.collect_list(person)), F.lit("</script></html>"))
-    p = s.groupBy("s_nationkey").agg(body.alias("body")).select(F.lit("justia_pi").alias("recipe"), F.lit("html").alias("kind"), F.lit(None).cast("array<string>").alias("parse"), F.concat(F.lit("https://dir.example/austin/texas/"), F.col("s_nationkey").cast("string")).alias("source_url"), "body")
+    p = s.groupBy("s_nationkey", bucket("s_suppkey").alias("b")).agg(body.alias("body")).select(F.lit("justia_pi").alias("recipe"), F.lit("html").alias("kind"), F.lit(None).cast("array<string>").alias("parse"), F.concat(F.lit("https://dir.example/austin/texas/"), F.col("s_nationkey").cast("string"), F.lit("?p="), "b").alias("source_url"), "body")
     return directories.parsed(p).select(F.regexp_extract("profile_url", r"(\d+)$", 1).try_cast("long").alias("k"), "firm", "attorney", "phone", "city")
 
 
@@ -490,7 +536,7 @@ def directory_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.col("none").alias(x) for x in ("practice", "phone", "website", "address", "linkedin_company")], F.lit("prospect").alias("status"), F.lit("Comptroller").alias("source"), F.col("none").alias("email"),
     )
     body = F.to_json(F.collect_list(F.struct(F.concat(F.lit("Firm "), "w").alias("outlet_name"), F.lit("AUSTIN").alias("outlet_city"), F.lit("1 Oak St").alias("outlet_address"))))
-    p = c.where("c_acctbal >= 0").groupBy("c_nationkey").agg(body.alias("body")).select(F.lit("comptroller_roofing").alias("recipe"), F.lit("soda").alias("kind"), F.lit(None).cast("array<string>").alias("parse"), F.concat(F.lit("https://data.example/"), F.col("c_nationkey").cast("string")).alias("source_url"), "body")
+    p = c.where("c_acctbal >= 0").groupBy(bucket("c_custkey").alias("b")).agg(body.alias("body")).select(F.lit("comptroller_roofing").alias("recipe"), F.lit("soda").alias("kind"), F.lit(None).cast("array<string>").alias("parse"), F.concat(F.lit("https://data.example/"), "b").alias("source_url"), "body")
     return prep.ingest(p, known, "roofing")[0].select("slug", "change")
 
 
@@ -609,7 +655,7 @@ def har_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     head = lambda n: F.struct(F.lit(n).alias("name"), F.lit("s3cr3t").alias("value"))
     entry = F.struct(F.struct(F.lit("POST").alias("method"), F.concat(F.lit("https://h.example/i/graphql/Q7/Op"), F.col("page_id").cast("string"), F.lit("?variables=%7B%7D&z=1")).alias("url"), F.array(head("Cookie"), head("X-Foo"), head("Accept"), head("Other")).alias("headers")).alias("request"), F.struct(F.lit(200).alias("status"), F.struct(F.lit("abcde").alias("text")).alias("content")).alias("response"))
-    har = p.groupBy((F.col("page_id") % 7).cast("string").alias("capture")).agg(F.to_json(F.struct(F.struct(F.collect_list(entry).alias("entries")).alias("log"))).alias("body"))
+    har = p.groupBy(bucket("page_id").alias("capture")).agg(F.to_json(F.struct(F.struct(F.collect_list(entry).alias("entries")).alias("log"))).alias("body"))
     e = documents.har_entries(har)
     op = F.regexp_extract("path", r"/graphql/([^/]+)/([^/?#]+)", 2)
     return e.select(F.regexp_extract(op, r"(\d+)$", 1).cast("long").alias("page_id"), "method", op.alias("operation"), F.regexp_extract("path", r"/graphql/([^/]+)/", 1).alias("query_id"), F.array_join("header_names", "|").alias("header_names"), "bytes")

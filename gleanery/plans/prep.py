@@ -48,8 +48,9 @@ def specialty(category: str, practice: str | None) -> str | None:
 
 
 def ingest(payloads: DataFrame, businesses: DataFrame, vertical: str, limit: int = 0) -> tuple[DataFrame, DataFrame]:
-    """businesses after an ingest of payloads, and the rejects with reason."""
+    """businesses after an ingest of payloads, and the rejects with reason: candidates, and payloads that no reader takes."""
     kept, rejects = entities.screened(directories.parsed(payloads, vertical), vertical)
+    rejects = rejects.unionByName(directories.rejected(payloads), allowMissingColumns=True)
     return entities.upserted(entities.unique_candidates(kept, "ord", limit), businesses, vertical), rejects
 
 
