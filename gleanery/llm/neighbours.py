@@ -2,15 +2,17 @@
 
 Rotations learned on a bounded sample (iterative quantisation, from as many random starts as
 it takes) turn unit vectors into binary codes of CODE bits or more. Every row is coded once;
-its code is stored beside it. Codes are cut into substrings of 16 bits, and a block of the
-table has one index for each substring. By the pigeonhole principle a code within Hamming
-radius r of a query is within r // substrings of it in at least one substring, so probing
-those buckets retrieves every code within r; the retrieved codes are checked in full, and
-vectors of those within the radius are reranked by cosine in double precision.
-
-The radius starts from the cosines of a few rows and grows until it is enough: once the
+its code is stored beside it. Codes are cut into substrings as long as the logarithm of the
+block's rows (8 to 16 bits), and a block of the table has one index for each substring. By the pigeonhole principle a code within Hamming
+radius r of a query is within r // substrings of it in at least one substring. Buckets are probed
+by growing distance in their substrings: after distance a, every code within substrings * (a + 1) - 1
+has been retrieved. Retrieved codes are compared in full, and vectors of those within the radius
+are reranked by cosine in double precision.
+
+The radius grows from the smallest until it is enough: once the
 fifth cosine found so far is known, a code farther away than that angle makes likely (by SURE
-standard errors) can't be nearer.
+standard errors) can't be nearer. Rows as near as the fifth but for rounding are all scored exactly, so
+copies, scaled ones included, come in the order of their exact scores.
 
 The query set is stated by the caller and meets all rows block by block. A row of the table
 goes to one block, and queries stream past the block's index in batches; a block's bytes are
@@ -26,6 +28,8 @@ finds a row with its own id; queries equal in id and vector are one.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,8 +42,10 @@ from gleanery.llm.vector_dedup import _matrix, _valid, units
 
 #: Rows of the sample the rotations are learned on, rounds of learning, bits of a substring and of a code at least.
 SAMPLE, ROUNDS, BITS, CODE = 4096, 25, 16, 256
-#: Bytes of the vectors of a block at most and rows of it at least, queries of a chunk, rows that give the first radius.
-BLOCK_BYTES, BLOCK_ROWS, CHUNK, FIRST = 64 << 20, 4096, 1 << 22, 256
+#: Bytes of the vectors of a block at most and rows of it at least, queries of a chunk.
+BLOCK_BYTES, BLOCK_ROWS, CHUNK = 64 << 20, 4096, 1 << 22
+#: Bits of a substring at least, and cosines that may be equal but for rounding.
+SHORTEST, EQUAL = 8, 1e-9
 #: Standard errors of the stopping rule, and the seed.
 SURE, SEED = 2.0, 5
 
@@ -66,41 +72,59 @@ def coded(unit: np.ndarray, rotation: np.ndarray) -> np.ndarray:
     return np.packbits(padded.reshape(len(signs), -1, BITS), axis=2, bitorder="little").view(np.uint16)[:, :, 0]
 
 
-#: All 16-bit numbers by their number of ones, and where each number of ones ends.
-MASKS = np.argsort(np.bitwise_count(np.arange(1 << BITS, dtype=np.uint16)), kind="stable").astype(np.uint16)
-ENDS = np.searchsorted(np.bitwise_count(MASKS), np.arange(BITS + 1), side="right")
+@cache
+def masks(bits: int) -> list[np.ndarray]:
+    """All numbers of so many bits, by their number of ones."""
+    ones = np.bitwise_count(np.arange(1 << bits))
+    return [np.flatnonzero(ones == n) for n in range(bits + 1)]
 
 
 class Index:
-    """Bucket directories of one block of codes, one for each substring."""
+    """Bucket directories of one block of codes, one for each substring, beside each other in one array."""
 
     def __init__(self, codes: np.ndarray):
-        self.whole, self.columns = np.ascontiguousarray(codes).view(np.uint64), np.ascontiguousarray(codes.T)
-        self.order = [np.argsort(codes[:, m], kind="stable") for m in range(codes.shape[1])]
-        #: The buckets that hold a code, how many each holds, and where each begins.
-        self.held = [np.unique(codes[:, m], return_counts=True) for m in range(codes.shape[1])]
-        self.begin = [np.cumsum(n) - n for _, n in self.held]
-
-    def within(self, query: np.ndarray, radius: int, inner: int = -1) -> np.ndarray:
-        """Places of all codes at a distance above inner and up to radius."""
-        seen = np.zeros(len(self.whole), dtype=bool)
-        part = min(BITS, radius // len(query))
-        for m, q in enumerate(query):
-            values, counts = self.held[m]
-            if ENDS[part] >= len(values):
-                # More buckets lie within the radius than hold a code: what lies in near ones is told from the codes' own substrings.
-                seen |= np.bitwise_count(self.columns[m] ^ q) <= part
-                continue
-            buckets = np.sort(MASKS[: ENDS[part]] ^ q)
-            at = np.minimum(np.searchsorted(values, buckets), len(values) - 1)
-            at = at[values[at] == buckets]
-            if len(at):
-                n = counts[at]
-                ends = np.cumsum(n)
-                seen[self.order[m][np.arange(ends[-1]) + np.repeat(self.begin[m][at] - ends + n, n)]] = True
-        at = np.flatnonzero(seen)
-        far = np.bitwise_count(self.whole[at] ^ np.ascontiguousarray(query).view(np.uint64)).sum(axis=1)
-        return at[(far <= radius) & (far > inner)]
+        self.whole, self.total = np.ascontiguousarray(codes).view(np.uint64), codes.shape[1] * 16
+        self.bits = int(np.clip(np.round(np.log2(max(2, len(codes)))), SHORTEST, BITS))
+        self.parts = -(-self.total // self.bits)
+        keys = self.cut(codes)
+        #: Rows by substring and bucket, and where each bucket begins.
+        self.order = np.argsort(keys.T.ravel(), kind="stable") % max(1, len(codes))
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(keys.ravel(), minlength=self.parts << self.bits))])
+        #: Buckets probed and rows retrieved so far, for tests and figures.
+        self.probed, self.retrieved = 0, 0
+
+    def cut(self, codes: np.ndarray) -> np.ndarray:
+        """Bucket numbers of codes, a column a substring. The last one's missing bits are zeros."""
+        raw = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8), axis=1, bitorder="little")
+        raw = np.pad(raw, ((0, 0), (0, self.parts * self.bits - raw.shape[1]))).reshape(len(codes), self.parts, self.bits)
+        return (raw @ (1 << np.arange(self.bits))) + (np.arange(self.parts) << self.bits)
+
+    def probe(self, keys: np.ndarray, distance: int) -> np.ndarray:
+        """Places in all buckets at this distance from a query's in their substrings; a place may come more than once."""
+        buckets = (keys[:, None] ^ masks(self.bits)[distance]).ravel()
+        begin = self.begin[buckets]
+        n = self.begin[buckets + 1] - begin
+        held = n > 0
+        begin, n = begin[held], n[held]
+        ends = np.cumsum(n)
+        self.probed += len(buckets)
+        return self.order[np.arange(ends[-1]) + np.repeat(begin - ends + n, n)] if len(n) else np.empty(0, np.int64)
+
+    def levels(self, query: np.ndarray):
+        """Radius after radius, the places of all codes within it that weren't within the one before."""
+        keys, seen, code = self.cut(query[None])[0], np.zeros(len(self.whole), bool), np.ascontiguousarray(query).view(np.uint64)
+        waiting, far = np.empty(0, np.int64), np.empty(0, np.int64)
+        for distance in range(self.bits + 1):
+            hit = np.zeros(len(seen), bool)
+            hit[self.probe(keys, distance)] = True
+            new = np.flatnonzero(hit & ~seen)
+            seen[new] = True
+            self.retrieved += len(new)
+            waiting, far = np.r_[waiting, new], np.r_[far, np.bitwise_count(self.whole[new] ^ code).sum(axis=1)]
+            radius = self.parts * (distance + 1) - 1
+            inside = far <= radius
+            yield radius, waiting[inside]
+            waiting, far = waiting[~inside], far[~inside]
 
 
 def enough(cosine: float, bits: int, sure: float = SURE) -> int:
@@ -120,23 +144,17 @@ class Block:
 
     def nearest(self, code: np.ndarray, query: np.ndarray, own: int, k: int, bits: int) -> np.ndarray:
         """Places of the rows that may be the k nearest to one query (a unit vector)."""
-        few = self.unit[:FIRST] @ query
-        few = few[self.own[:FIRST] != own]
-        first = np.partition(few, len(few) - k)[len(few) - k] if len(few) >= k else 0.0
-        radius, inner, at, near = enough(first, bits, 0), -1, np.empty(0, np.int64), np.empty(0)
-        while True:
-            new = self.index.within(code, radius, inner)
+        at, near = np.empty(0, np.int64), np.empty(0)
+        for radius, new in self.index.levels(code):
             new = new[self.own[new] != own]
             at, near = np.r_[at, new], np.r_[near, self.unit[new] @ query]
-            if len(at) > 4 * k:
-                best = np.lexsort((self.rank[at], -near))[: 4 * k]
-                at, near = at[best], near[best]
-            if radius >= bits:
-                return at
-            want = enough(np.partition(near, len(near) - k)[len(near) - k], bits) if len(near) >= k else min(bits, radius + bits // 8)
-            if want <= radius:
-                return at
-            radius, inner = want, radius
+            if len(at) < k:
+                continue
+            kth = np.partition(near, len(near) - k)[len(near) - k]
+            at, near = at[near >= kth - EQUAL], near[near >= kth - EQUAL]
+            if enough(kth, bits) <= radius:
+                break
+        return at
 
 
 def coded_rows(df: DataFrame, key: str, embedding: str, rotations: dict[int, np.ndarray]) -> DataFrame:
