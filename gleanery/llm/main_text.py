@@ -73,7 +73,8 @@ def noise(tag: str, attrs: str, inside: bool, by_name: bool = True, holds: int =
     """Whether an element is cut. inside: it stands in an article, whose own header holds its headline. holds: see Tree.holders()."""
     if tag in CUT or tag == "header" and not inside:
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    # An article inside another may be cut as well: comments of readers are marked up so.
+    if not attrs or tag in ("html", "body", "main") or tag == "article" and not inside:
         return False
     found = attributes(attrs)
     if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
@@ -217,9 +218,13 @@ class Tree:
         for i in range(len(size) - 1, 0, -1):
             size[self.up[i]] += size[i]
         there = [i for i in range(len(size)) if not self.cut[i] and size[i]]
-        articles = [i for i in there if self.tag[i] == "article"]
+        # In a main element an article counts if half of the text is its own; else it may be a comment.
+        main = [0] * len(size)
+        for i in range(1, len(size)):
+            main[i] = i if self.tag[i] == "main" else main[self.up[i]]
+        articles = [i for i in there if self.tag[i] == "article" and (not main[i] or 2 * size[i] >= size[main[i]])]
         found = dict.fromkeys([i for i in there if self.tag[i] == "main"] + ([max(articles, key=size.__getitem__)] if articles else []), 2)
-        if not articles:
+        if not any(self.tag[i] == "article" for i in there):
             _, sums, _ = self.densities()
             core = max(there, key=lambda i: (sums[i], -i), default=0)
             found[core] = found.get(core, 1)

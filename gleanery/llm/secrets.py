@@ -29,8 +29,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # as [0-9a-f]+ with the short runs dropped
 NEAR = re.compile(r"(?:pass|secret|token|api)", re.I | re.A)
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?)(PRIVATE KEY|PUBLIC KEY|CERTIFICATE)-----([A-Za-z0-9+/=\s\\]*?)-----END \1\2-----")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?)(PRIVATE KEY|PUBLIC KEY|CERTIFICATE)-----([A-Za-z0-9+/=\s\\]*?)-----END \1\2-----")
+#: Three dotted runs. The next may begin with this one's second, so what follows the header is only looked at.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.(?=([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*))")
+#: Where in a run a token's header may begin after a separator: the first characters of a JSON object.
+HEADER = re.compile(r"(?<=[_-])(?=e[yw][A-Za-z0-9_-]{8})")
+#: A private key encrypted the traditional way: two header lines, then whole cipher blocks.
+LOCKED = re.compile(r"-----BEGIN ([A-Z0-9 ]*?)PRIVATE KEY-----\s+Proc-Type: 4,ENCRYPTED\s+DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,}\s+([A-Za-z0-9+/=\s\\]*?)-----END \1PRIVATE KEY-----")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 #: Where in a run a key may begin after a separator: the first bytes of a DER sequence, of an SSH blob or of a private SSH container.
 INNER = re.compile(r"(?<=[/_-])(?=M[A-P]|AAAA[B-J]|b3Bl)")
@@ -78,20 +83,19 @@ def der_key(data: bytes) -> bool:
     top = der_item(data, 0, len(data))
     if not top or top[0] != 0x30 or top[2] != len(data):
         return False
-    todo, tags, seen = [(top[1], top[2], 0)], [], 0
+    todo, tags = [(top[1], top[2], 0)], []
     while todo:
         at, end, depth = todo.pop()
         while at < end:
             item = der_item(data, at, end)
-            seen += 1
-            if not item or depth > 16 or seen > 4000:
+            if not item:
                 return False
             if depth == 0:
                 tags.append(item[0])
             if item[0] & 0x20:
                 todo.append((item[1], item[2], depth + 1))
             at = item[2]
-    return tags[:2] in ([0x02, 0x02], [0x02, 0x30], [0x30, 0x03], [0x30, 0x30], [0x02, 0x04]) and len(data) >= 24
+    return tags[:2] in ([0x02, 0x02], [0x02, 0x30], [0x30, 0x03], [0x30, 0x30], [0x30, 0x04], [0x02, 0x04]) and len(data) >= 24
 
 
 def ssh_key(data: bytes) -> bool:
@@ -131,10 +135,10 @@ def begins_key(run: str, start: int = 0) -> bool:
         return der_size(head) == size
     if not re.match(rb"\0\0\0.(ssh-|ecdsa-|sk-)", head, re.S):
         return False
-    at, parts = 0, 0
-    while at < size and parts < 64:
+    at = 0
+    while at < size:
         length = peek(run, start, at, 4)
-        at, parts = at + 4 + int.from_bytes(length, "big"), parts + 1
+        at += 4 + int.from_bytes(length, "big")
         if len(length) < 4:
             return False
     return at == size
@@ -183,6 +187,19 @@ def signed_header(run: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
+def signed_tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of the signed tokens in a text. A header begins where its run does or behind a separator in it."""
+    found, end = [], 0
+    for m in SIGNED.finditer(text):
+        for start in (m.start(), *(m.start() + h.start() for h in HEADER.finditer(m[1]))):
+            run = text[start : m.end(1)]
+            if start >= end and peek(run, 0, 0, 1) == b"{" and signed_header(run):
+                end = m.end(3)
+                found.append((start, end))
+                break
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the three base patterns; kind is a place in KINDS."""
     found = []
@@ -203,9 +220,15 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
             if key_kind(decoded(re.sub(r"\\n|\\r|\s", "", m[3]))) is not None:
                 found.append((m.start(), 3, m.end()))
                 taken.append((m.start(), m.end()))
+        for m in LOCKED.finditer(text):
+            blocks = decoded(re.sub(r"\\n|\\r|\s", "", m[2]))
+            if blocks and len(blocks) % 8 == 0 and len(blocks) >= 32:
+                found.append((m.start(), 3, m.end()))
+                taken.append((m.start(), m.end()))
+        taken.sort()
     words = [w for w in text.split() if len(w) >= SHORTEST]
     if any(w.count(".") >= 2 for w in words):
-        tokens = [(m.start(), m.end()) for m in SIGNED.finditer(text) if signed_header(m[1])]
+        tokens = signed_tokens(text)
         found += [(a, 4, b) for a, b in tokens]
         taken = sorted(taken + tokens)
     if any(w.count(":") >= 31 for w in words) or text.count(":") >= 31 and COLONS.search(text):

@@ -325,6 +325,34 @@ def test_line_dedup_of_very_many_lines(spark):
     assert got[3].n_removed == 49_999 and got[3].text == "same"
 
 
+def test_tokens_after_separators_and_locked_keys():
+    for before in ("x.", "x-", "a.b.", "longer-word_", "key=", "aaaaaaaaaaaa.bbbb.", "session_id-"):
+        assert secrets.joined(secrets.confirmed_spans(f"{before}{JWT} y")) == f"signed:{len(before)}:{len(before) + len(JWT)}", before
+    assert secrets.confirmed_spans("x.eyJub3QiOiJhbGcifQ.e30.c2ln") == [] and len(secrets.confirmed_spans(f"{JWT} {JWT}")) == 2
+    inner = der(0x30, der(0x06, bytes(9)), der(0x30, der(4, bytes(8)), der(2, b"\x08\0")))
+    locked = base64.b64encode(der(0x30, inner, der(4, bytes(range(200))))).decode()
+    pem = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{locked}\n-----END ENCRYPTED PRIVATE KEY-----"
+    assert secrets.joined(secrets.confirmed_spans(f"a {pem} b")) == f"pem:2:{2 + len(pem)}"
+    old = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{base64.b64encode(bytes(608)).decode()}\n-----END RSA PRIVATE KEY-----"
+    assert secrets.joined(secrets.confirmed_spans(old)) == f"pem:0:{len(old)}"
+    assert secrets.confirmed_spans(old.replace(base64.b64encode(bytes(608)).decode(), base64.b64encode(bytes(609)).decode())) == []
+    deep = der(4, bytes(30))
+    for _ in range(40):
+        deep = der(0x30, deep)
+    many = base64.b64encode(der(0x30, der(2, b"\0"), der(0x30, *[der(5)] * 5000), deep)).decode()
+    assert secrets.joined(secrets.confirmed_spans(f"k {many} k")) == f"der:2:{2 + len(many)}"
+
+
+def test_comments_in_articles_go():
+    said = "Reader says hello to all of you, at some length. "
+    for inner in (f'<article class="comment"><p>{said}</p></article>', f'<section><article id="comment-12"><p>{said * 3}</p></article><article class="comment"><p>{said}</p></article></section>'):
+        assert main_text.extract(f"<body><article><h1>Head</h1><p>{LONG}</p>{inner}</article></body>") == f"Head {LONG.strip()}"
+        assert main_text.extract(f"<body><main><p>{LONG}</p>{inner}</main></body>") == LONG.strip()
+    # An article of its own stays, whatever it is called, and so does a list of plain ones.
+    assert main_text.extract(f'<article class="comment"><p>{LONG}</p></article>') == LONG.strip()
+    assert main_text.extract(f"<main><article><p>{LONG}</p></article><article><p>{LONG}</p></article></main>") == f"{LONG.strip()} {LONG.strip()}"
+
+
 def test_secrets_in_odd_texts(spark):
     import time
 
