@@ -88,10 +88,12 @@ def extracted(pages: DataFrame) -> DataFrame:
     return from_schema(pages).unionByName(from_patterns(pages)).unionByName(from_bios(pages))
 
 
-def bio_links(pages: DataFrame) -> DataFrame:
-    """Links of pages to pages about people of the same site, each once: the second wave to look at."""
+def bio_links(pages: DataFrame, each: bool = False) -> DataFrame:
+    """Links of pages to pages about people of the same site, each once: the second wave to look at. each: once for every page, with its url and a rank."""
     links = pages.select("slug", "site", "url", "ord", F.posexplode(H.hrefs("html")).alias("_i", "_h")).withColumn("link", normalized("_h", "url"))
     good = links.where((registrable(host("link")) == F.col("site")) & path("link").rlike(BIO_PATH)).withColumn("_key", crawl_key("link"))
+    if each:
+        return good.select("slug", "url", "link", F.struct((~path("link").rlike(BIO_PATH)).alias("other"), "link").alias("rank"))
     return first_wins(good, ["slug", "_key"], ["ord", "_i"]).select("slug", "link")
 
 

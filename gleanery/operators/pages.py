@@ -83,6 +83,31 @@ def fetch_order(pages: DataFrame, key: str = "site", most: int = 60, ord_: str =
     return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("_key")
 
 
+def waves(start: DataFrame, landed: DataFrame, links: DataFrame, most: int = 25, depth: int = 2) -> DataFrame:
+    """The pages a crawl of each site fetches, wave after wave, within a budget of pages a site: landed rows with wave and place.
+
+    start: slug, url, ord of the first wave. landed: slug, url and more; what isn't there has failed, but
+    counts. links: slug, url (of the page they are on), link, rank; those of a wave's landed pages make the next
+    wave, in order of rank and link, each page once. A wave joins only the links of the wave before.
+    """
+    key = crawl_key("url")
+    begun = first_wins(start.withColumn("_key", key), ["slug", "_key"], ["ord"])
+    order = Window.partitionBy("slug").orderBy("ord", "_key")
+    fetched = cut(begun.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("slug", "_key", F.lit(1).alias("wave"), "place"))
+    every, known = fetched, links.select("slug", key.alias("_from"), crawl_key("link").alias("_key"), "rank")
+    here = landed.withColumn("_key", key)
+    for wave in range(2, depth + 1):
+        got = fetched.join(here.select("slug", "_key").distinct(), ["slug", "_key"]).select("slug", F.col("_key").alias("_from"))
+        met = known.join(got, ["slug", "_from"]).groupBy("slug", "_key").agg(F.min("rank").alias("rank")).join(every, ["slug", "_key"], "left_anti")
+        used = every.groupBy("slug").agg(F.max("place").alias("_used"))
+        place = F.col("_used") + F.row_number().over(Window.partitionBy("slug").orderBy("rank", "_key"))
+        fetched = cut(met.join(used, "slug").withColumn("place", place).where(F.col("place") <= most).select("slug", "_key", F.lit(wave).alias("wave"), "place"))
+        if fetched.isEmpty():
+            break
+        every = every.unionByName(fetched)
+    return here.join(every, ["slug", "_key"]).drop("_key")
+
+
 def robot_rules(robots: DataFrame, bots: list[str], grouped: bool = True) -> DataFrame:
     """Per site and bot: its allow and disallow lines and what they amount to.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import html as H
@@ -19,7 +19,7 @@ from gleanery.operators import boards, contacts, entities, hiring, identity, imp
 from gleanery.plans import prep
 from gleanery.sources import archives, directories, documents, sinks
 from gleanery.sources.tables import scratch, table
-from gleanery.streaming import archive
+from gleanery.streaming import archive, walks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -645,6 +645,24 @@ def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.fetch_order(p, ord_="page_id").select("site", "page_id", F.col("place").cast("long").alias("place"))
 
 
+@query("""
+WITH RECURSIVE p AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS slug, page_id, url LIKE 'https:%' AS landed, row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/]+)', 1) ORDER BY page_id) - 1 AS r FROM pages),
+w AS (SELECT slug, r, 1 AS wave, landed FROM p WHERE r = 0 UNION ALL SELECT p.slug, p.r, w.wave + 1, p.landed FROM w JOIN p ON p.slug = w.slug AND (p.r - 1) // 3 = w.r AND p.r > 0 WHERE w.landed AND w.wave < 6)
+SELECT slug, page_id, wave FROM w JOIN p USING (slug, r) WHERE p.landed""")
+def crawl_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a site that a crawl comes to in six waves, where each links to the next three; those not by https didn't land, nor is seen what only they link to."""
+    from gleanery.functions.urls import host, registrable
+
+    p = table(spark, sf_dir, "pages").select(host("url").alias("slug"), "page_id", F.col("url").startswith("https:").alias("landed"))
+    p = p.withColumn("r", F.row_number().over(Window.partitionBy("slug").orderBy("page_id")) - 1)
+    at = lambda r: F.concat(F.lit("https://"), F.col("slug"), F.lit("/team/p-"), r.cast("string"))
+    links = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.concat(F.lit('<a href="'), F.lit("/team/p-"), (F.col("r") * 3 + k).cast("string"), F.lit('/">x</a>')))
+    landed = p.where("landed").select("slug", F.col("slug").alias("site"), at(F.col("r")).alias("url"), F.array_join(links, " ").alias("html"), F.col("r").alias("ord"), "page_id")
+    landed = landed.withColumn("site", registrable("site"))
+    start = p.where("r = 0").select("slug", at(F.col("r")).alias("url"), F.lit(0).alias("ord"))
+    return pages.waves(start, landed, contacts.bio_links(landed, each=True), most=1_000_000, depth=6).select("slug", "page_id", "wave")
+
+
 # Captures and archives: events are posts, users archives.
 
 
@@ -728,6 +746,23 @@ def archive_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/changes").select("archive_id", "id", "change", "seq", "favorite_count")
 
 
+@query("""
+SELECT user_id::VARCHAR AS archive_id, CASE WHEN max(event_type = 'error') THEN 'fail' ELSE 'exhausted' END AS stop, CASE WHEN max(event_type = 'error') THEN 2 ELSE 3 END AS seq, count(*) AS posts, CASE WHEN max(event_type = 'error') THEN 1 ELSE 2 END + max(event_type = 'click')::INT AS pages, count(*) + count(*) FILTER (event_type = 'click') * CASE WHEN max(event_type = 'error') THEN 1 ELSE 2 END AS changes
+FROM events GROUP BY 1""")
+def archive_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks over streamed pages that know when to stop, run once over the first pages and again, from the checkpoint, over the others."""
+    folder, pages_ = scratch(spark), _post_pages(spark, sf_dir)
+    for landed in ("seq < 2", "seq >= 2"):
+        pages_.where(landed).write.mode("append").parquet(f"{folder}/pages")
+        walk = walks.walked(spark.readStream.schema(pages_.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{folder}/pages"), timers=False)
+        write = lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/walks/batch={n}")
+        walk.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    # A batch that is written again replaces itself.
+    found = spark.read.schema(walk.schema).parquet(f"{folder}/walks")
+    changes = found.groupBy("archive_id").agg(F.sum(F.size("changes")).alias("changes"))
+    return walks.ends(found).join(changes, "archive_id").select("archive_id", "stop", "seq", "posts", "pages", "changes")
+
+
 # The weekly preparation: suppliers not in debt are law firms with a site, a page and a partner on it.
 
 

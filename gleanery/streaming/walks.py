@@ -129,8 +129,10 @@ def resumed(pages: DataFrame, retries: int = 1) -> DataFrame:
 def walked(pages: DataFrame, max_posts: int = 0, max_pages: int = 0, retries: int = 1, before: DataFrame | None = None, timers: bool = True) -> DataFrame:
     """A row a page as walks go over a stream of landed pages (archive_id, seq, status, headers, body): its changes, and, at its end, why it ends.
 
-    before: pages that the walks have behind them. Use output mode "update" or "append". The session gets
-    the RocksDB state store, which a map in state needs.
+    before: pages that the walks have behind them. timers: whether walks wait for their windows; a query with timers
+    runs on for them, so a run over what has landed (trigger availableNow) goes without. The session gets
+    the RocksDB state store, which a map in state needs. Pages of a walk must come in order of seq, but within a batch they may
+    lie as they like; what comes behind a later page is taken for one that landed twice.
     """
     spark: SparkSession = pages.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 from gleanery.plans import fixtures
 from gleanery.streaming import archive, walks
@@ -18,7 +19,7 @@ def land(folder, rows, start=0):
 
 def run(spark, tmp_path, name, **options):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 3).json(str(tmp_path / "in"))
-    query = walks.walked(stream, **options).writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(str(tmp_path / name))).outputMode("update").option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
+    query = walks.walked(stream, timers=False, **options).writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(str(tmp_path / name))).outputMode("update").option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(str(tmp_path / name))
 
@@ -53,3 +54,17 @@ def test_walk_from_a_batch_archive_and_caps(spark, tmp_path):
     got = stops(walks.ends(found))
     assert got["a"][:4] == ("max_posts", 2, 2, 3) and got["b"][:2] == ("rate_limited", 2)
     assert [(c.id, c.change) for r in found.where("archive_id = 'a' and seq = 2").collect() for c in r.changes] == [("1", "updated"), ("3", "added")]
+
+
+def test_a_spent_window_opens_by_a_timer(spark, tmp_path):
+    pages = fixtures.payload_pages(spark)
+    land(tmp_path / "in", pages.where("archive_id = 'a' and seq in (0, 2)").orderBy("seq").collect())
+    stream = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
+    query = walks.walked(stream).writeStream.format("memory").queryName("walk_timers").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+    until = time.time() + 90
+    found = []
+    while time.time() < until and "window_open" not in found:
+        found = [r.stop for r in spark.sql("select stop from walk_timers").collect()]
+        time.sleep(1)
+    query.stop()
+    assert found.count("window_open") == 1 and found.count(None) == 2
