@@ -37,8 +37,8 @@ def merged(known: tuple | None, new: tuple) -> tuple:
 class Walk(StatefulProcessor):
     """One archive. Rows are pages: seq, status, posts, cursor, remaining, reset."""
 
-    def __init__(self, max_posts: int = 0, max_pages: int = 0, retries: int = 1):
-        self.max_posts, self.max_pages, self.retries = max_posts, max_pages, retries
+    def __init__(self, max_posts: int = 0, max_pages: int = 0, retries: int = 1, timers: bool = True):
+        self.max_posts, self.max_pages, self.retries, self.timers = max_posts, max_pages, retries, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.known, self.walk = handle, handle.getMapState("posts", "id string", POST), handle.getValueState("walk", WALK)
@@ -46,7 +46,7 @@ class Walk(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def handleInitialState(self, key, row: Row, timer) -> None:
+    def handleInitialState(self, key, row: Row, timerValues) -> None:
         """A row of resumed(): a post, and where its archive's walk stands."""
         if row.id is not None:
             self.known.updateValue((row.id,), tuple(row[f] for f in FIELDS))
@@ -66,7 +66,7 @@ class Walk(StatefulProcessor):
             return "exhausted"
         return "rate_limited" if page.remaining is not None and page.remaining <= 0 and page.reset is None else None
 
-    def handleInputRows(self, key, rows: Iterator[Row], timer) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         state = self.walk.get() if self.walk.exists() else (-1, 0, 0, 0, 0, None, None)
         walk = dict(zip(("seq", "pages", "posts", "idle", "refused", "stop", "resume_at"), state, strict=True))
         for page in sorted(rows, key=lambda r: r.seq):
@@ -90,14 +90,15 @@ class Walk(StatefulProcessor):
             walk["stop"] = self.reason(page, walk, bool(added or updated))
             walk["resume_at"] = page.reset if walk["stop"] is None and page.remaining is not None and page.remaining <= 0 else None
             yield Row(archive_id=key[0], seq=page.seq, stop=walk["stop"], pages=walk["pages"], posts=walk["posts"], added=added, updated=updated, cursor=page.cursor, resume_at=walk["resume_at"], changes=changes)
-        # A spent window holds the walk until it opens: one timer, for the last page's.
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if walk["resume_at"] is not None:
-            self.handle.registerTimer(max(walk["resume_at"] * 1000, timer.getCurrentProcessingTimeInMs() + 1))
         self.walk.update(tuple(walk.values()))
-
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[Row]:
+        if self.timers:
+            # A spent window holds the walk until it opens: one timer, for the last page's.
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if walk["resume_at"] is not None:
+                self.handle.registerTimer(max(walk["resume_at"] * 1000, timerValues.getCurrentProcessingTimeInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The window is open: the walk may go on from its last page."""
         seq, pages, posts, idle, refused, stop, _ = self.walk.get()
         self.walk.update((seq, pages, posts, idle, refused, stop, None))
@@ -137,7 +138,7 @@ def walked(pages: DataFrame, max_posts: int = 0, max_pages: int = 0, retries: in
     spark: SparkSession = pages.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     initial = resumed(before, retries).groupBy("archive_id") if before is not None else None
-    return _pages(pages).groupBy("archive_id").transformWithState(Walk(max_posts, max_pages, retries), OUT, "Update", "ProcessingTime" if timers else "None", initial)
+    return _pages(pages).groupBy("archive_id").transformWithState(Walk(max_posts, max_pages, retries, timers), OUT, "Update", "ProcessingTime" if timers else "None", initial)
 
 
 def ends(walk: DataFrame) -> DataFrame:
