@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import html as H
 from gleanery.functions.text import email_domain, filled
-from gleanery.functions.urls import host, origin, registrable, same_site
+from gleanery.functions.urls import host, registrable, same_site
 from gleanery.operators import contacts as C
 from gleanery.operators import entities, filters, metrics, ranking
 from gleanery.operators import pages as crawl
@@ -141,8 +141,3 @@ def doctor(tables: dict[str, DataFrame]) -> DataFrame:
         part = df.agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
         out = part if out is None else out.union(part)
     return out
-
-
-def verified_site(candidates: DataFrame) -> DataFrame:
-    """Candidate sites by origin, for a report."""
-    return candidates.select("slug", origin("website").alias("website"))
