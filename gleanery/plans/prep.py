@@ -107,8 +107,8 @@ class Prepared:
 def prepare(businesses: DataFrame, pages: DataFrame, thresholds: DataFrame, category: str, practice: str | None = None, results: DataFrame | None = None, max_firms: int = 0, max_pages: int = 25) -> Prepared:
     """All stages for one category. pages: url, html, status, ord of landed pages; they join firms by site.
 
-    Of a firm at most max_pages are read, in two waves: the common paths of its site, then pages about
-    people that its good pages about the team link to.
+    Contacts come from at most max_pages of a firm, in two waves: the common paths of its site, then pages about
+    people that its good pages about the team link to. Profiles tell of all that landed.
     """
     coverage = metrics.verdicts(metrics.scorecard(businesses, practice), thresholds, practice is not None)
     chosen = filters.selected(businesses.where(filled("website").isNotNull()), category, practice, limit=max_firms)
@@ -116,8 +116,8 @@ def prepare(businesses: DataFrame, pages: DataFrame, thresholds: DataFrame, cate
     sites = queue.select("slug", F.col("name").alias("firm"), registrable(host("website")).alias("site"))
     mine = pages.withColumn("_site", registrable(host("url"))).join(sites, F.col("_site") == F.col("site")).drop("_site")
     people = C.bio_links(mine.where((F.col("status") == "ok") & filters.is_people_page("url")), each=True)
-    mine = crawl.waves(crawl.seeds(queue), mine, people, max_pages).drop("wave", "place")
-    found = C.extracted(mine.where("status = 'ok'"))
+    read = crawl.waves(crawl.seeds(queue), mine, people, max_pages).drop("wave", "place")
+    found = C.extracted(read.where("status = 'ok'"))
     found = C.with_board(found, results) if results is not None else found
     # The merge reads its input several times; kept, it is extracted once and the plan stays small. A lost part is computed anew.
     found = found.persist()

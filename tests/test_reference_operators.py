@@ -109,7 +109,7 @@ def test_reject_reasons(spark):
 def test_ingest_matches_and_inserts(spark):
     out, rejects = prep.ingest(fixtures.payloads(spark), fixtures.businesses(spark), "roofing")
     got = {r.slug: r for r in out.collect()}
-    assert {r.reason for r in rejects.collect()} == {"junk_name", "supply_not_contractor"}
+    assert {r.reason for r in rejects.collect()} == {"junk_name", "supply_not_contractor", "roster_without_places"}
     assert got["bluebonnet"].change == "updated" and got["bluebonnet"].address == "1 Oak St, Austin, TX, 78701"
     assert got["birch"].change == "same" and got["cedar-dental"].change == "created" and got["cedar-dental"].website == "https://cedardental.example/"
     assert got["cool-air-heating"].status == "call-ready" and got["pecan-realty-llc"].phone is None
