@@ -10,8 +10,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes that Spark hands to Python at once, unless the session asks for another number: a payload that is parsed takes some twenty times its own size.
+BATCH_BYTES = 2 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session with batches of payloads that stay small when parsed, whatever the rows' size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt over as many tasks as the session shuffles to. A file of few bytes is one partition, however much work its rows are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 #: Temporary folders of this process, by application; they go with it.
