@@ -18,7 +18,7 @@ from gleanery.functions.json import schema_people, schema_types
 from gleanery.operators import boards, contacts, entities, hiring, identity, imports, merge, pages, profiles, ranking
 from gleanery.plans import prep
 from gleanery.sources import archives, directories, documents, sinks
-from gleanery.sources.tables import scratch, table
+from gleanery.sources.tables import scratch, spread, table
 from gleanery.streaming import archive, upserts, walks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,7 @@ def board_company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     card = _tag("li", _tag("a", "", href=F.concat(F.lit("/in/p-"), F.col("c_custkey").cast("string"))), _tag("h3", name), _tag("h4", F.col("c_mktsegment")))
     cards = c.groupBy(F.col("c_nationkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("hidden", "c_custkey", card.alias("card")))).alias("cards"))
     n = table(spark, sf_dir, "nation").join(cards, F.col("n_nationkey") == F.col("k"), "left").withColumn("cards", F.coalesce("cards", F.array().cast(cards.schema["cards"].dataType)))
+    n = spread(n)
     people = _tag("section", _tag("h2", "Employees at it"), F.array_join(F.transform("cards", lambda x: x["card"]), ""), data_test_id="employees-at")
     html = F.concat(F.lit('<link rel="canonical" href="'), _company("n_nationkey"), F.lit('">'), _tag("a", "See all jobs", href=F.concat(F.lit("/jobs/search?f_C="), F.col("n_nationkey").cast("string"))), people)
     asked = F.when(F.col("n_regionkey") == 4, f"{BOARD}/company/another/").otherwise(_company("n_nationkey"))
@@ -83,7 +84,7 @@ def board_company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     return o.withColumns({"day": F.date_format("o_orderdate", "yyyy-MM-dd"), "other": F.col("o_orderpriority") == "5-LOW", "job": (F.col("o_orderkey") + 1_000_000).cast("string"), "jk": F.lower(F.lpad(F.hex("o_orderkey"), 16, "0"))})
 
 
