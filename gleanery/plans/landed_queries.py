@@ -757,7 +757,9 @@ def archive_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages_.where(landed).write.mode("append").parquet(f"{folder}/pages")
         walk = walks.walked(spark.readStream.schema(pages_.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{folder}/pages"), timers=False)
         write = lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/walks/batch={n}")
-        walk.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+        with walks.small_batches(spark):
+            run = walk.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start()
+        run.awaitTermination()
     # A batch that is written again replaces itself.
     found = spark.read.schema(walk.schema).parquet(f"{folder}/walks")
     changes = found.groupBy("archive_id").agg(F.sum(F.size("changes")).alias("changes"))
@@ -781,7 +783,9 @@ def archive_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for landed in ("seq < 2", "seq >= 2"):
         pages_.where(landed).write.mode("append").parquet(f"{folder}/pages")
         walk = walks.walked(spark.readStream.schema(pages_.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{folder}/pages"), timers=False)
-        walk.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+        with walks.small_batches(spark):
+            run = walk.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start()
+        run.awaitTermination()
     return upserts.current(spark, f"{folder}/archive", schema).select("archive_id", "id", "text", "favorite_count")
 
 

@@ -12,6 +12,7 @@ State lies in the RocksDB store, a post an entry, so an archive may be larger th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from gleanery.functions.json import timeline
 from gleanery.operators.merge import METRICS
 from gleanery.streaming.archive import STREAK, archived, progress, rate_limit
 
+#: Changes in one row at most, and rows that a stream started in small_batches() hands over at once.
+PART, ROWS = 1000, 32
 POST = "text string, created_at string, " + ", ".join(f"{m} bigint" for m in METRICS)
 WALK = "seq bigint, pages bigint, posts bigint, idle int, refused int, stop string, resume_at bigint"
 FIELDS = ["text", "created_at", *METRICS]
@@ -34,6 +37,23 @@ def merged(known: tuple | None, new: tuple) -> tuple:
     return (old[0] or new[0] or "", old[1] or new[1] or "", *(o if n is None else n for o, n in zip(old[2:], new[2:], strict=True)))
 
 
+def _row(told: dict, **more) -> dict:
+    """A row in the order of OUT, by which rows are read."""
+    return {name: (told | more)[name] for name in ("archive_id", "seq", "stop", "pages", "posts", "added", "updated", "cursor", "resume_at", "changes")}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside hand few rows at once to and from Python, as each may hold PART changes or a whole page; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Walk(StatefulProcessor):
     """One archive. Rows are pages: seq, status, posts, cursor, remaining, reset."""
 
@@ -89,7 +109,12 @@ class Walk(StatefulProcessor):
                 walk["refused"] += page.status == 429
             walk["stop"] = self.reason(page, walk, bool(added or updated))
             walk["resume_at"] = page.reset if walk["stop"] is None and page.remaining is not None and page.remaining <= 0 else None
-            yield Row(archive_id=key[0], seq=page.seq, stop=walk["stop"], pages=walk["pages"], posts=walk["posts"], added=added, updated=updated, cursor=page.cursor, resume_at=walk["resume_at"], changes=changes)
+            told = {"archive_id": key[0], "seq": page.seq, "pages": walk["pages"], "posts": walk["posts"], "cursor": page.cursor, "resume_at": walk["resume_at"]}
+            # Very many changes go in rows of their own; the counts and the stop are on the page's last row.
+            last = max(0, len(changes) - 1) // PART * PART
+            for i in range(0, last, PART):
+                yield Row(**_row(told, stop=None, added=0, updated=0, changes=changes[i : i + PART]))
+            yield Row(**_row(told, stop=walk["stop"], added=added, updated=updated, changes=changes[last:]))
         self.walk.update(tuple(walk.values()))
         if self.timers:
             # A spent window holds the walk until it opens: one timer, for the last page's.
@@ -128,7 +153,7 @@ def resumed(pages: DataFrame, retries: int = 1) -> DataFrame:
 
 
 def walked(pages: DataFrame, max_posts: int = 0, max_pages: int = 0, retries: int = 1, before: DataFrame | None = None, timers: bool = True) -> DataFrame:
-    """A row a page as walks go over a stream of landed pages (archive_id, seq, status, headers, body): its changes, and, at its end, why it ends.
+    """A row a page (more where it brings more than PART changes) as walks go over a stream of landed pages (archive_id, seq, status, headers, body): its changes, and, at its end, why it ends.
 
     before: pages that the walks have behind them. timers: whether walks wait for their windows; a query with timers
     runs on for them, so a run over what has landed (trigger availableNow) goes without. The session gets
