@@ -1,17 +1,16 @@
 """Media columns: payloads stored as lossless WebP files, read back as pixel arrays.
 
 A payload (here a text's UTF-8 bytes, filled up with bytes 255 to a multiple of 576) is cut into frames of
-4,608 bytes (2,304 in the other forms), each a lossless image of its own, so that a long one is many short streams, which are decoded
+4,608 bytes, each a lossless image of its own, so that a long one is many short streams, which are decoded
 beside each other; a file with several frames tiles them down one canvas. Files are stored in a
 column of a table, and read from that table.
 
-Three forms are written, so that reading a table uses every part of the reader (`gleanery.llm.webp`):
+A payload's form follows its bytes, so equal payloads give equal files. Every form has the predictor transform, back-references, a
+colour cache and an entropy image (`gleanery.llm.webp` finds tiles' predictors, multipliers and groups of codes):
 
-- grey: a byte is a pixel, with the subtract-green transform, or a palette where a frame has 16 or fewer values;
-- indexed: a byte is a pixel of a palette, with a colour cache and an entropy image;
-- coloured: four bytes are a pixel, with the predictor, cross-colour and subtract-green transforms and a colour cache.
-
-Grey is the smallest for texts. One payload in 16 is indexed and one coloured, by its CRC, so equal payloads give equal files.
+- coloured: four bytes are a pixel, with the subtract-green and cross-colour transforms, too;
+- grey: a byte is a pixel, with the same, for payloads of one unit, which have too few bytes for codes of four channels;
+- indexed: a byte is a pixel of a palette (which takes the place of what the colours say about each other), for payloads of 16 or fewer values.
 
 The feature of a payload is the size of its canvas and 64 bits, one for each of 64 equal pieces of its
 samples: whether the piece's mean is the whole's or more.
@@ -38,13 +37,12 @@ from gleanery.llm.store import dropped, sized, written
 
 #: Payloads are a multiple of UNIT bytes, filled up with FILL; a frame has FRAME of them; WIDE pixels a row of one byte each or WIDE / 2 of four.
 UNIT, FILL, FRAME, WIDE = 576, b"\xff", 8 * 576, 96
-#: Frames of the other two forms are smaller: their streams take more work a step, and few rows share it.
-SMALL = 4 * UNIT
+#: Payloads of so few values have a palette.
+FEW = 16
 #: Payload bytes that a task writes and reads at once. Writing takes more memory a byte; reading costs a step for each symbol of the longest stream, so it gains by more streams at once.
 BYTES, READ = 3 << 20, 8 << 20
-GREY, FEW = webp.Form((webp.GREEN,)), webp.Form((webp.PALETTE,))
-INDEXED = webp.Form((webp.PALETTE,), cache=4, tiles=4)
-COLOURED = webp.Form((webp.PREDICT, webp.CROSS, webp.GREEN), cache=6)
+GREY = COLOURED = webp.Form((webp.PREDICT, webp.GREEN, webp.CROSS), cache=6, tiles=4, transform_tiles=5)
+INDEXED = webp.Form((webp.PALETTE, webp.PREDICT), cache=4, tiles=4, transform_tiles=5)
 
 
 def payload(text: bytes | None) -> bytes:
@@ -53,21 +51,20 @@ def payload(text: bytes | None) -> bytes:
 
 
 def form_of(data: bytes) -> str:
-    return {0: "coloured", 1: "indexed"}.get(zlib.crc32(data) % 16, "grey")
+    if np.count_nonzero(np.bincount(np.frombuffer(data, np.uint8), minlength=256)) <= FEW:
+        return "indexed"
+    return "grey" if len(data) <= UNIT else "coloured"
 
 
 def frames(data: bytes) -> Iterator[tuple[webp.Image, webp.Form]]:
     """The images of a payload and how they are written."""
     name = form_of(data)
-    size = FRAME if name == "grey" else SMALL
-    for i in range(0, len(data), size):
-        part = data[i : i + size]
+    for i in range(0, len(data), FRAME):
+        part = data[i : i + FRAME]
         if name == "coloured":
             yield webp.Image(WIDE // 2, len(part) // (2 * WIDE), np.frombuffer(part, "<u4")), COLOURED
             continue
-        bytes_ = np.frombuffer(part, np.uint8)
-        form = INDEXED if name == "indexed" else FEW if np.count_nonzero(np.bincount(bytes_, minlength=256)) <= 16 else GREY
-        yield webp.Image(WIDE, len(part) // WIDE, np.uint32(webp.OPAQUE) | bytes_ * np.uint32(0x010101)), form
+        yield webp.Image(WIDE, len(part) // WIDE, np.uint32(webp.OPAQUE) | np.frombuffer(part, np.uint8) * np.uint32(0x010101)), INDEXED if name == "indexed" else GREY
 
 
 def samples(images: list[webp.Image]) -> bytes:
@@ -96,7 +93,7 @@ def _in_parts(items: list, sizes: list[int], work, most: int = BYTES) -> list:
 def files(payloads: list[bytes]) -> list[bytes]:
     """WebP files of payloads. The frames of one long payload are written in parts, too."""
     every = [(i, im, form) for i, data in enumerate(payloads) for im, form in frames(data)]
-    streams = _in_parts(every, [4 * len(im.pixels) if form is COLOURED else len(im.pixels) for _, im, form in every], lambda some: webp.encoded([im for _, im, _ in some], [form for _, _, form in some]))
+    streams = _in_parts(every, [4 * len(im.pixels) if im.width < WIDE else len(im.pixels) for _, im, _ in every], lambda some: webp.encoded([im for _, im, _ in some], [form for _, _, form in some]))
     of: list[list] = [[] for _ in payloads]
     for (i, im, _), stream in zip(every, streams, strict=True):
         of[i].append((stream, (im.width, im.height)))

@@ -6,11 +6,12 @@ image a step. An image's parser is a generator that hands over a block of coded
 gets them back decoded. Prefix codes of five alphabets, entropy images, back-references with
 two-dimensional distances and the colour cache are supported; then the predictor, cross-colour,
 subtract-green and palette transforms are inverted, the predictor along wave fronts (x + 2y), whose
-pixels don't depend on each other.
+pixels don't depend on each other (where no tile but the borders looks at a neighbour, no fronts are needed).
 
 Writing: matches come from one sort of hashed runs of pixels, a greedy parse runs in lockstep, and codes are
-canonical Huffman codes of at most 11 bits. Any of the transforms can be asked for. Several frames make
-an animated file whose frames tile the canvas.
+canonical Huffman codes of at most 11 bits, built in lockstep. Any of the transforms can be asked for. A tile's predictor and
+its colour multipliers are those of the fewest bits by the entropy of what they leave; rows of tiles share a group
+of codes unless groups of their own are smaller. Several frames make an animated file whose frames tile the canvas.
 
 A stream that breaks the format's rules raises ValueError.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Generator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -45,6 +46,9 @@ class Bits:
     def __init__(self, data: bytes, begin: int = 0):
         self.data, self.at, self.begin = data, 0, begin
 
+    def peek(self, n: int) -> int:
+        return int.from_bytes(self.data[self.at >> 3 : (self.at + n + 7) >> 3], "little") >> (self.at & 7) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
         at, self.at = self.at, self.at + n
         if self.at > 8 * len(self.data):
@@ -101,6 +105,7 @@ class Coded:
     codes: list[list[np.ndarray]]
     tiles: np.ndarray | None = None
     tile_bits: int = 0
+    phase: tuple[bool, int] = (True, 0)
 
 
 def _tiled(n: int, bits: int) -> int:
@@ -115,6 +120,7 @@ class Stored:
     size: int
     table: np.ndarray
     left: int
+    phase: tuple[bool, int]
 
 
 @cache
@@ -126,24 +132,25 @@ def _length_table(own: tuple[int, ...]) -> np.ndarray:
     return entry // 16 * 8 + entry % 16
 
 
-def _lengths(bits: Bits, size: int) -> Generator[Stored, np.ndarray, np.ndarray]:
+def _lengths(bits: Bits, size: int, phase: tuple[bool, int]) -> Generator[Stored, np.ndarray, np.ndarray]:
     """Code lengths of one alphabet as they are stored."""
-    if bits.read(1):
-        out = np.zeros(size, dtype=np.uint8)
-        two, wide = bits.read(1), bits.read(1)
-        for s in [bits.read(8 if wide else 1), *([bits.read(8)] if two else [])]:
+    head = bits.peek(19)
+    if head & 1:
+        out, two, first = np.zeros(size, dtype=np.uint8), head >> 1 & 1, 8 if head >> 2 & 1 else 1
+        bits.read(3 + first + 8 * two)
+        for s in [head >> 3 & ((1 << first) - 1), *([head >> 3 + first & 255] if two else [])]:
             if s >= size:
                 raise ValueError("a symbol outside its alphabet")
             out[s] = 1
         return out
-    own, many = [0] * 19, 4 + bits.read(4)
-    three = bits.read(3 * many)
+    own, many = [0] * 19, 4 + (head >> 1 & 15)
+    three = bits.read(6 + 3 * many) >> 5
     for i, s in enumerate(LENGTH_ORDER[:many]):
         own[s] = three >> 3 * i & 7
-    left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
+    left = 2 + bits.read(2 + 2 * bits.read(3)) if three >> 3 * many else size
     if not any(own):
         raise ValueError("no code for code lengths")
-    return (yield Stored(bits, size, _length_table(tuple(own)), left))
+    return (yield Stored(bits, size, _length_table(tuple(own)), left, phase))
 
 
 def _unrolled(words: np.ndarray, asked: list[Stored]) -> list[np.ndarray]:
@@ -182,22 +189,35 @@ def _unrolled(words: np.ndarray, asked: list[Stored]) -> list[np.ndarray]:
     return [row[:n] for row, n in zip(out, size.tolist(), strict=True)]
 
 
+#: Five codes of 11 bits, of which the lowest three say that a code has one symbol of 8 bits.
+_ONES, _SINGLES = sum(7 << 11 * k for k in range(5)), sum(5 << 11 * k for k in range(5))
+
+
 def _block(bits: Bits, width: int, height: int, main: bool) -> Generator[Coded | Stored, np.ndarray, np.ndarray]:
     """The pixels of an image or of a transform's data."""
     cache = bits.read(4) if bits.read(1) else 0
     if cache > 11:
         raise ValueError("too large a colour cache")
     tiles, tile_bits = None, 0
+    if not main and not cache:
+        # Five codes of one symbol of 8 bits each: all pixels are the same.
+        five = bits.peek(55)
+        if five & _ONES == _SINGLES and five >> 47 < DISTANCES:
+            bits.read(55)
+            green, red, blue, alpha = (five >> 11 * k + 3 & 255 for k in range(4))
+            return np.full(width * height, alpha << 24 | red << 16 | green << 8 | blue, np.uint32)
     if main and bits.read(1):
         tile_bits = bits.read(3) + 2
         tiles = ((yield from _block(bits, _tiled(width, tile_bits), _tiled(height, tile_bits), False)) >> 8) & 0xFFFF
+        if not tiles.any():
+            tiles = None
     sizes = (LITERALS + LENGTHS + (1 << cache if cache else 0), LITERALS, LITERALS, LITERALS, DISTANCES)
     codes = []
-    for _ in range(1 if tiles is None else int(tiles.max()) + 1):
+    for group in range(1 if tiles is None else int(tiles.max()) + 1):
         codes.append([])
-        for n in sizes:
-            codes[-1].append((yield from _lengths(bits, n)))
-    return (yield Coded(bits, width, height, cache, codes, tiles, tile_bits))
+        for k, n in enumerate(sizes):
+            codes[-1].append((yield from _lengths(bits, n, (main, 5 * group + k))))
+    return (yield Coded(bits, width, height, cache, codes, tiles, tile_bits, (main, 1 << 20)))
 
 
 @dataclass
@@ -366,11 +386,14 @@ class Grid:
     def __init__(self, shapes: list[tuple[int, int]], bits: list[int] | None = None):
         width, size = np.array([w for w, _ in shapes]), np.array([w * h for w, h in shapes])
         self.size, self.begin = size, np.cumsum(size) - size
-        image, on = _runs(size)
-        self.image, self.width = image, width[image]
-        self.y, self.x = np.divmod(on, self.width)
+        self.image = image = np.repeat(np.arange(len(size)), size)
+        self.width = width[image]
+        tall = np.array([h for _, h in shapes])
+        of, row = _runs(tall)
+        self.y = np.repeat(row, width[of])
+        self.x = np.arange(len(image)) - np.repeat(np.cumsum(width[of]) - width[of], width[of])
         if bits is not None:
-            many = np.array([_tiled(w, b) * _tiled(h, b) for (w, h), b in zip(shapes, bits, strict=True)])
+            self.tiles = many = np.array([_tiled(w, b) * _tiled(h, b) for (w, h), b in zip(shapes, bits, strict=True)])
             across, bits = np.array([_tiled(w, b) for (w, _), b in zip(shapes, bits, strict=True)])[image], np.array(bits)[image]
             self.tile = (np.cumsum(many) - many)[image] + (self.y >> bits) * across + (self.x >> bits)
 
@@ -435,9 +458,23 @@ def _unpredicted(pixels: np.ndarray, grid: Grid, tiles: np.ndarray) -> np.ndarra
     return _joined(channels)
 
 
-def _crossed(pixels: np.ndarray, grid: Grid, tiles: np.ndarray, sign: int) -> np.ndarray:
-    """Red and blue less (sign -1) or plus what green and red say about them."""
-    channels, by = _split(pixels).copy(), _split(tiles)[grid.tile].view(np.int8).astype(np.int16)
+def _unbordered(pixels: np.ndarray, shapes: list[tuple[int, int]]) -> np.ndarray:
+    """Pixels of images none of whose tiles looks at a neighbour: only the first row and column follow others."""
+    channels = _split(pixels).copy()
+    channels += BLACK
+    width, tall = (np.array(x) for x in zip(*shapes, strict=True))
+    begin = np.cumsum(width * tall) - width * tall
+    for many, far in ((width, np.ones_like(width)), (tall, width)):
+        for k in range(1, int(many.max())):
+            i = np.flatnonzero(many > k)
+            at = begin[i] + k * far[i]
+            channels[at] += channels[at - far[i]] - BLACK
+    return _joined(channels)
+
+
+def _crossed(pixels: np.ndarray, by: np.ndarray, sign: int) -> np.ndarray:
+    """Red and blue less (sign -1) or plus what green and red say about them. by: each pixel's multipliers."""
+    channels, by = _split(pixels).copy(), _split(by).view(np.int8).astype(np.int16)
     green, red = channels[:, 1].view(np.int8).astype(np.int16), channels[:, 2].copy()
     channels[:, 2] += (sign * (by[:, 0] * green >> 5)).astype(np.uint8)
     # Blue follows the red that the image has, before (writing) or after (reading) the change.
@@ -470,15 +507,21 @@ def _inverted(images: list[Image]) -> None:
                 for im, (_, width, shift, palette) in zip(group, last, strict=True):
                     im.pixels = _coloured(im.pixels, _tiled(width, shift), width, im.height, shift, palette)
                 continue
-            flat = np.concatenate([im.pixels for im in group])
-            if kind == GREEN:
-                grid, flat = Grid([(t[1], im.height) for im, t in zip(group, last, strict=True)]), _greened(flat, 1)
-            else:
-                grid = Grid([(t[1], im.height) for im, t in zip(group, last, strict=True)], [t[2] for t in last])
-                tiles = np.concatenate([t[3] for t in last])
-                flat = _unpredicted(flat, grid, tiles) if kind == PREDICT else _crossed(flat, grid, tiles, 1)
-            for im, pixels in zip(group, grid.parts(flat), strict=True):
-                im.pixels = pixels
+            # Tiles that are all the same need no map of the pixels.
+            plain = [kind == GREEN or not (t[3] >> 8 & 15).any() if kind != CROSS else bool((t[3] == t[3][0]).all()) for t in last]
+            for now in set(plain):
+                some_of = [(im, t) for im, t, p in zip(group, last, plain, strict=True) if p == now]
+                flat, shapes = np.concatenate([im.pixels for im, _ in some_of]), [(t[1], im.height) for im, t in some_of]
+                ends = np.cumsum([len(im.pixels) for im, _ in some_of]).tolist()
+                if kind == GREEN:
+                    flat = _greened(flat, 1)
+                elif now:
+                    flat = _unbordered(flat, shapes) if kind == PREDICT else _crossed(flat, np.repeat(np.array([t[3][0] for _, t in some_of]), [len(im.pixels) for im, _ in some_of]), 1)
+                else:
+                    grid, tiles = Grid(shapes, [t[2] for _, t in some_of]), np.concatenate([t[3] for _, t in some_of])
+                    flat = _unpredicted(flat, grid, tiles) if kind == PREDICT else _crossed(flat, tiles[grid.tile], 1)
+                for (im, _), i, j in zip(some_of, [0, *ends[:-1]], ends, strict=True):
+                    im.pixels = flat[i:j]
 
 
 def decoded(streams: list[bytes]) -> list[Image]:
@@ -490,21 +533,16 @@ def decoded(streams: list[bytes]) -> list[Image]:
     waiting = [(i, _parsed(Bits(data, at)), None) for i, (data, at) in enumerate(zip(streams, begin, strict=False))]
     held: list = []
     while waiting:
-        asked = []
         for i, parser, found in waiting:
             try:
-                asked.append((i, parser, parser.send(found)))
+                held.append((i, parser, parser.send(found)))
             except StopIteration as done:
                 out[i] = done.value
-        # Code lengths first: pixels wait until as many images as possible have theirs to decode.
-        stored = [a for a in asked if isinstance(a[2], Stored)]
-        waiting = []
-        if stored:
-            waiting += [(i, parser, found) for (i, parser, _), found in zip(stored, _unrolled(words, [x for _, _, x in stored]), strict=True)]
-        held += [a for a in asked if isinstance(a[2], Coded)]
-        if not waiting and held:
-            waiting = [(i, parser, found) for (i, parser, _), found in zip(held, _unpacked(words, [x for _, _, x in held]), strict=True)]
-            held = []
+        # Transforms' data first, and one alphabet after another: as many images as possible are in lockstep.
+        least = min((a[2].phase for a in held), default=None)
+        now, held = [a for a in held if a[2].phase == least], [a for a in held if a[2].phase != least]
+        work = _unrolled if now and isinstance(now[0][2], Stored) else _unpacked
+        waiting = [(i, parser, found) for (i, parser, _), found in zip(now, work(words, [x for _, _, x in now]) if now else [], strict=True)]
     _inverted(out)
     return out
 
@@ -527,59 +565,105 @@ class Form:
 WORD = 11
 
 
-def huffman(counts: list[int]) -> list[int]:
-    """Code lengths of at most WORD bits for symbols with these counts, two of them at least."""
-    while True:
-        # Leaves and joined nodes both come in order of their counts, so the two least ones are at the heads of two queues.
-        order = sorted(range(len(counts)), key=counts.__getitem__)
-        leaves, total = [counts[i] for i in order], 2 * len(counts) - 1
-        parent, weight, new, leaf, joined = [0] * total, [], len(counts), 0, 0
-        while new < total:
-            sum_ = 0
+def huffman(counts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Code lengths of at most WORD bits for symbols with these counts, of many codes (of, in order), each with two symbols at least.
+
+    Leaves and joined nodes both come in order of their counts, so the two least ones are at the heads of two queues; all codes move on in lockstep.
+    """
+    out, order = np.zeros(len(counts), np.int64), np.lexsort((counts, of))
+    counts, of = counts[order], of[order]
+    while len(order):
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        many = np.diff(np.r_[first, len(of)])
+        # A code's room: its leaves, a guard, its joined nodes, a guard.
+        room = np.cumsum(2 * many + 1) - (2 * many + 1)
+        code, on = _runs(many)
+        place, size = room[code] + on, int((2 * many + 1).sum())
+        weight, parent = np.full(size, np.iinfo(np.int64).max), np.arange(size)
+        weight[place] = counts
+        leaf, joined, new, last = room.copy(), room + many + 1, room + many + 1, room + 2 * many
+        while len(leaf):
+            sum_ = np.zeros(len(leaf), np.int64)
             for _ in (0, 1):
-                if leaf < len(leaves) and (joined >= len(weight) or leaves[leaf] <= weight[joined]):
-                    sum_ += leaves[leaf]
-                    parent[order[leaf]] = new
-                    leaf += 1
-                else:
-                    sum_ += weight[joined]
-                    parent[len(leaves) + joined] = new
-                    joined += 1
-            weight.append(sum_)
+                x, y = weight[leaf], weight[joined]
+                left = x <= y
+                parent[np.where(left, leaf, joined)] = new
+                sum_ += np.where(left, x, y)
+                leaf += left
+                joined += ~left
+            weight[new] = sum_
             new += 1
-        depth = [0] * new
-        for i in range(new - 2, -1, -1):
-            depth[i] = depth[parent[i]] + 1
-        if max(depth[: len(counts)]) <= WORD:
-            return depth[: len(counts)]
-        counts = [n // 2 + 1 for n in counts]
+            if (on := new < last).all():
+                continue
+            leaf, joined, new, last = leaf[on], joined[on], new[on], last[on]
+        depth = (parent != np.arange(size)).astype(np.int64)
+        while (step := depth[parent]).any():
+            depth += step
+            parent = parent[parent]
+        depth = depth[place]
+        long = np.maximum.reduceat(depth, first) > WORD
+        done = ~long[code]
+        out[order[done]] = depth[done]
+        counts, of, order = counts[~done] // 2 + 1, of[~done], order[~done]
+    return out
 
 
 _of_lengths = Codes([np.array(LENGTH_CODE)])
-_LENGTH_FIELDS = list(zip(_of_lengths.word.tolist(), _of_lengths.length.tolist(), strict=True))
 _LENGTH_HEAD = [(0, 1), (len(LENGTH_ORDER) - 4, 4), *((LENGTH_CODE[s], 3) for s in LENGTH_ORDER), (0, 1)]
 
 
-def _stored(symbols: list[int], lengths: list[int], size: int) -> list[tuple[int, int]]:
-    """Fields (value, bits) that store the code lengths of some symbols of an alphabet."""
-    if len(symbols) <= 2 and max(symbols, default=0) < 256:
-        two = len(symbols) == 2
-        return [(1, 1), (int(two), 1), (1, 1), *((s, 8) for s in symbols or [0])]
-    out, at = list(_LENGTH_HEAD), 0
-    for s, n in zip([*symbols, size], [*lengths, None], strict=True):
-        gap, at = s - at, s + 1
-        while gap:
-            many = min(gap, 138)
-            if many >= 11:
-                out += [_LENGTH_FIELDS[18], (many - 11, 7)]
-            elif many >= 3:
-                out += [_LENGTH_FIELDS[17], (many - 3, 3)]
-            else:
-                out += [_LENGTH_FIELDS[0]] * many
-            gap -= many
-        if n is not None:
-            out.append(_LENGTH_FIELDS[n])
-    return out
+def _stored(some: np.ndarray, code_of: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fields (values and bits) that store the code lengths of alphabets of these sizes, and where each one's begin and end.
+
+    some, code_of and lengths: the symbols that occur, in order, their codes and the lengths of their words.
+    """
+    many = np.bincount(code_of, minlength=len(sizes))
+    largest, least = np.full(len(sizes), 0), np.zeros(len(sizes), np.int64)
+    np.maximum.at(largest, code_of, some)
+    first = np.cumsum(many) - many
+    used = np.flatnonzero(many)
+    least[used] = some[first[used]]
+    short = (many <= 2) & (largest < 256)
+    # The others: zeros before each symbol, its length, and zeros up to the end of the alphabet.
+    i, full = np.flatnonzero(~short[code_of]), np.flatnonzero(~short)
+    at_code, at_symbol = np.r_[code_of[i], full], np.r_[some[i], sizes[full]]
+    word = np.r_[lengths[i], np.full(len(full), -1)]
+    order = np.lexsort((at_symbol, at_code))
+    at_code, at_symbol, word = at_code[order], at_symbol[order], word[order]
+    before = np.r_[-1, at_symbol[:-1]]
+    before[np.r_[True, at_code[1:] != at_code[:-1]][: len(before)]] = -1
+    gap = at_symbol - before[: len(at_symbol)] - 1
+    whole, rest = np.divmod(gap, 138)
+    tail = np.where(rest >= 3, 2, rest)
+    n = 2 * whole + tail + (word >= 0)
+    code, length = _of_lengths.word, _of_lengths.length
+    entry, on = _runs(n)
+    w, on = whole[entry], on
+    in_whole, after = on < 2 * w, on - 2 * w
+    in_tail, left = ~in_whole & (after < tail[entry]), rest[entry]
+    run = np.where(in_whole, 138, left)
+    sign = np.where(run >= 11, 18, np.where(run >= 3, 17, 0))
+    head = np.where(in_whole, on % 2 == 0, (after == 0) | (left < 3))
+    zero_value, zero_bits = np.where(head, code[sign], np.where(sign == 18, run - 11, run - 3)), np.where(head, length[sign], np.where(sign == 18, 7, 3))
+    own = np.maximum(word[entry], 0)
+    zeros = in_whole | in_tail
+    value, bits = np.where(zeros, zero_value, code[own]), np.where(zeros, zero_bits, length[own])
+    # All of them: the short ones' fields, or the head of a code of code lengths and what follows.
+    body = np.bincount(at_code[entry], minlength=len(sizes))
+    fields = np.where(short, 4 + (many == 2), len(_LENGTH_HEAD) + body)
+    ends = np.cumsum(fields)
+    begin = ends - fields
+    values, widths = np.zeros(int(fields.sum()), np.int64), np.zeros(int(fields.sum()), np.int64)
+    for k, (v, b) in enumerate(_LENGTH_HEAD):
+        values[begin[full] + k], widths[begin[full] + k] = v, b
+    c, on = _runs(body)
+    values[begin[c] + len(_LENGTH_HEAD) + on], widths[begin[c] + len(_LENGTH_HEAD) + on] = value, bits
+    c = np.flatnonzero(short)
+    for k, (v, b) in enumerate(((1, 1), (many[c] == 2, 1), (1, 1), (least[c], 8))):
+        values[begin[c] + k], widths[begin[c] + k] = v, b
+    c = np.flatnonzero(short & (many == 2))
+    values[begin[c] + 4], widths[begin[c] + 4] = largest[c], 8
+    return values, widths, np.r_[begin, len(values)]
 
 
 def _before(group: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -633,7 +717,7 @@ def _near_code(far: np.ndarray, width: np.ndarray) -> np.ndarray:
     return out
 
 
-def _packed(blocks: list[tuple[np.ndarray, int, int, Form]], heads: list[list]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[list[list]]]:
+def _packed(blocks: list[tuple[np.ndarray, int, int, Form]], heads: list[list]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
     """For blocks (pixels, width, height, form) the fields (values, bits) of their pixels, and those of their codes, group by group.
 
     heads: the entropy image of each block (a group for each tile), or None.
@@ -692,15 +776,13 @@ def _packed(blocks: list[tuple[np.ndarray, int, int, Form]], heads: list[list])
     counts = np.bincount(np.concatenate([green, *more, away_at, few]), minlength=int(sizes.sum()))
     some = np.flatnonzero(counts)
     code_of = np.searchsorted(offset.ravel(), some, side="right") - 1
-    cut = np.searchsorted(code_of, np.arange(sizes.size + 1))
-    flat_lengths, fields = np.zeros(int(sizes.sum()), np.int64), [[] for _ in range(sizes.size)]
-    symbols_of, counts_of = (some - offset.ravel()[code_of]).tolist(), counts[some].tolist()
-    for c, (size, start) in enumerate(zip(sizes.ravel().tolist(), offset.ravel().tolist(), strict=True)):
-        i, j = int(cut[c]), int(cut[c + 1])
-        symbols = symbols_of[i:j]
-        lengths = huffman(counts_of[i:j]) if j - i > 1 else [1]
-        flat_lengths[start + np.array(symbols or [0])] = lengths
-        fields[c] = _stored(symbols, lengths, size)
+    many = np.bincount(code_of, minlength=sizes.size)
+    flat_lengths, lengths = np.zeros(int(sizes.sum()), np.int64), np.ones(len(some), np.int64)
+    i = np.flatnonzero(many[code_of] > 1)
+    lengths[i] = huffman(counts[some[i]], code_of[i])
+    flat_lengths[some] = lengths
+    flat_lengths[offset.ravel()[many == 0]] = 1
+    head_values, head_bits, head_cuts = _stored(some - offset.ravel()[code_of], code_of, lengths, sizes.ravel())
     codes = Codes([flat_lengths[s : s + n] for s, n in zip(offset.ravel().tolist(), sizes.ravel().tolist(), strict=True)])
     fields_of = np.ones(len(token), np.int64)
     fields_of[pair], fields_of[rich] = 4, 4
@@ -713,47 +795,154 @@ def _packed(blocks: list[tuple[np.ndarray, int, int, Form]], heads: list[list])
         word[first[pair] + on], bits[first[pair] + on] = n - BEGIN[symbol], EXTRA[symbol]
     cuts = np.append(0, ends)[np.searchsorted(image, np.arange(len(blocks) + 1))]
     out = [(word[i:j], bits[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    heads_of = [[f for g in range(b, b + n) for c in range(5 * g, 5 * g + 5) for f in fields[c]] for b, n in zip(begin.tolist(), groups.tolist(), strict=True)]
+    heads_of = [(head_values[i:j], head_bits[i:j]) for i, j in zip(head_cuts[5 * begin].tolist(), head_cuts[5 * (begin + groups)].tolist(), strict=True)]
     return out, heads_of
 
 
-def _transformed(image: Image, form: Form) -> tuple[np.ndarray, int, list[tuple[int, int, np.ndarray | None]]]:
-    """Pixels and width after the form's transforms, and each one's kind, size and data.
+#: n * log2(n) by n, for the counts of a histogram.
+_WEIGHT = np.arange(1 << 15) * np.log2(np.maximum(np.arange(1 << 15), 1))
+
+
+def _weighed(counts: np.ndarray) -> np.ndarray:
+    return _WEIGHT[counts] if counts.max(initial=0) < len(_WEIGHT) else counts * np.log2(np.maximum(counts, 1))
+
+
+def _order(values: np.ndarray, of: np.ndarray, many: int, wide: int = 256) -> np.ndarray:
+    """How much order (bits less than if all were different) values below `wide` have in each of many groups."""
+    return _weighed(np.bincount(of * wide + values, minlength=many * wide)).reshape(many, wide).sum(axis=1)
+
+
+def _better(best: np.ndarray, order: np.ndarray, choice: np.ndarray, now: np.ndarray, least: np.ndarray) -> None:
+    """Take what gives `least` bits more order than the best so far."""
+    i = order > best + least
+    best[i], choice[i] = order[i], now[i] if np.ndim(now) else now
+
+
+def _tile_modes(pixels: np.ndarray, grid: Grid) -> np.ndarray:
+    """Each tile's predictor: of what it leaves of green, the one with the fewest bits; black (0) unless another saves an eighth of a bit a pixel."""
+    many, green = int(grid.tiles.sum()), _split(pixels)[:, 1:2]
+    at = np.flatnonzero((grid.y > 0) & (grid.x > 0))
+    tile, w = grid.tile[at], grid.width[at]
+    near, own = [green[at - 1], green[at - w], green[at - w + 1], green[at - w - 1]], green[at]
+    best, mode = _order(own[:, 0], tile, many), np.zeros(many, np.uint32)
+    best = best + np.bincount(tile, minlength=many) / 8
+    for m, f in PREDICTORS.items():
+        _better(best, _order((own - f(*near))[:, 0], tile, many), mode, m, 0)
+    return (OPAQUE | mode << 8).astype(np.uint32)
+
+
+def _tile_multipliers(pixels: np.ndarray, grid: Grid) -> np.ndarray:
+    """Each tile's colour multipliers: none, those that undo subtracted green, or the fitted ones, whichever leave the fewest bits."""
+    many, channels = int(grid.tiles.sum()), _split(pixels)
+    blue, green, red = (channels[:, k].view(np.int8).astype(np.int16) for k in range(3))
+    least, found = np.bincount(grid.tile, minlength=many) / 32, np.zeros((many, 4), np.uint8)
+    found[:, 3] = 255
+
+    n = np.maximum(np.bincount(grid.tile, minlength=many), 1)
+    sums = lambda v: np.bincount(grid.tile, weights=v, minlength=many)
+    own = {id(x): (v := x.astype(np.float64), (total := sums(v)), np.maximum(sums(v * v) - total**2 / n, 1)) for x in (green, red)}
+
+    def fitted(y, x):
+        # A multiplier of 32 takes all of x away.
+        v, total, spread = own[id(x)]
+        return np.clip(np.rint(32 * (sums(v * y) - total * sums(y) / n) / spread), -128, 127).astype(np.int16)
+
+    left = blue
+    for place, y, x in ((0, red, green), (1, left, green), (2, None, red)):
+        y = left if y is None else y
+        best, choice = _order(y.view(np.uint16) & 255, grid.tile, many), np.zeros(many, np.int16)
+        for by in (*([np.full(many, -32, np.int16)] if x is green else []), fitted(y, x)):
+            _better(best, _order((y - (by[grid.tile] * x >> 5)).view(np.uint16) & 255, grid.tile, many), choice, by, least)
+        found[:, place] = choice.astype(np.int8).view(np.uint8)
+        if place == 1:
+            left = y - (choice[grid.tile] * x >> 5)
+    return _joined(found)
+
+
+def _paletted(image: Image) -> tuple[np.ndarray, int, tuple]:
+    """An image as indexes of its colours, its packed width, and the transform's kind, size and data."""
+    colours, index = np.unique(image.pixels, return_inverse=True)
+    if len(colours) > 256:
+        raise ValueError("too many colours for a palette")
+    shift = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+    packed = np.zeros((image.height, _tiled(image.width, shift) << shift), np.uint32)
+    packed[:, : image.width] = index.reshape(image.height, image.width)
+    packed = packed.reshape(image.height, -1, 1 << shift)
+    packed = (packed << (np.arange(1 << shift, dtype=np.uint32) * (8 >> shift))).sum(axis=2, dtype=np.uint32)
+    steps = _split(colours).copy()
+    steps[1:] -= _split(colours)[:-1]
+    return (OPAQUE | packed << 8).astype(np.uint32).ravel(), _tiled(image.width, shift), (PALETTE, len(colours), _joined(steps))
+
+
+def _transformed(images: list[Image], forms: list[Form]) -> list[tuple[np.ndarray, int, list[tuple[int, int, np.ndarray | None]]]]:
+    """Pixels and width of each image after its form's transforms, and each one's kind, size and data. Images take the same step together."""
+    pixels, width, data = [np.asarray(im.pixels, np.uint32) for im in images], [im.width for im in images], [[] for _ in images]
+    for step in range(max((len(f.transforms) for f in forms), default=0)):
+        group: dict[int, list[int]] = {}
+        for i, f in enumerate(forms):
+            if step < len(f.transforms):
+                group.setdefault(f.transforms[step], []).append(i)
+        for kind, some in group.items():
+            if kind == PALETTE:
+                for i in some:
+                    pixels[i], width[i], made = _paletted(Image(width[i], images[i].height, pixels[i]))
+                    data[i].append(made)
+                continue
+            flat, ends = np.concatenate([pixels[i] for i in some]), np.cumsum([len(pixels[i]) for i in some]).tolist()
+            if kind == GREEN:
+                flat, tiles = _greened(flat, -1), None
+            else:
+                grid = Grid([(width[i], images[i].height) for i in some], [forms[i].transform_tiles for i in some])
+                if kind == PREDICT:
+                    tiles, channels = _tile_modes(flat, grid), _split(flat)
+                    mode = _modes(grid, tiles)
+                    predicted = np.empty_like(channels)
+                    predicted[:] = BLACK
+                    at = np.flatnonzero(mode)
+                    predicted[at] = _predicted(channels, at, grid.width[at], mode[at])
+                    flat = _joined(channels - predicted)
+                else:
+                    tiles = _tile_multipliers(flat, grid)
+                    flat = _crossed(flat, tiles[grid.tile], -1)
+                tile_ends = np.cumsum(grid.tiles).tolist()
+            for n, i in enumerate(some):
+                pixels[i] = flat[ends[n - 1] if n else 0 : ends[n]]
+                data[i].append((kind, 0, None) if tiles is None else (kind, forms[i].transform_tiles, tiles[tile_ends[n - 1] if n else 0 : tile_ends[n]]))
+    return list(zip(pixels, width, data, strict=True))
 
-    Predictors and colour multipliers go round over the tiles: they are a matter of form here, not of a search for the best.
-    """
-    pixels, width, data = np.asarray(image.pixels, np.uint32), image.width, []
-    for kind in form.transforms:
-        bits = form.transform_tiles
-        many = _tiled(width, bits) * _tiled(image.height, bits)
-        if kind == PREDICT:
-            tiles = (OPAQUE | (np.arange(many, dtype=np.uint32) + 1) % 14 << 8).astype(np.uint32)
-            grid = Grid([(width, image.height)], [bits])
-            channels = _split(pixels)
-            pixels = _joined(channels - _predicted(channels, np.arange(len(pixels)), grid.width, _modes(grid, tiles)))
-            data.append((kind, bits, tiles))
-        elif kind == CROSS:
-            on = np.arange(many, dtype=np.uint32)
-            tiles = (OPAQUE | (on * 37 + 8) % 256 << 16 | (on * 91 + 250) % 256 << 8 | (on * 53 + 16) % 256).astype(np.uint32)
-            pixels = _crossed(pixels, Grid([(width, image.height)], [bits]), tiles, -1)
-            data.append((kind, bits, tiles))
-        elif kind == GREEN:
-            pixels = _greened(pixels, -1)
-            data.append((kind, 0, None))
-        else:
-            colours, index = np.unique(pixels, return_inverse=True)
-            if len(colours) > 256:
-                raise ValueError("too many colours for a palette")
-            shift = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
-            packed = np.zeros((image.height, _tiled(width, shift) << shift), np.uint32)
-            packed[:, :width] = index.reshape(image.height, width)
-            packed = packed.reshape(image.height, -1, 1 << shift)
-            packed = (packed << (np.arange(1 << shift, dtype=np.uint32) * (8 >> shift))).sum(axis=2, dtype=np.uint32)
-            steps = _split(colours).copy()
-            steps[1:] -= _split(colours)[:-1]
-            data.append((kind, len(colours), _joined(steps)))
-            pixels, width = (OPAQUE | packed << 8).astype(np.uint32).ravel(), _tiled(width, shift)
-    return pixels, width, data
+
+#: What a group of codes costs, in bits: so many, and so many for each symbol that occurs.
+GROUP, SYMBOL = 60, 4
+
+
+def _groups(blocks: list[tuple[np.ndarray, int, int, int]]) -> list[np.ndarray]:
+    """The entropy images of images (pixels, width, height, bits of a tile): a row of tiles goes on with the group before it unless a group of its own takes fewer bits."""
+    tall = np.array([_tiled(h, bits) for _, _, h, bits in blocks])
+    width, height, bits = (np.array([b[k] for b in blocks]) for k in (1, 2, 3))
+    begin, flat = np.cumsum(tall) - tall, np.concatenate([b[0] for b in blocks])
+    of, row = _runs(height)
+    band = np.repeat(begin[of] + (row >> bits[of]), width[of])
+    counts = np.bincount((band[:, None] * 1024 + np.arange(4) * 256 + _split(flat)).ravel(), minlength=1024 * int(tall.sum())).astype(np.int32).reshape(-1, 1024)
+
+    def cost(c):
+        return _weighed(c.reshape(-1, 4, 256).sum(axis=2)).sum(axis=1) - _weighed(c).sum(axis=1) + SYMBOL * np.count_nonzero(c, axis=1) + GROUP
+
+    group, now = np.zeros(len(counts), np.int64), counts[begin].copy()
+    for k in range(1, int(tall.max())):
+        i = np.flatnonzero(tall > k)
+        own = counts[begin[i] + k]
+        both = now[i] + own
+        new = cost(now[i]) + cost(own) < cost(both)
+        group[begin[i] + k] = group[begin[i] + k - 1] + new
+        now[i] = np.where(new[:, None], own, both)
+    return [np.repeat(group[b : b + n], _tiled(w, t)) for b, n, (_, w, _, t) in zip(begin.tolist(), tall.tolist(), blocks, strict=True)]
+
+
+@lru_cache(1 << 12)
+def _constant(pixel: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fields of a block all of whose pixels are the same: no cache, five codes of one symbol each."""
+    symbols = (pixel >> 8 & 255, pixel >> 16 & 255, pixel & 255, pixel >> 24, 0)
+    return np.array([0, *(v for s in symbols for v in (1, 0, 1, s))]), np.array([1, *(1, 1, 1, 8) * 5])
 
 
 def encoded(images: list[Image], forms: list[Form]) -> list[bytes]:
@@ -765,75 +954,69 @@ def encoded(images: list[Image], forms: list[Form]) -> list[bytes]:
         heads.append(head)
         return len(blocks) - 1
 
-    for im, form in zip(images, forms, strict=True):
-        alpha = bool((im.pixels < OPAQUE).any())
-        plan: list = [[(SIGNATURE, 8), (im.width - 1, 14), (im.height - 1, 14), (int(alpha), 1), (0, 3)]]
-        pixels, width, data = _transformed(im, form)
+    def data_block(pixels, width, height) -> int | tuple:
+        return _constant(int(pixels[0])) if (pixels == pixels[0]).all() else block(pixels, width, height, sub)
+
+    done = _transformed(images, forms)
+    clear = np.minimum.reduceat(np.concatenate([im.pixels for im in images]), np.cumsum([0, *(len(im.pixels) for im in images[:-1])])) < OPAQUE if images else []
+    tiled = [i for i, f in enumerate(forms) if f.tiles]
+    entropy = dict(zip(tiled, _groups([(done[i][0], done[i][1], images[i].height, forms[i].tiles) for i in tiled]) if tiled else [], strict=True))
+    for i, (im, form, (pixels, width, data)) in enumerate(zip(images, forms, done, strict=True)):
+        # Fields, or places of blocks whose fields follow when all blocks are packed.
+        plan: list = [(SIGNATURE, 8), (im.width - 1, 14), (im.height - 1, 14), (int(clear[i]), 1), (0, 3)]
         now = im.width
         for kind, size, tiles in data:
-            plan.append([(1, 1), (kind, 2), *([(size - 2, 3)] if kind in (PREDICT, CROSS) else [(size - 1, 8)] if kind == PALETTE else [])])
+            plan += [(1, 1), (kind, 2), *([(size - 2, 3)] if kind in (PREDICT, CROSS) else [(size - 1, 8)] if kind == PALETTE else [])]
             if kind == PALETTE:
-                plan.append((block(tiles, size, 1, sub), False))
+                plan.append(data_block(tiles, size, 1))
                 now = width
             elif tiles is not None:
-                plan.append((block(tiles, _tiled(now, size), _tiled(im.height, size), sub), False))
-        plan.append([(0, 1)])
-        head = None
-        if form.tiles:
-            # Groups of codes by rows of tiles, two and two.
-            tall, wide = _tiled(im.height, form.tiles), _tiled(width, form.tiles)
-            head = np.repeat(np.arange(tall) // 2, wide)
-            plan.append((block((OPAQUE | head.astype(np.uint32) << 8).astype(np.uint32), wide, tall, sub), None))
-        plan.append((block(pixels, width, im.height, form, head), True))
+                plan.append(data_block(tiles, _tiled(now, size), _tiled(im.height, size)))
+        plan += [(0, 1), *([(1, 1), (form.cache, 4)] if form.cache else [(0, 1)])]
+        if (head := entropy.get(i)) is not None:
+            plan += [(1, 1), (form.tiles - 2, 3), data_block((OPAQUE | head.astype(np.uint32) << 8).astype(np.uint32), _tiled(width, form.tiles), _tiled(im.height, form.tiles))]
+        else:
+            plan.append((0, 1))
+        plan.append(~block(pixels, width, im.height, form, head))
         plans.append(plan)
     tokens, codes = _packed(blocks, heads)
     out = []
-    for plan, form in zip(plans, forms, strict=True):
-        values, bits = [], []
-        meta = None
+    for plan in plans:
+        parts, fields = [], []
         for piece in plan:
-            if isinstance(piece, list):
-                fields = piece
-            elif piece[1] is None:  # belongs between the cache and the codes of the image itself
-                meta = piece[0]
+            if isinstance(piece, tuple) and isinstance(piece[0], int):
+                fields.append(piece)
                 continue
-            else:
-                own, main = blocks[piece[0]][3], piece[1]
-                fields = [(1, 1), (own.cache, 4)] if own.cache else [(0, 1)]
-                if main and meta is not None:
-                    fields += [(1, 1), (form.tiles - 2, 3), (0, 1), *codes[meta]]
-                    values.append(np.array([v for v, _ in fields]))
-                    bits.append(np.array([n for _, n in fields]))
-                    values.append(tokens[meta][0])
-                    bits.append(tokens[meta][1])
-                    fields = []
-                elif main:
+            at = piece
+            if isinstance(piece, int):
+                at = piece if piece >= 0 else ~piece
+                if piece >= 0:  # a block inside the stream says that it has no cache
                     fields.append((0, 1))
-                fields = fields + codes[piece[0]]
-            pair = np.array(fields, dtype=np.int64).reshape(-1, 2)
-            values.append(pair[:, 0])
-            bits.append(pair[:, 1])
-            if isinstance(piece, tuple):
-                values.append(tokens[piece[0]][0])
-                bits.append(tokens[piece[0]][1])
-        out.append((np.concatenate(values), np.concatenate(bits)))
+            pair = np.array(fields, dtype=np.int64)
+            fields.clear()
+            parts += [(pair[:, 0], pair[:, 1])] if len(pair) else []
+            parts += [codes[at], tokens[at]] if isinstance(piece, int) else [piece]
+        out.append(parts)
     return _bytes(out)
 
 
-def _bytes(streams: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
-    """Bytes of fields (values, bits), lowest bits first. Fields share no bit, so sums put them together."""
-    sizes = [int(bits.sum()) for _, bits in streams]
-    begin = np.cumsum([0, *((n + 31) // 32 for n in sizes)])
-    values, bits = (np.concatenate(x) for x in zip(*streams, strict=True))
-    many = np.array([len(b) for _, b in streams])
+def _bytes(streams: list[list[tuple[np.ndarray, np.ndarray]]]) -> list[bytes]:
+    """Bytes of streams of fields (values, bits), lowest bits first. Fields share no bit, so sums put them together."""
+    values, bits = (np.concatenate([part[k] for parts in streams for part in parts]) for k in (0, 1))
+    many = np.array([sum(len(b) for _, b in parts) for parts in streams])
     ends = np.cumsum(bits)
-    before = np.concatenate([[0], ends])[np.cumsum(many) - many]
-    pos = ends - bits + np.repeat(32 * begin[:-1] - before, many)
-    shifted = values << (pos & 31)
-    most = int(begin[-1]) + 2
-    words = np.bincount(pos >> 5, weights=shifted & 0xFFFFFFFF, minlength=most) + np.bincount((pos >> 5) + 1, weights=shifted >> 32, minlength=most)
-    data = words.astype(np.uint64).astype("<u4").tobytes()
-    return [data[4 * i : 4 * i + (n + 7) // 8] for i, n in zip(begin.tolist(), sizes, strict=False)]
+    before = np.append(0, ends)[np.append(0, np.cumsum(many))]
+    sizes = np.diff(before)
+    begin = np.cumsum(np.append(0, (sizes + 31) // 32))
+    pos = ends - bits + np.repeat(32 * begin[:-1] - before[:-1], many)
+    shifted, place = values << (pos & 31), pos >> 5
+    # Places rise, so the fields that begin in a word stand together.
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    words = np.zeros(int(begin[-1]) + 2, np.int64)
+    words[place[first]] = np.add.reduceat(shifted & 0xFFFFFFFF, first)
+    words[place[first] + 1] += np.add.reduceat(shifted >> 32, first)
+    data = words.astype("<u4").tobytes()
+    return [data[4 * i : 4 * i + (n + 7) // 8] for i, n in zip(begin.tolist(), sizes.tolist(), strict=False)]
 
 
 # Files.

@@ -140,3 +140,39 @@ def test_pixel_arrays_and_files(spark):
         assert head[:4] == b"RIFF" and len(head) == int.from_bytes(head[4:8], "little") + 8 and head[12:16] == (b"VP8L" if len(data) <= media.FRAME else b"VP8X")
     assert media.digests(rows.where("false")).count() == 0
     assert len(raw[5]) < 30_000
+
+
+def test_every_payload_takes_every_step():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ,.") for _ in range(n)) for n in (40, 500, 577, 4000, 4608, 20_000)] + ["", "ab" * 4000]
+    payloads = [payload_of(t) for t in texts]
+    assert [media.form_of(p) for p in payloads] == ["grey"] * 2 + ["coloured"] * 4 + ["indexed"] * 2
+    for p in payloads:
+        for _, form in media.frames(p):
+            assert PREDICT in form.transforms and form.cache and form.tiles and form.match
+            assert PALETTE in form.transforms or {CROSS, GREEN} <= set(form.transforms)
+    assert [media.samples(im) for im in media.images(media.files(payloads))] == payloads
+
+
+def test_predictors_multipliers_and_groups_are_looked_for():
+    rng = np.random.default_rng(8)
+    y, x = np.divmod(np.arange(48 * 48), 48)
+    # Rows that go on from the one above; a red that follows green by half; noise, in which nothing follows anything.
+    down = OPAQUE | (np.cumsum(rng.integers(0, 3, (48, 48)), axis=0).ravel() % 256 << 8).astype(np.uint32)
+    green = rng.integers(0, 100, 48 * 48)
+    half = OPAQUE | ((green // 2) << 16 | green << 8).astype(np.uint32)
+    noise = OPAQUE | rng.integers(97, 123, 48 * 48).astype(np.uint32) << 8
+    # Upper rows of one alphabet, lower ones of another.
+    two = OPAQUE | (np.where(y < 32, 97, 200) + rng.integers(0, 26, 48 * 48)).astype(np.uint32) << 8
+    images = [Image(48, 48, p.astype(np.uint32)) for p in (down, half, noise, two)]
+    form = Form((PREDICT, CROSS), 6, 4)
+    done = webp._transformed(images, [form] * 4)
+    modes, multipliers = ([d[2][k][2] for d in done] for k in (0, 1))
+    assert (modes[0] >> 8 & 15 == 2).all() and not (modes[2] >> 8 & 15).any()
+    assert (multipliers[1] & 255 == 16).all() and not (multipliers[2] & 0xFFFFFF).any()
+    groups = webp._groups([(im.pixels, 48, 48, 4) for im in images])
+    assert not groups[2].any() and groups[3].tolist() == [0] * 6 + [1] * 3
+    streams = webp.encoded(images, [form] * 4)
+    assert all((a.pixels == b.pixels).all() for a, b in zip(images, webp.decoded(streams), strict=True))
+    # Without predictors; without multipliers.
+    assert len(streams[0]) < len(webp.encoded(images[:1], [Form((CROSS,), 6, 4)])[0]) and len(streams[1]) < len(webp.encoded(images[1:2], [Form((PREDICT,), 6, 4)])[0])
