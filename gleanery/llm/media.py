@@ -121,6 +121,20 @@ def _sizes(column: pa.Array) -> list[int]:
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together while the column holds up to `most` bytes: Spark hands over so many rows, however short they are."""
+    held, size = [], 0
+    for batch in batches:
+        n = sum(_sizes(batch.column(column)))
+        if held and size + n > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and media: the WebP file of each row's text."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("text"))
@@ -161,7 +175,7 @@ def _read(table: DataFrame, key: str, media: str, columns: str, use) -> DataFram
     types = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k] for k in kinds]
 
     def run(batches):
-        for batch in batches:
+        for batch in _gathered(batches, "media", READ // 2):
             for i, j in _bounded(_sizes(batch.column("media")), READ):
                 part = batch.slice(i, j - i)
                 data = part.column("media").to_pylist()

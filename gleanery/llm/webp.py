@@ -56,15 +56,41 @@ class Bits:
         return int.from_bytes(self.data[at >> 3 : (self.at + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
 
 
+def _sorted(*keys: tuple[np.ndarray, int]) -> np.ndarray:
+    """The stable order by keys (values from 0 on, bits they have at most), the first counting most. Keys and places are sorted as one number where that has room."""
+    many = len(keys[0][0])
+    place = max(1, many.bit_length())
+    if sum(bits for _, bits in keys) + place > 63:
+        return np.lexsort([values for values, _ in reversed(keys)])
+    mixed = np.zeros(many, np.int64)
+    for values, bits in keys:
+        mixed <<= bits
+        mixed |= values
+    mixed <<= place
+    mixed |= np.arange(many)
+    mixed.sort()
+    return mixed & ((1 << place) - 1)
+
+
+def _room(values: np.ndarray) -> int:
+    """Bits of the largest value."""
+    return int(values.max(initial=0)).bit_length()
+
+
 class Codes:
     """Canonical prefix codes of many alphabets: flat arrays by code and length, and all symbols by code, length and value."""
 
-    def __init__(self, lengths: list[np.ndarray]):
-        sizes = np.array([len(x) for x in lengths], dtype=np.int64)
-        flat = np.concatenate(lengths).astype(np.int64) if lengths else np.empty(0, np.int64)
-        owner, self.offset = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
-        used = np.flatnonzero(flat)
-        count = np.bincount(owner[used] * 16 + flat[used], minlength=16 * len(sizes)).reshape(-1, 16)
+    def __init__(self, lengths: list[np.ndarray] | np.ndarray, sizes: np.ndarray | None = None):
+        """lengths: those of each alphabet, or of all one after another with the alphabets' sizes."""
+        if sizes is None:
+            sizes = np.array([len(x) for x in lengths], dtype=np.int64)
+            lengths = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
+        self.offset = np.cumsum(sizes) - sizes
+        # Only the symbols that occur are looked at.
+        used = np.flatnonzero(lengths)
+        flat, at = lengths[used].astype(np.int64), np.searchsorted(used, np.append(self.offset, len(lengths)))
+        owner = np.repeat(np.arange(len(sizes)), np.diff(at))
+        count = np.bincount(owner * 16 + flat, minlength=16 * len(sizes)).reshape(-1, 16)
         first, limit = np.zeros_like(count), np.zeros_like(count)
         for n in range(1, LONGEST + 1):
             first[:, n] = (first[:, n - 1] + count[:, n - 1]) << 1
@@ -72,13 +98,14 @@ class Codes:
         self.single = count.sum(axis=1) == 1
         if (limit[~self.single, LONGEST] != 1 << LONGEST).any() or (limit > 1 << LONGEST)[~self.single].any():
             raise ValueError("a prefix code isn't complete")
-        order = used[np.lexsort((used, flat[used], owner[used]))]
+        by = _sorted((owner, _room(owner)), (flat, 4))
+        order, owner, flat = used[by], owner[by], flat[by]
         begin = (np.cumsum(count.ravel()) - count.ravel()).reshape(-1, 16)
-        rank = np.arange(len(order)) - begin[owner[order], flat[order]]
-        code, single = (first[owner[order], flat[order]] + rank) << (LONGEST - flat[order]), self.single[owner[order]]
+        rank = np.arange(len(order)) - begin[owner, flat]
+        code, single = (first[owner, flat] + rank) << (LONGEST - flat), self.single[owner]
         # Bits and number of bits of every symbol.
-        self.length, self.word = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
-        self.length[order] = np.where(single, 0, flat[order])
+        self.length, self.word = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        self.length[order] = np.where(single, 0, flat)
         self.word[order] = np.where(single, 0, REVERSED[np.minimum(code, (1 << LONGEST) - 1)])
         self.order, self.owner = order, owner
 
@@ -87,10 +114,13 @@ class Codes:
 
         With words in order, highest bit first, a symbol's entries stand together, so a table is its symbols repeated.
         """
-        owner, length = self.owner[self.order], self.length[self.order]
+        owner, length = self.owner, self.length[self.order]
         longest = np.zeros(len(self.offset), np.int64)
-        np.maximum.at(longest, owner, length)
-        entries = ((self.order - self.offset[owner]) * 16 + length).astype(np.int32)
+        # A code's symbols stand together, the longest word last.
+        ends = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) if len(owner) else owner
+        longest[owner[ends]] = length[ends]
+        # The largest alphabet has 2,328 symbols.
+        entries = ((self.order - self.offset[owner]) * 16 + length).astype(np.uint16)
         return np.repeat(entries, 1 << (longest[owner] - length)), np.cumsum(1 << longest) - (1 << longest), longest
 
 
@@ -128,7 +158,7 @@ def _length_table(own: tuple[int, ...]) -> np.ndarray:
     """The table of 7 bits for a code of code lengths: symbol * 8 + length."""
     codes = Codes([np.array(own)])
     table, _, longest = codes.tables()
-    entry = table[REVERSED[np.arange(128)] >> (LONGEST - longest[0])]
+    entry = table[REVERSED[np.arange(128)] >> (LONGEST - longest[0])].astype(np.int64)
     return entry // 16 * 8 + entry % 16
 
 
@@ -160,33 +190,35 @@ def _unrolled(words: np.ndarray, asked: list[Stored]) -> list[np.ndarray]:
     pos, end = begin + np.array([a.bits.at for a in asked]), begin + np.array([8 * len(a.bits.data) for a in asked])
     out, at, last = np.zeros((len(asked), size.max() + 138), np.uint8), np.zeros(len(asked), np.int64), np.full(len(asked), 8)
     extra, least = np.array([2, 3, 7]), np.array([3, 3, 11])
-    lanes = np.arange(len(asked))
+    lanes, done = np.arange(len(asked)), pos.copy()
+    # Of the lanes still at work: the bit, the last length other than zero, and how many lengths and symbols are there and may be.
     while len(lanes):
-        p = pos[lanes]
-        window = words[p >> 3] >> (p & 7)
+        window = words.take(pos >> 3) >> (pos & 7)
         entry = tables[lanes, window & 127]
         n, s = entry & 7, entry >> 3
-        many, plain = np.ones(len(lanes), np.int64), s < 16
-        i = np.flatnonzero(~plain)
+        many = np.where(s < 16, 1, 0)
+        i = np.flatnonzero(s >= 16)
         if len(i):
             kind = s[i] - 16
             many[i] = least[kind] + (window[i] >> n[i] & ((1 << extra[kind]) - 1))
             n[i] += extra[kind]
             if len(j := i[kind == 0]):  # the others are zeros
                 run, on = _runs(many[j])
-                out[lanes[j][run], at[lanes[j]][run] + on] = last[lanes[j]][run]
-        i = np.flatnonzero(plain & (s > 0))
-        out[lanes[i], at[lanes[i]]] = s[i]
-        last[lanes[i]] = s[i]
-        at[lanes] += many
-        pos[lanes] = p + n
-        left[lanes] -= 1
+                out[lanes[j][run], at[j][run] + on] = last[j][run]
+        i = np.flatnonzero((s < 16) & (s > 0))
+        found = s.take(i)
+        out[lanes.take(i), at.take(i)] = found
+        last[i] = found
+        at, pos, left = at + many, pos + n, left - 1
         if (at > size).any() or (pos > end).any():
             raise ValueError("code lengths run over")
-        lanes = lanes[(at[lanes] < size[lanes]) & (left[lanes] > 0)]
-    for a, p in zip(asked, (pos - begin).tolist(), strict=True):
+        if not (on := (at < size) & (left > 0)).all():
+            done[lanes] = pos
+            on = np.flatnonzero(on)
+            lanes, pos, at, left, last, size, end = (x.take(on) for x in (lanes, pos, at, left, last, size, end))
+    for a, p in zip(asked, (done - begin).tolist(), strict=True):
         a.bits.at = p
-    return [row[:n] for row, n in zip(out, size.tolist(), strict=True)]
+    return [row[: a.size] for row, a in zip(out, asked, strict=True)]
 
 
 #: Five codes of 11 bits, of which the lowest three say that a code has one symbol of 8 bits.
@@ -231,9 +263,10 @@ class Image:
 
 
 def _parsed(bits: Bits) -> Generator[Coded | Stored, np.ndarray, Image]:
-    if bits.read(8) != SIGNATURE:
+    head = bits.read(40)
+    if head & 255 != SIGNATURE:
         raise ValueError("not a lossless stream")
-    width, height, _, version = bits.read(14) + 1, bits.read(14) + 1, bits.read(1), bits.read(3)
+    width, height, version = (head >> 8 & 0x3FFF) + 1, (head >> 22 & 0x3FFF) + 1, head >> 37
     if version:
         raise ValueError("unknown version")
     now, transforms = width, []
@@ -266,7 +299,7 @@ def _joined(channels: np.ndarray) -> np.ndarray:
 
 def _slot(pixels: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Places in colour caches of 2^bits colours."""
-    return ((pixels.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> (32 - bits).astype(np.uint64)).astype(np.int64)
+    return (pixels.astype(np.uint32, copy=False) * np.uint32(CACHE_FACTOR) >> (32 - bits).astype(np.uint32)).astype(np.int64)
 
 
 def _runs(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,6 +319,10 @@ def _unpacked(words: np.ndarray, blocks: list[Coded]) -> list[np.ndarray]:
     return out
 
 
+#: Bits that can be read from one word, wherever they begin in a byte.
+WINDOW = 57
+
+
 def _together(words: np.ndarray, blocks: list[Coded]) -> list[np.ndarray]:
     """The pixels of blocks, decoded in lockstep; each block's bits move on behind them."""
     codes = Codes([code for b in blocks for group in b.codes for code in group])
@@ -312,69 +349,102 @@ def _together(words: np.ndarray, blocks: list[Coded]) -> list[np.ndarray]:
     fixed = np.full(len(codes.offset), -1)
     plain = first[codes.single[first + 1] & codes.single[first + 2] & codes.single[first + 3]]
     table, table_at, longest = codes.tables()
-    fixed[plain] = table[table_at[plain + 1]] >> 4 << 16 | table[table_at[plain + 2]] >> 4 | (table[table_at[plain + 3]] >> 4).astype(np.int64) << 24
-    unused = LONGEST - longest
+    red, blue, alpha = ((table[table_at[plain + k]] >> 4).astype(np.int64) for k in (1, 2, 3))
+    fixed[plain] = red << 16 | blue | alpha << 24
+    # Where a code's table begins, and the bits of the longest of all words that it doesn't look at.
+    most = int(longest.max(initial=0))
+    reverse, look = REVERSED[: 1 << most] >> (LONGEST - most), table_at << 4 | most - longest
+    mask, whole = (1 << most) - 1, 4 * most <= WINDOW
+
+    def symbol(code, window):
+        place = look.take(code)
+        return table.take((place >> 4) + (reverse.take(window & mask) >> (place & 15)))
 
-    def symbol(code, at):
-        entry = table[table_at[code] + (REVERSED[words[at >> 3] >> (at & 7) & 0x7FFF] >> unused[code])]
-        return entry >> 4, at + (entry & 15)
+    def window_at(at):
+        return words.take(at >> 3) >> (at & 7)
 
     def value(s, at):
         n = EXTRA[s]
-        return BEGIN[s] + (words[at >> 3] >> (at & 7) & ((1 << n) - 1)), at + n
+        return BEGIN[s] + (window_at(at) & ((1 << n) - 1)), at + n
+
+    shift, all_cached = (32 - cache_bits).astype(np.uint32), bool(cached.all())
 
     def remember(lane, pixels):
-        some = cached[lane]
-        if some.any():
+        if not all_cached:
+            some = cached[lane]
             lane, pixels = lane[some], pixels[some]
-            cache[cache_at[lane] + _slot(pixels, cache_bits[lane])] = pixels
+        cache[cache_at.take(lane) + (pixels * np.uint32(CACHE_FACTOR) >> shift.take(lane))] = pixels
 
     lanes = np.flatnonzero(size)
     any_tiles, any_cache, any_rich = tiled.any(), cached.any(), len(plain) < len(first)
+    # Of the lanes still at work: the place, the bit, and what doesn't change.
+    p, at, until, ending, start = place[lanes], pos[lanes], end[lanes], last[lanes], own[lanes]
     while len(lanes):
-        p, code = place[lanes], own[lanes]
+        code = start
         if any_tiles and len(i := np.flatnonzero(tiled[lanes])):
-            lane = lanes[i]
+            code, lane = start.copy(), lanes[i]
             y, x = np.divmod(p[i] - base[lane], width[lane])
             code[i] += 5 * tiles[tile_at[lane] + (y >> tile_bits[lane]) * across[lane] + (x >> tile_bits[lane])]
-        s, at = symbol(code, pos[lanes])
-        step = np.ones(len(lanes), np.int64)
+        window = window_at(at)
+        entry = symbol(code, window)
+        s, n = (entry >> 4).astype(np.int64), entry & 15
+        at = at + n
+        step = 1
         i = np.flatnonzero(s < LITERALS)
         if len(i):
-            rest = fixed[code[i]]
-            pixels = s[i].astype(np.int64) << 8 | np.maximum(rest, 0)
+            rest, pixels = fixed.take(code.take(i)), s.take(i) << 8
             if any_rich and len(j := np.flatnonzero(rest < 0)):
-                k = i[j]
-                for kind, shift in ((1, 16), (2, 0), (3, 24)):
-                    more, at[k] = symbol(code[k] + kind, at[k])
-                    pixels[j] |= more.astype(np.int64) << shift
-            out[p[i]] = pixels
-            if any_cache:
-                remember(lanes[i], pixels.astype(np.uint32))
-        i = np.flatnonzero((s >= LITERALS) & (s < LITERALS + LENGTHS) if any_cache else s >= LITERALS)
-        if len(i):
-            lane = lanes[i]
-            n, to = value(s[i] - LITERALS, at[i])
-            far, to = symbol(code[i] + 4, to)
-            far, at[i] = value(far, to)
-            near = NEAR[np.minimum(far, len(NEAR)) - 1]
-            far = np.where(far > len(NEAR), far - len(NEAR), np.maximum(1, near[:, 0] + near[:, 1] * width[lane]))
-            if (n > end[lane] - p[i]).any() or (far > p[i] - base[lane]).any():
-                raise ValueError("a copy from or to outside the image")
-            run, on = _runs(n)
-            pixels = out[p[i][run] - far[run] + on % far[run]]
-            out[p[i][run] + on] = pixels
-            step[i] = n
+                k = i if len(j) == len(i) else i[j]
+                own_code, bit, left, colour = code.take(k), at.take(k), window.take(k) >> n.take(k), 0
+                for kind, up in ((1, 16), (2, 0), (3, 24)):
+                    if not whole:
+                        left = window_at(bit)
+                    entry = symbol(own_code + kind, left)
+                    used = entry & 15
+                    colour = colour | (entry >> 4).astype(np.int64) << up
+                    bit += used
+                    left = left >> used
+                at[k] = bit
+                if k is i:
+                    rest = colour
+                else:
+                    rest[j] = colour
+            pixels = (pixels | rest).astype(np.uint32)
+            out[p.take(i)] = pixels
             if any_cache:
-                remember(lane[run], pixels)
-        if any_cache and len(i := np.flatnonzero(s >= LITERALS + LENGTHS)):
-            pixels = cache[cache_at[lanes[i]] + s[i] - LITERALS - LENGTHS]
-            out[p[i]] = pixels
-            remember(lanes[i], pixels)
-        if (at > last[lanes]).any():
+                remember(lanes.take(i), pixels)
+        if len(i) < len(s):
+            step = np.ones(len(lanes), np.int64)
+            i = np.flatnonzero((s >= LITERALS) & (s < LITERALS + LENGTHS) if any_cache else s >= LITERALS)
+            if len(i):
+                lane = lanes[i]
+                n, to = value(s[i] - LITERALS, at[i])
+                entry = symbol(code[i] + 4, window_at(to))
+                far, at[i] = value(entry >> 4, to + (entry & 15))
+                near = NEAR[np.minimum(far, len(NEAR)) - 1]
+                far = np.where(far > len(NEAR), far - len(NEAR), np.maximum(1, near[:, 0] + near[:, 1] * width[lane]))
+                if (n > until[i] - p[i]).any() or (far > p[i] - base[lane]).any():
+                    raise ValueError("a copy from or to outside the image")
+                run, on = _runs(n)
+                pixels = out[p[i][run] - far[run] + on % far[run]]
+                out[p[i][run] + on] = pixels
+                step[i] = n
+                if any_cache:
+                    remember(lane[run], pixels)
+            if any_cache and len(i := np.flatnonzero(s >= LITERALS + LENGTHS)):
+                lane = lanes.take(i)
+                pixels = cache[cache_at.take(lane) + s.take(i) - LITERALS - LENGTHS]
+                out[p.take(i)] = pixels
+                # A colour lies at its slot already; nothing, which is black, may come from any.
+                if not pixels.all():
+                    remember(lane, pixels)
+        if (at > ending).any():
             raise ValueError("the stream ends early")
-        pos[lanes], place[lanes] = at, p + step
-        lanes = lanes[place[lanes] < end[lanes]]
+        p = p + step
+        if not (on := p < until).all():
+            pos[lanes[~on]] = at[~on]
+            on = np.flatnonzero(on)
+            lanes, p, at, until, ending, start = (x.take(on) for x in (lanes, p, at, until, ending, start))
     for b, at in zip(blocks, pos.tolist(), strict=True):
         b.bits.at = at - b.bits.begin
     return [out[i : i + n] for i, n in zip(base.tolist(), size.tolist(), strict=True)]
@@ -485,7 +555,9 @@ def _crossed(pixels: np.ndarray, by: np.ndarray, sign: int) -> np.ndarray:
 
 def _greened(pixels: np.ndarray, sign: int) -> np.ndarray:
     channels = _split(pixels).copy()
-    channels[:, [0, 2]] += (channels[:, 1:2] * (sign % 256)).astype(np.uint8)
+    by = channels[:, 1] * np.uint8(sign % 256)
+    channels[:, 0] += by
+    channels[:, 2] += by
     return _joined(channels)
 
 
@@ -526,9 +598,9 @@ def _inverted(images: list[Image]) -> None:
 
 def decoded(streams: list[bytes]) -> list[Image]:
     """The images of lossless streams."""
-    begin, buffer = np.cumsum([0, *(8 * len(x) + 64 for x in streams)]).tolist(), np.frombuffer(b"".join(x + bytes(8) for x in streams), dtype=np.uint8).astype(np.int64)
-    # 32 bits from every byte on.
-    words = buffer[:-3] | buffer[1:-2] << 8 | buffer[2:-1] << 16 | buffer[3:] << 24 if streams else buffer
+    begin, buffer = np.cumsum([0, *(8 * len(x) + 64 for x in streams)]).tolist(), b"".join([*(x + bytes(8) for x in streams), bytes(8)])
+    # 64 bits from every byte on, of which WINDOW are there from every bit on.
+    words = np.ndarray(len(buffer) - 7, "<i8", buffer, 0, (1,)).copy()
     out: list[Image | None] = [None] * len(streams)
     waiting = [(i, _parsed(Bits(data, at)), None) for i, (data, at) in enumerate(zip(streams, begin, strict=False))]
     held: list = []
@@ -570,7 +642,7 @@ def huffman(counts: np.ndarray, of: np.ndarray) -> np.ndarray:
 
     Leaves and joined nodes both come in order of their counts, so the two least ones are at the heads of two queues; all codes move on in lockstep.
     """
-    out, order = np.zeros(len(counts), np.int64), np.lexsort((counts, of))
+    out, order = np.zeros(len(counts), np.int64), _sorted((of, _room(of)), (counts, _room(counts)))
     counts, of = counts[order], of[order]
     while len(order):
         first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
@@ -628,7 +700,7 @@ def _stored(some: np.ndarray, code_of: np.ndarray, lengths: np.ndarray, sizes: n
     i, full = np.flatnonzero(~short[code_of]), np.flatnonzero(~short)
     at_code, at_symbol = np.r_[code_of[i], full], np.r_[some[i], sizes[full]]
     word = np.r_[lengths[i], np.full(len(full), -1)]
-    order = np.lexsort((at_symbol, at_code))
+    order = _sorted((at_code, _room(at_code)), (at_symbol, _room(at_symbol)))
     at_code, at_symbol, word = at_code[order], at_symbol[order], word[order]
     before = np.r_[-1, at_symbol[:-1]]
     before[np.r_[True, at_code[1:] != at_code[:-1]][: len(before)]] = -1
@@ -783,7 +855,7 @@ def _packed(blocks: list[tuple[np.ndarray, int, int, Form]], heads: list[list])
     flat_lengths[some] = lengths
     flat_lengths[offset.ravel()[many == 0]] = 1
     head_values, head_bits, head_cuts = _stored(some - offset.ravel()[code_of], code_of, lengths, sizes.ravel())
-    codes = Codes([flat_lengths[s : s + n] for s, n in zip(offset.ravel().tolist(), sizes.ravel().tolist(), strict=True)])
+    codes = Codes(flat_lengths, sizes.ravel())
     fields_of = np.ones(len(token), np.int64)
     fields_of[pair], fields_of[rich] = 4, 4
     ends = np.cumsum(fields_of)
@@ -804,7 +876,7 @@ _WEIGHT = np.arange(1 << 15) * np.log2(np.maximum(np.arange(1 << 15), 1))
 
 
 def _weighed(counts: np.ndarray) -> np.ndarray:
-    return _WEIGHT[counts] if counts.max(initial=0) < len(_WEIGHT) else counts * np.log2(np.maximum(counts, 1))
+    return _WEIGHT.take(counts) if counts.max(initial=0) < len(_WEIGHT) else counts * np.log2(np.maximum(counts, 1))
 
 
 def _order(values: np.ndarray, of: np.ndarray, many: int, wide: int = 256) -> np.ndarray:
