@@ -51,12 +51,19 @@ def containing(short: DataFrame, long: DataFrame, part: str, whole: str) -> Data
     Whatever contains part has all of its runs, so one of them is enough to find it. The one is that which
     the fewest wholes have; where a run occurs in no whole, nothing contains the part. Only candidates:
     the caller tests them. A beginning or ending that all names share costs nothing.
+
+    Runs are compared as 32-bit hashes, so a count and a run are one number, whose minimum needs a hash table of
+    parts and no sort of their runs. The joins keep counts and rarest runs, a row for each run and part, in hash tables:
+    what streams by is all runs of all names, of which one that all names share comes to one task.
     """
-    of_long = long.select(whole, F.explode(_runs(whole, GRAM)).alias("_gram"))
+    runs = lambda df, c: df.select(c, F.explode(_runs(c, GRAM)).alias("_run")).select(c, F.hash("_run").cast("long").bitwiseAND(F.lit(2**32 - 1)).alias("_gram"))
+    of_long = runs(long, whole)
     counts = of_long.groupBy("_gram").agg(F.count("*").alias("_gram_count"))
-    of_short = short.select(part, F.explode(_runs(part, GRAM)).alias("_gram")).join(counts, "_gram", "left")
-    rarest = of_short.groupBy(part).agg(F.min(F.struct(F.coalesce("_gram_count", F.lit(0)).alias("n"), F.col("_gram"))).alias("_rare")).where("_rare.n > 0")
-    return rarest.select(part, F.col("_rare._gram").alias("_gram")).join(of_long, "_gram").select(part, whole)
+    of_short = runs(short, part).join(counts.hint("shuffle_hash"), "_gram", "left")
+    numbered = F.shiftleft(F.least(F.coalesce("_gram_count", F.lit(0)), F.lit(2**31 - 1)).cast("long"), 32).bitwiseOR(F.col("_gram"))
+    rarest = of_short.groupBy(part).agg(F.min(numbered).alias("_rare")).where(F.col("_rare") >= 2**32)
+    rarest = rarest.select(part, F.col("_rare").bitwiseAND(F.lit(2**32 - 1)).alias("_gram"))
+    return of_long.join(rarest.hint("shuffle_hash"), "_gram").select(part, whole)
 
 
 def contained_match(wanted: DataFrame, known: DataFrame, key: str, name_key: str, keys: list[str], ord_: str = "ord") -> DataFrame:
