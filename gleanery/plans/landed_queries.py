@@ -63,7 +63,7 @@ def _company(x: str) -> Column:
 WITH p AS (SELECT c_nationkey AS k, c_custkey, c_acctbal < 0 AS hidden FROM customer),
 n AS (SELECT k, count(*) FILTER (NOT hidden) AS named, count(*) FILTER (hidden) AS masked, min(c_custkey) FILTER (NOT hidden) AS first FROM p GROUP BY k)
 SELECT n_nationkey AS company, CASE WHEN n_regionkey = 4 THEN 'company_mismatch' WHEN named > 0 THEN 'found' WHEN masked > 0 THEN 'names_masked' ELSE 'not_public' END AS status,
-  CASE WHEN n_regionkey <> 4 THEN n_nationkey::VARCHAR END AS company_id, CASE WHEN n_regionkey = 4 THEN 0 ELSE least(100, coalesce(named, 0)) END AS n_people,
+  CASE WHEN n_regionkey <> 4 THEN n_nationkey::VARCHAR END AS company_id, CASE WHEN n_regionkey = 4 THEN 0 ELSE coalesce(named, 0) END AS n_people,
   CASE WHEN n_regionkey = 4 THEN 0 ELSE coalesce(masked, 0) END AS masked, CASE WHEN n_regionkey <> 4 THEN 'Ann ' || {_sql_letters("first")} END AS first_name
 FROM nation LEFT JOIN n ON k = n_nationkey""")
 def board_company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
